@@ -29,8 +29,8 @@ def values(spark: SparkSession, schema: str, rows: Iterable[Sequence]) -> DataFr
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether a table has at most ``max_rows`` rows; looks at no more than one row beyond them."""
+    return df.offset(max_rows).isEmpty()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

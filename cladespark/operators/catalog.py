@@ -22,20 +22,22 @@ REMOVABLE = ("retracted", "initiation-failed", "succeeded", "failed", "stopped")
 GUARDED = {"running": "initiated", "retracted": "initiated"}
 
 
-def pair_files(files: DataFrame, pattern: str = r"([^/]*)_R([12])\.fastq\.gz$") -> DataFrame:
-    """Read pairs by sample: files that share a name up to the mate number.
+def pair_files(files: DataFrame, mates: tuple[str, str] = ("_R1.fastq.gz", "_R2.fastq.gz")) -> DataFrame:
+    """Read pairs by sample: files whose names differ only in the mate's suffix.
 
     A sample is emitted only with exactly one file of each mate. Files are folded, not
     collected.
     """
     path = F.col("path")
-    mate = F.regexp_extract(path, pattern, 2)
+    first, second = (path.endswith(mate) for mate in mates)
+    suffix = F.when(first, F.lit(len(mates[0]))).otherwise(F.lit(len(mates[1])))
+    name = F.substring_index(path, "/", -1)
     return (
-        files.where(path.rlike(pattern))
-        .groupBy(F.regexp_extract(path, pattern, 1).alias("sample_id"))
+        files.where(first | second)
+        .groupBy(F.left(name, F.length(name) - suffix).alias("sample_id"))
         .agg(
-            F.max(F.when(mate == "1", path)).alias("r1"),
-            F.max(F.when(mate == "2", path)).alias("r2"),
+            F.max(F.when(first, path)).alias("r1"),
+            F.max(F.when(second, path)).alias("r2"),
             F.count("*").alias("_n"),
         )
         .where("_n = 2 AND r1 IS NOT NULL AND r2 IS NOT NULL")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladespark.functions.tables import with_panel
+from cladespark.functions.tables import fits, with_panel
 
 BIN_WIDTH = 4096
 TILE_WIDTH = 65536
@@ -164,7 +164,8 @@ def depth_runs(
     cross into a tile are counted at its first base, so no running total is carried over and
     no window sees more than ``tile`` positions. The depth changes at a position exactly when
     its starts and ends differ, which is known without looking across the tile border; only
-    the outermost changes of each tile are matched up with their neighbours.
+    the outermost changes of each tile are matched up with their neighbours, and that step
+    falls away when no contig is longer than a tile.
     """
     samples = sample_ids(reads) if samples is None else samples
     zero = F.lit(0).cast("long")
@@ -191,21 +192,19 @@ def depth_runs(
         .withColumn("is_head", ~F.coalesce(F.lag("is_change").over(in_tile), F.lit(False)))
         .where("is_change")
     )
-    run = ["sample_id", "chrom", F.col("p").alias("start"), "depth"]
-    inner = swept.where("next_p IS NOT NULL").select(*run, F.col("next_p").alias("end"))
-    across = Window.partitionBy("sample_id", "chrom").orderBy("p")
-    border = (
-        swept.where("next_p IS NULL OR is_head")
-        .withColumn("after", F.lead("p").over(across))
-        .where("next_p IS NULL")
-        .select(*run, F.col("after").alias("end"))
-        .join(contigs, "chrom")
+    run = ["sample_id", "chrom", F.col("p").alias("start"), F.col("next_p").alias("end"), "depth"]
+    if fits(contigs.where(F.col("length") > tile), 0):
+        runs = swept.select(*run)
+    else:
+        across = Window.partitionBy("sample_id", "chrom").orderBy("p")
+        inner = swept.where("next_p IS NOT NULL").select(*run)
+        border = swept.where("next_p IS NULL OR is_head").withColumn("after", F.lead("p").over(across))
+        runs = inner.unionByName(border.where("next_p IS NULL").withColumn("next_p", F.col("after")).select(*run))
+    return (
+        runs.join(contigs, "chrom")
         .withColumn("end", F.coalesce("end", "length"))
-        .drop("length")
-    )
-    # Contigs the reads do not reach (position 0 past the end) have nothing to report.
-    return inner.unionByName(border).where(F.col("start") < F.col("end")).select(
-        "sample_id", "chrom", "start", "end", "depth"
+        .where(F.col("start") < F.col("end"))
+        .select("sample_id", "chrom", "start", "end", "depth")
     )
 
 

@@ -55,7 +55,9 @@ def depth_runs(spark, sf_dir):
 
 @query
 def uncovered_intervals(spark, sf_dir):
-    return intervals.uncovered(intervals.on_contig(depth_runs(spark, sf_dir), "MN908947"))
+    reads = bridge.reads(spark, sf_dir)
+    virus_reads, virus = (intervals.on_contig(t, "MN908947") for t in (reads, bridge.contigs(spark)))
+    return intervals.uncovered(intervals.depth_runs(virus_reads, virus, samples=intervals.sample_ids(reads)))
 
 
 # Variants and genotypes
