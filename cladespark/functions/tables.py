@@ -42,16 +42,26 @@ def with_panel(rows: DataFrame, panel: DataFrame, max_rows: int = PANEL_ROWS) ->
     """Give every row of ``rows`` one output row per panel entry.
 
     The panel is a reference table. Up to ``max_rows`` entries it travels as one array
-    value and is unrolled in place, without a join. A larger panel is hashed into parts
-    that are joined on the part number, so no task holds the whole panel.
+    value and is unrolled in place, without a join. A larger panel is hashed into parts of
+    about that size and every part is joined with salted shares of the rows, so neither a
+    part nor a share is held by a single task.
     """
     if fits(panel, max_rows):
         entries = panel.agg(F.collect_list(F.struct(*panel.columns)).alias("entries"))
         return rows.select("*", F.inline(entries.scalar()))
-    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split_rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
-    split_panel = panel.withColumn("_part", F.pmod(F.xxhash64(*panel.columns), F.lit(parts)).cast("long"))
-    return split_rows.join(split_panel, "_part").drop("_part")
+    parts = panel.count() // max_rows + 1
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    shares = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).withColumn(
+        "_part", numbers(parts)
+    )
+    pieces = panel.withColumn("_part", F.pmod(F.xxhash64(*panel.columns), F.lit(parts))).withColumn(
+        "_salt", numbers(salts)
+    )
+    return shares.join(pieces, ["_part", "_salt"]).drop("_part", "_salt")
 
 
 def spread(

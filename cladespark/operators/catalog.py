@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,11 @@ def account_tree(
     account_runs: DataFrame,
     runs: DataFrame,
 ) -> DataFrame:
-    """Every account with its projects and runs, one row per child, one empty row without any."""
+    """Every account with its projects and runs, one row per child, one empty row without any.
+
+    An inner join and the accounts left over, not an outer join: adaptive execution can
+    split an account with very many children only in the former.
+    """
     owned_projects = account_projects.join(projects, "project_id").select(
         "account_id", F.lit("project").alias("kind"), F.col("project_id").alias("child_id"), "name",
         F.lit(None).cast("string").alias("status"),
@@ -85,7 +90,9 @@ def account_tree(
     owned_runs = account_runs.join(runs, "run_id").select(
         "account_id", F.lit("run").alias("kind"), F.col("run_id").alias("child_id"), "name", "status"
     )
-    return accounts.join(owned_projects.unionByName(owned_runs), "account_id", "left")
+    children = owned_projects.unionByName(owned_runs)
+    childless = accounts.join(children.select("account_id").distinct(), "account_id", "left_anti")
+    return accounts.join(children, "account_id").unionByName(childless, allowMissingColumns=True)
 
 
 def lookup(entities: DataFrame, column: str, value: str) -> DataFrame:
@@ -165,31 +172,25 @@ def earliest_projects(projects: DataFrame, n: int = 5) -> DataFrame:
     return projects.join(F.broadcast(instants), "created", "left_semi")
 
 
-def _micros() -> Column:
-    return F.unix_micros(F.col("ts").cast("timestamp"))
-
-
-def time_slices(log: DataFrame, slices: int | None = None) -> list[int]:
-    """Instants (microseconds) that cut a log into parts of about equal size, from a quantile sketch."""
+def with_time_slices(log: DataFrame, slices: int | None = None) -> DataFrame:
+    """Number the time slices of a log, cut at quantiles so that all are about equally full."""
     if slices is None:
         slices = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / slices for i in range(1, slices)]
-    times = log.select(_micros().cast("double").alias("t"))
-    return sorted({int(cut) for cut in times.approxQuantile("t", shares, 0.5 / slices)})
+    timed = log.withColumn("_micros", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
+    cutter = QuantileDiscretizer(
+        inputCol="_micros", outputCol="slice", numBuckets=max(slices, 2), relativeError=0.5 / max(slices, 2)
+    )
+    return cutter.fit(timed).transform(timed).drop("_micros")
 
 
 def with_previous(log: DataFrame, slices: int | None = None) -> DataFrame:
     """Every event of a log next to the status of the event before it in the same run.
 
-    Events are ordered inside time slices of about equal size, so a run that holds a large
-    share of the log is spread over the slices. Only the first event of a slice looks
-    further back, to a table with one row per (run, slice).
+    Events are ordered inside time slices, so a run that holds a large share of the log is
+    spread over the slices. Only the first event of a slice looks further back, to a table
+    with one row per (run, slice).
     """
-    cuts = F.array(*[F.lit(cut) for cut in time_slices(log, slices)]).cast("array<bigint>")
-    at = _micros()
-    sliced = log.select("run_id", "ts", "event_id", "status").withColumn(
-        "slice", F.size(F.filter(cuts, lambda cut: cut <= at))
-    )
+    sliced = with_time_slices(log.select("run_id", "ts", "event_id", "status"), slices)
     inside = Window.partitionBy("run_id", "slice").orderBy("ts", "event_id")
     carried = (
         sliced.groupBy("run_id", "slice")
@@ -199,7 +200,7 @@ def with_previous(log: DataFrame, slices: int | None = None) -> DataFrame:
     )
     return (
         sliced.withColumn("found", F.lag("status").over(inside))
-        .join(carried, ["run_id", "slice"], "left")
+        .join(carried, ["run_id", "slice"])
         .select("run_id", "event_id", "ts", "status", F.coalesce("found", "carried").alias("previous"))
     )
 

@@ -82,6 +82,11 @@ def coverage_cells(states: DataFrame, threshold: int = 10) -> DataFrame:
     )
 
 
+def report(df: DataFrame, *keys: str) -> DataFrame:
+    """Row order of a report table."""
+    return df.orderBy(*keys)
+
+
 def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Run-length encoding of an ordered column inside each key: run number, value, length, end.
 

@@ -285,6 +285,8 @@ SQL = {
               WHERE manhattan IS NOT NULL) t
         WHERE k = 1 GROUP BY sample_id, id"""),
     "cohort_states": _with(["states", "isolate_states"], "SELECT * FROM states UNION ALL SELECT * FROM isolate_states"),
+    "cohort_scores": _with(["scores", "isolate_scores"],
+                           "SELECT * FROM scores UNION ALL SELECT * FROM isolate_scores"),
     "marker_profiles": _with(["states"], _wide("sample_id", "states", "pos", "alt", BY_POS)),
     "marker_coverages": _with(["states"], _wide("sample_id", "states", "pos", "n_covering_frags", BY_POS)),
     "clade_calls_wide": _with(["call_text", "systems"], _wide(

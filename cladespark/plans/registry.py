@@ -153,19 +153,27 @@ def cohort_states(spark, sf_dir):
     return cohort.combine(marker_states(spark, sf_dir), bridge.isolate_states(spark, sf_dir))
 
 
+@query
+def cohort_scores(spark, sf_dir):
+    scores = cohort.combine(clade_scores(spark, sf_dir), isolate_scores(spark, sf_dir))
+    return scoring.sort_scores(scores)
+
+
 @query
 def marker_profiles(spark, sf_dir):
-    return cohort.marker_profiles(marker_states(spark, sf_dir))
+    return cohort.report(cohort.marker_profiles(marker_states(spark, sf_dir)), "sample_id")
 
 
 @query
 def marker_coverages(spark, sf_dir):
-    return cohort.marker_coverages(marker_states(spark, sf_dir))
+    return cohort.report(cohort.marker_coverages(marker_states(spark, sf_dir)), "sample_id")
 
 
 @query
 def clade_calls_wide(spark, sf_dir):
-    return cohort.clade_calls_wide(clade_calls(spark, sf_dir), refdata.naming_systems(spark))
+    return cohort.report(
+        cohort.clade_calls_wide(clade_calls(spark, sf_dir), refdata.naming_systems(spark)), "sample_id"
+    )
 
 
 @query
@@ -203,7 +211,7 @@ def isolate_alleles(spark, sf_dir):
 
 @query
 def isolates_wide(spark, sf_dir):
-    return panel.isolates_wide(bridge.isolate_alleles(spark, sf_dir))
+    return cohort.report(panel.isolates_wide(bridge.isolate_alleles(spark, sf_dir)), "seqname")
 
 
 @query
