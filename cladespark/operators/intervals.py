@@ -133,26 +133,31 @@ def coverage_by_position(coverage: DataFrame) -> DataFrame:
     return coverage.select("sample_id", "chrom", F.col("end").alias("pos"), "n_covering_frags")
 
 
-def _depth_events(reads: DataFrame, contigs: DataFrame, tile: int) -> DataFrame:
-    """Starts, ends and tile crossings of every read, folded by (sample, contig, position)."""
-    start, end = F.col("start"), F.col("end")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-
-    def event(p, carry, up, down):
-        return F.struct(
-            p.cast("long").alias("p"), carry.alias("carry"), up.alias("up"), down.alias("down")
-        )
+def _depth_events(reads: DataFrame, contigs: DataFrame, tile: int, one_tile: bool) -> DataFrame:
+    """Per read and tile it touches, where it raises and where it lowers the depth.
 
-    first, last = _div(start, tile) + 1, _div(end - 1, tile)
-    edges = F.array(event(start, zero, one, zero), event(end, zero, zero, one))
-    crossings = F.transform(F.sequence(first, last), lambda k: event(k * tile, one, zero, zero))
-    return (
+    ``step`` is the effect on the depth counted inside the tile, ``change`` the effect seen
+    from outside: entering from the previous tile is a step but no change, and ending on a
+    tile border is a change but no step.
+    """
+    first, last = _div(F.col("start"), tile), _div(F.col("end") - 1, tile)
+    inside = (
         reads.select("sample_id", "chrom", "start", "end")
         .join(contigs, "chrom")
         .withColumn("end", F.least("end", "length"))
-        .where(start < end)
-        .select("sample_id", "chrom", F.inline(F.when(first <= last, F.concat(edges, crossings)).otherwise(edges)))
+        .where(F.col("start") < F.col("end"))
+        .withColumn("k", F.lit(0).cast("long") if one_tile else F.explode(F.sequence(first, last)))
     )
+    zero, one, minus = (F.lit(n).cast("long") for n in (0, 1, -1))
+    return inside.select(
+        "sample_id",
+        "chrom",
+        F.stack(
+            F.lit(2),
+            F.greatest(F.col("start"), F.col("k") * tile), one, F.when(F.col("k") == first, one).otherwise(zero),
+            F.when(F.col("k") == last, F.col("end")), F.when(F.col("end") % tile == 0, zero).otherwise(minus), minus,
+        ).alias("p", "step", "change"),
+    ).where("p IS NOT NULL")
 
 
 def depth_runs(
@@ -167,23 +172,20 @@ def depth_runs(
     the outermost changes of each tile are matched up with their neighbours, and that step
     falls away when no contig is longer than a tile.
     """
+    one_tile = fits(contigs.where(F.col("length") > tile), 0)
     samples = sample_ids(reads) if samples is None else samples
     zero = F.lit(0).cast("long")
     origins = with_panel(samples.select("sample_id"), contigs.select("chrom")).select(
-        "sample_id", "chrom", zero.alias("p"), zero.alias("carry"), zero.alias("up"), zero.alias("down")
+        "sample_id", "chrom", zero.alias("p"), zero.alias("step"), zero.alias("change")
     )
-    at_border = F.col("p") % tile == 0
-    is_change = (F.col("up") != F.col("down")) | (F.col("p") == 0)
+    is_change = (F.col("change") != 0) | (F.col("p") == 0)
     points = (
-        _depth_events(reads, contigs, tile)
+        _depth_events(reads, contigs, tile, one_tile)
         .unionByName(origins)
         .groupBy("sample_id", "chrom", "p")
-        .agg(F.sum("carry").alias("carry"), F.sum("up").alias("up"), F.sum("down").alias("down"))
-        .where(at_border | is_change)
-        .select(
-            "sample_id", "chrom", "p", _div(F.col("p"), tile).alias("tile"), is_change.alias("is_change"),
-            (F.col("carry") + F.col("up") - F.when(at_border, zero).otherwise(F.col("down"))).alias("step"),
-        )
+        .agg(F.sum("step").alias("step"), F.sum("change").alias("change"))
+        .where(is_change | (F.col("p") % tile == 0))
+        .select("sample_id", "chrom", "p", _div(F.col("p"), tile).alias("tile"), is_change.alias("is_change"), "step")
     )
     in_tile = Window.partitionBy("sample_id", "chrom", "tile").orderBy("p")
     swept = (
@@ -193,7 +195,7 @@ def depth_runs(
         .where("is_change")
     )
     run = ["sample_id", "chrom", F.col("p").alias("start"), F.col("next_p").alias("end"), "depth"]
-    if fits(contigs.where(F.col("length") > tile), 0):
+    if one_tile:
         runs = swept.select(*run)
     else:
         across = Window.partitionBy("sample_id", "chrom").orderBy("p")
