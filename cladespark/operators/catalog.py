@@ -130,11 +130,12 @@ def refresh_sizes(files: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def _latest(column: str) -> Column:
-    return F.max_by(column, F.struct("ts", "event_id"))
+    """Last value written; an event that leaves the column empty does not change it."""
+    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct("ts", "event_id")))
 
 
 def run_status(log: DataFrame) -> DataFrame:
-    """Last status and message of every run; one partial aggregate, no sort of the log."""
+    """Last status of every run and the last message given with any; one partial aggregate."""
     return log.groupBy("run_id").agg(_latest("status").alias("status"), _latest("message").alias("message"))
 
 

@@ -56,13 +56,17 @@ def score_matrix(scores: DataFrame, columns: Sequence[tuple[str, str]] | None =
 
 
 def score_cells(scores: DataFrame, colours: DataFrame) -> DataFrame:
-    """Report cells: the score as text, the clade colour, and whether it is a best score."""
+    """Report cells: the score as text, the clade colour, and whether it is a best score.
+
+    Where any score of a (sample, system) is NULL there is no best one, and all its cells
+    stay empty.
+    """
     group = Window.partitionBy("sample_id", "id")
     nulls = F.count_if(F.col("manhattan").isNull()).over(group)
     is_best = F.when(nulls == 0, F.col("manhattan") == F.min("manhattan").over(group))
     return with_colours(scores.withColumn("is_best", is_best), colours).select(
         "sample_id", "id", "clade",
-        score_text(F.col("manhattan")).alias("score"),
+        F.when(F.col("is_best").isNotNull(), score_text(F.col("manhattan"))).alias("score"),
         "is_best",
         F.col("color").alias("clade_color"),
         F.when(F.col("is_best"), F.lit(refdata.BEST_SCORE_COLOUR)).alias("cell_color"),

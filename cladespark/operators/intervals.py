@@ -222,8 +222,14 @@ def uncovered(runs: DataFrame, min_depth: int = 1) -> DataFrame:
 def sort_reads(reads: DataFrame) -> DataFrame:
     """Coordinate-sorted layout, every read tagged with its read group.
 
-    The range partitioning uses the whole row order, so a position that holds a large
-    share of all reads is still spread over many partitions.
+    The range partitioning uses the whole row order and then the partition a read comes
+    from, so neither a crowded position nor a large group of equal reads ends in one task.
     """
     order = ["chrom", "start", "end", "sample_id"]
-    return reads.withColumn("read_group", F.col("sample_id")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return (
+        reads.withColumn("read_group", F.col("sample_id"))
+        .withColumn("_from", F.spark_partition_id())
+        .repartitionByRange(*order, "_from")
+        .sortWithinPartitions(*order)
+        .drop("_from")
+    )

@@ -131,7 +131,7 @@ SELECT {RUN_ID} AS run_id, ts, event_id,
        CASE event_type WHEN 'signup' THEN 'initiating' WHEN 'view' THEN 'initiated' WHEN 'click' THEN 'running'
          WHEN 'purchase' THEN CASE WHEN value >= 20 THEN 'succeeded' ELSE 'retracted' END
          ELSE CASE WHEN value >= 20 THEN 'failed' ELSE 'stopped' END END AS status,
-       concat(event_type, ' #', cast(event_id as string)) AS message
+       CASE WHEN event_type = 'error' AND value >= 20 THEN concat('exit code of #', cast(event_id as string)) END AS message
 FROM events
 """
 

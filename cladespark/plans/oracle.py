@@ -22,6 +22,13 @@ SYSTEMS = _values(refdata.NAMING_SYSTEMS)
 COLOURS = _values([(s, c, v) for s, by_clade in refdata.CLADE_COLOURS.items() for c, v in by_clade.items()])
 N = bridge.N_PROFILES
 
+LAST = """SELECT run_id, status, last_message AS message, created FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS k,
+      min(ts) OVER (PARTITION BY run_id) AS created,
+      last_value(message IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_message
+    FROM {log}) t WHERE k = 1"""
+
 CTES = {
     "markers": f"SELECT chrom, pos::BIGINT AS pos, ref FROM (VALUES {MARKERS}) t(chrom, pos, ref)",
     "profiles": f"""SELECT pidx::BIGINT AS pidx, id, clade, pos::BIGINT AS pos, alt
@@ -65,9 +72,7 @@ CTES = {
         THEN string_agg(allele || '=' || n, ' ' ORDER BY n DESC, allele) END AS alleles
         FROM panel_counts GROUP BY ALL""",
     "log": bridge.RUN_LOG,
-    "last": """SELECT run_id, status, message, created FROM (
-        SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS k,
-        min(ts) OVER (PARTITION BY run_id) AS created FROM log) t WHERE k = 1""",
+    "last": LAST.format(log="log"),
     "files": bridge.FILES,
     "listing": bridge.LISTING,
     "projects": bridge.PROJECTS,
@@ -293,9 +298,12 @@ SQL = {
         "sample_id", "(SELECT * FROM call_text JOIN systems USING (id)) t", "naming_system", "call", SYSTEM_LABELS)),
     "score_matrix": _with(["scores"], _wide(
         "sample_id", "scores", "concat(id, ':', clade)", "manhattan", SCORE_COLUMNS)),
-    "score_cells": _with(["score_labels", "colours"], f"""SELECT sample_id, id, clade, score, is_best,
+    "score_cells": _with(["score_labels", "colours"], f"""SELECT sample_id, id, clade,
+        CASE WHEN is_best IS NOT NULL THEN score END AS score, is_best,
         color AS clade_color, CASE WHEN is_best THEN '{refdata.BEST_SCORE_COLOUR}' END AS cell_color
-        FROM (SELECT *, manhattan = min(manhattan) OVER (PARTITION BY sample_id, id) AS is_best FROM score_labels) s
+        FROM (SELECT *, CASE WHEN count(*) OVER g = count(manhattan) OVER g
+                THEN manhattan = min(manhattan) OVER g END AS is_best
+              FROM score_labels WINDOW g AS (PARTITION BY sample_id, id)) s
         LEFT JOIN colours USING (id, clade)"""),
     "column_groups": _with(["score_labels"], """, m AS (SELECT *, CASE WHEN naming_system = lag(naming_system)
           OVER w THEN 0 ELSE 1 END AS opens, row_number() OVER w AS k FROM score_labels
@@ -346,9 +354,8 @@ SQL = {
     "earliest_projects": _with(["projects"], """SELECT project_id, name, created FROM (
         SELECT *, dense_rank() OVER (ORDER BY created) AS k FROM projects) t WHERE k <= 5"""),
     "run_status": _with(["last"], "SELECT run_id, status, message FROM last"),
-    "run_status_asof": f"""SELECT run_id, status, message FROM (
-        SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS k
-        FROM ({bridge.RUN_LOG}) log WHERE ts <= TIMESTAMP '{bridge.AS_OF}') t WHERE k = 1""",
+    "run_status_asof": _with(["log"], f""", before AS (SELECT * FROM log WHERE ts <= TIMESTAMP '{bridge.AS_OF}')
+        SELECT run_id, status, message FROM ({LAST.format(log="before")}) l"""),
     "run_actions": _with(["last"], ACTIONS),
     "pending_runs": _with(["last"], PENDING),
     "next_run": _with(["last"], PENDING + " LIMIT 1"),

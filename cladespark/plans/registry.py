@@ -237,7 +237,7 @@ def panel_by_system(spark, sf_dir):
 
 @query
 def panel_matrix(spark, sf_dir):
-    return panel.panel_matrix(panel_allele_summary(spark, sf_dir))
+    return cohort.report(panel.panel_matrix(panel_allele_summary(spark, sf_dir)), "clade")
 
 
 @query

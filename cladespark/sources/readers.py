@@ -65,6 +65,14 @@ def read_cohort(
     return _csv(spark, path, schema, header=True).withColumn("sample_id", sample_from_path(sample_pattern))
 
 
+def stream_cohort(
+    spark: SparkSession, path: str, schema: str = schemas.MARKER_STATES, sample_pattern: str = r"(.*)_markers\.csv$"
+) -> DataFrame:
+    """Samples' files of one kind as they arrive in a folder."""
+    files = spark.readStream.schema(schema).options(header=True, nullValue="", emptyValue="").csv(path)
+    return files.withColumn("sample_id", sample_from_path(sample_pattern))
+
+
 def read_cohort_scores(spark: SparkSession, path: str) -> DataFrame:
     return read_cohort(spark, path, schemas.SCORES, r"(.*)_scores_vs_strains\.csv$")
 

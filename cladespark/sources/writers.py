@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None, mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
+    mode: str = "overwrite",
 ) -> None:
+    """Write a table, optionally into folders by value and sorted by range.
+
+    Folders suit few values (contig, naming system). With very many samples, cluster by
+    ``sample_id`` instead: the files then hold disjoint ranges of it and a filter on a sample
+    skips the others by their statistics.
+    """
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*partition_by, *cluster_by)
     writer = df.write.mode(mode)
-    if partition_by is not None:
-        writer = writer.partitionBy(partition_by)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
         writer.options(header=True, nullValue="", emptyValue="").csv(path)
     elif fmt == "parquet":

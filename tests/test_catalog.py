@@ -61,6 +61,11 @@ def test_status_and_as_of(table):
     assert rows_of(catalog.run_status_asof(log, "2024-01-01 01:00:00")) == [("a", "initiated", "m1")]
 
 
+def test_message_stays_until_the_next_one(table):
+    rows = [("a", T0, 1, "failed", "broken"), ("a", T0 + dt.timedelta(hours=1), 2, "initiated", None)]
+    assert rows_of(catalog.run_status(table(LOG, rows))) == [("a", "initiated", "broken")]
+
+
 def test_pending_runs_take_the_oldest_creation(table):
     rows = [
         ("late", T0 + dt.timedelta(hours=5), 1, "initiated", ""),

@@ -147,6 +147,14 @@ def test_missing_state_gives_null_scores_and_no_call(spark, table):
     assert cells.where("sample_id = 'M1' AND (is_best IS NOT NULL OR score IS NOT NULL)").count() == 0
 
 
+def test_one_null_score_empties_the_cells_of_its_system(spark, table):
+    scores = table("sample_id string, id string, clade string, manhattan double",
+                   [("s", "gisaid", "G", 1.0), ("s", "gisaid", "L", None), ("s", "old_nextstrain", "A2", 2.0)])
+    cells = cohort.score_cells(scores, refdata.colours(spark))
+    assert rows_of(cells, "id", "clade", "score", "is_best") == [
+        ("gisaid", "G", None, None), ("gisaid", "L", None, None), ("old_nextstrain", "A2", "2", True)]
+
+
 def brute_scores(states, profiles):
     by_sample = {}
     for sample, pos, alt in states:

@@ -84,9 +84,21 @@ def test_round_trip(spark, tmp_path):
     rows = [(241, 9, "C", None, None, "C"), (1059, 3, "C", "?", "yes", "C")]
     df = spark.createDataFrame(rows, schemas.MARKER_STATES).withColumn("sample_id", F.lit("s1"))
     parquet = str(tmp_path / "states")
-    writers.write_table(df, parquet, partition_by="sample_id")
+    writers.write_table(df, parquet, partition_by=["sample_id"])
     assert rows_of(spark.read.parquet(parquet).select(df.columns)) == rows_of(df)
     csv = str(tmp_path / "csv")
     writers.write_table(df.drop("sample_id"), csv, "csv")
     back = spark.read.schema(schemas.MARKER_STATES).csv(csv, header=True, nullValue="", emptyValue="")
     assert rows_of(back) == rows_of(df.drop("sample_id"))
+
+
+def test_clustered_files_hold_disjoint_samples(spark, tmp_path):
+    path = str(tmp_path / "clustered")
+    df = spark.range(4000).selectExpr("concat('S', id % 40) AS sample_id", "id AS pos")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_table(df, path, cluster_by=["sample_id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(path).select("sample_id", F.col("_metadata.file_path").alias("file")).distinct()
+    assert files.count() == 40 and files.select("file").distinct().count() > 1

@@ -5,6 +5,7 @@ import random
 
 from cladespark import refdata
 from cladespark.operators import catalog, scoring
+from cladespark.sources import readers
 from cladespark.streaming import jobs
 from conftest import rows_of
 from test_catalog import LOG, log_rows
@@ -42,3 +43,17 @@ def test_status_of_arriving_events(spark, table, tmp_path):
     table(LOG, [late]).write.mode("append").parquet(arrived)
     jobs.stream_run_status(spark.readStream.schema(LOG).parquet(arrived), out, log).awaitTermination()
     assert rows_of(jobs.newest(spark, out, "run_id"), "run_id", "status") == rows_of(expected)
+
+
+def test_scores_of_arriving_sample_files(spark, tmp_path):
+    arrived, out, log = (tmp_path / n for n in ("in", "out", "log"))
+    arrived.mkdir()
+    for sample, changes in (("x", M1), ("y", M2)):
+        lines = ["pos,n_covering_frags,ref,alt,is_mutated,original_ref"]
+        lines += [f"{r[2]},{r[3]},{r[4]},{r[5]},{r[6] or ''},{r[4]}" for r in state_rows(sample, changes)]
+        (arrived / f"{sample}_markers.csv").write_text("\n".join(lines) + "\n")
+        states = readers.stream_cohort(spark, str(arrived))
+        jobs.stream_scores(states, refdata.profiles(spark), str(out), str(log)).awaitTermination()
+    calls = scoring.clade_calls(jobs.newest(spark, str(out), "sample_id"))
+    assert {(r.sample_id, r.id): r.call for r in calls.collect()}["y", "gisaid"] == "GH_1"
+    assert calls.count() == 6
