@@ -30,8 +30,8 @@ def _csv(spark: SparkSession, path: str | Sequence[str], schema: str, **options)
 
 
 def read_variants(spark: SparkSession, path: str, sample_pattern: str = r"(.*)\.vcf$") -> DataFrame:
-    """Headerless tab-separated variants, comment lines skipped."""
-    df = _csv(spark, path, schemas.VARIANTS, sep="\t", comment="#", nullValue=".")
+    """Headerless tab-separated variants, comment lines skipped; a quality that is no number is NULL."""
+    df = _csv(spark, path, schemas.VARIANTS, sep="\t", comment="#", mode="PERMISSIVE")
     return df.withColumn("sample_id", sample_from_path(sample_pattern))
 
 

@@ -15,7 +15,7 @@ def test_variants(spark, tmp_path):
     )
     df = readers.read_variants(spark, str(tmp_path))
     assert rows_of(df, "sample_id", "chrom", "pos", "id", "ref", "alt", "qual") == [
-        ("s 1", "c", 241, None, "C", "T", 31925.6), ("s 1", "c", 300, "rs1", "GG", "TA", None)]
+        ("s 1", "c", 241, ".", "C", "T", 31925.6), ("s 1", "c", 300, "rs1", "GG", "TA", None)]
 
 
 def test_target_coverage_to_csv(spark, tmp_path):
