@@ -65,6 +65,13 @@ SELECT '{HOST_CONTIG}' AS chrom, r_regionkey * cast(9000000 as bigint) AS start,
 FROM region
 """
 
+# A wide target panel along the host contig, one target per part.
+PART_TARGETS = f"""
+SELECT '{HOST_CONTIG}' AS chrom, (p_partkey * 2311) % {HOST_LENGTH - 1001} AS start,
+       (p_partkey * 2311) % {HOST_LENGTH - 1001} + 100 + 10 * p_size AS "end"
+FROM part
+"""
+
 # Allele of isolate c_custkey at marker (pos, ref); NULL and N stand for unreadable bases.
 ALLELE = """CASE WHEN c_mktsegment = 'MACHINERY' AND pos = 28883 AND c_custkey % 3 = 0 THEN NULL
   WHEN (c_custkey * 11 + pos) % 89 = 0 THEN 'N'

@@ -258,6 +258,9 @@ SQL = {
     "reads_sorted": _with(["reads"], """SELECT sample_id, chrom, start, "end", mapq, sample_id AS read_group
         FROM reads"""),
     "target_coverage": _with(["samples"], TARGET_COVERAGE),
+    "wide_panel_fragments": _with(["reads"], f""", targets AS (SELECT DISTINCT * FROM ({bridge.PART_TARGETS}) p)
+        SELECT r.sample_id, t.chrom, t.start, t."end", count(*)::BIGINT AS n_covering_frags
+        FROM {_pairs("targets")} GROUP BY r.sample_id, t.chrom, t.start, t."end" """),
     "marker_coverage": _with(["coverage"], "SELECT * FROM coverage"),
     "depth_runs": _with(["samples", "contigs"], DEPTH_RUNS),
     "uncovered_intervals": _with(["samples", "contigs"], DEPTH_RUNS.rstrip()

@@ -42,6 +42,12 @@ def target_coverage(spark, sf_dir):
     return intervals.target_coverage(bridge.reads(spark, sf_dir), regions)
 
 
+@query
+def wide_panel_fragments(spark, sf_dir):
+    targets = bridge.from_tables(spark, sf_dir, bridge.PART_TARGETS)
+    return intervals.fragment_counts(bridge.reads(spark, sf_dir), targets)
+
+
 @query
 def marker_coverage(spark, sf_dir):
     targets = intervals.markers_to_targets(refdata.markers(spark))

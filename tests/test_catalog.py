@@ -48,6 +48,12 @@ def test_transitions_against_a_fold(table, slices):
     assert stops == {e for e, x in expected.items() if x[2] == "stopped" and status[e] in ("succeeded", "failed")}
 
 
+def test_hot_run_is_spread_over_the_slices(table):
+    rows = [("hot", T0 + dt.timedelta(seconds=i * i), i, "initiated", "") for i in range(2000)]
+    sizes = catalog.with_time_slices(table(LOG, rows), 20).groupBy("run_id", "slice").count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 250
+
+
 def test_transitions_with_equal_instants(table):
     rows = [("a", T0, i, s, "") for i, s in enumerate(["initiated", "running", "running", "initiated", "retracted"])]
     found = [r.applied for r in catalog.run_transitions(table(LOG, rows), 5).orderBy("event_id").collect()]

@@ -1,0 +1,38 @@
+"""A small cohort from reads to written tables."""
+
+from cladespark import refdata
+from cladespark.plans.cohort_run import Panel, run_cohort
+from conftest import rows_of
+from test_scoring import CALLS, M1, M2, M3
+
+
+def test_cohort(spark, table, tmp_path):
+    reads, mutations = [], []
+    for sample, changes in (("M1", M1), ("M2", M2), ("M3", M3)):
+        for pos in refdata.POSITIONS:
+            depth = 7 if changes.get(pos) == "?" else 9
+            # Neighbouring markers are a base apart, so a read covers just one of them.
+            reads += [(sample, refdata.CONTIG, pos - 1, pos)] * depth
+            reads += [(sample, "host", 0, 100)]
+            if changes.get(pos, "?") != "?":
+                mutations.append((sample, refdata.CONTIG, pos, "x", changes[pos], "yes"))
+    out = str(tmp_path)
+    run_cohort(
+        table("sample_id string, chrom string, start long, end long", reads),
+        table("sample_id string, chrom string, pos long, ref string, alt string, is_mutated string", mutations),
+        table("sample_id string", [("M1",), ("M2",), ("M3",), ("blank",)]),
+        out,
+        Panel.default(spark),
+    )
+    assert spark.read.parquet(f"{out}/all_samples").count() == 4 * 17
+    assert spark.read.parquet(f"{out}/all_samples_scores").count() == 4 * 27
+    calls = {r[0]: tuple(r[1:]) for r in spark.read.csv(f"{out}/all_samples_calls", header=True).collect()}
+    assert {k: v for k, v in calls.items() if k != "blank"} == CALLS
+    assert calls["blank"][0] == "/".join(sorted(refdata.CLADE_SUBSTITUTIONS["gisaid"]))
+    profiles = spark.read.csv(f"{out}/all_samples_marker_profiles", header=True)
+    assert profiles.columns[1:] == [str(p) for p in refdata.POSITIONS]
+    gaps = spark.read.parquet(f"{out}/uncovered_intervals")
+    assert rows_of(gaps.where("sample_id = 'blank'"), "chrom", "start", "end") == [
+        (refdata.CONTIG, 0, refdata.GENOME_LENGTH)]
+    assert rows_of(gaps.where("sample_id = 'M1' AND start >= 28144"), "start", "end") == [
+        (28144, 28880), (28883, 29903)]
