@@ -79,15 +79,33 @@ def target_fragments(
 ) -> DataFrame:
     """Reads per (sample, target), with a zero row where a sample has none."""
     targets = targets.select("chrom", "start", "end").distinct()
-    samples = sample_ids(reads) if samples is None else samples
-    zeros = with_panel(samples.select("sample_id"), targets).withColumn("n", F.lit(0).cast("long"))
     hits = overlaps(reads, targets, bin_width).where("is_first").select(
-        "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"),
-        F.lit(1).cast("long").alias("n"),
+        "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end")
     )
+    return _count_with_zeros(hits, targets, sample_ids(reads) if samples is None else samples)
+
+
+def marker_fragments(
+    reads: DataFrame, markers: DataFrame, samples: DataFrame | None = None, bin_width: int = BIN_WIDTH
+) -> DataFrame:
+    """Reads per (sample, marker position), with a zero row where a sample has none.
+
+    The same as counting over one-base targets, but left partitioned by the genotype key, so
+    that joining mutations to it moves nothing again.
+    """
+    markers = markers.select("chrom", "pos").distinct()
+    hits = overlaps(reads, markers_to_targets(markers), bin_width).select(
+        "sample_id", "chrom", F.col("t_end").alias("pos")
+    )
+    return _count_with_zeros(hits, markers, sample_ids(reads) if samples is None else samples)
+
+
+def _count_with_zeros(hits: DataFrame, panel: DataFrame, samples: DataFrame) -> DataFrame:
+    zeros = with_panel(samples.select("sample_id"), panel).withColumn("n", F.lit(0).cast("long"))
     return (
-        hits.unionByName(zeros)
-        .groupBy("sample_id", "chrom", "start", "end")
+        hits.withColumn("n", F.lit(1).cast("long"))
+        .unionByName(zeros)
+        .groupBy(*hits.columns)
         .agg(F.sum("n").alias("n_covering_frags"))
     )
 

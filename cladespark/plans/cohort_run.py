@@ -38,8 +38,7 @@ def run_cohort(reads: DataFrame, mutations: DataFrame, samples: DataFrame, outpu
     """
     spark = reads.sparkSession
     samples = samples.select("sample_id").distinct()
-    targets = intervals.markers_to_targets(panel.markers)
-    coverage = intervals.coverage_by_position(intervals.target_fragments(reads, targets, samples))
+    coverage = intervals.marker_fragments(reads, panel.markers, samples)
     write_table(
         genotype.marker_states(coverage, mutations, panel.markers),
         f"{output}/all_samples", cluster_by=["sample_id", "pos"],

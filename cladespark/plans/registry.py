@@ -50,8 +50,7 @@ def wide_panel_fragments(spark, sf_dir):
 
 @query
 def marker_coverage(spark, sf_dir):
-    targets = intervals.markers_to_targets(refdata.markers(spark))
-    return intervals.coverage_by_position(intervals.target_fragments(bridge.reads(spark, sf_dir), targets))
+    return intervals.marker_fragments(bridge.reads(spark, sf_dir), refdata.markers(spark))
 
 
 @query

@@ -85,6 +85,9 @@ def test_target_fragments_keep_uncovered_targets(table):
     out = intervals.coverage_by_position(intervals.target_fragments(reads, targets))
     assert rows_of(out, "sample_id", "pos", "n_covering_frags") == [
         ("s", 5, 2), ("s", 6, 0), ("t", 5, 0), ("t", 6, 0)]
+    markers = intervals.targets_to_markers(targets)
+    assert rows_of(intervals.marker_fragments(reads, markers)) == rows_of(
+        out.select("sample_id", "chrom", "pos", "n_covering_frags"))
     assert rows_of(intervals.fragment_counts(reads, targets), "sample_id", "end", "n_covering_frags") == [("s", 5, 2)]
 
 
