@@ -67,8 +67,8 @@ FROM region
 
 # A wide target panel along the host contig, one target per part.
 PART_TARGETS = f"""
-SELECT '{HOST_CONTIG}' AS chrom, (p_partkey * 2311) % {HOST_LENGTH - 1001} AS start,
-       (p_partkey * 2311) % {HOST_LENGTH - 1001} + 100 + 10 * p_size AS "end"
+SELECT '{HOST_CONTIG}' AS chrom, (p_partkey * 229133) % {HOST_LENGTH - 9001} AS start,
+       (p_partkey * 229133) % {HOST_LENGTH - 9001} + 100 + 100 * p_size AS "end"
 FROM part
 """
 
