@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
 def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
@@ -24,14 +24,9 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one the cluster names for checkpoints.
+    """A new folder under the one the cluster names for checkpoints, or else in its warehouse.
 
-    Without that setting only a local session may fall back to its own disk.
+    Both are shared by all executors; nothing is written to a machine's own folders.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cladespark-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get(WAREHOUSE_DIR)}/intermediate"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
