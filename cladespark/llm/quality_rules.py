@@ -28,6 +28,11 @@ def removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more in the text.
 
@@ -38,32 +43,32 @@ def repeated_words(words: Column) -> Column:
     n = F.size(words)
     pairs = F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
     windows = F.zip_with(pairs, F.slice(words, F.lit(3), n), lambda ab, c: F.xxhash64(ab, c))
-    windows = F.slice(windows, F.lit(1), F.greatest(n - 2, F.lit(0)))
-
+    windows = F.slice(windows, F.lit(1), n - 2)
     low = (1 << PACKED_BITS) - 1
-    packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
 
-    def neighbours(a: Column, b: Column) -> Column:
+    def packed(h: Column, i: Column) -> Column:
+        return h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))
+
+    def both(a: Column, b: Column) -> Column:
         same = F.shiftright(a.bitwiseXOR(b), PACKED_BITS) == 0
         return F.when(same, F.shiftleft(a.bitwiseAND(F.lit(low)), 32).bitwiseOR(b.bitwiseAND(F.lit(low)))).otherwise(-1)
 
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    def pair(h: Column, i: Column) -> Column:
+        return F.struct(h.alias("h"), i.cast("long").alias("i"))
 
-    def long_neighbours(a: Column, b: Column) -> Column:
+    def both_long(a: Column, b: Column) -> Column:
         return F.when(a["h"] == b["h"], F.shiftleft(a["i"], 32).bitwiseOR(b["i"])).otherwise(-1)
 
-    def zipped(ordered: Column, pair) -> Column:
-        size = F.size(ordered)
-        both = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.greatest(size, F.lit(0))), pair)
-        return F.slice(both, F.lit(1), F.greatest(size - 1, F.lit(0)))
-
-    found = F.when(n <= low, zipped(packed, neighbours)).otherwise(zipped(placed, long_neighbours))
-    found = F.filter(found, lambda x: x >= 0)
+    def neighbours(ordered: Column, of) -> Column:
+        return bound(ordered, lambda s: F.zip_with(F.slice(s, F.lit(1), n - 3), F.slice(s, F.lit(2), n - 3), of))
 
     def covered(x: Column) -> Column:
         a, b = F.shiftright(x, 32), x.bitwiseAND(F.lit((1 << 32) - 1))
         return F.array(a, a + 1, a + 2, b, b + 1, b + 2)
 
+    found = F.when(n <= low, neighbours(F.sort_array(F.transform(windows, packed)), both))
+    found = found.otherwise(neighbours(F.sort_array(F.transform(windows, pair)), both_long))
+    found = F.filter(found, lambda x: x >= 0)
     return F.when(n < 4, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(found, covered)))))
 
 
