@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladespark.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, warc
+from cladespark.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,

@@ -237,8 +237,8 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    # A file is one row here; spread by its random name.
-    return files.repartition(F.col("file")).mapInArrow(read, RECORDS)
+    # A file is one small row here: the number of tasks is said, or adaptive execution would read all files in one.
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, RECORDS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
