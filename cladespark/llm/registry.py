@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladespark.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, repeats, toxicity, warc
+from cladespark.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, recurrent_lm, repeats, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_recurrent_lm": recurrent_lm.op3_recurrent_lm,
     "op4_repeats": repeats.op4_repeats,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_ngram_join": ngram_join.op6_ngram_join,
