@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from cladespark.llm.common import HEAVY_SHARE, KEY, keyed, stored, table
+from cladespark.llm.common import HEAVY_SHARE, KEY, keyed, row_key, stored, table, text_or_empty
 
 BLANK = " \t\n\x0b\x0c\r"
 LINES = "h1 long, h2 long, doc_id long, k1 long, k2 long, n_lines int, at array<int>"
@@ -151,23 +152,27 @@ def _apply(digest: bool):
                 out.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
                 count.append(text.count("\n") + 1 if bitmap is None else n)
                 lost.append(d or 0)
-            arrays = [batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(count, pa.int64()),
-                      pa.array(lost, pa.int64()), pa.array(out, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "doc_id", "n_lines", "n_dropped", "text"])
+            arrays = [batch.column("rest"), pa.array(count, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["rest", "n_lines", "n_dropped", "text"])
 
     return run
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) -> DataFrame:
-    """(k1, k2, doc_id, n_lines, n_dropped, text) of every document, its text without the dropped lines or its SHA-256."""
-    rows = keyed(docs).join(bitmaps, list(KEY), "left")
-    return rows.mapInArrow(_apply(digest), "k1 long, k2 long, doc_id long, n_lines long, n_dropped long, text string")
+    """(rest, n_lines, n_dropped, text) of every row: its text without the dropped lines, or the SHA-256 of that.
+
+    ``rest`` is a struct of all other columns of the row.
+    """
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")
+    rows = docs.select(*row_key(), rest, text_or_empty().alias("text")).join(bitmaps, list(KEY), "left")
+    schema = StructType([rows.schema["rest"], *(StructField(c, LongType()) for c in ("n_lines", "n_dropped")), StructField("text", StringType())])
+    return rows.mapInArrow(_apply(digest), schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = apply_bitmaps(docs, line_bitmaps(docs), digest=True)
-    return out.select("doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_sha256"))
+    out = apply_bitmaps(docs.select("doc_id", "text"), line_bitmaps(docs), digest=True)
+    return out.select("rest.doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_sha256"))
 
 
 SQL = r"""

@@ -1,10 +1,12 @@
-"""Token sequences of fixed length by minimum bin slack over the lengths that are left."""
+"""Token sequences of fixed length by minimum bin slack: each takes the lengths left over that fill it best."""
 
 from __future__ import annotations
 
 import os
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from cladespark.llm.common import blocks, ranges, stored, table, text_or_empty
 
 END_ID = 0
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank long"
+PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHE_UNITS, CACHE_IDS = 400_000, 8 << 20
 
@@ -99,7 +101,8 @@ def _pieces(path: str, capacity: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        units = Units(Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        units, narrow = Units(tokenizer), "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in blocks(batches):
@@ -117,6 +120,8 @@ def _pieces(path: str, capacity: int):
             view = memoryview(data).cast("B")
             at = firsts[doc] + start
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            # A full piece is never cut, so its ids are not needed again.
+            again = [data[a:b].astype(narrow).tobytes() if b - a < capacity else None for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
             order = np.argsort(length, kind="stable")
             by = length[order]
             group = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
@@ -125,23 +130,18 @@ def _pieces(path: str, capacity: int):
             rank[order] = ranges(ranks[by[group]], size)
             ranks[by[group]] += size
             arrays = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length.astype(np.int32)),
-                      pa.array(crc, pa.int64()), pa.array(tokens[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(rank)]
+                      pa.array(crc, pa.int64()), pa.array(tokens[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(rank), pa.array(again, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PIECES.split(", ")])
 
     return run
 
 
-def padding(filled: int, capacity: int) -> int:
-    """Padding of a sequence with so many ids: none at a power of two, else up to the capacity."""
-    return 0 if filled and not filled & (filled - 1) else capacity - filled
-
-
 def fill(left: dict[int, int], capacity: int) -> dict[int, int]:
-    """The multiset of remaining lengths whose sequence has the least padding; of equals the fullest.
+    """The multiset of remaining lengths that comes closest to the capacity, as a count for each length.
 
-    A subset-sum over bitsets: bit s of ``reach[i]`` says that the first i kinds of length, none
-    used beyond its count, can sum to s. Counts enter in powers of two, so each length takes a few
-    shifts. The chosen sum is walked back to how often each length is in it.
+    A subset-sum over bitsets: bit s of ``reach[i]`` says that the first i lengths, none used beyond its
+    count, can sum to s. Counts enter in powers of two, so each length takes a few
+    shifts. The best sum is walked back to how often each length is in it.
     """
     mask = (1 << (capacity + 1)) - 1
     lengths = sorted((n for n, count in left.items() if count), reverse=True)
@@ -155,9 +155,7 @@ def fill(left: dict[int, int], capacity: int) -> dict[int, int]:
         reach.append(bits)
         if bits >> capacity & 1:  # longer lengths alone fill it
             break
-    sums = [s for s in range(1, capacity + 1) if reach[-1] >> s & 1]
-    best = min(sums, key=lambda s: (padding(s, capacity), -s))
-    chosen, rest = {}, best
+    chosen, rest = {}, reach[-1].bit_length() - 1
     for i in range(len(reach) - 1, 0, -1):
         n, count = lengths[i - 1], 0
         while not reach[i - 1] >> rest & 1:
@@ -167,40 +165,125 @@ def fill(left: dict[int, int], capacity: int) -> dict[int, int]:
     return chosen
 
 
-def plan(left: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Which sequence takes which pieces: (length, first rank, pieces, per sequence, first sequence, offset).
+@dataclass(frozen=True)
+class Run:
+    """Pieces of one length and of neighbouring ranks that go to neighbouring sequences, or the same part of each."""
+
+    length: int  # of the whole pieces
+    rank: int
+    pieces: int
+    per: int  # in each sequence
+    sequence: int
+    offset: int
+    begin: int  # the part: where it begins in the piece, and its size
+    size: int
+
 
-    Every filling is repeated as long as all its lengths last, so there are about as many
-    fillings as lengths, whatever the number of pieces.
+class Stock:
+    """What is left to pack, by size: stretches of equal pieces, or of equal parts of pieces that were cut."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.left = dict(counts)
+        self.stretches = {n: deque([(n, 0, count, 0)]) for n, count in counts.items()}
+
+    def take(self, size: int, count: int) -> Iterator[tuple[int, int, int, int]]:
+        """``count`` pieces of a size, as stretches (length, first rank, pieces, begin)."""
+        self.left[size] -= count
+        while count:
+            length, rank, pieces, begin = self.stretches[size].popleft()
+            used = min(count, pieces)
+            if used < pieces:
+                self.stretches[size].appendleft((length, rank + used, pieces - used, begin))
+            yield length, rank, used, begin
+            count -= used
+
+    def put(self, size: int, stretch: tuple[int, int, int, int]) -> None:
+        self.left[size] = self.left.get(size, 0) + stretch[2]
+        self.stretches.setdefault(size, deque()).append(stretch)
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[Run]:
+    """Which sequence takes which pieces, from how many there are of each length.
+
+    Every filling is repeated as long as what it needs lasts, so there are about as many fillings as lengths, whatever
+    the number of pieces. Where the best filling leaves slack, all other pieces are longer than the slack; one more of
+    them in each sequence is cut to close it, and the rest of it is left to pack. Only the last sequence stays short.
     """
-    left, used, rows, sequence = dict(left), dict.fromkeys(left, 0), [], 0
-    while any(left.values()):
-        chosen = fill(left, capacity)
-        times = min(left[n] // count for n, count in chosen.items())
+    stock, out, sequence = Stock(counts), [], 0
+    while any(stock.left.values()):
+        chosen = fill(stock.left, capacity)
+        slack = capacity - sum(n * count for n, count in chosen.items())
+        times = min(stock.left[n] // count for n, count in chosen.items())
+        cut = None
+        if slack:
+            spare = {n: count // (chosen.get(n, 0) + 1) for n, count in stock.left.items() if n > slack}
+            cut = max(spare, key=lambda n: (spare[n], n), default=None)
+            cut = cut if cut and spare[cut] else None
+            times = min(times, spare[cut]) if cut else 1
         offset = 0
         for n, count in sorted(chosen.items(), reverse=True):
-            rows.append((n, used[n], times * count, count, sequence, offset))
-            used[n] += times * count
-            left[n] -= times * count
+            done = 0
+            for length, rank, pieces, begin in stock.take(n, times * count):
+                out += split(Run(length, rank, pieces, count, sequence, offset, begin, n), done)
+                done += pieces
             offset += n * count
+        if cut:
+            done = 0
+            for length, rank, pieces, begin in list(stock.take(cut, times)):
+                out += split(Run(length, rank, pieces, 1, sequence, offset, begin, slack), done)
+                stock.put(cut - slack, (length, rank, pieces, begin + slack))
+                done += pieces
         sequence += times
-    return rows
+    return out
+
+
+def split(run: Run, done: int) -> list[Run]:
+    """A stretch that starts as the piece ``done`` of its filling, cut so that each part begins a sequence or lies in one."""
+    out, rank, left = [], run.rank, run.pieces
+    while left:
+        sequence, nth = run.sequence + done // run.per, done % run.per
+        whole = left // run.per * run.per
+        take = whole if not nth and whole else min(left, run.per - nth)
+        out.append(replace(run, rank=rank, pieces=take, sequence=sequence, offset=run.offset + nth * run.size))
+        rank, left, done = rank + take, left - take, done + take
+    return out
 
 
-def _place(rows: list[tuple[int, int, int, int, int, int]]):
-    table_ = np.array(sorted(rows), np.int64).reshape(-1, 6)
+def _place(plan_: list[Run]):
     shift = 1 << 48  # ranks stay below
+    layers: dict[tuple[int, int], list[Run]] = {}
+    for run in plan_:
+        layers.setdefault((run.length, run.begin) if run.begin or run.size < run.length else (0, 0), []).append(run)
+    tables = {}
+    for layer, members in layers.items():
+        members.sort(key=lambda r: (r.length, r.rank))
+        tables[layer] = np.array([(r.length * shift + r.rank, r.pieces, r.per, r.sequence, r.offset, r.begin, r.size) for r in members], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "rank"))
-            at = np.searchsorted(table_[:, 0] * shift + table_[:, 1], length * shift + rank, "right") - 1
-            nth, per = rank - table_[at, 1], table_[at, 3]
-            sequence = table_[at, 4] + nth // per
-            offset = table_[at, 5] + nth % per * length
-            arrays = [batch.column("doc_id"), batch.column("start"), pa.array(length), batch.column("ids_crc32"),
-                      batch.column("doc_tokens"), pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PACKED.split(", ")])
+            present = set(np.unique(length).tolist()) | {0}
+            for (only, _), table_ in tables.items():
+                if only not in present:
+                    continue
+                key = length * shift + rank
+                at = np.searchsorted(table_[:, 0], key, "right") - 1
+                nth = key - table_[at, 0]
+                rows = np.flatnonzero((at >= 0) & (nth < table_[at, 1]))
+                if not len(rows):
+                    continue
+                at, nth = at[rows], nth[rows]
+                _, _, per, sequence, offset, begin, size = table_[at].T
+                part = batch.take(pa.array(rows))
+                crc = part.column("ids_crc32")
+                if only:
+                    width = len(part.column("ids")[0].as_py()) // only
+                    kind = np.dtype(f"<u{width}")
+                    crc = pa.array([zlib.crc32(np.frombuffer(ids, kind)[b : b + n].astype("<u4").tobytes())
+                                    for ids, b, n in zip(part.column("ids").to_pylist(), begin.tolist(), size.tolist(), strict=True)], pa.int64())
+                arrays = [part.column("doc_id"), pa.array(part.column("start").to_numpy() + begin), pa.array(size), crc, part.column("doc_tokens"),
+                          pa.array(sequence + nth // per), pa.array(offset + nth % per * size)]
+                yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PACKED.split(", ")])
 
     return run
 
@@ -208,10 +291,10 @@ def _place(rows: list[tuple[int, int, int, int, int, int]]):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
     """Where every piece of every document lies: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A document is its token ids and one end id. It is cut at every ``capacity`` ids; what is
-    left over is not cut again. The lengths of all pieces are counted (``capacity`` rows at
-    most), the fillings are planned on these counts, and every piece finds its sequence by its rank
-    among the pieces of its length. Ranks come from each task's own counts and the sums of the tasks
+    A document is its token ids and one end id, cut at every ``capacity`` ids. The lengths of all pieces are
+    counted (``capacity`` rows at most), the fillings are planned on these counts, and every piece finds its sequence by its rank
+    among the pieces of its length. What is left over of a document is cut again only where that closes a sequence, so
+    all sequences are full but for the last; that one is padded, unless it ends at a power of two. Ranks come from each task's own counts and the sums of the tasks
     before it, so no length is gathered anywhere.
 
     Null or empty texts are one piece that holds the end id. Rows that repeat are packed each
@@ -225,7 +308,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(earlier, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_place(plan(left, capacity)), PACKED)
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "ids").mapInArrow(_place(plan(left, capacity)), PACKED)
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:

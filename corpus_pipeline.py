@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm import line_dedup, packing, quality_rules
+from cladespark.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from cladespark.llm.common import KEY, row_key, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,23 +23,36 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that stay elsewhere; one that has nothing left is gone."""
+    """Every document without the lines that stay in another one; it may be left empty."""
     cleaned = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs))
-    cleaned = cleaned.groupBy(*KEY).agg(F.first("text").alias("_text"), F.first("n_dropped").alias("_dropped"))
-    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row")).join(cleaned, list(KEY))
-    text = F.when(F.col("_dropped") > 0, F.col("_text")).otherwise(F.col("row.text"))
-    rows = rows.where((F.col("_dropped") == 0) | (F.trim("_text") != ""))
-    return rows.select("row.*", text.alias("_new")).withColumns({"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}).drop("_new")
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    named = {"text": F.col("text"), "n_chars": n_chars}
+    return cleaned.select(*[named.get(c, F.col(f"rest.`{c}`")) for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of similar documents the one with the least doc_id."""
+    groups = ngram_join.similar_groups(docs)
+    staying = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*KEY)
+    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row")).join(staying, list(KEY), "left_semi")
+    return rows.dropDuplicates(list(KEY)).select("row.*")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each time a document is taken, wholly or in part."""
+    return mixing.mixed_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in the training sequences."""
+    """Where every piece of every document of the mix lies in the training sequences."""
     return packing.pack(docs, packing.public_tokenizer())
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", good_documents),
     ("line dedup", without_shared_lines),
+    ("n-gram join", one_of_each_group),
+    ("mixing", mixed_sources),
     ("packing", packed_sequences),
 ]
 
