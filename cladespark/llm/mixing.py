@@ -87,7 +87,9 @@ def taken_blocks(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     short = short.select(F.lit(-1).cast("long").alias("shard"), "sno", F.coalesce("n", F.lit(0)).alias("first"), F.col("slots").alias("last"))
     spans = spans.select("shard", "sno", "first", "last").unionByName(short)
     spans = spans.join(sources.select("sno", "slots", "blocks"), "sno").withColumn("last", F.least("last", "slots")).where("first < last")
-    numbered = spans.repartition("shard", "sno").select("sno", "blocks", F.explode(F.sequence("first", F.col("last") - 1)).alias("slot"))
+    # A span is one small row here and up to a shard's slots below, so the number of tasks is said.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20)
+    numbered = spans.repartition(tasks, "shard", "sno").select("sno", "blocks", F.explode(F.sequence("first", F.col("last") - 1)).alias("slot"))
     blocks = F.col("blocks")
     place = permuted(F.col("slot") % blocks, blocks, seed + 2, F.col("sno"), F.expr("slot div blocks"))
     return numbered.select("sno", place.alias("block")).groupBy("sno", "block").agg(F.count("*").alias("times"))
