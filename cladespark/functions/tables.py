@@ -29,7 +29,13 @@ def values(spark: SparkSession, schema: str, rows: Iterable[Sequence]) -> DataFr
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; looks at no more than one row beyond them."""
+    """Whether a table has at most ``max_rows`` rows; looks at no more than one row beyond them.
+
+    Literal tables need no job: the optimizer knows a bound on their rows.
+    """
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if bound.isDefined() and bound.get() <= max_rows:
+        return True
     return df.offset(max_rows).isEmpty()
 
 
@@ -70,14 +76,19 @@ def spread(
     """Long to wide, one output column per entry of ``labels`` (cell value -> column name).
 
     The column list is explicit, so there is no extra job to discover it and the order is
-    fixed. Cells are folded by one partial aggregate. Two rows for one cell are an error.
+    fixed. Cells are folded by one partial aggregate. Two rows for one cell are an error, and so is
+    a row whose cell is not listed: no value is lost in silence.
     """
+    listed = F.coalesce(F.col(column).isin(*labels), F.lit(False)) if labels else F.lit(False)
+    stray = F.max(F.when(~listed, F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
+
     def cell(label, name):
         here = F.col(column) == F.lit(label)
         folded = F.max(F.when(here, F.col(value)))
         if reject_duplicates:
             message = F.lit(f"more than one row for {column}={label}")
             folded = F.when(F.count_if(here) > 1, F.raise_error(message)).otherwise(folded)
-        return folded.alias(name)
+        message = F.concat(F.lit(f"no column is listed for {column}="), stray)
+        return F.when(stray.isNotNull(), F.raise_error(message)).otherwise(folded).alias(name)
 
     return df.groupBy(*keys).agg(*[cell(label, name) for label, name in labels.items()])

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladespark.functions.expressions import fan_out_path, safe_file_name
+from cladespark.functions.tables import with_panel
 
 # Run states, and the states from which a run can be removed.
 RETRACTABLE, STOPPABLE = "initiated", "running"
@@ -22,6 +22,9 @@ REMOVABLE = ("retracted", "initiation-failed", "succeeded", "failed", "stopped")
 # Changes that take effect only from one exact state.
 GUARDED = {"running": "initiated", "retracted": "initiated"}
 
+SLICE = "HOUR"
+NO_TIME = -(1 << 63)
+
 
 def pair_files(files: DataFrame, mates: tuple[str, str] = ("_R1.fastq.gz", "_R2.fastq.gz")) -> DataFrame:
     """Read pairs by sample: files whose names differ only in the mate's suffix.
@@ -46,8 +49,15 @@ def pair_files(files: DataFrame, mates: tuple[str, str] = ("_R1.fastq.gz", "_R2.
     )
 
 
-def drop_blacklisted(samples: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Samples whose id contains a match of none of the patterns."""
+def drop_blacklisted(samples: DataFrame, patterns: Sequence[str] | DataFrame) -> DataFrame:
+    """Samples whose id contains a match of none of the patterns, a list or a table (pattern).
+
+    A table is a reference table: up to its limit it travels as one array next to the samples, beyond that it is joined in shares.
+    """
+    if isinstance(patterns, DataFrame):
+        listed = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
+        matched = with_panel(samples.select("sample_id"), listed).where(F.regexp_like("sample_id", "pattern"))
+        return samples.join(matched.select("sample_id"), "sample_id", "left_anti")
     for pattern in patterns:
         samples = samples.where(~F.col("sample_id").rlike(pattern))
     return samples
@@ -61,16 +71,26 @@ def file_manifest(files: DataFrame) -> DataFrame:
 
 
 def project_files(projects: DataFrame, links: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of every project, by project and name."""
+    """Files of every project; sorted only on export."""
     return (
         projects.withColumnRenamed("name", "project_name")
         .join(links, "project_id")
         .join(files.withColumnRenamed("name", "file_name"), "file_id")
         .select("project_id", "project_name", "file_id", "file_name", "size")
-        .orderBy("project_id", "file_name", "file_id")
     )
 
 
+def sort_project_files(files: DataFrame) -> DataFrame:
+    """Export order: by project and name."""
+    return files.orderBy("project_id", "file_name", "file_id")
+
+
+def run_files(runs: DataFrame, links: DataFrame, files: DataFrame) -> DataFrame:
+    """Output files of every run, one row per file, with the name and path each is stored under."""
+    stored = files.select("file_id", safe_file_name(F.col("name")).alias("file_name"), fan_out_path(F.col("file_id")).alias("path"), "size")
+    return runs.select("run_id").join(links, "run_id").join(stored, "file_id").select("run_id", "file_id", "file_name", "path", "size")
+
+
 def account_tree(
     accounts: DataFrame,
     account_projects: DataFrame,
@@ -81,17 +101,19 @@ def account_tree(
     """Every account with its projects and runs, one row per child, one empty row without any.
 
     An inner join and the accounts left over, not an outer join: adaptive execution can
-    split an account with very many children only in the former.
+    split an account with very many children only in the former. Accounts left over are those without a link, so the
+    children are built once; a link to something that is gone is a child without a name.
     """
-    owned_projects = account_projects.join(projects, "project_id").select(
+    owned_projects = account_projects.join(projects, "project_id", "left").select(
         "account_id", F.lit("project").alias("kind"), F.col("project_id").alias("child_id"), "name",
         F.lit(None).cast("string").alias("status"),
     )
-    owned_runs = account_runs.join(runs, "run_id").select(
+    owned_runs = account_runs.join(runs, "run_id", "left").select(
         "account_id", F.lit("run").alias("kind"), F.col("run_id").alias("child_id"), "name", "status"
     )
     children = owned_projects.unionByName(owned_runs)
-    childless = accounts.join(children.select("account_id").distinct(), "account_id", "left_anti")
+    linked = account_projects.select("account_id").unionByName(account_runs.select("account_id"))
+    childless = accounts.join(linked, "account_id", "left_anti")
     return accounts.join(children, "account_id").unionByName(childless, allowMissingColumns=True)
 
 
@@ -134,13 +156,18 @@ def _latest(column: str) -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct("ts", "event_id")))
 
 
+def committed(log: DataFrame, unit: str = SLICE) -> DataFrame:
+    """The events that took effect: a rejected change writes nothing. The operators below take such a log."""
+    return run_transitions(log, unit).where("applied").drop("previous", "applied")
+
+
 def run_status(log: DataFrame) -> DataFrame:
-    """Last status of every run and the last message given with any; one partial aggregate."""
+    """Last status of every run of a committed log, and the last message given with any; one partial aggregate."""
     return log.groupBy("run_id").agg(_latest("status").alias("status"), _latest("message").alias("message"))
 
 
 def run_status_asof(log: DataFrame, instant: str) -> DataFrame:
-    """State as of an instant, itself included."""
+    """State as of an instant, itself included, from a committed log."""
     return run_status(log.where(F.col("ts") <= F.lit(instant)))
 
 
@@ -156,7 +183,7 @@ def run_actions(runs: DataFrame) -> DataFrame:
 
 
 def pending_runs(log: DataFrame, n: int | None = None) -> DataFrame:
-    """Runs waiting to be taken, by the commit instant that created them; the first ``n`` if given."""
+    """Runs of a committed log that wait to be taken, by the instant that created them; the first ``n`` if given."""
     pending = (
         log.groupBy("run_id")
         .agg(_latest("status").alias("status"), F.min("ts").alias("created"))
@@ -173,62 +200,58 @@ def earliest_projects(projects: DataFrame, n: int = 5) -> DataFrame:
     return projects.join(F.broadcast(instants), "created", "left_semi")
 
 
-def with_time_slices(log: DataFrame, slices: int | None = None) -> DataFrame:
-    """Number the time slices of a log, cut at quantiles so that all are about equally full."""
-    if slices is None:
-        slices = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    timed = log.withColumn("_micros", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
-    cutter = QuantileDiscretizer(
-        inputCol="_micros", outputCol="slice", numBuckets=max(slices, 2), relativeError=0.5 / max(slices, 2)
-    )
-    return cutter.fit(timed).transform(timed).drop("_micros")
+def with_time_slices(log: DataFrame, unit: str = SLICE) -> DataFrame:
+    """Number the time slices of a log, one per hour or other unit; events without a time share the slice before all others."""
+    since = F.timestamp_diff(unit, F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return log.withColumn("slice", F.coalesce(since, F.lit(NO_TIME)))
 
 
-def with_previous(log: DataFrame, slices: int | None = None) -> DataFrame:
-    """Every event of a log next to the status of the event before it in the same run.
+def with_previous(log: DataFrame, unit: str = SLICE) -> DataFrame:
+    """Every event of a log next to the last status given before it in the same run; events without a time come first.
 
     Events are ordered inside time slices, so a run that holds a large share of the log is
-    spread over the slices. Only the first event of a slice looks further back, to a table
+    spread over the slices. Only the first events of a slice look further back, to a table
     with one row per (run, slice).
     """
-    sliced = with_time_slices(log.select("run_id", "ts", "event_id", "status"), slices)
-    inside = Window.partitionBy("run_id", "slice").orderBy("ts", "event_id")
+    sliced = with_time_slices(log.select("run_id", "ts", "event_id", "status", "message"), unit)
+    inside = Window.partitionBy("run_id", "slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("run_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sliced.groupBy("run_id", "slice")
         .agg(_latest("status").alias("last_status"))
-        .withColumn("carried", F.lag("last_status").over(Window.partitionBy("run_id").orderBy("slice")))
+        .withColumn("carried", F.last("last_status", ignorenulls=True).over(across))
         .select("run_id", "slice", "carried")
     )
-    return (
-        sliced.withColumn("found", F.lag("status").over(inside))
-        .join(carried, ["run_id", "slice"])
-        .select("run_id", "event_id", "ts", "status", F.coalesce("found", "carried").alias("previous"))
+    found = F.last("status", ignorenulls=True).over(inside)
+    joined = sliced.withColumn("found", found).alias("s").join(
+        carried.alias("c"), F.expr("s.run_id <=> c.run_id AND s.slice = c.slice")
     )
+    return joined.select("s.run_id", "event_id", "ts", "status", "message", F.coalesce("found", "carried").alias("previous"))
 
 
-def run_transitions(log: DataFrame, slices: int | None = None) -> DataFrame:
+def run_transitions(log: DataFrame, unit: str = SLICE) -> DataFrame:
     """Every event of every run, marked as applied or rejected.
 
     Unguarded changes always apply. A guarded one applies only from ``initiated``, and no
     guarded change leads back to it. So the event before a guarded one decides: after an
     ``initiated`` event the run is in that state, and after any other event it is not,
-    because whatever follows ``initiated`` either overwrites it or is let through.
+    because whatever follows ``initiated`` either overwrites it or is let through. Events without a status change none.
     """
     expected = F.lit(None).cast("string")
     for target, source in GUARDED.items():
         expected = F.when(F.col("status") == target, F.lit(source)).otherwise(expected)
     applied = F.coalesce(expected.isNull() | (F.col("previous") == expected), F.lit(False))
-    return with_previous(log, slices).withColumn("applied", applied)
+    return with_previous(log, unit).withColumn("applied", applied)
 
 
-def overwritten_stops(log: DataFrame, slices: int | None = None) -> DataFrame:
+def overwritten_stops(log: DataFrame, unit: str = SLICE) -> DataFrame:
     """Results written over a stop, which does not reach the running child.
 
     Guarded changes are left out first: none can apply between a stop and the result.
     """
-    unguarded = log.where(~F.col("status").isin(*GUARDED))
+    unguarded = log.where(~F.coalesce(F.col("status").isin(*GUARDED), F.lit(False)))
     return (
-        with_previous(unguarded, slices)
+        with_previous(unguarded, unit)
         .where((F.col("previous") == "stopped") & F.col("status").isin("succeeded", "failed"))
         .select("run_id", "event_id", "ts", "status")
     )

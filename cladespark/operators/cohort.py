@@ -18,14 +18,26 @@ def combine(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def marker_profiles(states: DataFrame, positions: Sequence[int] = refdata.POSITIONS) -> DataFrame:
-    """Sample x position matrix of alleles; a second row for one cell is an error."""
-    return spread(states, ["sample_id"], "pos", "alt", {p: str(p) for p in positions})
+def _marker_matrix(states: DataFrame, markers: Sequence[tuple[str, int]], value: str) -> DataFrame:
+    keyed = states.withColumn("_marker", F.concat_ws(":", "chrom", F.col("pos").cast("string")))
+    return spread(keyed, ["sample_id"], "_marker", value, marker_columns(markers))
 
 
-def marker_coverages(states: DataFrame, positions: Sequence[int] = refdata.POSITIONS) -> DataFrame:
-    """Sample x position matrix of fragment counts; a second row for one cell is an error."""
-    return spread(states, ["sample_id"], "pos", "n_covering_frags", {p: str(p) for p in positions})
+def marker_columns(markers: Sequence[tuple[str, int]]) -> dict[str, str]:
+    """Matrix column of every (contig, position): the position, with its contig where the panel has several."""
+    ordered = sorted(set(markers), key=lambda m: (m[0], m[1]))
+    alone = len({chrom for chrom, _ in ordered}) == 1
+    return {f"{chrom}:{pos}": str(pos) if alone else f"{chrom}:{pos}" for chrom, pos in ordered}
+
+
+def marker_profiles(states: DataFrame, markers: Sequence[tuple[str, int]]) -> DataFrame:
+    """Sample x marker matrix of alleles; a second row for one cell or a marker not listed is an error."""
+    return _marker_matrix(states, markers, "alt")
+
+
+def marker_coverages(states: DataFrame, markers: Sequence[tuple[str, int]]) -> DataFrame:
+    """Sample x marker matrix of fragment counts; a second row for one cell or a marker not listed is an error."""
+    return _marker_matrix(states, markers, "n_covering_frags")
 
 
 def with_colours(scores: DataFrame, colours: DataFrame) -> DataFrame:
@@ -38,18 +50,14 @@ def with_labels(scores: DataFrame, systems: DataFrame) -> DataFrame:
     return scores.join(broadcast_if_small(systems.select("id", "naming_system")), "id", "left")
 
 
-def clade_calls_wide(calls: DataFrame, systems: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
-    """Sample x naming system matrix of calls, systems in the order of their ids."""
-    labels = list(refdata.SYSTEM_LABELS_BY_ID.values()) if labels is None else labels
+def clade_calls_wide(calls: DataFrame, systems: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Sample x naming system matrix of calls; a system without a listed label is an error."""
     labelled = with_labels(calls, systems)
     return spread(labelled, ["sample_id"], "naming_system", "call", {label: label for label in labels})
 
 
-def score_matrix(scores: DataFrame, columns: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """Sample x clade matrix of distances, columns qualified by the naming system."""
-    if columns is None:
-        columns = [(s, clade) for s in sorted(refdata.CLADE_SUBSTITUTIONS) for clade in
-                   sorted(refdata.CLADE_SUBSTITUTIONS[s])]
+def score_matrix(scores: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """Sample x clade matrix of distances, columns named system:clade; a clade not listed is an error."""
     keyed = scores.withColumn("_column", F.concat_ws(":", "id", "clade"))
     names = [f"{s}:{clade}" for s, clade in columns]
     return spread(keyed, ["sample_id"], "_column", "manhattan", {n: n for n in names})

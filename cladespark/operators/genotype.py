@@ -36,8 +36,13 @@ def marker_states(
     )
 
 
-def complete_samples(coverage: DataFrame, mutations: DataFrame) -> DataFrame:
-    """Samples present on both sides."""
-    return coverage.select("sample_id").distinct().join(
-        mutations.select("sample_id").distinct(), "sample_id", "left_semi"
-    )
+def complete_samples(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Samples for which every step has an output.
+
+    Each table lists the finished samples of a step, one row or more per sample. The contents of the outputs do not matter:
+    a sample without a single mutation is complete once its mutation step has finished.
+    """
+    complete = first.select("sample_id").distinct()
+    for other in others:
+        complete = complete.join(other.select("sample_id"), "sample_id", "left_semi")
+    return complete

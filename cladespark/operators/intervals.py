@@ -3,10 +3,10 @@
 Intervals are 0-based and half-open. Reads are (sample_id, chrom, start, end, ...).
 
 The overlap join cuts both sides into fixed-width bins and joins on (chrom, bin), so it
-is an equi-join at any panel size: the optimizer broadcasts a small panel by its measured
-size and shuffles a large one, where adaptive execution splits hot bins. All later groups
-are bounded by a bin or a tile, never by the number of reads of a sample, because equal
-positions are folded by a partial aggregate before any row is moved.
+is an equi-join at any panel size. The binned targets are counted first: up to a limit they are broadcast, and no
+read is moved before it is folded by a partial aggregate. Beyond it equal reads are folded, and both sides are
+shuffled by (chrom, bin) and a salt, so a crowded bin is many tasks. All later groups
+are bounded by a bin or a tile, never by the number of reads of a sample.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladespark.functions.tables import fits, with_panel
+from cladespark.functions.tables import BROADCAST_ROWS, broadcast_if_small, fits, with_panel
 
 BIN_WIDTH = 4096
 TILE_WIDTH = 65536
+SALTS = 16
+TARGET = ("chrom", "start", "end")
 
 
 def markers_to_targets(markers: DataFrame) -> DataFrame:
@@ -39,20 +41,36 @@ def _with_bins(intervals: DataFrame, width: int) -> DataFrame:
     return intervals.where(F.col("start") < F.col("end")).withColumn("bin", F.explode(bins))
 
 
-def overlaps(reads: DataFrame, targets: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
+def binned_rows(intervals: DataFrame, width: int) -> int:
+    """How many rows the intervals take once they are cut into bins."""
+    bins = _div(F.col("end") - 1, width) - _div(F.col("start"), width) + 1
+    return intervals.where(F.col("start") < F.col("end")).agg(F.coalesce(F.sum(bins), F.lit(0))).first()[0]
+
+
+def overlaps(reads: DataFrame, targets: DataFrame, bin_width: int = BIN_WIDTH, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Overlapping (read, target) pairs, one row per bin they share.
 
     Read columns are kept; target columns come back as t_start, t_end and any others under
     their own names. [lo, hi) is the overlap inside the bin. ``is_first`` marks the first
-    row of a pair, so that pairs can be counted without a distinct.
+    row of a pair, so that pairs can be counted without a distinct. Reads and targets without a base overlap nothing.
     """
+    return _overlaps(reads, targets, bin_width, binned_rows(targets, bin_width) <= max_rows)
+
+
+def _overlaps(reads: DataFrame, targets: DataFrame, bin_width: int, small: bool) -> DataFrame:
     left = _with_bins(reads, bin_width)
     right = _with_bins(targets, bin_width).withColumnsRenamed({"start": "t_start", "end": "t_end"})
     start, end = F.greatest("start", "t_start"), F.least("end", "t_end")
     bin_start = F.col("bin") * bin_width
+    if small:
+        joined = left.join(F.broadcast(right), ["chrom", "bin"])
+    else:
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*reads.columns), F.lit(SALTS)))
+        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+        right = right.withColumn("_salt", F.explode(salts)).hint("merge")
+        joined = left.join(right, ["chrom", "bin", "_salt"]).drop("_salt")
     return (
-        left.join(right, ["chrom", "bin"])
-        .where((F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")))
+        joined.where((F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")))
         .withColumn("lo", F.greatest(start, bin_start))
         .withColumn("hi", F.least(end, bin_start + bin_width))
         .where(F.col("lo") < F.col("hi"))
@@ -60,14 +78,12 @@ def overlaps(reads: DataFrame, targets: DataFrame, bin_width: int = BIN_WIDTH) -
     )
 
 
-def fragment_counts(reads: DataFrame, targets: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
-    """Reads per (sample, target), for targets with at least one read; one shuffle."""
-    return (
-        overlaps(reads, targets.select("chrom", "start", "end").distinct(), bin_width)
-        .where("is_first")
-        .groupBy("sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"))
-        .agg(F.count("*").alias("n_covering_frags"))
-    )
+def _counted_overlaps(reads: DataFrame, targets: DataFrame, bin_width: int, max_rows: int) -> DataFrame:
+    """Overlaps of reads with their number in ``n``; equal reads are folded first where reads have to be moved."""
+    reads = reads.select("sample_id", *TARGET)
+    small = binned_rows(targets, bin_width) <= max_rows
+    counted = reads.withColumn("n", F.lit(1).cast("long")) if small else reads.groupBy("sample_id", *TARGET).agg(F.count("*").alias("n"))
+    return _overlaps(counted, targets, bin_width, small)
 
 
 def sample_ids(reads: DataFrame) -> DataFrame:
@@ -75,18 +91,18 @@ def sample_ids(reads: DataFrame) -> DataFrame:
 
 
 def target_fragments(
-    reads: DataFrame, targets: DataFrame, samples: DataFrame | None = None, bin_width: int = BIN_WIDTH
+    reads: DataFrame, targets: DataFrame, samples: DataFrame, bin_width: int = BIN_WIDTH, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Reads per (sample, target), with a zero row where a sample has none."""
-    targets = targets.select("chrom", "start", "end").distinct()
-    hits = overlaps(reads, targets, bin_width).where("is_first").select(
-        "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end")
+    targets = targets.select(*TARGET).distinct()
+    hits = _counted_overlaps(reads, targets, bin_width, max_rows).where("is_first").select(
+        "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"), "n"
     )
-    return _count_with_zeros(hits, targets, sample_ids(reads) if samples is None else samples)
+    return _count_with_zeros(hits, targets, samples)
 
 
 def marker_fragments(
-    reads: DataFrame, markers: DataFrame, samples: DataFrame | None = None, bin_width: int = BIN_WIDTH
+    reads: DataFrame, markers: DataFrame, samples: DataFrame, bin_width: int = BIN_WIDTH, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Reads per (sample, marker position), with a zero row where a sample has none.
 
@@ -94,56 +110,57 @@ def marker_fragments(
     that joining mutations to it moves nothing again.
     """
     markers = markers.select("chrom", "pos").distinct()
-    hits = overlaps(reads, markers_to_targets(markers), bin_width).select(
-        "sample_id", "chrom", F.col("t_end").alias("pos")
+    hits = _counted_overlaps(reads, markers_to_targets(markers), bin_width, max_rows).select(
+        "sample_id", "chrom", F.col("t_end").alias("pos"), "n"
     )
-    return _count_with_zeros(hits, markers, sample_ids(reads) if samples is None else samples)
+    return _count_with_zeros(hits, markers, samples)
 
 
 def _count_with_zeros(hits: DataFrame, panel: DataFrame, samples: DataFrame) -> DataFrame:
     zeros = with_panel(samples.select("sample_id"), panel).withColumn("n", F.lit(0).cast("long"))
-    return (
-        hits.withColumn("n", F.lit(1).cast("long"))
-        .unionByName(zeros)
-        .groupBy(*hits.columns)
-        .agg(F.sum("n").alias("n_covering_frags"))
-    )
+    key = [c for c in hits.columns if c != "n"]
+    return hits.unionByName(zeros).groupBy(*key).agg(F.sum("n").alias("n_covering_frags"))
 
 
 def target_coverage(
-    reads: DataFrame, targets: DataFrame, samples: DataFrame | None = None, bin_width: int = BIN_WIDTH
+    reads: DataFrame, targets: DataFrame, samples: DataFrame, bin_width: int = BIN_WIDTH, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Reads, covered bases, size and covered fraction of every (sample, target).
 
     Covered bases are the length of the union of the reads. Overlaps are first folded to
     the longest one per start, so the running maximum that finds the gaps walks at most
     ``bin_width`` rows per group however deep the sample is.
+
+    Targets without a base have no reads, size 0 and a NULL fraction. Equal intervals are measured once; targets with
+    further columns, such as a name, keep one row for each of their rows.
     """
-    targets = targets.select("chrom", "start", "end").distinct()
-    samples = sample_ids(reads) if samples is None else samples
+    lines, targets = targets, targets.select(*TARGET).distinct()
     piece = ["sample_id", "chrom", "t_start", "t_end", "bin"]
     folded = (
-        overlaps(reads, targets, bin_width)
+        _counted_overlaps(reads, targets, bin_width, max_rows)
         .groupBy(*piece, "lo")
-        .agg(F.max("hi").alias("hi"), F.count_if("is_first").alias("n"))
+        .agg(F.max("hi").alias("hi"), F.sum(F.when(F.col("is_first"), F.col("n")).otherwise(0)).alias("n"))
     )
     before = Window.partitionBy(*piece).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     covered_to = F.coalesce(F.max("hi").over(before), F.col("lo"))
     measured = folded.withColumn("covered", F.greatest(F.col("hi") - F.greatest("lo", covered_to), F.lit(0)))
     zeros = with_panel(samples.select("sample_id"), targets).select(
-        "sample_id", "chrom", "start", "end", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("covered")
+        "sample_id", *TARGET, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("covered")
     )
-    size = F.col("end") - F.col("start")
-    return (
+    size = F.greatest(F.col("end") - F.col("start"), F.lit(0))
+    measured = (
         measured.select(
             "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"), "n", "covered"
         )
         .unionByName(zeros)
-        .groupBy("sample_id", "chrom", "start", "end")
+        .groupBy("sample_id", *TARGET)
         .agg(F.sum("n").alias("n_covering_frags"), F.sum("covered").alias("n_covered_bases"))
         .withColumn("size", size)
-        .withColumn("frac_covered", F.col("n_covered_bases") / size)
+        .withColumn("frac_covered", F.try_divide(F.col("n_covered_bases").cast("double"), F.col("size")))
     )
+    if set(lines.columns) == set(TARGET):
+        return measured
+    return measured.join(broadcast_if_small(lines), list(TARGET))
 
 
 def coverage_by_position(coverage: DataFrame) -> DataFrame:
@@ -161,7 +178,7 @@ def _depth_events(reads: DataFrame, contigs: DataFrame, tile: int, one_tile: boo
     first, last = _div(F.col("start"), tile), _div(F.col("end") - 1, tile)
     inside = (
         reads.select("sample_id", "chrom", "start", "end")
-        .join(contigs, "chrom")
+        .join(broadcast_if_small(contigs), "chrom")
         .withColumn("end", F.least("end", "length"))
         .where(F.col("start") < F.col("end"))
         .withColumn("k", F.lit(0).cast("long") if one_tile else F.explode(F.sequence(first, last)))
@@ -179,7 +196,7 @@ def _depth_events(reads: DataFrame, contigs: DataFrame, tile: int, one_tile: boo
 
 
 def depth_runs(
-    reads: DataFrame, contigs: DataFrame, samples: DataFrame | None = None, tile: int = TILE_WIDTH
+    reads: DataFrame, contigs: DataFrame, samples: DataFrame, tile: int = TILE_WIDTH
 ) -> DataFrame:
     """Maximal runs of equal depth, zero depth included, covering [0, length) of every contig.
 
@@ -191,7 +208,6 @@ def depth_runs(
     falls away when no contig is longer than a tile.
     """
     one_tile = fits(contigs.where(F.col("length") > tile), 0)
-    samples = sample_ids(reads) if samples is None else samples
     zero = F.lit(0).cast("long")
     origins = with_panel(samples.select("sample_id"), contigs.select("chrom")).select(
         "sample_id", "chrom", zero.alias("p"), zero.alias("step"), zero.alias("change")
@@ -221,7 +237,7 @@ def depth_runs(
         border = swept.where("next_p IS NULL OR is_head").withColumn("after", F.lead("p").over(across))
         runs = inner.unionByName(border.where("next_p IS NULL").withColumn("next_p", F.col("after")).select(*run))
     return (
-        runs.join(contigs, "chrom")
+        runs.join(broadcast_if_small(contigs), "chrom")
         .withColumn("end", F.coalesce("end", "length"))
         .where(F.col("start") < F.col("end"))
         .select("sample_id", "chrom", "start", "end", "depth")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark import refdata
 from cladespark.functions.expressions import allele_at
 from cladespark.functions.tables import spread, with_panel
 
@@ -25,8 +24,8 @@ def isolate_alleles(sequences: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def isolates_wide(alleles: DataFrame, positions: Sequence[int] = refdata.POSITIONS) -> DataFrame:
-    """One row per isolate, one ``pos_<p>`` column per marker."""
+def isolates_wide(alleles: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """One row per isolate, one ``pos_<p>`` column per position of a one-contig panel; other positions are an error."""
     return spread(alleles, ["seqname"], "pos", "allele", {p: f"pos_{p}" for p in positions})
 
 
@@ -69,8 +68,8 @@ def allele_summary(counts: DataFrame, by: str = "clade") -> DataFrame:
     )
 
 
-def panel_matrix(summaries: DataFrame, by: str = "clade", positions: Sequence[int] = refdata.POSITIONS) -> DataFrame:
-    """Clade x position matrix of the summaries, positions in numeric order."""
+def panel_matrix(summaries: DataFrame, positions: Sequence[int], by: str = "clade") -> DataFrame:
+    """Clade x position matrix of the summaries, positions in numeric order; other positions are an error."""
     return spread(summaries, [by], "pos", "alleles", {p: str(p) for p in sorted(positions)})
 
 

@@ -20,6 +20,8 @@ MIX = "l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 1299709"
 
 SAMPLE = "concat('S', lpad(cast(l_suppkey as string), 5, '0'))"
 
+SAMPLES = f"SELECT {SAMPLE.replace('l_suppkey', 's_suppkey')} AS sample_id FROM supplier"
+
 # Aligned reads: one per line item. One line number in seven lands on a host contig. The
 # genome range narrows with the sample, so its tail markers run out of coverage.
 READS = f"""
@@ -72,6 +74,37 @@ SELECT '{HOST_CONTIG}' AS chrom, (p_partkey * 229133) % {HOST_LENGTH - 9001} AS
 FROM part
 """
 
+# Named targets on both contigs: some without a base, some intervals under two names.
+NAMED_TARGETS = f"""
+SELECT CASE WHEN s_suppkey % 3 = 0 THEN '{HOST_CONTIG}' ELSE '{refdata.CONTIG}' END AS chrom,
+       s_suppkey % 40 * cast(700 as bigint) AS start,
+       s_suppkey % 40 * cast(700 as bigint) + s_suppkey % 5 * cast(150 as bigint) AS "end",
+       concat('target ', cast(s_suppkey as string)) AS name
+FROM supplier
+"""
+
+# Another panel: a marker per nation, two in three on the virus.
+NATION_MARKERS = f"""
+SELECT CASE WHEN n_nationkey % 3 = 0 THEN '{HOST_CONTIG}' ELSE '{refdata.CONTIG}' END AS chrom,
+       cast(500 + n_nationkey * 1000 as bigint) AS pos, substr('ACGT', cast(1 + n_nationkey % 4 as int), 1) AS ref
+FROM nation
+"""
+NATION_SITES = tuple((HOST_CONTIG if n % 3 == 0 else refdata.CONTIG, 500 + n * 1000) for n in range(25))
+
+# Listings of what two steps have put out, one row per finished sample.
+STEP_OUTPUTS = f"""
+SELECT DISTINCT {SAMPLE} AS sample_id, 'coverage' AS step FROM lineitem WHERE l_quantity >= 2
+UNION ALL
+SELECT DISTINCT {SAMPLE} AS sample_id, 'mutations' AS step FROM lineitem
+WHERE l_quantity >= 49 AND l_linenumber = 1 AND l_returnflag = 'N'
+"""
+
+PATTERNS = """
+SELECT concat('^P', cast(n_nationkey as string), '[0-9]$') AS pattern FROM nation
+UNION ALL
+SELECT concat(cast(r_regionkey as string), '7$') AS pattern FROM region
+"""
+
 # Allele of isolate c_custkey at marker (pos, ref); NULL and N stand for unreadable bases.
 ALLELE = """CASE WHEN c_mktsegment = 'MACHINERY' AND pos = 28883 AND c_custkey % 3 = 0 THEN NULL
   WHEN (c_custkey * 11 + pos) % 89 = 0 THEN 'N'
@@ -142,6 +175,62 @@ SELECT {RUN_ID} AS run_id, ts, event_id,
 FROM events
 """
 
+RUN_FILES = f"""
+SELECT DISTINCT run_id, file_id FROM (
+  SELECT concat('R', cast(l_suppkey as string), '-', cast(l_linenumber % 3 as string)) AS run_id, {FILE_ID} AS file_id
+  FROM lineitem) f
+"""
+
+SOME_ACCOUNT = "A42"
+
+# Lines as they stand in the files at the edges, next to the path of their file; ~ stands for a tab.
+VARIANT_LINES = f"""
+SELECT concat('/data/run+1/', sample_id, CASE WHEN pos % 2 = 0 THEN '+b' ELSE '' END, '.vcf') AS path,
+       CASE WHEN pos % 17 = 0 THEN concat('#comment ', cast(pos as string))
+            ELSE replace(concat(chrom, '~', cast(pos as string), '~.~', ref, '~', alt, '~',
+              CASE WHEN qual IS NULL THEN '.' ELSE cast(cast(qual as bigint) as string) END, '~PASS~DP=1~GT~1'), '~', chr(9))
+       END AS value
+FROM ({VARIANTS}) v
+"""
+
+COVERAGE_LINES = f"""
+SELECT concat('/data/', sample_id, '_coverage.bed') AS path,
+       replace(concat(chrom, '~', cast(start as string), '~', cast(start + 1 as string), '~', cast(mapq as string),
+         '~1~1~0.5'), '~', chr(9)) AS value
+FROM ({READS}) r
+"""
+
+MUTATION_LINES = f"""
+SELECT concat('/data/', sample_id, '_mutations.csv') AS path,
+       CASE WHEN pos % 13 = 0 THEN 'pos,ref,alt,qual,pos_c,ref_c,alt_c'
+            ELSE concat(cast(pos as string), ',', ref, ',', chr(34), alt, chr(34), ',,', cast(pos as string), ',', ref, ',',
+                        chr(34), alt, chr(34)) END AS value
+FROM ({VARIANTS}) v
+"""
+
+MARKER_LINES = f"""
+SELECT '/data/markers.csv' AS path, 'chr,pos,ref' AS value FROM region
+UNION ALL
+SELECT '/data/markers.csv' AS path, concat(chrom, ',', cast(pos as string), ',', ref) AS value FROM ({PART_MARKERS}) m
+"""
+
+STATE_LINES = f"""
+SELECT concat('/data/', sample_id, '_markers.csv') AS path,
+       concat(cast(pos as string), ',', cast(8 + pos % 9 as string), ',', ref, ',',
+              CASE WHEN qual IS NULL THEN '?,yes,' ELSE concat(ref, ',,') END, ref) AS value
+FROM ({VARIANTS}) v
+"""
+
+SHEET_LINES = """
+SELECT '/data/sheet.txt' AS path,
+       replace('Position~A~T~C~G~N~X~Y~AA changes~markers for', '~', chr(9)) AS value FROM region
+UNION ALL
+SELECT '/data/sheet.txt' AS path,
+       replace(concat(cast(p_partkey as string), '~1~2~3~4~5~', substr('ACGT', cast(1 + p_partkey % 4 as int), 1), '~',
+               substr('TTGA', cast(1 + p_partkey % 4 as int), 1), '~leader, one~X'), '~', chr(9)) AS value
+FROM part
+"""
+
 ACCOUNT_RUNS = f"SELECT DISTINCT concat('A', cast(user_id as string)) AS account_id, {RUN_ID} AS run_id FROM events"
 
 AS_OF = "2024-01-15 12:00:00"
@@ -150,7 +239,7 @@ BLACKLIST = ("77", "^P1.*5$")
 
 def from_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a derivation over the Parquet tables of a folder."""
-    names = ("lineitem", "orders", "customer", "part", "nation", "region", "events")
+    names = ("lineitem", "orders", "customer", "part", "supplier", "nation", "region", "events")
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if f"FROM {n}" in sql}
     text = sql.replace('"', "`")
     for name in tables:
@@ -162,6 +251,19 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_tables(spark, sf_dir, READS)
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort list: a sample per supplier."""
+    return from_tables(spark, sf_dir, SAMPLES)
+
+
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile per customer: its alleles at the markers, an unreadable one as N."""
+    return isolate_alleles(spark, sf_dir).select(
+        "chrom", F.lit("customers").alias("id"), F.col("seqname").alias("clade"), "pos",
+        F.coalesce("allele", F.lit("N")).alias("alt"),
+    )
+
+
 def contigs(spark: SparkSession) -> DataFrame:
     rows = [(refdata.CONTIG, refdata.GENOME_LENGTH), (HOST_CONTIG, HOST_LENGTH)]
     return values(spark, "chrom string, length long", rows)

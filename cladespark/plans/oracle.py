@@ -38,7 +38,7 @@ CTES = {
     "contigs": f"""SELECT chrom, length::BIGINT AS length FROM (VALUES ('{refdata.CONTIG}', {refdata.GENOME_LENGTH}),
         ('{bridge.HOST_CONTIG}', {bridge.HOST_LENGTH})) t(chrom, length)""",
     "reads": bridge.READS,
-    "samples": "SELECT DISTINCT sample_id FROM reads",
+    "samples": bridge.SAMPLES,
     "bases": f"""SELECT sample_id, chrom, pos, mapq, {bridge.BASE} AS base, {bridge.BASE_QUALITY} AS bq
         FROM reads JOIN profiles ON l_suppkey % {N} = pidx
         WHERE chrom = '{refdata.CONTIG}' AND start < pos AND "end" >= pos""",
@@ -72,7 +72,20 @@ CTES = {
         THEN string_agg(allele || '=' || n, ' ' ORDER BY n DESC, allele) END AS alleles
         FROM panel_counts GROUP BY ALL""",
     "log": bridge.RUN_LOG,
-    "last": LAST.format(log="log"),
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS k FROM log",
+    # A plain fold over each run's events, one event per step.
+    "folded": """SELECT run_id, event_id, ts, status, message, k, CAST(NULL AS VARCHAR) AS previous,
+        status NOT IN ('running', 'retracted') AS applied,
+        CASE WHEN status NOT IN ('running', 'retracted') THEN status END AS state
+    FROM numbered WHERE k = 1
+    UNION ALL
+    SELECT n.run_id, n.event_id, n.ts, n.status, n.message, n.k, f.status AS previous,
+        n.status NOT IN ('running', 'retracted') OR coalesce(f.state = 'initiated', false) AS applied,
+        CASE WHEN n.status NOT IN ('running', 'retracted') OR coalesce(f.state = 'initiated', false)
+             THEN n.status ELSE f.state END AS state
+    FROM numbered n JOIN folded f ON n.run_id = f.run_id AND n.k = f.k + 1""",
+    "committed": "SELECT run_id, ts, event_id, status, message FROM folded WHERE applied",
+    "last": LAST.format(log="committed"),
     "files": bridge.FILES,
     "listing": bridge.LISTING,
     "projects": bridge.PROJECTS,
@@ -85,7 +98,6 @@ CTES = {
 
 # Naming each step lets a query pull in just what it reads.
 NEEDS = {
-    "samples": ["reads"],
     "bases": ["reads", "profiles"],
     "pileup": ["bases"],
     "ranked": ["pileup"],
@@ -98,7 +110,10 @@ NEEDS = {
     "panel": ["isolate_long", "isolate_clades"],
     "panel_counts": ["panel"],
     "panel_text": ["panel_counts"],
-    "last": ["log"],
+    "numbered": ["log"],
+    "folded": ["numbered"],
+    "committed": ["folded"],
+    "last": ["committed"],
 }
 
 
@@ -132,7 +147,7 @@ NEEDS["call_text"] = ["best"]
 NEEDS["score_labels"] = ["scores", "systems"]
 
 
-def _with(steps: list[str], body: str, recursive: bool = False) -> str:
+def _with(steps: list[str], body: str) -> str:
     ordered: list[str] = []
 
     def add(step: str) -> None:
@@ -143,9 +158,9 @@ def _with(steps: list[str], body: str, recursive: bool = False) -> str:
 
     for step in steps:
         add(step)
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(
+    return f"WITH {'RECURSIVE ' if 'folded' in ordered else ''}" + ",\n".join(
         f"{s} AS ({CTES[s]})" for s in ordered
-    ) + ("," if recursive else "") + f"\n{body}"
+    ) + f"\n{body}"
 
 
 def _wide(key: str, table: str, column: str, value: str, labels: dict) -> str:
@@ -183,6 +198,22 @@ FROM samples s CROSS JOIN regions t LEFT JOIN summed x
     ON x.sample_id = s.sample_id AND x.chrom = t.chrom AND x.start = t.start AND x."end" = t."end"
 """
 
+# Every named line on its own; a target without a base has no reads.
+NAMED_TARGET_COVERAGE = f"""
+, lines AS ({bridge.NAMED_TARGETS}),
+regions AS (SELECT DISTINCT chrom, start, "end" FROM lines),
+clipped AS (SELECT r.sample_id, t.chrom, t.start, t."end", greatest(t.start, r.start) AS lo,
+    least(t."end", r."end") AS hi FROM {_pairs("regions")} AND t.start < t."end"),
+gaps AS (SELECT *, greatest(hi - greatest(lo, coalesce(max(hi) OVER (PARTITION BY sample_id, chrom, start, "end"
+    ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)), 0) AS added FROM clipped),
+summed AS (SELECT sample_id, chrom, start, "end", count(*) AS n, sum(added) AS covered FROM gaps GROUP BY ALL)
+SELECT s.sample_id, t.chrom, t.start, t."end", t.name, coalesce(n, 0)::BIGINT AS n_covering_frags,
+    coalesce(covered, 0)::BIGINT AS n_covered_bases, t."end" - t.start AS size,
+    coalesce(covered, 0)::DOUBLE / nullif(t."end" - t.start, 0) AS frac_covered
+FROM samples s CROSS JOIN lines t LEFT JOIN summed x
+    ON x.sample_id = s.sample_id AND x.chrom = t.chrom AND x.start = t.start AND x."end" = t."end"
+"""
+
 DEPTH_RUNS = """
 , steps AS (
     SELECT sample_id, chrom, start AS p, 1 AS d FROM reads UNION ALL
@@ -217,27 +248,9 @@ SELECT sample_id, chrom, pos, n_covering_frags, m.ref,
 FROM coverage LEFT JOIN mutations c USING (sample_id, chrom, pos) LEFT JOIN markers m USING (chrom, pos)
 """
 
-# A plain fold over each run's events, one event per step.
-TRANSITIONS = """
-numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS k FROM log),
-folded AS (
-    SELECT run_id, event_id, ts, status, k, CAST(NULL AS VARCHAR) AS previous,
-        status NOT IN ('running', 'retracted') AS applied,
-        CASE WHEN status NOT IN ('running', 'retracted') THEN status END AS state
-    FROM numbered WHERE k = 1
-    UNION ALL
-    SELECT n.run_id, n.event_id, n.ts, n.status, n.k, f.status AS previous,
-        n.status NOT IN ('running', 'retracted') OR coalesce(f.state = 'initiated', false) AS applied,
-        CASE WHEN n.status NOT IN ('running', 'retracted') OR coalesce(f.state = 'initiated', false)
-             THEN n.status ELSE f.state END AS state
-    FROM numbered n JOIN folded f ON n.run_id = f.run_id AND n.k = f.k + 1)
-SELECT run_id, event_id, ts, status, previous, applied FROM folded
-"""
-STOPS = TRANSITIONS.replace(
-    "SELECT run_id, event_id, ts, status, previous, applied FROM folded",
-    """SELECT f.run_id, f.event_id, f.ts, f.status FROM folded f JOIN folded b ON b.run_id = f.run_id AND b.k = f.k - 1
-       WHERE b.state = 'stopped' AND f.status IN ('succeeded', 'failed')""",
-)
+TRANSITIONS = "SELECT run_id, event_id, ts, status, previous, applied FROM folded"
+STOPS = """SELECT f.run_id, f.event_id, f.ts, f.status FROM folded f JOIN folded b ON b.run_id = f.run_id AND b.k = f.k - 1
+    WHERE b.state = 'stopped' AND f.status IN ('succeeded', 'failed')"""
 
 PAIR = r"([^/]*)_R([12])\.fastq\.gz$"
 READ_PAIRS = f"""
@@ -247,7 +260,7 @@ FROM (SELECT path, regexp_extract(path, '{PAIR}', 1) AS sample_id, regexp_extrac
 GROUP BY sample_id HAVING count(*) = 2 AND count(DISTINCT mate) = 2
 """
 
-LAST_STATUS = "SELECT run_id, status FROM last"
+LAST_STATUS = "SELECT run_id, status, message FROM last"
 ACTIONS = """SELECT run_id, status, CASE WHEN status = 'initiated' THEN 'retract' WHEN status = 'running' THEN 'stop'
     WHEN status IN ('retracted', 'initiation-failed', 'succeeded', 'failed', 'stopped') THEN 'remove' END AS action
     FROM last"""
@@ -257,13 +270,18 @@ SQL = {
     "marker_targets": f'SELECT chrom, pos - 1 AS start, pos AS "end" FROM ({bridge.PART_MARKERS}) m',
     "reads_sorted": _with(["reads"], """SELECT sample_id, chrom, start, "end", mapq, sample_id AS read_group
         FROM reads"""),
-    "target_coverage": _with(["samples"], TARGET_COVERAGE),
-    "wide_panel_fragments": _with(["reads"], f""", targets AS (SELECT DISTINCT * FROM ({bridge.PART_TARGETS}) p)
-        SELECT r.sample_id, t.chrom, t.start, t."end", count(*)::BIGINT AS n_covering_frags
-        FROM {_pairs("targets")} GROUP BY r.sample_id, t.chrom, t.start, t."end" """),
+    "target_coverage": _with(["samples", "reads"], TARGET_COVERAGE),
+    "named_target_coverage": _with(["samples", "reads"], NAMED_TARGET_COVERAGE),
+    "coverage_by_position": _with(["coverage"], "SELECT * FROM coverage"),
+    "wide_panel_fragments": _with(["reads", "samples"], f""", targets AS (SELECT DISTINCT * FROM ({bridge.PART_TARGETS}) p),
+        hits AS (SELECT r.sample_id, t.chrom, t.start, t."end", count(*)::BIGINT AS n
+          FROM {_pairs("targets")} GROUP BY r.sample_id, t.chrom, t.start, t."end")
+        SELECT s.sample_id, t.chrom, t.start, t."end", coalesce(n, 0) AS n_covering_frags
+        FROM samples s CROSS JOIN targets t LEFT JOIN hits h
+          ON h.sample_id = s.sample_id AND h.chrom = t.chrom AND h.start = t.start AND h."end" = t."end" """),
     "marker_coverage": _with(["coverage"], "SELECT * FROM coverage"),
-    "depth_runs": _with(["samples", "contigs"], DEPTH_RUNS),
-    "uncovered_intervals": _with(["samples", "contigs"], DEPTH_RUNS.rstrip()
+    "depth_runs": _with(["samples", "reads", "contigs"], DEPTH_RUNS),
+    "uncovered_intervals": _with(["samples", "reads", "contigs"], DEPTH_RUNS.rstrip()
                                  + " WHERE depth < 1 AND chrom LIKE 'MN908947%'"),
     "variants_filtered": _with(["filtered"], "SELECT * FROM filtered"),
     "variants_decomposed": _with(["filtered"], _decomposed("filtered")),
@@ -278,11 +296,18 @@ SQL = {
           WINDOW s AS (PARTITION BY sample_id, chrom, pos)) t
         JOIN markers USING (chrom, pos) WHERE k = 1 AND base <> ref"""),
     "marker_states": _with(["states"], "SELECT * FROM states"),
-    "complete_samples": _with(["samples", "calls"], """SELECT sample_id FROM samples
-        WHERE sample_id IN (SELECT sample_id FROM calls)"""),
+    "complete_samples": f"""WITH outputs AS ({bridge.STEP_OUTPUTS}) SELECT sample_id FROM outputs WHERE step = 'coverage'
+        AND sample_id IN (SELECT sample_id FROM outputs WHERE step = 'mutations')""",
     "profiles_long": _with(["isolate_long"], """SELECT 'isolates' AS id, seqname AS clade, pos, allele AS alt
         FROM isolate_long"""),
     "clade_scores": _with(["scores"], "SELECT * FROM scores"),
+    "customer_scores": _with(["states", "isolate_long"], """SELECT s.sample_id, 'customers' AS id, p.seqname AS clade,
+        CASE WHEN count(x.alt) = count(*) THEN sum(CASE WHEN x.alt = '?' THEN 0.5e0 WHEN x.alt <> p.alt THEN 1e0
+          ELSE 0e0 END) END AS manhattan
+        FROM (SELECT DISTINCT sample_id FROM states) s CROSS JOIN (SELECT seqname, pos, coalesce(allele, 'N') AS alt
+          FROM isolate_long) p
+        LEFT JOIN states x ON x.sample_id = s.sample_id AND x.pos = p.pos
+        GROUP BY s.sample_id, p.seqname"""),
     "isolate_scores": _with(["isolate_scores"], "SELECT * FROM isolate_scores"),
     "best_clades": _with(["isolate_best"], "SELECT * FROM isolate_best"),
     "clade_calls": _with(["call_text"], "SELECT * FROM call_text"),
@@ -301,6 +326,16 @@ SQL = {
         "sample_id", "(SELECT * FROM call_text JOIN systems USING (id)) t", "naming_system", "call", SYSTEM_LABELS)),
     "score_matrix": _with(["scores"], _wide(
         "sample_id", "scores", "concat(id, ':', clade)", "manhattan", SCORE_COLUMNS)),
+    "part_marker_profiles": _with(["reads", "samples", "filtered"], f""", panel_markers AS ({bridge.NATION_MARKERS}),
+        found AS (SELECT s.sample_id, m.chrom, m.pos, m.ref, count(r.start) AS n FROM samples s CROSS JOIN panel_markers m
+          LEFT JOIN reads r ON r.sample_id = s.sample_id AND r.chrom = m.chrom AND r.start < m.pos AND r."end" >= m.pos
+          GROUP BY ALL),
+        changed AS (SELECT DISTINCT sample_id, chrom, pos_c AS pos, alt_c AS alt FROM ({_decomposed("filtered")}) d
+          WHERE alt_c = 'A'),
+        panel_states AS (SELECT sample_id, chrom || ':' || pos AS marker,
+          CASE WHEN n < 8 THEN '?' WHEN c.alt IS NULL THEN ref ELSE c.alt END AS alt
+          FROM found LEFT JOIN changed c USING (sample_id, chrom, pos))
+        """ + _wide("sample_id", "panel_states", "marker", "alt", {f"{c}:{p}": f"{c}:{p}" for c, p in bridge.NATION_SITES})),
     "score_cells": _with(["score_labels", "colours"], f"""SELECT sample_id, id, clade,
         CASE WHEN is_best IS NOT NULL THEN score END AS score, is_best,
         color AS clade_color, CASE WHEN is_best THEN '{refdata.BEST_SCORE_COLOUR}' END AS cell_color
@@ -335,6 +370,8 @@ SQL = {
     "read_pairs": _with(["read_files"], READ_PAIRS),
     "read_pairs_allowed": _with(["read_files"], f"SELECT * FROM ({READ_PAIRS}) p WHERE " + " AND ".join(
         f"NOT regexp_matches(sample_id, '{p}')" for p in bridge.BLACKLIST)),
+    "read_pairs_not_listed": _with(["read_files"], f"""SELECT * FROM ({READ_PAIRS}) p WHERE NOT EXISTS (
+        SELECT 1 FROM ({bridge.PATTERNS}) b WHERE regexp_matches(p.sample_id, b.pattern))"""),
     "file_manifest": _with(["files"], r"""SELECT file_id, regexp_replace(name, '[^a-zA-Z0-9_.\-]', '_', 'g') AS name,
         substr(file_id, 1, 2) || '/' || substr(file_id, 3) AS path FROM files"""),
     "file_sizes": _with(["files", "listing"], """SELECT f.file_id, f.name, l.size FROM files f
@@ -344,11 +381,16 @@ SQL = {
         JOIN files f USING (file_id)"""),
     "account_tree": _with(["accounts", "projects", "account_projects", "account_runs", "last"], """
         , children AS (
-          SELECT account_id, 'project' AS kind, project_id AS child_id, name, NULL AS status
+          SELECT account_id, 'project' AS kind, project_id AS child_id, name, CAST(NULL AS VARCHAR) AS status
           FROM account_projects JOIN projects USING (project_id) UNION ALL
-          SELECT account_id, 'run' AS kind, run_id AS child_id, 'run-project (' || run_id || ')' AS name, status
-          FROM account_runs JOIN last USING (run_id))
+          SELECT account_id, 'run' AS kind, a.run_id AS child_id, 'run-project (' || l.run_id || ')' AS name, status
+          FROM account_runs a LEFT JOIN last l ON l.run_id = a.run_id)
         SELECT account_id, email, kind, child_id, name, status FROM accounts LEFT JOIN children USING (account_id)"""),
+    "run_files": _with(["last", "files"], rf""", links AS ({bridge.RUN_FILES})
+        SELECT run_id, file_id, regexp_replace(name, '[^a-zA-Z0-9_.\-]', '_', 'g') AS file_name,
+        substr(file_id, 1, 2) || '/' || substr(file_id, 3) AS path, size
+        FROM last JOIN links USING (run_id) JOIN files USING (file_id)"""),
+    "account_by_id": _with(["accounts"], f"SELECT * FROM accounts WHERE account_id = '{bridge.SOME_ACCOUNT}'"),
     "account_counts": _with(["accounts", "account_projects", "account_runs"], """SELECT account_id,
         (SELECT count(*) FROM account_projects p WHERE p.account_id = a.account_id)::BIGINT AS n_projects,
         (SELECT count(*) FROM account_runs r WHERE r.account_id = a.account_id)::BIGINT AS n_runs FROM accounts a"""),
@@ -357,13 +399,26 @@ SQL = {
     "earliest_projects": _with(["projects"], """SELECT project_id, name, created FROM (
         SELECT *, dense_rank() OVER (ORDER BY created) AS k FROM projects) t WHERE k <= 5"""),
     "run_status": _with(["last"], "SELECT run_id, status, message FROM last"),
-    "run_status_asof": _with(["log"], f""", before AS (SELECT * FROM log WHERE ts <= TIMESTAMP '{bridge.AS_OF}')
+    "run_status_asof": _with(["committed"], f""", before AS (SELECT * FROM committed WHERE ts <= TIMESTAMP '{bridge.AS_OF}')
         SELECT run_id, status, message FROM ({LAST.format(log="before")}) l"""),
     "run_actions": _with(["last"], ACTIONS),
     "pending_runs": _with(["last"], PENDING),
     "next_run": _with(["last"], PENDING + " LIMIT 1"),
-    "run_transitions": _with(["log"], TRANSITIONS, recursive=True),
-    "overwritten_stops": _with(["log"], STOPS, recursive=True),
+    "run_transitions": _with(["folded"], TRANSITIONS),
+    "overwritten_stops": _with(["folded"], STOPS),
     "stream_scores": _with(["scores"], "SELECT * FROM scores"),
     "stream_run_status": _with(["last"], LAST_STATUS),
+    "parsed_variants": f"""SELECT chrom, pos, '.' AS id, ref, alt, qual, 'PASS' AS filter, 'DP=1' AS info, 'GT' AS format,
+        '1' AS genotype, sample_id || CASE WHEN pos % 2 = 0 THEN '+b' ELSE '' END AS sample_id
+        FROM ({bridge.VARIANTS}) v WHERE pos % 17 <> 0""",
+    "parsed_target_coverage": f"""SELECT chrom, start, start + 1 AS "end", mapq AS n_covering_frags, 1 AS n_covered_bases,
+        1 AS size, 0.5e0 AS frac_covered, sample_id FROM ({bridge.READS}) r""",
+    "parsed_mutations": f"""SELECT pos, ref, alt, NULL::DOUBLE AS qual, pos AS pos_c, ref AS ref_c, alt AS alt_c, sample_id,
+        chrom FROM ({bridge.VARIANTS}) v WHERE pos % 13 <> 0""",
+    "parsed_markers": bridge.PART_MARKERS,
+    "parsed_marker_states": f"""SELECT pos, 8 + pos % 9 AS n_covering_frags, ref, CASE WHEN qual IS NULL THEN '?' ELSE ref END AS alt,
+        CASE WHEN qual IS NULL THEN 'yes' END AS is_mutated, ref AS original_ref, sample_id FROM ({bridge.VARIANTS}) v""",
+    "parsed_profile_sheet": " UNION ALL ".join(f"""SELECT 'legacy' AS id, '{clade}' AS clade, p_partkey AS pos,
+        substr('{alleles}', cast(1 + p_partkey % 4 as int), 1) AS alt FROM part""" for clade, alleles in (("X", "ACGT"), ("Y", "TTGA"))),
+    "exported_marker_states": _with(["states"], "SELECT * FROM states"),
 }

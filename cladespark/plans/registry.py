@@ -11,6 +11,8 @@ from cladespark import refdata
 from cladespark.operators import catalog, cohort, genotype, intervals, panel, pileup, scoring, variants
 from cladespark.plans import bridge
 from cladespark.session import shared_folder
+from cladespark.sources import readers
+from cladespark.sources.writers import write_table
 from cladespark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,30 +41,45 @@ def reads_sorted(spark, sf_dir):
 @query
 def target_coverage(spark, sf_dir):
     regions = bridge.from_tables(spark, sf_dir, bridge.REGIONS)
-    return intervals.target_coverage(bridge.reads(spark, sf_dir), regions)
+    return intervals.target_coverage(bridge.reads(spark, sf_dir), regions, bridge.samples(spark, sf_dir))
 
 
 @query
 def wide_panel_fragments(spark, sf_dir):
+    """A target per part on the crowded contig: beyond the broadcast limit given here, so equal reads are folded and shuffled."""
     targets = bridge.from_tables(spark, sf_dir, bridge.PART_TARGETS)
-    return intervals.fragment_counts(bridge.reads(spark, sf_dir), targets)
+    return intervals.target_fragments(bridge.reads(spark, sf_dir), targets, bridge.samples(spark, sf_dir), max_rows=0)
+
+
+@query
+def named_target_coverage(spark, sf_dir):
+    """Targets with names, some of them without a base and some repeated."""
+    targets = bridge.from_tables(spark, sf_dir, bridge.NAMED_TARGETS)
+    return intervals.target_coverage(bridge.reads(spark, sf_dir), targets, bridge.samples(spark, sf_dir))
+
+
+@query
+def coverage_by_position(spark, sf_dir):
+    targets = intervals.markers_to_targets(refdata.markers(spark))
+    coverage = intervals.target_coverage(bridge.reads(spark, sf_dir), targets, bridge.samples(spark, sf_dir))
+    return intervals.coverage_by_position(coverage)
 
 
 @query
 def marker_coverage(spark, sf_dir):
-    return intervals.marker_fragments(bridge.reads(spark, sf_dir), refdata.markers(spark))
+    return intervals.marker_fragments(bridge.reads(spark, sf_dir), refdata.markers(spark), bridge.samples(spark, sf_dir))
 
 
 @query
 def depth_runs(spark, sf_dir):
-    return intervals.depth_runs(bridge.reads(spark, sf_dir), bridge.contigs(spark))
+    return intervals.depth_runs(bridge.reads(spark, sf_dir), bridge.contigs(spark), bridge.samples(spark, sf_dir))
 
 
 @query
 def uncovered_intervals(spark, sf_dir):
     reads = bridge.reads(spark, sf_dir)
     virus_reads, virus = (intervals.on_contig(t, "MN908947") for t in (reads, bridge.contigs(spark)))
-    return intervals.uncovered(intervals.depth_runs(virus_reads, virus, samples=intervals.sample_ids(reads)))
+    return intervals.uncovered(intervals.depth_runs(virus_reads, virus, bridge.samples(spark, sf_dir)))
 
 
 # Variants and genotypes
@@ -112,7 +129,9 @@ def marker_states(spark, sf_dir):
 
 @query
 def complete_samples(spark, sf_dir):
-    return genotype.complete_samples(bridge.reads(spark, sf_dir), haploid_calls(spark, sf_dir))
+    """Samples whose coverage and mutation steps have both finished, by the listings of their outputs."""
+    outputs = bridge.from_tables(spark, sf_dir, bridge.STEP_OUTPUTS)
+    return genotype.complete_samples(*[outputs.where(F.col("step") == step) for step in ("coverage", "mutations")])
 
 
 # Scores and calls
@@ -130,6 +149,13 @@ def clade_scores(spark, sf_dir):
     return scoring.score_profiles(marker_states(spark, sf_dir), refdata.profiles(spark))
 
 
+@query
+def customer_scores(spark, sf_dir):
+    """The sequenced samples against a profile per customer, more than the limit given here allows to broadcast."""
+    profiles = bridge.customer_profiles(spark, sf_dir)
+    return scoring.score_profiles(marker_states(spark, sf_dir), profiles, max_rows=0)
+
+
 @query
 def isolate_scores(spark, sf_dir):
     return scoring.score_profiles(bridge.isolate_states(spark, sf_dir), refdata.profiles(spark))
@@ -166,24 +192,39 @@ def cohort_scores(spark, sf_dir):
 
 @query
 def marker_profiles(spark, sf_dir):
-    return cohort.report(cohort.marker_profiles(marker_states(spark, sf_dir)), "sample_id")
+    return cohort.report(cohort.marker_profiles(marker_states(spark, sf_dir), refdata.SITES), "sample_id")
 
 
 @query
 def marker_coverages(spark, sf_dir):
-    return cohort.report(cohort.marker_coverages(marker_states(spark, sf_dir)), "sample_id")
+    return cohort.report(cohort.marker_coverages(marker_states(spark, sf_dir), refdata.SITES), "sample_id")
 
 
 @query
 def clade_calls_wide(spark, sf_dir):
     return cohort.report(
-        cohort.clade_calls_wide(clade_calls(spark, sf_dir), refdata.naming_systems(spark)), "sample_id"
+        cohort.clade_calls_wide(
+            clade_calls(spark, sf_dir), refdata.naming_systems(spark), list(refdata.SYSTEM_LABELS_BY_ID.values())
+        ),
+        "sample_id",
     )
 
 
 @query
 def score_matrix(spark, sf_dir):
-    return cohort.score_matrix(clade_scores(spark, sf_dir))
+    return cohort.score_matrix(clade_scores(spark, sf_dir), refdata.SCORE_COLUMNS)
+
+
+@query
+def part_marker_profiles(spark, sf_dir):
+    """The matrix of another panel, a marker per nation on two contigs."""
+    markers = bridge.from_tables(spark, sf_dir, bridge.NATION_MARKERS)
+    reads = bridge.reads(spark, sf_dir)
+    coverage = intervals.marker_fragments(reads, markers, bridge.samples(spark, sf_dir))
+    mutations = variants.to_mutations(variants_decomposed(spark, sf_dir)).where("length(alt) = 1 AND alt < 'C'")
+    mutations = mutations.dropDuplicates(["sample_id", "chrom", "pos"])
+    states = genotype.marker_states(coverage, mutations, markers)
+    return cohort.report(cohort.marker_profiles(states, bridge.NATION_SITES), "sample_id")
 
 
 @query
@@ -216,7 +257,7 @@ def isolate_alleles(spark, sf_dir):
 
 @query
 def isolates_wide(spark, sf_dir):
-    return cohort.report(panel.isolates_wide(bridge.isolate_alleles(spark, sf_dir)), "seqname")
+    return cohort.report(panel.isolates_wide(bridge.isolate_alleles(spark, sf_dir), refdata.POSITIONS), "seqname")
 
 
 @query
@@ -242,7 +283,7 @@ def panel_by_system(spark, sf_dir):
 
 @query
 def panel_matrix(spark, sf_dir):
-    return cohort.report(panel.panel_matrix(panel_allele_summary(spark, sf_dir)), "clade")
+    return cohort.report(panel.panel_matrix(panel_allele_summary(spark, sf_dir), refdata.POSITIONS), "clade")
 
 
 @query
@@ -263,6 +304,13 @@ def read_pairs_allowed(spark, sf_dir):
     return catalog.drop_blacklisted(read_pairs(spark, sf_dir), bridge.BLACKLIST)
 
 
+@query
+def read_pairs_not_listed(spark, sf_dir):
+    """The blacklist as a table of patterns."""
+    patterns = bridge.from_tables(spark, sf_dir, bridge.PATTERNS)
+    return catalog.drop_blacklisted(read_pairs(spark, sf_dir), patterns)
+
+
 @query
 def file_manifest(spark, sf_dir):
     return catalog.file_manifest(bridge.from_tables(spark, sf_dir, bridge.FILES))
@@ -283,9 +331,27 @@ def project_files(spark, sf_dir):
     )
 
 
+@query
+def run_files(spark, sf_dir):
+    return catalog.run_files(
+        run_status(spark, sf_dir),
+        bridge.from_tables(spark, sf_dir, bridge.RUN_FILES),
+        bridge.from_tables(spark, sf_dir, bridge.FILES),
+    )
+
+
+@query
+def account_by_id(spark, sf_dir):
+    return catalog.lookup(bridge.from_tables(spark, sf_dir, bridge.ACCOUNTS), "account_id", bridge.SOME_ACCOUNT)
+
+
 def _runs(spark, sf_dir):
     named = F.concat(F.lit("run-project ("), F.col("run_id"), F.lit(")"))
-    return catalog.run_status(bridge.run_log(spark, sf_dir)).withColumn("name", named)
+    return catalog.run_status(_committed(spark, sf_dir)).withColumn("name", named)
+
+
+def _committed(spark, sf_dir):
+    return catalog.committed(bridge.run_log(spark, sf_dir))
 
 
 @query
@@ -326,12 +392,12 @@ def earliest_projects(spark, sf_dir):
 
 @query
 def run_status(spark, sf_dir):
-    return catalog.run_status(bridge.run_log(spark, sf_dir))
+    return catalog.run_status(_committed(spark, sf_dir))
 
 
 @query
 def run_status_asof(spark, sf_dir):
-    return catalog.run_status_asof(bridge.run_log(spark, sf_dir), bridge.AS_OF)
+    return catalog.run_status_asof(_committed(spark, sf_dir), bridge.AS_OF)
 
 
 @query
@@ -341,17 +407,17 @@ def run_actions(spark, sf_dir):
 
 @query
 def pending_runs(spark, sf_dir):
-    return catalog.pending_runs(bridge.run_log(spark, sf_dir))
+    return catalog.pending_runs(_committed(spark, sf_dir))
 
 
 @query
 def next_run(spark, sf_dir):
-    return catalog.pending_runs(bridge.run_log(spark, sf_dir), n=1)
+    return catalog.pending_runs(_committed(spark, sf_dir), n=1)
 
 
 @query
 def run_transitions(spark, sf_dir):
-    return catalog.run_transitions(bridge.run_log(spark, sf_dir))
+    return catalog.run_transitions(bridge.run_log(spark, sf_dir)).drop("message")
 
 
 @query
@@ -377,8 +443,51 @@ def stream_scores(spark, sf_dir):
 @query
 def stream_run_status(spark, sf_dir):
     folder = shared_folder(spark, "stream-run-status")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    log = spark.sql(bridge.RUN_LOG.replace("FROM events", "FROM {events}"), events=events)
-    jobs.stream_run_status(log, f"{folder}/out", f"{folder}/log").awaitTermination()
+    arrived = f"{folder}/log"
+    _committed(spark, sf_dir).write.parquet(arrived)
+    log = spark.readStream.schema(spark.read.parquet(arrived).schema).option("maxFilesPerTrigger", 3).parquet(arrived)
+    jobs.stream_run_status(log, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return jobs.newest(spark, f"{folder}/out", "run_id")
+
+
+# Files at the edges, as lines derived from the tables
+
+
+@query
+def parsed_variants(spark, sf_dir):
+    return readers.parse_variants(bridge.from_tables(spark, sf_dir, bridge.VARIANT_LINES))
+
+
+@query
+def parsed_target_coverage(spark, sf_dir):
+    return readers.parse_target_coverage(bridge.from_tables(spark, sf_dir, bridge.COVERAGE_LINES))
+
+
+@query
+def parsed_mutations(spark, sf_dir):
+    lines = bridge.from_tables(spark, sf_dir, bridge.MUTATION_LINES)
+    return readers.parse_mutations(lines, refdata.CONTIG)
+
+
+@query
+def parsed_markers(spark, sf_dir):
+    return readers.parse_markers(bridge.from_tables(spark, sf_dir, bridge.MARKER_LINES))
+
+
+@query
+def parsed_marker_states(spark, sf_dir):
+    return readers.parse_cohort(bridge.from_tables(spark, sf_dir, bridge.STATE_LINES))
+
+
+@query
+def parsed_profile_sheet(spark, sf_dir):
+    return readers.parse_profile_sheet(bridge.from_tables(spark, sf_dir, bridge.SHEET_LINES), ["X", "Y"], "legacy")
+
+
+@query
+def exported_marker_states(spark, sf_dir):
+    """The marker states written as CSV and read back."""
+    folder = shared_folder(spark, "export")
+    states = marker_states(spark, sf_dir)
+    write_table(states, folder, "csv")
+    return spark.read.schema(states.schema).options(header=True, nullValue="", emptyValue="").csv(folder)

@@ -127,6 +127,8 @@ LOW_COVERAGE_COLOUR = "#ffaaaa"
 BEST_SCORE_COLOUR = "#ffcccc"
 
 POSITIONS = tuple(pos for pos, _ in MARKERS)
+SITES = tuple((CONTIG, pos) for pos in POSITIONS)
+SCORE_COLUMNS = tuple((s, clade) for s in sorted(CLADE_SUBSTITUTIONS) for clade in sorted(CLADE_SUBSTITUTIONS[s]))
 SYSTEM_LABELS_BY_ID = {system_id: label for label, system_id, _ in sorted(NAMING_SYSTEMS, key=lambda s: s[1])}
 
 
@@ -155,9 +157,10 @@ def markers(spark: SparkSession) -> DataFrame:
 
 
 def profiles(spark: SparkSession) -> DataFrame:
-    """Long profiles of every naming system: id, clade, pos, alt."""
+    """Long profiles of every naming system: chrom, id, clade, pos, alt."""
     return values(
-        spark, "id string, clade string, pos long, alt string", [row[1:] for row in profile_rows()]
+        spark, "chrom string, id string, clade string, pos long, alt string",
+        [(CONTIG, *row[1:]) for row in profile_rows()],
     )
 
 

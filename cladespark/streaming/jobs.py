@@ -1,17 +1,19 @@
 """Structured Streaming jobs for samples and status rows that arrive over time.
 
 Both write one folder per micro-batch and overwrite it on a retry, so a batch that is run
-again after a failure leaves the same result. Readers take the newest batch of a key.
+again after a failure leaves the same result. Readers take the newest batch of a key; ``compact`` folds old batches
+into one folder, so that neither files nor work grow with the age of a stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cladespark.operators.catalog import run_status
 from cladespark.operators.scoring import score_profiles
 
 
@@ -22,34 +24,48 @@ def _write_batches(output: str, transform: Callable[[DataFrame], DataFrame]):
     return write
 
 
+def _start(writer, checkpoint: str, once: bool, interval: str) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
 def stream_scores(
-    states: DataFrame, profiles: DataFrame, output: str, checkpoint: str, once: bool = True
+    states: DataFrame, profiles: DataFrame, output: str, checkpoint: str, once: bool = True, interval: str = "1 minute"
 ) -> StreamingQuery:
     """Score samples as their marker states arrive; all states of a sample come in one file."""
-    writer = states.writeStream.foreachBatch(
-        _write_batches(output, lambda batch: score_profiles(batch, profiles))
-    ).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    writer = states.writeStream.foreachBatch(_write_batches(output, lambda batch: score_profiles(batch, profiles)))
+    return _start(writer, checkpoint, once, interval)
 
 
-def stream_run_status(log: DataFrame, output: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the last status of every run; only changed runs are written.
+def stream_run_status(
+    log: DataFrame, output: str, checkpoint: str, once: bool = True, interval: str = "1 minute"
+) -> StreamingQuery:
+    """Keep the last status and message of every run of a committed log; only changed runs are written.
 
     The state is one row per run and does not depend on arrival order, so late rows need no
-    watermark.
+    watermark. The aggregate is the batch operator's own.
     """
-    latest = log.groupBy("run_id").agg(
-        F.max(F.struct("ts", "event_id", "status")).alias("last")
-    ).select("run_id", "last.status")
-    writer = (
-        latest.writeStream.outputMode("update")
-        .foreachBatch(_write_batches(output, lambda batch: batch))
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    writer = run_status(log).writeStream.outputMode("update").foreachBatch(_write_batches(output, lambda batch: batch))
+    return _start(writer, checkpoint, once, interval)
 
 
 def newest(spark: SparkSession, output: str, key: str) -> DataFrame:
-    """Rows of the newest batch of every key: a sample or run that came again replaces the old one."""
-    last = F.max("batch").over(Window.partitionBy(key))
-    return spark.read.parquet(output).withColumn("_last", last).where("batch = _last").drop("batch", "_last")
+    """Rows of the newest batch of every key: a sample or run that came again replaces the old one.
+
+    The newest batch of a key is found by a partial aggregate, one row per key.
+    """
+    rows = spark.read.parquet(output)
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
+def compact(spark: SparkSession, output: str, target: str, key: str, last_batch: int) -> None:
+    """Write the newest rows up to ``last_batch`` to another place as that one batch.
+
+    A reader that unites ``target`` with the later batches sees what it saw before; the old folders can then go. Run it
+    again after a failure: it overwrites its own result.
+    """
+    rows = spark.read.parquet(output).where(F.col("batch") <= last_batch)
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    kept = rows.join(last, [key, "batch"], "left_semi").drop("batch")
+    kept.write.mode("overwrite").parquet(f"{target}/batch={last_batch}")

@@ -36,30 +36,55 @@ def fold(rows):
     return out
 
 
-@pytest.mark.parametrize("slices", [1, 3, 40])
-def test_transitions_against_a_fold(table, slices):
-    rows = log_rows(random.Random(slices), 600)
+@pytest.mark.parametrize("unit", ["SECOND", "MINUTE", "DAY"])
+def test_transitions_against_a_fold(table, unit):
+    rows = log_rows(random.Random(len(unit)), 600)
     expected = fold(rows)
     log = table(LOG, rows)
-    found = {r.event_id: (r.previous, r.applied) for r in catalog.run_transitions(log, slices).collect()}
+    found = {r.event_id: (r.previous, r.applied) for r in catalog.run_transitions(log, unit).collect()}
     assert found == {event: e[:2] for event, e in expected.items()}
-    stops = {r.event_id for r in catalog.overwritten_stops(log, slices).collect()}
+    stops = {r.event_id for r in catalog.overwritten_stops(log, unit).collect()}
     status = {r[2]: r[3] for r in rows}
     assert stops == {e for e, x in expected.items() if x[2] == "stopped" and status[e] in ("succeeded", "failed")}
 
 
 def test_hot_run_is_spread_over_the_slices(table):
-    rows = [("hot", T0 + dt.timedelta(seconds=i * i), i, "initiated", "") for i in range(2000)]
-    sizes = catalog.with_time_slices(table(LOG, rows), 20).groupBy("run_id", "slice").count().collect()
-    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 250
+    rows = [("hot", T0 + dt.timedelta(minutes=6 * i), i, "initiated", "") for i in range(2000)]
+    sizes = catalog.with_time_slices(table(LOG, rows)).groupBy("run_id", "slice").count().collect()
+    assert len(sizes) == 200 and max(r["count"] for r in sizes) == 10
 
 
 def test_transitions_with_equal_instants(table):
     rows = [("a", T0, i, s, "") for i, s in enumerate(["initiated", "running", "running", "initiated", "retracted"])]
-    found = [r.applied for r in catalog.run_transitions(table(LOG, rows), 5).orderBy("event_id").collect()]
+    found = [r.applied for r in catalog.run_transitions(table(LOG, rows)).orderBy("event_id").collect()]
     assert found == [True, True, False, True, True]
 
 
+def test_events_without_a_time_or_status_are_kept(table):
+    rows = [("a", None, 1, "initiated", "m"), ("a", T0, 2, None, None), ("a", T0, 3, "running", None), (None, T0, 4, "failed", None)]
+    found = rows_of(catalog.run_transitions(table(LOG, rows)), "run_id", "event_id", "previous", "applied")
+    assert found == sorted([("a", 1, None, True), ("a", 2, "initiated", True), ("a", 3, "initiated", True), (None, 4, None, True)], key=repr)
+
+
+def test_rejected_changes_write_nothing(table):
+    rows = [("a", T0, 1, "succeeded", "done"), ("a", T0 + dt.timedelta(hours=1), 2, "running", "late"),
+            ("b", T0, 3, "running", None), ("c", T0, 4, "running", None), ("c", T0 + dt.timedelta(days=9), 5, "initiated", None)]
+    log = catalog.committed(table(LOG, rows))
+    assert rows_of(catalog.run_status(log)) == [("a", "succeeded", "done"), ("c", "initiated", None)]
+    assert rows_of(catalog.pending_runs(log)) == [("c", T0 + dt.timedelta(days=9))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_committed_status_against_a_fold(table, seed):
+    rows = log_rows(random.Random(seed), 400)
+    applied = {event for event, (_, ok, _) in fold(rows).items() if ok}
+    last = {}
+    for run, ts, event, status, message in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if event in applied:
+            last[run] = (run, status, message)
+    assert rows_of(catalog.run_status(catalog.committed(table(LOG, rows)))) == sorted(last.values())
+
+
 def test_status_and_as_of(table):
     rows = [("a", T0 + dt.timedelta(hours=h), h, s, f"m{h}") for h, s in enumerate(["initiating", "initiated", "failed"])]
     log = table(LOG, rows + [("a", T0 + dt.timedelta(hours=2), 9, "stopped", "late")])
@@ -101,6 +126,9 @@ def test_read_pairs_and_blacklist(table):
         ("x_S2", "in/x_S2_R1.fastq.gz", "in/x_S2_R2.fastq.gz")]
     assert rows_of(catalog.drop_blacklisted(pairs, ["_S2"]), "sample_id") == [("a",)]
     assert catalog.drop_blacklisted(pairs, []).count() == 2
+    listed = table("pattern string", [("_S2",), ("^zz",), (None,)])
+    assert rows_of(catalog.drop_blacklisted(pairs, listed), "sample_id") == [("a",)]
+    assert catalog.drop_blacklisted(pairs, listed.limit(0)).count() == 2
 
 
 def test_file_names(table):
@@ -124,11 +152,28 @@ def test_trees_counts_and_links(table):
     assert rows_of(catalog.lookup(accounts, "email", "y@example.org"), "account_id") == [("2",)]
 
 
+def test_output_files_of_runs(table):
+    runs = table("run_id string, status string", [("r", "succeeded"), ("q", "failed")])
+    links = table("run_id string, file_id string", [("r", "05989875"), ("r", "gone"), ("x", "05989875")])
+    files = table("file_id string, name string, size long", [("05989875", "a b.txt", 3)])
+    assert rows_of(catalog.run_files(runs, links, files)) == [("r", "05989875", "a_b.txt", "05/989875", 3)]
+
+
+def test_links_to_what_is_gone_stay_visible(table):
+    accounts = table("account_id string, email string", [("1", "x@example.org")])
+    projects = table("project_id string, name string", [])
+    none = table("account_id string, run_id string", [])
+    tree = catalog.account_tree(accounts, table("account_id string, project_id string", [("1", "p")]), projects, none,
+                                table("run_id string, name string, status string", []))
+    assert rows_of(tree) == [("1", "x@example.org", "project", "p", None, None)]
+
+
 def test_files_of_projects(table):
     projects = table("project_id string, name string", [("p", "P")])
     links = table("project_id string, file_id string", [("p", "f2"), ("p", "f1")])
     files = table("file_id string, name string, size long", [("f1", "b", 1), ("f2", "a", 2)])
-    assert [r.file_name for r in catalog.project_files(projects, links, files).collect()] == ["a", "b"]
+    found = catalog.sort_project_files(catalog.project_files(projects, links, files))
+    assert [r.file_name for r in found.collect()] == ["a", "b"]
     listing = table("file_id string, size long", [("f1", 7)])
     assert rows_of(catalog.refresh_sizes(files, listing), "file_id", "size") == [("f1", 7), ("f2", None)]
 

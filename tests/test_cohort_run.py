@@ -36,3 +36,38 @@ def test_cohort(spark, table, tmp_path):
         (refdata.CONTIG, 0, refdata.GENOME_LENGTH)]
     assert rows_of(gaps.where("sample_id = 'M1' AND start >= 28144"), "start", "end") == [
         (28144, 28880), (28883, 29903)]
+
+
+def test_a_panel_of_ones_own(spark, table, tmp_path):
+    """Columns, calls and gaps follow the panel, whatever its contigs, positions and labels."""
+    out = str(tmp_path)
+    panel = Panel(
+        table("chrom string, length long", [("k1", 100), ("k2", 50)]),
+        table("chrom string, pos long, ref string", [("k1", 10, "A"), ("k2", 10, "C")]),
+        table("chrom string, pos long, id string, clade string, alt string",
+              [("k1", 10, "mine", "one", "A"), ("k2", 10, "mine", "one", "C"), ("k1", 10, "mine", "two", "G"), ("k2", 10, "mine", "two", "C")]),
+        table("id string, naming_system string", [("mine", "My System")]),
+        table("id string, clade string, color string", [("mine", "two", "#000000")]),
+    )
+    reads = [("s", k, 0, 40) for k in ("k1", "k2") for _ in range(9)] + [("s", "elsewhere", 0, 40)]
+    run_cohort(
+        table("sample_id string, chrom string, start long, end long", reads),
+        table("sample_id string, chrom string, pos long, ref string, alt string, is_mutated string", [("s", "k1", 10, "A", "G", "yes")]),
+        table("sample_id string", [("s",)]), out, panel,
+    )
+
+    def csv(name):
+        return spark.read.csv(f"{out}/{name}", header=True)
+
+    assert csv("all_samples_marker_profiles").columns == ["sample_id", "k1:10", "k2:10"]
+    assert rows_of(csv("all_samples_marker_profiles")) == [("s", "G", "C")]
+    assert rows_of(csv("all_samples_marker_coverages")) == [("s", "9", "9")]
+    assert csv("all_samples_calls").columns == ["sample_id", "My System"] and rows_of(csv("all_samples_calls")) == [("s", "two")]
+    assert csv("all_samples_score_matrix").columns == ["sample_id", "mine:one", "mine:two"]
+    assert rows_of(csv("all_samples_score_matrix")) == [("s", "1.0", "0.0")]
+    assert rows_of(csv("all_samples_score_groups"), "naming_system", "length") == [("My System", "2")]
+    assert rows_of(csv("all_samples_markers"), "chrom", "alt") == [("k1", "G"), ("k2", "C")]
+    assert rows_of(csv("all_samples_scores_vs_strains"), "clade", "manhattan") == [("one", "1.0"), ("two", "0.0")]
+    assert rows_of(spark.read.parquet(f"{out}/score_cells").where("is_best"), "clade", "clade_color") == [("two", "#000000")]
+    assert spark.read.parquet(f"{out}/profile_cells").count() == spark.read.parquet(f"{out}/coverage_cells").count() == 2
+    assert rows_of(spark.read.parquet(f"{out}/uncovered_intervals"), "chrom", "start", "end") == [("k1", 40, 100), ("k2", 40, 50)]

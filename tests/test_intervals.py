@@ -34,7 +34,7 @@ def depth_by_base(reads, sample, chrom, length):
 def test_depth_golden(table):
     reads = table(READS, [("s", "c", 2, 6), ("s", "c", 4, 10), ("s", "c", 10, 12)])
     contigs = table("chrom string, length long", [("c", 20)])
-    runs = intervals.depth_runs(reads, contigs)
+    runs = intervals.depth_runs(reads, contigs, intervals.sample_ids(reads))
     assert rows_of(runs.orderBy("start"), "start", "end", "depth") == sorted(
         [(0, 2, 0), (2, 4, 1), (4, 6, 2), (6, 12, 1), (12, 20, 0)], key=repr)
     assert rows_of(intervals.uncovered(runs), "start", "end") == [(0, 2), (12, 20)]
@@ -45,7 +45,8 @@ def test_depth_runs_against_per_base_count(table, tile):
     rng = random.Random(tile)
     reads = random_reads(rng, 150, 190, 60) + [("a", "c1", 0, 200), ("a", "c1", 48, 112), ("a", "c1", 16, 16)]
     contigs = {"c1": 200, "c2": 230, "empty": 33}
-    runs = intervals.depth_runs(table(READS, reads), table("chrom string, length long", contigs.items()), tile=tile)
+    samples = table("sample_id string", [("a",), ("b",), ("hot",)])
+    runs = intervals.depth_runs(table(READS, reads), table("chrom string, length long", contigs.items()), samples, tile=tile)
     found = {}
     for r in runs.collect():
         found.setdefault((r.sample_id, r.chrom), []).append((r.start, r.end, r.depth))
@@ -60,16 +61,14 @@ def test_depth_runs_against_per_base_count(table, tile):
 
 @pytest.mark.parametrize("bin_width", [1, 8, 4096])
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_target_coverage_against_brute_force(spark, table, bin_width, broadcast):
+def test_target_coverage_against_brute_force(table, bin_width, broadcast):
     rng = random.Random(bin_width)
     reads = random_reads(rng, 120, 150, 50)
     targets = [(rng.choice(("c1", "c2", "c3")), s, s + rng.randrange(1, 40)) for s in range(0, 150, 9)]
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m" if broadcast else "-1")
-    try:
-        out = intervals.target_coverage(table(READS, reads), table(TARGETS, targets), bin_width=bin_width)
-        found = {(r.sample_id, r.chrom, r.start, r.end): r for r in out.collect()}
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    samples = table("sample_id string", [("a",), ("b",), ("hot",)])
+    limit = 10_000 if broadcast else 0
+    out = intervals.target_coverage(table(READS, reads), table(TARGETS, targets), samples, bin_width, limit)
+    found = {(r.sample_id, r.chrom, r.start, r.end): r for r in out.collect()}
     assert len(found) == 3 * len(set(targets))
     for (sample, chrom, start, end), row in found.items():
         hits = [r for r in reads if r[:2] == (sample, chrom) and r[2] < end and start < r[3]]
@@ -82,22 +81,69 @@ def test_target_coverage_against_brute_force(spark, table, bin_width, broadcast)
 def test_target_fragments_keep_uncovered_targets(table):
     reads = table(READS, [("s", "c", 0, 5), ("s", "c", 0, 5), ("t", "c", 90, 99)])
     targets = table(TARGETS, [("c", 4, 5), ("c", 5, 6)])
-    out = intervals.coverage_by_position(intervals.target_fragments(reads, targets))
+    samples = intervals.sample_ids(reads)
+    out = intervals.coverage_by_position(intervals.target_fragments(reads, targets, samples))
     assert rows_of(out, "sample_id", "pos", "n_covering_frags") == [
         ("s", 5, 2), ("s", 6, 0), ("t", 5, 0), ("t", 6, 0)]
     markers = intervals.targets_to_markers(targets)
-    assert rows_of(intervals.marker_fragments(reads, markers)) == rows_of(
-        out.select("sample_id", "chrom", "pos", "n_covering_frags"))
-    assert rows_of(intervals.fragment_counts(reads, targets), "sample_id", "end", "n_covering_frags") == [("s", 5, 2)]
+    for limit in (10, 0):
+        assert rows_of(intervals.marker_fragments(reads, markers, samples, max_rows=limit)) == rows_of(
+            out.select("sample_id", "chrom", "pos", "n_covering_frags"))
+
+
+def test_targets_without_a_base_and_named_targets(table):
+    reads = table(READS, [("s", "c", 0, 10), ("s", "c", 3, 3)])
+    targets = table(f"{TARGETS}, name string", [("c", 5, 5, "none"), ("c", 7, 6, "back"), ("c", 2, 8, "x"), ("c", 2, 8, "y")])
+    out = intervals.target_coverage(reads, targets, table("sample_id string", [("s",), ("t",)]))
+    assert rows_of(out.where("sample_id = 's'"), "name", "n_covering_frags", "n_covered_bases", "size", "frac_covered") == [
+        ("back", 0, 0, 0, None), ("none", 0, 0, 0, None), ("x", 1, 6, 6, 1.0), ("y", 1, 6, 6, 1.0)]
+    assert rows_of(out.where("sample_id = 't'"), "name", "size") == [("back", 0), ("none", 0), ("x", 6), ("y", 6)]
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_giant_targets_are_not_broadcast(spark, table):
+    """A thousand targets of a chromosome each are few rows, but very many bins."""
+    reads = table(READS, [("s", "c", 0, 5)])
+    targets = spark.range(1000).selectExpr("'c' AS chrom", "id AS start", "200000000 + id AS end")
+    assert intervals.binned_rows(targets, intervals.BIN_WIDTH) > 48_000_000
+    plan = executed(intervals.overlaps(reads, targets))
+    assert "BroadcastExchange" not in plan and "_salt" in plan
+    assert "BroadcastExchange" in executed(intervals.overlaps(reads, targets.limit(2)))
+
+
+def test_contigs_do_not_decide_where_reads_go(spark):
+    """Contigs whose size the planner does not know are counted and broadcast: nothing is shuffled by contig alone."""
+    reads = spark.range(100).selectExpr("'s' AS sample_id", "concat('c', id % 2) AS chrom", "id AS start", "id + 5 AS end")
+    contigs = spark.range(1000).where("id * id < 4").selectExpr("concat('c', id) AS chrom", "id + 100000 AS length")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = executed(intervals.depth_runs(reads, contigs, reads.select("sample_id").distinct()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(chrom" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_no_scan_of_the_reads_just_for_the_samples(spark):
+    from cladespark.plans import registry
+
+    for name in ("target_coverage", "depth_runs"):
+        plan = executed(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "l_suppkey" in line]
+        assert scans and all("l_orderkey" in line for line in scans)
+        assert name != "target_coverage" or len(scans) == 1
 
 
 def test_row_order_does_not_matter(table):
     rng = random.Random(3)
     reads = random_reads(rng, 80, 100, 30)
     targets = table(TARGETS, [("c1", 10, 60), ("c2", 0, 100)])
-    first = rows_of(intervals.target_coverage(table(READS, reads), targets))
+    samples = table("sample_id string", [("a",), ("b",), ("hot",)])
+    first = rows_of(intervals.target_coverage(table(READS, reads), targets, samples))
     rng.shuffle(reads)
-    assert rows_of(intervals.target_coverage(table(READS, reads), targets)) == first
+    assert rows_of(intervals.target_coverage(table(READS, reads), targets, samples)) == first
 
 
 def test_large_panel_gives_the_same_rows(table):

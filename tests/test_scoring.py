@@ -121,7 +121,7 @@ def test_distances_and_calls(spark, states):
         found = {r.clade: r.manhattan for r in scores.where(F.col("sample_id") == sample).collect()}
         assert found == expected
     calls = scoring.clade_calls(scores)
-    wide = cohort.clade_calls_wide(calls, refdata.naming_systems(spark))
+    wide = cohort.clade_calls_wide(calls, refdata.naming_systems(spark), list(refdata.SYSTEM_LABELS_BY_ID.values()))
     assert wide.columns == ["sample_id", "GISAID", "New Nextstrain", "Old Nextstrain"]
     assert {r[0]: tuple(r[1:]) for r in wide.collect()} == CALLS
     ordered = [tuple(r) for r in scoring.sort_scores(scores).select("sample_id", "id", "manhattan").collect()]
@@ -157,47 +157,63 @@ def test_one_null_score_empties_the_cells_of_its_system(spark, table):
 
 def brute_scores(states, profiles):
     by_sample = {}
-    for sample, pos, alt in states:
-        by_sample.setdefault(sample, {}).setdefault(pos, []).append(alt)
+    for sample, chrom, pos, alt in states:
+        by_sample.setdefault(sample, {}).setdefault((chrom, pos), []).append(alt)
     by_clade = {}
-    for system, clade, pos, alt in profiles:
-        by_clade.setdefault((system, clade), []).append((pos, alt))
+    for chrom, system, clade, pos, alt in profiles:
+        by_clade.setdefault((system, clade), []).append(((chrom, pos), alt))
     out = []
     for sample, found in by_sample.items():
         for key, profile in by_clade.items():
             costs = []
-            for pos, want in profile:
-                for alt in found.get(pos, [None]):
+            for site, want in profile:
+                for alt in found.get(site, [None]):
                     costs.append(None if alt is None else 0.5 if alt == "?" else float(alt != want))
             out.append((sample, *key, None if None in costs else sum(costs)))
     return sorted(out, key=repr)
 
 
-def test_scores_against_brute_force(table):
-    """Duplicated states, NULL alleles, positions off the profiles, clades off the sample."""
+PROFILES = "chrom string, id string, clade string, pos long, alt string"
+
+
+@pytest.mark.parametrize("max_rows", [500_000, 0])
+def test_scores_against_brute_force(table, max_rows):
+    """Duplicated states, NULL alleles, two contigs, positions off the profiles, clades off the sample; both ways to join."""
     rng = random.Random(7)
-    positions = list(range(1, 90))
-    profiles = [("sys", f"c{c}", p, rng.choice("ACGT")) for c in range(6) for p in positions if c != 5 or p > 70]
-    profiles += [("other", "x", 1000, "A")]
+    sites = [(f"k{p % 2}", p // 2) for p in range(1, 90)]
+    profiles = [(k, "sys", f"c{c}", p, rng.choice("ACGT")) for c in range(6) for k, p in sites if c != 5 or p > 35]
+    profiles += [("k0", "other", "x", 1000, "A")]
     states = []
     for sample in ("full", "dup", "null", "short", "alien"):
-        pool = [2000, 2001] if sample == "alien" else positions if sample != "short" else positions[70:]
-        for pos in pool:
-            states.append((sample, pos, rng.choice("ACGT?")))
+        pool = [("k0", 2000), ("k9", 1)] if sample == "alien" else sites if sample != "short" else sites[70:]
+        for chrom, pos in pool:
+            states.append((sample, chrom, pos, rng.choice("ACGT?")))
             if sample == "dup" and pos % 10 == 0:
-                states.append((sample, pos, rng.choice("ACGT")))
-    states = [(s, p, None if s == "null" and p == 30 else a) for s, p, a in states]
+                states.append((sample, chrom, pos, rng.choice("ACGT")))
+    states = [(s, k, p, None if s == "null" and p == 30 else a) for s, k, p, a in states]
     rng.shuffle(states)
     out = scoring.score_profiles(
-        table("sample_id string, pos long, alt string", states),
-        table("id string, clade string, pos long, alt string", profiles),
+        table("sample_id string, chrom string, pos long, alt string", states), table(PROFILES, profiles), max_rows=max_rows
     )
     assert rows_of(out) == brute_scores(states, profiles)
 
 
+def test_contigs_are_told_apart(table):
+    states = table("sample_id string, chrom string, pos long, alt string", [("s", "c1", 10, "C"), ("s", "c2", 10, "T")])
+    profiles = table(PROFILES, [("c1", "x", "A", 10, "C"), ("c1", "x", "B", 10, "T")])
+    assert rows_of(scoring.score_profiles(states, profiles)) == [("s", "x", "A", 0.0), ("s", "x", "B", 1.0)]
+
+
+def test_no_single_task_holds_the_profiles(spark, states):
+    scores = scoring.score_profiles(states, refdata.profiles(spark))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    alone = [line for line in plan.splitlines() if "SinglePartition" in line]
+    assert "dense_rank" not in plan and len(alone) <= 1  # the bounded list of clade names
+
+
 def test_distance_is_zero_only_for_the_same_profile(spark):
     profiles = refdata.profiles(spark)
-    as_states = profiles.select(F.concat_ws("/", "id", "clade").alias("sample_id"), "pos", "alt")
+    as_states = profiles.select(F.concat_ws("/", "id", "clade").alias("sample_id"), "chrom", "pos", "alt")
     scores = scoring.score_profiles(as_states, profiles).where("manhattan = 0")
     alleles = {(s, c): refdata.profile_alleles(s, c) for s, cs in refdata.CLADE_SUBSTITUTIONS.items() for c in cs}
     expected = sorted(
@@ -213,26 +229,47 @@ def test_mismatch_cost_of_null(table):
 
 def test_long_profiles_round_trip(spark):
     wide = refdata.profiles_wide(spark, "gisaid")
-    long = scoring.long_profiles(wide, "gisaid")
+    assert "chrom" not in scoring.long_profiles(wide, "gisaid").columns
+    long = scoring.long_profiles(wide, "gisaid", refdata.CONTIG)
     assert rows_of(long) == rows_of(refdata.profiles(spark).where("id = 'gisaid'"))
 
 
 def test_matrices(spark, states):
-    profiles = cohort.marker_profiles(states)
+    profiles = cohort.marker_profiles(states, refdata.SITES)
     assert profiles.columns == ["sample_id", *[str(p) for p in sorted(refdata.POSITIONS)]]
     m1 = profiles.where("sample_id = 'M1'").collect()[0].asDict()
     assert m1["11083"] == "T" and m1["241"] == "C"
-    assert cohort.marker_coverages(states).where("`241` = 100").count() == 3
-    matrix = cohort.score_matrix(scoring.score_profiles(states, refdata.profiles(spark)))
+    assert cohort.marker_coverages(states, refdata.SITES).where("`241` = 100").count() == 3
+    matrix = cohort.score_matrix(scoring.score_profiles(states, refdata.profiles(spark)), refdata.SCORE_COLUMNS)
     assert len(matrix.columns) == 28
     assert matrix.where("sample_id = 'M3'").select("`old_nextstrain:A3`").collect()[0][0] == 1.5
 
 
 def test_duplicate_cells_are_an_error(spark, states):
     doubled = states.unionByName(states.where("sample_id = 'M1' AND pos = 241"))
-    with pytest.raises(Exception, match="more than one row for pos=241"):
-        cohort.marker_profiles(doubled).collect()
+    with pytest.raises(Exception, match=f"more than one row for _marker={refdata.CONTIG}:241"):
+        cohort.marker_profiles(doubled, refdata.SITES).collect()
+
+
+def test_cells_that_are_not_listed_are_an_error(spark, states):
+    with pytest.raises(Exception, match=f"no column is listed for _marker={refdata.CONTIG}:241"):
+        cohort.marker_profiles(states, refdata.SITES[1:]).collect()
+    scores = scoring.score_profiles(states, refdata.profiles(spark))
+    with pytest.raises(Exception, match="no column is listed for _column=gisaid:G"):
+        cohort.score_matrix(scores, refdata.SCORE_COLUMNS[1:]).collect()
+    with pytest.raises(Exception, match="no column is listed for naming_system="):
+        cohort.clade_calls_wide(scoring.clade_calls(scores), refdata.naming_systems(spark), ["GISAID"]).collect()
+
+
+def test_matrices_of_several_contigs_name_them(table):
+    rows = [("s", "k1", 5, 9, "A", "A", None), ("s", "k2", 5, 9, "C", "T", "yes")]
+    matrix = cohort.marker_profiles(table(STATES, rows), [("k2", 5), ("k1", 5)])
+    assert matrix.columns == ["sample_id", "k1:5", "k2:5"] and rows_of(matrix) == [("s", "A", "T")]
+
 
+def test_complete_samples_come_from_the_outputs_of_the_steps(table):
+    coverage, mutations = (table("sample_id string", [(s,) for s in names]) for names in ("abc", "bcc"))
+    assert rows_of(genotype.complete_samples(coverage, mutations)) == [("b",), ("c",)]
 
 def test_cells_and_groups(spark, states):
     cells = {(r.sample_id, r.pos): r.color for r in cohort.profile_cells(states).collect()}

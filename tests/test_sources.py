@@ -1,10 +1,13 @@
 """Files at the edges."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cladespark import refdata, schemas
+from cladespark.operators import genotype, intervals, scoring, variants
 from cladespark.sources import readers, writers
 from conftest import rows_of
+from test_scoring import CALLS, M1, M2
 
 
 def test_variants(spark, tmp_path):
@@ -26,6 +29,8 @@ def test_target_coverage_to_csv(spark, tmp_path):
     writers.write_table(df.drop("sample_id"), out, "csv")
     text = spark.read.text(out).collect()
     assert text[0][0] == "chrom,start,end,n_covering_frags,n_covered_bases,size,frac_covered"
+    (tmp_path / "s1_coverage.csv").write_text("\n".join(r[0] for r in text) + "\n")
+    assert rows_of(readers.read_target_coverage_csv(spark, str(tmp_path / "s1_coverage.csv"))) == rows_of(df)
 
 
 def test_markers_mutations_targets(spark, tmp_path):
@@ -34,8 +39,8 @@ def test_markers_mutations_targets(spark, tmp_path):
     (tmp_path / "s1_mutations.csv").write_text("pos,ref,alt,qual,pos_c,ref_c,alt_c\n25563,GGG,TAC,221834,25564,G,A\n")
     assert rows_of(readers.read_markers(spark, str(tmp_path / "markers.csv"))) == [("c", 241, "C")]
     assert rows_of(readers.read_targets(spark, str(tmp_path / "markers.bed"))) == [("c", 240, 241)]
-    mutations = readers.read_mutations(spark, str(tmp_path / "*_mutations.csv"))
-    assert rows_of(mutations) == [(25563, "GGG", "TAC", 221834.0, 25564, "G", "A", "s1")]
+    mutations = readers.read_mutations(spark, str(tmp_path / "*_mutations.csv"), "c")
+    assert rows_of(mutations) == [(25563, "GGG", "TAC", 221834.0, 25564, "G", "A", "s1", "c")]
 
 
 def test_cohort_of_sample_files(spark, tmp_path):
@@ -57,7 +62,7 @@ def test_profiles_by_system(spark, tmp_path):
             lines.append(",".join([clade, *refdata.profile_alleles(system, clade).values()]))
         (tmp_path / f"strains_{system}.csv").write_text("\n".join(lines) + "\n")
     systems = list(refdata.CLADE_SUBSTITUTIONS)
-    df = readers.read_profiles(spark, f"{tmp_path}/strains", systems, refdata.POSITIONS)
+    df = readers.read_profiles(spark, f"{tmp_path}/strains", systems, refdata.POSITIONS, refdata.CONTIG)
     assert rows_of(df) == rows_of(refdata.profiles(spark))
 
 
@@ -102,3 +107,32 @@ def test_clustered_files_hold_disjoint_samples(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = spark.read.parquet(path).select("sample_id", F.col("_metadata.file_path").alias("file")).distinct()
     assert files.count() == 40 and files.select("file").distinct().count() > 1
+
+
+def test_sample_ids_are_taken_as_they_are(spark, tmp_path):
+    head = "pos,n_covering_frags,ref,alt,is_mutated,original_ref\n"
+    for name in ("a+b", "a b", "a%20b", "ü"):
+        (tmp_path / f"{name}_markers.csv").write_text(head + "241,9,C,C,,C\n")
+    states = readers.read_cohort(spark, f"{tmp_path}/*_markers.csv")
+    assert sorted(r[0] for r in states.select("sample_id").collect()) == sorted(["a+b", "a b", "a%20b", "ü"])
+    (tmp_path / "stray.csv").write_text(head + "241,9,C,C,,C\n")
+    (tmp_path / "_markers.csv.x").write_text(head)
+    with pytest.raises(Exception, match="no sample id in file name stray.csv"):
+        readers.read_cohort(spark, f"{tmp_path}/stray.csv").collect()
+
+
+def test_files_of_a_sample_become_scores(spark, tmp_path):
+    """Headed coverage and mutations of each sample, joined to states and scored."""
+    columns = "chrom,start,end,n_covering_frags,n_covered_bases,size,frac_covered"
+    for sample, changes in (("M1", M1), ("M2", M2)):
+        rows = [f"{refdata.CONTIG},{p - 1},{p},100,1,1,1.0" for p in refdata.POSITIONS]
+        (tmp_path / f"{sample}_coverage.csv").write_text("\n".join([columns, *rows]) + "\n")
+        rows = [f"{p},{dict(refdata.MARKERS)[p]},{a},99,{p},{dict(refdata.MARKERS)[p]},{a}" for p, a in changes.items()]
+        (tmp_path / f"{sample}_mutations.csv").write_text("\n".join(["pos,ref,alt,qual,pos_c,ref_c,alt_c", *rows]) + "\n")
+    coverage = intervals.coverage_by_position(readers.read_target_coverage_csv(spark, f"{tmp_path}/*_coverage.csv"))
+    mutations = variants.to_mutations(readers.read_mutations(spark, f"{tmp_path}/*_mutations.csv", refdata.CONTIG))
+    states = genotype.marker_states(coverage, mutations, refdata.markers(spark))
+    calls = scoring.clade_calls(scoring.score_profiles(states, refdata.profiles(spark)))
+    found = {(r.sample_id, r.id): r.call for r in calls.collect()}
+    for sample in ("M1", "M2"):
+        assert tuple(found[sample, s] for s in ("gisaid", "new_nextstrain", "old_nextstrain")) == CALLS[sample]
