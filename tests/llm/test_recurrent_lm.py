@@ -1,0 +1,139 @@
+"""The recurrent model: exact base scores, a proper distribution, right gradients, better than counts when it has learned."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from cladespark.llm import recurrent_lm as lm
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), None]
+
+
+def held(i):
+    return i is None or zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def base(rows):
+    c = Counter(t for i, text in rows if not held(i) for t in tokens(text))
+    n, v = sum(c.values()), len(c)
+    out = {}
+    for i, text in rows:
+        w = tokens(text)
+        out.setdefault(i, []).append((len(w), sum(c[t] > 0 for t in w), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in w)))
+    return out
+
+
+def compare(rows, found):
+    want = base(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        n_tokens, n_known, n, score = want[r["doc_id"]][0]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), n_tokens, n_known, n)
+        assert r["base_score"] == pytest.approx(score, rel=1e-9) and r["score"] <= 0 and math.isfinite(r["score"])
+
+
+def test_awkward_texts(documents, awkward):
+    compare(awkward, lm.score_documents(documents(awkward), head=64, lookup=100).collect())
+
+
+def test_words_beyond_the_lookup_meet_their_counts(documents, prose):
+    rows = [(i, prose(i, 60)) for i in range(80)]
+    docs = documents(rows)
+    few = lm.score_documents(docs, head=32, lookup=40, rounds=0).collect()
+    many = lm.score_documents(docs, head=32, lookup=100_000, rounds=0).collect()
+    compare(rows, few)
+    scores = {r["doc_id"]: r["score"] for r in many}
+    assert all(r["score"] == pytest.approx(scores[r["doc_id"]], rel=1e-6) for r in few)
+
+
+def two_languages(n):
+    """Documents in one of two sets of words: the first words tell which the others come from."""
+    rng = np.random.default_rng(1)
+    return [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 40, 60))) for i in range(n)]
+
+
+def test_learns_what_counts_cannot_know(documents):
+    rows = two_languages(700)
+    found = lm.score_documents(documents(rows), head=96, share=2, rate=0.02).collect()
+    new = [r for r in found if r["held_out"]]
+    assert new and sum(r["score"] for r in new) > 0.92 * sum(r["base_score"] for r in new)
+    compare(rows, found)
+
+
+def vocabulary(head):
+    words = [f"w{k}".encode() for k in range(head - 1)] + [lm.END]
+    counts = {w: 3 + k for k, w in enumerate(words)}
+    return lm.Vocabulary(words, counts, 10_000, 500, np.full(lm.TAILS, 50.0))
+
+
+def test_probabilities_sum_to_one():
+    v = vocabulary(50)
+    params = lm.initial(v)
+    rng = np.random.default_rng(2)
+    params |= {k: rng.normal(0, 0.5, params[k].shape) for k in ("class_w", "inner_w")}
+    scorer = lm.Scorer(params, v)
+    state = rng.normal(0, 1, (1, lm.HIDDEN)).astype(np.float32)
+    codes = np.arange(50 + lm.TAILS)
+    logs = scorer.emitted(np.repeat(state, len(codes), 0), codes)
+    # A tail code's value is that of one unit of its class's mass.
+    total = np.exp(logs[:50]).sum() + (np.exp(logs[50:]) * v.tail_mass).sum()
+    assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_state_is_carried_over_windows_and_not_over_documents():
+    v = vocabulary(40)
+    params = lm.initial(v)
+    rng = np.random.default_rng(3)
+    params |= {k: rng.normal(0, 0.5, params[k].shape) for k in ("class_w", "inner_w")}
+    lengths = np.array([5, 1, 90, 33, 64])
+    codes, starts = rng.integers(0, 40 + lm.TAILS, lengths.sum()), np.cumsum(lengths) - lengths
+    together = lm.Scorer(params, v, window=16).documents(codes, starts, lengths)
+    alone = [lm.Scorer(params, v, window=1000).documents(codes[a : a + n], np.array([0]), np.array([n]))[0] for a, n in zip(starts, lengths)]
+    assert together == pytest.approx(alone, rel=1e-5)
+
+
+def test_gradients_are_those_of_the_log_probability():
+    v = vocabulary(40)
+    params = lm.initial(v)
+    rng = np.random.default_rng(4)
+    params |= {k: rng.normal(0, 0.3, params[k].shape) for k in ("class_w", "inner_w", "b")}
+    codes, h = rng.integers(0, 40 + lm.TAILS, (6, 3)), rng.normal(0, 0.5, (3, lm.HIDDEN))
+    fresh = np.zeros((6, 3), bool)
+    fresh[0, 0] = fresh[3, 1] = True
+
+    def loss(p):
+        total, state = 0.0, h
+        for t in range(len(codes)):
+            state = np.where(fresh[t][:, None], 0, state)
+            kind = lm.class_of(codes[t], 40, v.classes)
+            total -= np.log(lm.softmax_of(state @ p["class_w"] + p["class_b"])[np.arange(3), kind]).sum()
+            for lane in np.flatnonzero(codes[t] < 40):
+                inner = lm.softmax_of(state[lane : lane + 1] @ p["inner_w"][kind[lane]] + p["inner_b"][kind[lane]])
+                total -= np.log(inner[0, codes[t][lane] % lm.PER_CLASS])
+            state = lm.step(p, p["embed"][codes[t]] @ p["w"] + p["b"], state)[0]
+        return total
+
+    _, grads = lm.Trainer(params, 40, v.classes, 0.01).gradients(codes, fresh, h)
+    for name, value in params.items():
+        direction = rng.normal(0, 1, value.shape) * (np.abs(value) < 1e6)
+        up, down = (loss(params | {name: value + s * 1e-5 * direction}) for s in (1, -1))
+        assert (grads[name] * direction).sum() == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-6), name
+
+
+def test_counts_of_words_and_hashes(documents, awkward):
+    rows = {bytes(r["word"]): r for r in lm.count_words(documents(awkward)).collect()}
+    want = Counter(t or b"" for _, text in awkward for t in tokens(text))
+    assert {w: r["n"] for w, r in rows.items()} == want
+    assert all(r["hash"] == lm.hash_of(w) and r["tail"] == lm.tail_of(w) for w, r in rows.items())
+
+
+def test_empty_table_and_nothing_to_learn_from(documents):
+    assert lm.score_documents(documents([])).count() == 0
+    i = next(k for k in range(100) if held(k))
+    r = lm.score_documents(documents([(i, "some words")])).first()
+    assert (r["train_tokens"], r["n_known"], r["n_tokens"], r["base_score"]) == (0, 0, 3, 0.0) and r["score"] < 0

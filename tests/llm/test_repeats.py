@@ -1,0 +1,89 @@
+"""Repeated byte strings against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from cladespark.llm import repeats
+from tests.conftest import rows_of
+
+
+def expected(rows, window=100):
+    """In order of id, null first, then of what the operator orders equal ids by: here ids repeat only with their texts."""
+    seen, out, done = set(), [], {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        data = (text or "").encode()
+        if (i, text) not in done:
+            covered = np.zeros(len(data), bool)
+            for s in range(len(data) - window + 1):
+                w = data[s : s + window]
+                if w in seen:
+                    covered[s : s + window] = True
+                seen.add(w)
+            runs = int(np.sum(covered & ~np.r_[False, covered[:-1]])) if len(data) else 0
+            kept = bytes(np.frombuffer(data, np.uint8)[~covered])
+            done[i, text] = (i, len(data), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest())
+        out.append(done[i, text])
+    return sorted(out, key=repr)
+
+
+def found(docs, window=100):
+    return rows_of(repeats.remove_repeats(docs, window, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def test_awkward_texts(documents, awkward):
+    assert found(documents(awkward)) == expected(awkward)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_cut_at_random(documents, seed):
+    rng = random.Random(seed)
+    pool = "".join(rng.choices("abcdé \n", k=3000))
+    rows = []
+    for i in range(60):
+        parts = ["".join(rng.choices("abcdé \n", k=rng.randint(0, 150)))]
+        for _ in range(rng.randint(0, 4)):
+            a = rng.randint(0, 2800)
+            parts += [pool[a : a + rng.randint(60, 260)], "".join(rng.choices("xyz", k=rng.randint(0, 5)))]
+        rows.append((i, "".join(parts)))
+    assert found(documents(rows)) == expected(rows)
+
+
+def test_periods_and_overlaps(documents):
+    rows = [(1, "a" * 500), (2, "ab" * 300), (3, "a" * 99), (4, "a" * 100), (5, "x" + "ab" * 60 + "y"), (6, "abc" * 200)]
+    assert found(documents(rows)) == expected(rows)
+
+
+def test_a_passage_that_a_third_of_all_documents_hold(documents, prose):
+    passage = prose(5, 30)
+    rows = [(i, prose(100 + i, 15) + (passage if i % 3 == 0 else "") + prose(9000 + i, 15)) for i in range(1500)]
+    assert found(documents(rows)) == expected(rows)
+
+
+def test_other_thresholds_and_texts_longer_than_a_chunk(documents, prose):
+    text = prose(3, 60_000)
+    rows = [(1, text), (2, prose(4, 50) + text[100_000:300_000] + prose(6, 50)), (3, text[130_900:131_300])]
+    assert found(documents(rows), 64) == expected(rows, 64)
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(documents(rows), 10)
+
+
+def test_chunks_cover_every_window_once():
+    starts = np.array([0, 10, 10, 400, 300_000, 300_050, 700_000])
+    seen = set()
+    for a, b, texts, offsets in repeats.chunks(starts, 100):
+        for t, (begin, end) in enumerate(zip(texts[:-1], texts[1:])):
+            for s in range(begin, end - 99):
+                assert s not in seen
+                seen.add(s)
+    want = {s for a, b in zip(starts[:-1], starts[1:]) for s in range(a, b - 99)}
+    assert seen == want
+
+
+def test_bytes_are_returned_too_and_an_empty_table(documents):
+    rows = [(1, "".join(map(str, range(100)))), (2, "z" + "".join(map(str, range(100))))]
+    out = rows_of(repeats.remove_repeats(documents(rows)), "doc_id", "kept")
+    assert [(i, bytes(b)) for i, b in out] == [(1, rows[0][1].encode()), (2, b"z")]
+    assert found(documents([])) == []
