@@ -105,7 +105,7 @@ class ArchiveFile:
             rows.append((page_id, kind, path, out.tell(), len(frame)))
             out.write(frame)
         store, place = filesystem(path)
-        with store.open_output_stream(place) as sink:
+        with store.open_output_stream(place, compression=None) as sink:
             sink.write(out.getbuffer())
         columns = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
@@ -186,7 +186,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_file(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """All records of one archive, decompressed with the dictionary at its start."""
     store, place = filesystem(path)
-    with store.open_input_stream(place) as source:
+    with store.open_input_stream(place, compression=None) as source:
         head = source.read(8)
         head += source.read(struct.unpack("<II", head)[1])
         reader = zstandard.ZstdDecompressor(dict_data=dictionary_of(head)).stream_reader(source, read_across_frames=True)
