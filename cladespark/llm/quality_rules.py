@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,14 +147,19 @@ def every(parts: Sequence[Column]) -> Column:
 
 
 def binned(labelled: DataFrame, cuts: int) -> tuple[DataFrame, dict[str, list[float]]]:
-    """The labelled rows as (bad, growing, bins), and the thresholds of each feature: its quantiles."""
+    """The labelled rows as (bad, growing, bins, values), and the thresholds of each feature: its quantiles."""
     shares = [i / (cuts + 1) for i in range(1, cuts + 1)]
     stats = F.col("stats")
     found = labelled.agg(*[F.percentile_approx(feature(f, stats), shares, 2000).alias(f) for f in FEATURES]).first()
     thresholds = {f: sorted(set(found[f] or [])) for f in FEATURES}
-    bins = [F.size(F.filter(F.lit(thresholds[f]).cast("array<double>"), lambda t, v=feature(f, stats): v > t)) for f in FEATURES]
+
+    def bin_of(name: str) -> Column:
+        value = feature(name, stats)
+        return F.size(F.filter(F.lit(thresholds[name]).cast("array<double>"), lambda t: value > t))
+
+    bins, values = [bin_of(f) for f in FEATURES], F.array(*[feature(f, stats) for f in FEATURES])
     growing = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(ALL_PARTS)) < GROW_PARTS
-    return stored(labelled.select("bad", growing.alias("growing"), F.array(*bins).alias("bins")), "binned"), thresholds
+    return stored(labelled.select("bad", growing.alias("growing"), F.array(*bins).alias("bins"), values.alias("values")), "binned"), thresholds
 
 
 def histogram(rows: DataFrame) -> dict[tuple[int, int], list[int]]:
@@ -187,6 +192,14 @@ def best_condition(counts: dict[tuple[int, int], list[int]], thresholds: dict[st
     return best
 
 
+def centred(condition: Condition, rows: DataFrame) -> Condition:
+    """The condition with its threshold in the middle of the gap between the labelled values on either side of it."""
+    value = F.col("values")[FEATURES.index(condition.feature)]
+    under = value <= condition.threshold
+    low, high = rows.agg(F.max(F.when(under, value)), F.min(F.when(~under, value))).first()
+    return condition if low is None or high is None else replace(condition, threshold=(low + high) / 2)
+
+
 def prune(rule: Rule, rows: DataFrame, min_precision: float, min_rows: int) -> Rule:
     """The beginning of the rule that is worth most on rows it was not grown on; empty if none is good enough."""
     worth = []
@@ -221,7 +234,7 @@ def learn(
             value, condition, good = best_condition(histogram(covered), thresholds)
             if condition is None:
                 break
-            rule = (*rule, condition)
+            rule = (*rule, centred(condition, rows))
             if not good:
                 break
         rule = prune(rule, left.where(~F.col("growing")), min_precision, min_rows) if rule else ()
