@@ -164,8 +164,10 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     # The words are named twice below, which keeps them a column of their own and out of the lambda.
     rows = taken.join(rows, list(KEY)).withColumn("all", words_of())
     kept = F.flatten(F.transform("runs", lambda r: F.slice("all", r["at"] + 1, r["words"])))
-    rows = rows.select("row", F.when(F.col("n") == F.size("all"), F.col("text")).otherwise(F.array_join(kept, " ")).alias("_new"))
-    return rows.select("row.*", "_new").withColumns({"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}).drop("_new")
+    text = F.when(F.col("n") == F.size("all"), F.col("text")).otherwise(F.array_join(kept, " "))
+    rows = rows.select("row", text.alias("mixed"))
+    changed = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
