@@ -127,11 +127,15 @@ def _features(lexicon: dict[str, float]):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, toxic) of at most ``max_rows`` labelled documents that are not held out, by hash of the id."""
+    """(doc_id, toxic) of at most ``max_rows`` labelled documents that are not held out: all, or those whose hash of the id is small."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") != 0).cast("int").alias("toxic"))
     marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return stored(marks.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows), "label-sample")
+    marks = stored(marks, "labels")
+    total = marks.count()
+    if total > max_rows:  # a little less than the bound, which chance then leaves alone
+        marks = marks.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * max_rows / total)).limit(max_rows)
+    return stored(marks, "label-sample")
 
 
 def score(
