@@ -65,6 +65,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: Sequence[str], size: str, va
     return joined.select(*rows.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
+def most_frequent(rows: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest counts: all above some count, the least for which they are no more than ``limit``.
+
+    That count comes from a histogram in eighths of powers of two, so no task sends more than it has of these rows.
+    """
+    level = F.floor(8 * F.log2(count)).cast("int")
+    least, size = None, 0
+    for r in sorted(rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["level"]):
+        size += r["rows"]
+        if size > limit:
+            break
+        least = r["level"]
+    return rows.where(F.lit(False) if least is None else level >= least)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about ``limit`` bytes of text; one longer text is one slice."""
     for batch in batches:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import blocks, stored, table, text_or_empty, words
+from cladespark.llm.common import blocks, most_frequent, stored, table, text_or_empty, words
 
 HEAD = 1024
 PER_CLASS = 32
@@ -268,7 +268,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n:
                 counts[word] = counts.get(word, 0) + n
         counts[END] = counts.get(END, 0) + batch.num_rows
-        if len(counts) > 1_000_000:
+        if len(counts) > 300_000:
             yield out()
             counts = {}
     yield out()
@@ -282,9 +282,14 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(counts: DataFrame, head: int = HEAD, lookup: int = LOOKUP) -> Vocabulary:
-    """The bounded vocabulary: ``head`` and ``lookup`` bound what leaves the counts, which cover all tokens."""
-    first = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(lookup).select("word", "n").collect()}
-    top = list(first)[:head]
+    """The bounded vocabulary: ``head`` and ``lookup`` bound what leaves the counts, which cover all tokens.
+
+    The lookup holds all words of at least some count; the head is the most frequent of them.
+    """
+    found = most_frequent(counts, "n", lookup).select("word", "n").toArrow()
+    order = sorted(zip(found["n"].to_pylist(), found["word"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+    first = {word: n for n, word in order}
+    top = [word for _, word in order[:head]]
     if END not in top:
         top = [*top[: head - 1], END]
         first.setdefault(END, 0)
@@ -339,8 +344,8 @@ def encoded(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     """Input codes with an end after each text, starts and lengths, and the word of each code's place (the end's is the last)."""
     offsets, numbers, known = words(texts)
     known = [*known, END]
-    code = np.fromiter(map(vocabulary.code, known), np.int64, len(known))
-    numbers = np.insert(numbers, offsets[1:], len(known) - 1)
+    code = np.fromiter(map(vocabulary.code, known), np.int32, len(known))
+    numbers = np.insert(numbers.astype(np.int32), offsets[1:], len(known) - 1)
     starts = offsets[:-1] + np.arange(len(texts))
     lengths = np.diff(offsets) + 1
     return code[numbers], starts, lengths, numbers, known
@@ -361,7 +366,7 @@ def _score(params: dict[str, np.ndarray], shared_vocabulary):
             model = scorer.documents(codes, starts, lengths)
             count = np.fromiter((vocabulary.counts.get(w, -1) for w in known), np.int64, len(known))
             count[-1] = vocabulary.counts[END]
-            doc = np.repeat(np.arange(len(lengths)), lengths)
+            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             c = count[numbers]
             here = c >= 0
             logs = np.log10(np.maximum(c, 0) + 1.0)
@@ -371,7 +376,7 @@ def _score(params: dict[str, np.ndarray], shared_vocabulary):
             model += np.bincount(doc, weights=np.where(here & tail, logs, 0), minlength=len(lengths))
             n_known = np.bincount(doc, weights=c > 0, minlength=len(lengths)).astype(np.int64)
             away = np.flatnonzero(~here)
-            pair, times = np.unique(doc[away] * len(known) + numbers[away], return_counts=True)
+            pair, times = np.unique(doc[away].astype(np.int64) * len(known) + numbers[away], return_counts=True)
             of, word = pair // len(known), pair % len(known)
             digest = np.zeros(len(known), np.int64)
             needed = np.unique(word)
