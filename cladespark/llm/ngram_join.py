@@ -1,10 +1,12 @@
 """Documents linked by the Jaccard similarity of their word shingles: prefix filters under several token orders.
 
 Equal shingle sets are one node, so copies are never compared. Under any order of all tokens two similar sets
-share a token among the first (1 - threshold) of their own. Each of the ``ORDERS`` puts frequent tokens last and
+share tokens among the first (1 - threshold) of their own; a prefix longer by a tenth must share a tenth as well, which
+passages that unlike documents share do not reach. Each of the ``ORDERS`` puts frequent tokens last and
 the others by another hash; a pair is verified only if it passes under every order. Links between many alike nodes
-are found without comparing all pairs: nodes are first compared with the leaders of the tokens they share; then only
-nodes that still lie in different components are, each against the blocks of the larger component.
+are found without listing pairs within a group: nodes are first compared with the leaders of the tokens they share, which also
+gathers them in clusters; then, in blocks of sets, with the rest of their cluster, unless they lie in its largest component
+already; and last with other clusters that they share enough tokens with.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import KEY, attach, blocks, keyed, mixed, runs, stored, table, words
+from cladespark.llm.common import KEY, attach, blocks, keyed, mixed, most_frequent, runs, stored, table, words
 from cladespark.llm.components import components
 
 ORDERS = 2
+EXTRA = 10
 BLOCK_SETS = 64
+BLOCK_BYTES = 4 << 20
 FREQUENT_TOKENS = 1 << 16
 FREQUENT_IN_UNIT = 4
 UNIT_TOKENS = 1 << 20
@@ -56,7 +60,13 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Tokens of a set of n to look at: with o shared ones, the first n - o + l tokens of either set share l."""
+    return n - -(-percent * n // 100) + 1 + n // EXTRA
+
+
+def least_shared(percent: int) -> Column:
+    """How many of its prefix's tokens a set of ``n`` shares with any similar set, which has ``percent`` of n tokens at least."""
+    return 1 + F.expr(f"({percent} * n + 99) div 100 div {EXTRA}")
 
 
 class Frequent:
@@ -213,7 +223,8 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = [tokens.tobytes() for tokens in shingle_sets(batch.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "tokens"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, pa.array(sets, pa.binary())], ["node", "bytes", "tokens"])
 
     return run
 
@@ -248,9 +259,10 @@ def _verify(percent: int):
 
 
 def in_blocks(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(c, sets) with the sets of ``members`` (c, node), about ``BLOCK_SETS`` to a row."""
-    sizes = members.groupBy("c").agg(F.count("*").alias("size"))
-    numbered = members.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.expr(f"(size + {BLOCK_SETS - 1}) div {BLOCK_SETS}")))
+    """(c, sets) with the sets of ``members`` (c, node), about ``BLOCK_SETS`` and at most some ``BLOCK_BYTES`` to a row."""
+    parts = F.greatest(F.expr(f"count(*) div {BLOCK_SETS}"), F.expr(f"sum(bytes) div {BLOCK_BYTES}")) + 1
+    sizes = members.join(sets.select("node", "bytes"), "node").groupBy("c").agg(parts.alias("parts"))
+    numbered = members.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")))
     return numbered.join(sets, "node").groupBy("c", "block").agg(F.collect_list(F.struct("node", "tokens")).alias(name)).drop("block")
 
 
@@ -265,8 +277,9 @@ def similar_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     rows = keyed(docs)
     found = stored(rows.mapInArrow(_nodes(size), SETS), "shingle-nodes")
     nodes = found.where("kind = 0").drop("kind")
-    often = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT_TOKENS)
-    often = np.array([r["node"] for r in often.collect()][::-1], np.int64).view(np.uint64)
+    often = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n"))
+    often = sorted((r["n"], r["node"]) for r in most_frequent(often, "n", FREQUENT_TOKENS).collect())
+    often = np.array([token for _, token in often], np.int64).view(np.uint64)
 
     tokens = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4, tokens * (100 - percent) // 100 * 8 // BUCKET_BYTES)
@@ -274,42 +287,55 @@ def similar_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     shared = blobs.groupBy("bucket").applyInArrow(_shared(percent), SHARED)
     shared = stored(shared.withColumn("pass", F.expr(f"bucket div {buckets}")), "shared-tokens")
     key = ["bucket", "token"]
+    enough = F.col("found") >= least_shared(percent)
+
+    def under_every_order(rows: DataFrame, *by: str) -> DataFrame:
+        """The groups whose prefix shares enough tokens in each pass."""
+        counted = rows.groupBy(*by, "n", "pass").agg(F.count("*").alias("found")).where(enough)
+        return counted.groupBy(*by).agg(F.count("*").alias("passes"), F.min("found").alias("found")).where(F.col("passes") == ORDERS)
+
+    candidates = stored(under_every_order(shared, "node"), "candidate-nodes")
+    shared = stored(shared.join(candidates.select("node", "found"), "node"), "candidate-tokens")
 
     # First the leader of every token: of the nodes that share it the one with the largest share of shared tokens.
-    central = shared.groupBy("node").agg((F.count("*") / F.first("n")).alias("central"))
-    ranked = shared.join(central, "node")
-    leaders = ranked.groupBy(*key).agg(F.max(F.struct("central", "node", "n")).alias("leader"))
+    leaders = shared.groupBy(*key).agg(F.max(F.struct((F.col("found") / F.col("n")).alias("central"), "node", "n")).alias("leader"))
     led = shared.join(leaders, key).where("node != leader.node")
     led = led.where((100 * F.col("n") >= percent * F.col("leader.n")) & (100 * F.col("leader.n") >= percent * F.col("n")))
-    pairs = led.groupBy(F.col("leader.node").alias("c"), "node").agg(F.count_distinct("pass").alias("passes")).where(F.col("passes") == ORDERS)
+    pairs = under_every_order(led.select(F.col("leader.node").alias("c"), "node", "n", "pass"), "c", "node")
     pairs = stored(pairs.select("c", "node"), "leader-pairs")
 
     reps = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"))
-    both = shared.groupBy("node").agg(F.count_distinct("pass").alias("passes")).where(F.col("passes") == ORDERS)
-    reps = reps.join(both, "node").select("node", "rep.*")
+    reps = reps.join(candidates, "node").select("node", "rep.*")
     texts = rows.select(*KEY, "text").join(reps, list(KEY)).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(size), "node long, tokens binary").dropDuplicates(["node"]), "shingle-sets")
+    sets = stored(texts.mapInArrow(_sets(size), "node long, bytes long, tokens binary").dropDuplicates(["node"]), "shingle-sets")
 
     links = verified(pairs, pairs.select("c").distinct().withColumn("node", F.col("c")), sets, percent)
-    first = components(links)
 
-    # Then nodes that share tokens under every order but lie in different components, each against the larger component.
-    sizes = first.groupBy("component").agg(F.count("*").alias("size"))
-    placed = shared.join(first.join(sizes, "component"), "node", "left")
-    placed = placed.select(*key, "pass", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    mixed_keys = placed.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(*key)
+    # Then, within each cluster of such pairs, what is not in its largest component yet against the whole cluster in blocks.
+    clusters = components(pairs.select(F.col("c").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "c")
+    parts = clusters.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = stored(parts, "cluster-parts")
+    main = parts.groupBy("c", "component").agg(F.count("*").alias("size"))
+    main = main.groupBy("c").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"))
+    main = stored(main, "cluster-mains")
+    outside = parts.join(main, "c").where("component != main").select("c", "node")
+    links = links.unionByName(verified(outside, parts.select("c", "node"), sets, percent))
+
+    # Last, nodes that share tokens under every order but lie in different clusters, each against the larger cluster.
+    placed = shared.join(clusters.join(main, "c"), "node", "left")
+    placed = placed.select(*key, "pass", "node", "n", F.coalesce("c", "node").alias("cluster"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed_keys = placed.groupBy(*key).agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low != high").select(*key)
     open_ = stored(placed.join(mixed_keys, key), "open-tokens")
-    others = open_.groupBy(*key, F.col("component").alias("c")).agg(F.first("size").alias("c_size"), F.min("n").alias("low"), F.max("n").alias("high"))
-    larger = (F.col("c_size") > F.col("size")) | ((F.col("c_size") == F.col("size")) & (F.col("c") > F.col("component")))
+    others = open_.groupBy(*key, F.col("cluster").alias("c")).agg(F.first("size").alias("c_size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    larger = (F.col("c_size") > F.col("size")) | ((F.col("c_size") == F.col("size")) & (F.col("c") > F.col("cluster")))
     fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    crossing = open_.join(others, key).where(larger & fits).groupBy("c", "node").agg(F.count_distinct("pass").alias("passes"))
-    crossing = stored(crossing.where(F.col("passes") == ORDERS).select("c", "node"), "crossing-pairs")
+    crossing = under_every_order(open_.join(others, key).where(larger & fits), "c", "node")
+    crossing = stored(crossing.select("c", "node"), "crossing-pairs")
     wanted = crossing.select("c").distinct()
-    members = first.select(F.col("component").alias("c"), "node").join(wanted, "c", "left_semi")
-    alone = wanted.join(first.select(F.col("component").alias("c")).distinct(), "c", "left_anti")
-    members = members.unionByName(alone.select("c", F.col("c").alias("node")))
-    more = verified(crossing, members, sets, percent)
-    return nodes, components(links.unionByName(more))
+    members = clusters.select("c", "node").join(wanted, "c", "left_semi")
+    alone = wanted.join(clusters.select("c").distinct(), "c", "left_anti").withColumn("node", F.col("c"))
+    links = links.unionByName(verified(crossing, members.unionByName(alone), sets, percent))
+    return nodes, components(links)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
