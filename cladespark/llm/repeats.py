@@ -4,11 +4,13 @@ A suffix counts only through its first ``window`` bytes, and is dropped as soon
 group. Three passes refine the groups, the most significant digit first:
 
 1. the suffix's anchor: of the ``GRAM``-byte strings within its window, the one with the least hash. Suffixes in a
-   row share an anchor, so one row stands for some 35 of them, and a suffix whose anchor occurs once is dropped here;
-2. the context: the bytes of all suffixes that share this occurrence of the anchor. Equal contexts are equal suffixes, one by one;
-3. the whole window, only for suffixes whose anchor occurs in more than one context.
+   row share an anchor, so one row stands for some 35 of them;
+2. for suffixes whose anchor occurs in several contexts, the bytes that the ``STEP`` suffixes of like distance to the anchor have in
+   common: one row for up to ``STEP`` suffixes;
+3. for those still in several contexts, the whole window.
 
-What is equal after its last pass is a repeated window, and all but the earliest of a group are removed. Digits are 64-bit
+The context of a row is the bytes of all its suffixes: equal contexts are equal suffixes, one by one, and need no
+further digit. What is equal in the end is a repeated window, and all but the earliest of a group are removed. Digits are 64-bit
 hashes that can be compared but carry no alphabetical order, which removal does not need. Before each shuffle a task
 joins what is equal in its own share, so a string that a third of all documents hold is one row per task.
 """
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 from cladespark.llm.common import mixed, ranges, table, text_or_empty
 
 GRAM = 32
+STEP = 8
 CHUNK_BITS = 17
 UNIT_ROWS = 1 << 20
 BUCKET_BYTES = 8 << 20
 LEAST = -(1 << 63)
-ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("k1", "<i8"), ("at", "<i8"), ("n", "<i4"), ("multi", "<i4")])
-FOUND = "kind int, did long, k1 long, at long, n long"
+ENTRY = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("k1", "<i8"), ("at", "<i8"), ("n", "<i2"), ("o", "<i2"), ("multi", "i1")])
+FOUND = "kind int, did long, k1 long, at long, n long, o long"
 COVERED, OPEN = 0, 1
 
 
@@ -78,12 +81,17 @@ def chunks(starts: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarr
             row += 1
 
 
+def shaped(count: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Tells contexts of other numbers of suffixes, or at other distances, apart."""
+    return count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + offset.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def anchored(data: np.ndarray, texts: np.ndarray, rolling: Rolling, window: int) -> tuple[np.ndarray, ...]:
-    """Anchors of a chunk: (hash of the anchor, hash of its context, first window, windows)."""
+    """Anchors of a chunk: (hash of the anchor, hash of its context, first window, windows, from the first to the anchor)."""
     m = len(data)
     empty = np.zeros(0, np.int64)
     if m < window:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     sums = rolling.prefixes(data)
     places = np.arange(m - GRAM + 1)
     grams = mixed((sums[GRAM:] - sums[: m - GRAM + 1]) * rolling.inverse[: m - GRAM + 1])
@@ -109,8 +117,8 @@ def anchored(data: np.ndarray, texts: np.ndarray, rolling: Rolling, window: int)
     first, count = first[kept], count[kept]
     at = anchor[first]
     context = rolling.of(sums, first, first + count - 1 + window)
-    shape = count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (at - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return grams[at], mixed(context + shape), first, count
+    shape = shaped(count, at - first)
+    return grams[at], mixed(context + shape), first, count, at - first
 
 
 def earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,19 +132,23 @@ def earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def batch_of(kind: int, rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     names = [c.split()[0] for c in FOUND.split(", ")]
-    arrays = [np.full(len(rows), kind, np.int32), rows["doc"], rows["k1"], rows["at"], n.astype(np.int64)]
+    arrays = [np.full(len(rows), kind, np.int32), rows["doc"], rows["k1"], rows["at"], n.astype(np.int64), rows["o"].astype(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in arrays], names)
 
 
 def packed(rows: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Rows by bucket of their first digit, column after column and compressed."""
+    """Rows by bucket of their first digit."""
     bucket = (rows["g"] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((rows["at"], rows["k1"], rows["doc"], bucket))
     rows, bucket = rows[order], bucket[order]
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    squeeze = zstandard.ZstdCompressor(level=1).compress
     for a, b in zip(cut, [*cut[1:], len(rows)], strict=True):
-        yield int(bucket[a]), squeeze(b"".join(np.ascontiguousarray(rows[f][a:b]).tobytes() for f in ENTRY.names))
+        yield int(bucket[a]), squeezed(rows[a:b])
+
+
+def squeezed(rows: np.ndarray) -> bytes:
+    """Rows column after column, compressed; those of a document stand together, so only their digits take room."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in ENTRY.names))
 
 
 def unpacked(blobs: list[bytes]) -> np.ndarray:
@@ -163,9 +175,9 @@ class Sender:
         self.parts: list[np.ndarray] = []
         self.size = self.sent = 0
 
-    def add(self, g, c, doc, k1, at, n) -> None:
+    def add(self, g, c, doc, k1, at, n, o=0) -> None:
         rows = np.zeros(len(g), ENTRY)
-        for name, values in (("g", g), ("c", c), ("doc", doc), ("k1", k1), ("at", at), ("n", n)):
+        for name, values in (("g", g), ("c", c), ("doc", doc), ("k1", k1), ("at", at), ("n", n), ("o", o)):
             rows[name] = values
         self.parts.append(rows)
         self.size += len(rows)
@@ -182,8 +194,7 @@ class Sender:
                 self.sent += 1
                 bucket = int(mixed(np.array([self.sent], np.uint64) + found["k1"][a : a + 1].astype(np.uint64))[0] % np.uint64(self.buckets))
                 part = found[a : a + (1 << 17)]
-                blob = zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(part[f]).tobytes() for f in ENTRY.names))
-                out.append((bucket, 1 + kind, blob))
+                out.append((bucket, 1 + kind, squeezed(part[np.lexsort((part["at"], part["k1"], part["doc"]))])))
 
         known(COVERED, rows[later])
         firsts = rows[new]
@@ -209,12 +220,12 @@ def _anchors(buckets: int, window: int):
             starts = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
             for a, b, texts, offset in chunks(starts, window):
-                g, c, first, n = anchored(data[a:b], texts - a, rolling, window)
+                g, c, first, n, o = anchored(data[a:b], texts - a, rolling, window)
                 if not len(g):
                     continue
                 local = np.searchsorted(texts - a, first, "right") - 1
                 row = np.searchsorted(starts, texts[local], "right") - 1
-                sender.add(g, c, did[row], k1[row], first - (texts[local] - a) + offset[local], n)
+                sender.add(g, c, did[row], k1[row], first - (texts[local] - a) + offset[local], n, o)
                 if sender.size >= UNIT_ROWS:
                     yield from sender.flush()
         yield from sender.flush()
@@ -231,7 +242,7 @@ def _refine(window: int, single: bool):
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if kind:
                     rows = unpacked([blob])
-                    yield batch_of(kind - 1, rows, rows["n"] + (window - 1) * (kind - 1 == COVERED))
+                    yield batch_of(kind - 1, rows, rows["n"].astype(np.int64) + (window - 1) * (kind - 1 == COVERED))
                 else:
                     blobs.append(blob)
         rows = unpacked(blobs)
@@ -248,7 +259,7 @@ def _refine(window: int, single: bool):
         rows, new, later = earliest(rows[rows["multi"] == 0])
         if not len(rows):
             return
-        yield batch_of(COVERED, rows[later], rows["n"][later] + window - 1)
+        yield batch_of(COVERED, rows[later], rows["n"][later].astype(np.int64) + window - 1)
         if not single:
             firsts = rows[new]
             start = np.flatnonzero(np.r_[True, firsts["g"][1:] != firsts["g"][:-1]])
@@ -259,25 +270,42 @@ def _refine(window: int, single: bool):
     return run
 
 
-def _windows(buckets: int, window: int):
-    """The third digit: whole windows of the suffixes that are still open."""
+def _deeper(buckets: int, window: int, single: bool):
+    """The next digit of the suffixes that are still open: what ``STEP`` of them have in common, or the whole window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, sender = Rolling(1), Rolling(2), Sender(buckets, window, single=True)
+        one, two, sender = Rolling(1), Rolling(2), Sender(buckets, window, single)
+        step = 1 << CHUNK_BITS
         for batch in batches:
             did, k1 = (batch.column(c).to_numpy() for c in ("did", "k1"))
             for row, (text, todo) in enumerate(zip(batch.column("text").to_pylist(), batch.column("open").to_pylist(), strict=True)):
                 data = np.frombuffer(text.encode(), np.uint8)
-                spans = np.array(sorted((x["at"], x["n"]) for x in todo), np.int64)
-                wanted = np.unique(ranges(spans[:, 0], spans[:, 1]))
-                step = 1 << CHUNK_BITS
+                at, n, o = np.array([(x["at"], x["n"], x["o"]) for x in todo], np.int64).T
+                if single:
+                    first = np.unique(ranges(at, n))
+                    core, count = first, np.ones(len(first), np.int64)
+                else:
+                    # Suffixes whose distance to the anchor is in [STEP * j, STEP * j + STEP) share the bytes from core on.
+                    low, high = (o - n + 1) // STEP, o // STEP
+                    j, of = ranges(low, high - low + 1), np.repeat(np.arange(len(at)), high - low + 1)
+                    core = (at + o)[of] - STEP * j
+                    first = np.maximum(at[of], core - STEP + 1)
+                    count = np.minimum((at + n - 1)[of], core) - first + 1
+                    order = np.argsort(first, kind="stable")
+                    core, first, count = core[order], first[order], count[order]
                 for a in range(0, len(data) - window + 1, step):
-                    at = wanted[np.searchsorted(wanted, a) : np.searchsorted(wanted, a + step)]
-                    if not len(at):
+                    here = slice(*np.searchsorted(first, (a, a + step)))
+                    f, c, m = first[here] - a, core[here] - a, count[here]
+                    if not len(f):
                         continue
-                    part = data[a : a + step + window - 1]
-                    g, c = (mixed(r.of(r.prefixes(part), at - a, at - a + window)) for r in (one, two))
-                    sender.add(g, c, did[row], k1[row], at, 1)
+                    part = data[a : a + step + window + STEP]
+                    sums = one.prefixes(part)
+                    if single:
+                        g, context = mixed(one.of(sums, f, f + window)), mixed(two.of(two.prefixes(part), f, f + window))
+                    else:
+                        g = mixed(one.of(sums, c, c + window - STEP + 1))
+                        context = mixed(one.of(sums, f, f + m - 1 + window) + shaped(m, c - f))
+                    sender.add(g, context, did[row], k1[row], f + a, m)
                 if sender.size >= UNIT_ROWS:
                     yield from sender.flush()
         yield from sender.flush()
@@ -290,7 +318,7 @@ def grouped(rows: DataFrame, function) -> DataFrame:
 
     def whole(group: pa.Table) -> pa.Table:
         found = list(function(iter(group.to_batches())))
-        schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("did", "k1", "at", "n"))])
+        schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("did", "k1", "at", "n", "o"))])
         return pa.Table.from_batches(found, schema=schema)
 
     return rows.groupBy("bucket").applyInArrow(whole, FOUND)
@@ -315,10 +343,12 @@ def repeated_spans(docs: DataFrame, window: int = 100) -> tuple[DataFrame, DataF
     rows = rows.repartition(partitions, "did", "k1")
     blob = "bucket int, kind int, blob binary"
     found = grouped(rows.mapInArrow(_anchors(buckets, window), blob), _refine(window, single=False))
-    still = found.where(F.col("kind") == OPEN).groupBy("did", "k1").agg(F.collect_list(F.struct("at", "n")).alias("open"))
-    texts = rows.join(still, ["did", "k1"])
-    last = grouped(texts.mapInArrow(_windows(buckets, window), blob), _refine(window, single=True))
-    spans = found.where(F.col("kind") == COVERED).unionByName(last.where(F.col("kind") == COVERED))
+    spans = found.where(F.col("kind") == COVERED)
+    for single in (False, True):
+        still = found.where(F.col("kind") == OPEN).groupBy("did", "k1").agg(F.collect_list(F.struct("at", "n", "o")).alias("open"))
+        deeper = rows.join(still, ["did", "k1"]).mapInArrow(_deeper(buckets, window, single), blob)
+        found = grouped(deeper, _refine(window, single))
+        spans = spans.unionByName(found.where(F.col("kind") == COVERED))
     return rows, spans.select("did", "k1", "at", "n")
 
 
