@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,9 @@ from cladespark.llm.common import blocks, ranges, stored, table, text_or_empty
 END_ID = 0
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_UNITS, CACHE_IDS = 400_000, 8 << 20
+NEW, ODD = -1, -2
+CACHE_UNITS, CACHE_IDS, LEARN_UNITS = 500_000, 8 << 20, 2048
+BLOCK_BYTES = 6 << 20
 
 
 class Units:
@@ -37,63 +41,58 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}  # by unit with its place: first in its text or not
-        self.starts, self.lengths = [0], [0]
-        self.ids = [np.zeros(0, np.int32)]
-        self.total = 0
-
-    def _learn(self, units: list[str]) -> None:
-        for encoded in self.tokenizer.encode_batch_fast(units, add_special_tokens=False):
-            ids = np.array(encoded.ids, np.int32)
-            self.ids.append(ids)
-            self.starts.append(self.total)
-            self.lengths.append(len(ids))
-            self.total += len(ids)
-
-    def lookup(self, units: list[str]) -> np.ndarray:
-        """The number of each unit, tokenizing those that are new."""
-        new = [u for u in dict.fromkeys(units) if u not in self.at]
-        if new:
-            base = len(self.starts)
-            self._learn(new)
-            self.at.update(zip(new, range(base, base + len(new)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+        self.inner: dict[str, int] = {}  # number of a unit that follows another; ODD for white space at its ends
+        self.first: dict[str, int] = {}  # number of a unit that begins a text
+        self.ids, self.ends = array("i"), array("q", [0])  # the ids of all units in a row, and where each unit's end
+
+    def _learn(self, units: list[str]) -> range:
+        """The numbers of units that are tokenized now; encodings are large, so only some at a time."""
+        base = len(self.ends)
+        for a in range(0, len(units), LEARN_UNITS):
+            for encoded in self.tokenizer.encode_batch_fast(units[a : a + LEARN_UNITS], add_special_tokens=False):
+                self.ids.extend(encoded.ids)
+                self.ends.append(len(self.ids))
+        return range(base, len(self.ends))
+
+    def _following(self, units: list[str]) -> np.ndarray:
+        found = np.fromiter(map(self.inner.get, units, repeat(NEW)), np.int64, len(units))
+        new = [units[i] for i in np.flatnonzero(found == NEW)]
+        # A visible unit has no white space at its ends, but for the one new line that may open it.
+        odd = [not u or u == "\n" or u[-1].isspace() or u[u[0] == "\n"].isspace() for u in new]
+        self.inner.update((u, ODD) for u, is_odd in zip(new, odd, strict=True) if is_odd)
+        plain = [u for u, is_odd in zip(new, odd, strict=True) if not is_odd]
+        self.inner.update(zip(plain, self._learn([u if u[0] == "\n" else " " + u for u in plain]), strict=True))
+        found[found == NEW] = [self.inner[u] for u in new]
+        return found
+
+    def _beginning(self, units: list[str]) -> list[int]:
+        new = [u for u in dict.fromkeys(units) if u not in self.first]
+        self.first.update(zip(new, self._learn(new), strict=True))
+        return [self.first[u] for u in units]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        if len(self.at) > CACHE_UNITS or self.total > CACHE_IDS:
+        if len(self.inner) + len(self.first) > CACHE_UNITS or len(self.ids) > CACHE_IDS:
             self.clear()
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets -= offsets[0]
-        codes, known = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
-        # A visible unit has no white space at its ends, but for the one new line that may open it.
-        odd = np.array([not u or u == "\n" or u[-1].isspace() or u[u[0] == "\n"].isspace() for u in known], bool)
-        firsts = codes[offsets[:-1]]
-        whole = np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets)), weights=odd[codes], minlength=len(texts)) > 0
-
-        used = np.ones(len(codes), bool)
-        used[offsets[:-1]] = False
-        used[np.repeat(whole, np.diff(offsets))] = False
-        needed = np.flatnonzero(np.bincount(codes[used], minlength=len(known)))
-        place = np.zeros(len(known), np.int64)
-        place[needed] = self.lookup([u if (u := known[i])[0] == "\n" else " " + u for i in needed])
-        numbers = place[codes]
-        numbers[~used] = 0  # the empty entry
-        heads = [texts[i].as_py() if whole[i] else known[firsts[i]] for i in range(len(texts))]
-        short = np.flatnonzero(~whole)
-        numbers[offsets[short]] = self.lookup([heads[i] for i in short])
-        long = np.flatnonzero(whole)
-        if len(long):
-            base = len(self.starts)
-            self._learn([heads[i] for i in long])  # not kept by name
-            numbers[offsets[long]] = base + np.arange(len(long))
-        ids = np.concatenate(self.ids)
-        self.ids = [ids]
-        starts, lengths = np.array(self.starts, np.int64)[numbers], np.array(self.lengths, np.int64)[numbers]
-        per_text = np.add.reduceat(lengths, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
-        return ids[ranges(starts, lengths)], per_text
+        codes, known = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+        numbers = self._following(known)[codes]
+        per_text = np.add.reduceat(numbers == ODD, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
+        starts = offsets[:-1]
+        plain, whole = np.flatnonzero(per_text == 0), np.flatnonzero(per_text)
+        begun = self._beginning([known[i] for i in codes[starts[plain]]])
+        if len(whole):
+            numbers[np.repeat(per_text > 0, np.diff(offsets))] = 0  # the empty entry
+            numbers[starts[whole]] = self._learn([texts[i].as_py() for i in whole])  # not kept by name
+        numbers[starts[plain]] = begun
+        ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
+        begins = np.r_[0, ends[:-1]]
+        lengths = (ends - begins)[numbers]
+        per_text = np.add.reduceat(lengths, starts) if len(texts) else np.zeros(0, np.int64)
+        return ids[ranges(begins[numbers], lengths)], per_text
 
 
 def _pieces(path: str, capacity: int):
@@ -105,7 +104,7 @@ def _pieces(path: str, capacity: int):
         units, narrow = Units(tokenizer), "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK_BYTES):
             if not batch.num_rows:
                 continue
             ids, counts = units.encode(batch.column("text"))
