@@ -172,51 +172,74 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
         self.head, self.classes, self.rate, self.steps, self.updates = head, classes, rate, steps, 0
 
-    def gradients(self, codes: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    def gradients(self, codes: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The state after a window of codes (steps, lanes), and the gradient of its summed negative log probability.
 
-        ``fresh`` marks first tokens of documents, which start from zero.
+        ``fresh`` marks first tokens of documents, which start from zero. Where ``live`` is false there is no token but
+        padding behind the last one of a lane, and nothing is learned from it.
         """
         p, k, n = self.p, h.shape[1], codes.size
-        grads = {name: np.zeros_like(v) for name, v in p.items()}
-        tape, states, inputs = [], [], []
+        grads = {}
+        code, begins = codes.reshape(-1), fresh.any(1)
+        x = p["embed"][code]
+        ahead = (x @ p["w"] + p["b"]).reshape(*codes.shape, 3 * k)
+        tape, states = [], np.empty((*codes.shape, k), h.dtype)
         for t in range(len(codes)):
-            h = np.where(fresh[t][:, None], 0.0, h)
-            states.append(h)
-            x = p["embed"][codes[t]]
-            h, z, reset, c, r = step(p, x @ p["w"] + p["b"], h)
-            tape.append((x, z, reset, c, r))
+            if begins[t]:
+                h = np.where(fresh[t][:, None], h.dtype.type(0), h)
+            states[t] = h
+            h, *rest = step(p, ahead[t], h)
+            tape.append(rest)
 
-        flat, code = np.concatenate(states), codes.reshape(-1)
+        flat = states.reshape(-1, k)
         kind = class_of(code, self.head, self.classes)
         error = softmax_of(flat @ p["class_w"] + p["class_b"])
         error[np.arange(n), kind] -= 1
+        if live is not None:
+            error[~live.reshape(-1)] = 0
+            kind = np.where(live.reshape(-1), kind, len(p["class_b"]))
         grads["class_w"], grads["class_b"] = flat.T @ error, error.sum(0)
         to_state = error @ p["class_w"].T
-        for c in np.unique(kind[kind < self.classes]):
-            rows = np.flatnonzero(kind == c)
-            inner = softmax_of(flat[rows] @ p["inner_w"][c] + p["inner_b"][c])
-            inner[np.arange(len(rows)), code[rows] % PER_CLASS] -= 1
-            grads["inner_w"][c], grads["inner_b"][c] = flat[rows].T @ inner, inner.sum(0)
-            to_state[rows] += inner @ p["inner_w"][c].T
-        to_state = to_state.reshape(len(codes), -1, k)
-
-        dh = np.zeros_like(h)  # nothing comes back from beyond the window
+
+        # The members of a class lie side by side, so that all classes share one softmax.
+        rows = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[rows], np.arange(self.classes + 1))
+        rows = rows[: cuts[-1]]
+        inside, used = flat[rows], np.flatnonzero(cuts[1:] > cuts[:-1])
+        inner = p["inner_b"][kind[rows]]
+        for c in used:
+            inner[cuts[c] : cuts[c + 1]] += inside[cuts[c] : cuts[c + 1]] @ p["inner_w"][c]
+        inner = softmax_of(inner)
+        inner[np.arange(len(rows)), code[rows] % PER_CLASS] -= 1
+        back = np.empty_like(inside)
+        grads["inner_w"], grads["inner_b"] = np.zeros_like(p["inner_w"]), np.zeros_like(p["inner_b"])
+        for c in used:
+            part = slice(cuts[c], cuts[c + 1])
+            grads["inner_w"][c] = inside[part].T @ inner[part]
+            back[part] = inner[part] @ p["inner_w"][c].T
+        if len(used):
+            grads["inner_b"][used] = np.add.reduceat(inner, cuts[used])
+        to_state[rows] += back
+        to_state = to_state.reshape(states.shape)
+
+        into_u, into_x = np.empty((2, *codes.shape, 3 * k), h.dtype)
+        back_u, dh = p["u"].T, np.zeros_like(h)  # nothing comes back from beyond the window
         for t in range(len(codes) - 1, -1, -1):
-            x, z, reset, c, r = tape[t]
-            before = states[t]
+            z, reset, c, r = tape[t]
             dc = dh * z * (1 - c * c)
-            dz = dh * (c - before) * z * (1 - z)
-            dr = dc * r * reset * (1 - reset)
-            into_u = np.concatenate([dz, dr, dc * reset], 1)
-            into_x = np.concatenate([dz, dr, dc], 1)
-            grads["u"] += before.T @ into_u
-            grads["w"] += x.T @ into_x
-            grads["b"] += into_x.sum(0)
-            inputs.append(into_x @ p["w"].T)
-            dh = dh * (1 - z) + into_u @ p["u"].T + to_state[t]
-            dh = np.where(fresh[t][:, None], 0.0, dh)
-        np.add.at(grads["embed"], codes[::-1].reshape(-1), np.concatenate(inputs))
+            into_x[t, :, :k] = dh * (c - states[t]) * z * (1 - z)
+            into_x[t, :, k : 2 * k] = dc * r * reset * (1 - reset)
+            into_x[t, :, 2 * k :] = dc
+            into_u[t, :, : 2 * k] = into_x[t, :, : 2 * k]
+            into_u[t, :, 2 * k :] = dc * reset
+            dh = dh * (1 - z) + into_u[t] @ back_u + to_state[t]
+            if begins[t]:
+                dh[fresh[t]] = 0
+        into_u, into_x = into_u.reshape(n, -1), into_x.reshape(n, -1)
+        grads["u"], grads["w"], grads["b"] = flat.T @ into_u, x.T @ into_x, into_x.sum(0)
+        grads["embed"] = np.zeros_like(p["embed"])
+        at = code[:, None].astype(np.int64) * k + np.arange(k)
+        np.add.at(grads["embed"].reshape(-1), at.reshape(-1), (into_x @ p["w"].T).reshape(-1))
         return h, grads
 
     def update(self, grads: dict[str, np.ndarray], n: int) -> None:
@@ -229,14 +252,19 @@ class Trainer:
             self.p[name] -= self.rate * m / (np.sqrt(v) + 1e-8)
 
     def stream(self, codes: np.ndarray, fresh: np.ndarray, lanes: int) -> int:
-        """Learn from a long row of tokens, cut into lanes; how many were used."""
-        length = len(codes) // lanes // self.steps * self.steps
+        """Learn from a long row of tokens, cut into lanes; how many were used, which is all of them.
+
+        The lanes are padded to one length, and the last window may have fewer steps.
+        """
+        length = -(-len(codes) // lanes)
+        live = np.arange(length * lanes) < len(codes)
+        codes, fresh, live = (np.pad(x, (0, length * lanes - len(x))).reshape(lanes, length).T for x in (codes, fresh, live))
         h = np.zeros((lanes, HIDDEN), self.p["b"].dtype)
-        codes, fresh = (x[: length * lanes].reshape(lanes, length).T for x in (codes, fresh))
         for t in range(0, length, self.steps):
-            h, grads = self.gradients(codes[t : t + self.steps], fresh[t : t + self.steps], h)
-            self.update(grads, lanes * self.steps)
-        return length * lanes
+            now = live[t : t + self.steps]
+            h, grads = self.gradients(codes[t : t + self.steps], fresh[t : t + self.steps], h, None if now.all() else now)
+            self.update(grads, int(now.sum()))
+        return int(live.sum())
 
 
 def flat(params: dict[str, np.ndarray]) -> np.ndarray:
@@ -320,16 +348,16 @@ def _train(params: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float, l
     return run
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, share: int = 16, rounds: int = 2, rate: float = 0.01, lanes: int = 128) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocabulary: Vocabulary, share: int = 2, rounds: int = 2, rate: float = 0.01, lanes: int = 128) -> dict[str, np.ndarray]:
     """Weights from ``docs`` (doc_id, text): each round every task trains on its part, and the parts' weights are averaged.
 
-    A round uses one in ``share`` of the documents by hash of the id, whole and others each time, so the work grows with the corpus. Only the averages,
-    whose number is that of the weights, reach the driver.
+    A round uses one in ``share`` of the documents by hash of the id, whole and others each time; with as many rounds as shares every token of every
+    document is learned from once. Only the averages, whose number is that of the weights, reach the driver.
     """
     params = initial(vocabulary)
     part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(share))
     for r in range(rounds):
-        sums = docs.where(part == r).select("text").mapInArrow(_train(params, vocabulary, rate, lanes), "at int, value double, used long")
+        sums = docs.where(part == r % share).select("text").mapInArrow(_train(params, vocabulary, rate, lanes), "at int, value double, used long")
         found = sums.groupBy("at").agg((F.sum("value") / F.sum("used")).alias("value")).collect()
         if not found:
             continue

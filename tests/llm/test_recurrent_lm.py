@@ -65,6 +65,52 @@ def test_learns_what_counts_cannot_know(documents):
     compare(rows, found)
 
 
+def test_learns_with_the_parameters_of_the_query(documents):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 40, 400))) for i in range(900)]
+    new = [r for r in lm.score_documents(documents(rows).coalesce(2)).collect() if r["held_out"]]
+    assert new and sum(r["score"] for r in new) > 0.9 * sum(r["base_score"] for r in new)
+
+
+@pytest.mark.parametrize("i", [k for k in range(12) if not held(k)][:6])
+def test_no_document_is_left_out_of_training(documents, prose, i):
+    docs = documents([(i, prose(i, 30))])
+    v = lm.vocabulary_of(lm.count_words(docs))
+    first, learned = lm.initial(v), lm.train(docs, v)
+    assert any((learned[name] != first[name].astype(np.float32)).any() for name in ("w", "u", "embed"))
+
+
+def test_no_token_is_left_out_of_training():
+    v = vocabulary(40)
+    codes = np.random.default_rng(6).integers(0, 40, 1003)
+    fresh = np.zeros(len(codes), bool)
+    fresh[[0, 500]] = True
+
+    def trained(codes, lanes):
+        trainer = lm.Trainer(lm.initial(v), 40, v.classes, 0.01)
+        assert trainer.stream(codes, fresh[: len(codes)], lanes) == len(codes)
+        return lm.flat(trainer.p)
+
+    for lanes in (1, 7, 16):
+        last = np.r_[codes[:-1], (codes[-1] + 1) % 40]
+        assert (trained(codes, lanes) != trained(last, lanes)).any()
+    assert np.isfinite(trained(codes[:3], 2)).all()
+
+
+def test_padding_teaches_nothing():
+    v = vocabulary(40)
+    rng = np.random.default_rng(7)
+    params = lm.initial(v) | {"class_w": rng.normal(0, 0.3, (lm.HIDDEN, v.classes + lm.TAILS)), "inner_w": rng.normal(0, 0.3, (v.classes, lm.HIDDEN, lm.PER_CLASS))}
+    trainer = lm.Trainer(params, 40, v.classes, 0.01)
+    codes, h = rng.integers(0, 40 + lm.TAILS, (5, 3)), np.zeros((3, lm.HIDDEN))
+    live = np.ones((5, 3), bool)
+    live[4, 1:] = live[3, 2] = False
+    _, found = trainer.gradients(codes, np.zeros((5, 3), bool), h, live)
+    alone = [trainer.gradients(codes[:n, [k]], np.zeros((n, 1), bool), h[[k]])[1] for k, n in enumerate((5, 4, 3))]
+    for name in found:
+        assert found[name] == pytest.approx(sum(g[name] for g in alone), rel=1e-9, abs=1e-12), name
+
+
 def vocabulary(head):
     words = [f"w{k}".encode() for k in range(head - 1)] + [lm.END]
     counts = {w: 3 + k for k, w in enumerate(words)}
