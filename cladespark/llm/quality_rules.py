@@ -21,6 +21,8 @@ FEATURES = (
 )
 PACKED_BITS = 17  # of a window's place in the text, beside the hash of the window
 GROW_PARTS, ALL_PARTS = 2, 3
+END_CUTS = 4  # cuts beyond the outermost quantile on either side, each at half the share of the one before
+ACCURACY = 4000
 
 
 def removed(text: Column, pattern: str) -> Column:
@@ -121,16 +123,16 @@ def base_failed(stats: Column, min_words: int = 50, max_repeat_percent: int = 50
 class Condition:
     feature: str
     above: bool
-    cut: int  # index of the threshold
     threshold: float
 
-    def on(self, stats: Column) -> Column:
-        value = feature(self.feature, stats)
+    def of(self, value: Column) -> Column:
         return value > self.threshold if self.above else value <= self.threshold
 
-    def on_bins(self) -> Column:
-        bin_ = F.col("bins")[FEATURES.index(self.feature)]
-        return bin_ > self.cut if self.above else bin_ <= self.cut
+    def on(self, stats: Column) -> Column:
+        return self.of(feature(self.feature, stats))
+
+    def on_values(self) -> Column:
+        return self.of(F.col("values")[FEATURES.index(self.feature)])
 
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:.6g}"
@@ -146,25 +148,39 @@ def every(parts: Sequence[Column]) -> Column:
     return out
 
 
-def binned(labelled: DataFrame, cuts: int) -> tuple[DataFrame, dict[str, list[float]]]:
-    """The labelled rows as (bad, growing, bins, values), and the thresholds of each feature: its quantiles."""
-    shares = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    stats = F.col("stats")
-    found = labelled.agg(*[F.percentile_approx(feature(f, stats), shares, 2000).alias(f) for f in FEATURES]).first()
-    thresholds = {f: sorted(set(found[f] or [])) for f in FEATURES}
+def covers(rule: Rule) -> Column:
+    return every([c.on_values() for c in rule])
 
-    def bin_of(name: str) -> Column:
-        value = feature(name, stats)
-        return F.size(F.filter(F.lit(thresholds[name]).cast("array<double>"), lambda t: value > t))
 
-    bins, values = [bin_of(f) for f in FEATURES], F.array(*[feature(f, stats) for f in FEATURES])
+def valued(labelled: DataFrame) -> DataFrame:
+    """The labelled rows as (bad, growing, values)."""
+    values = F.array(*[feature(f, F.col("stats")) for f in FEATURES])
     growing = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(ALL_PARTS)) < GROW_PARTS
-    return stored(labelled.select("bad", growing.alias("growing"), F.array(*bins).alias("bins"), values.alias("values")), "binned"), thresholds
+    return stored(labelled.select("bad", growing.alias("growing"), values.alias("values")), "labelled-values")
 
 
-def histogram(rows: DataFrame) -> dict[tuple[int, int], list[int]]:
+def thresholds_of(rows: DataFrame, cuts: int) -> dict[str, list[float]]:
+    """Where a condition on these rows may cut each feature: quantiles of all of them and of the bad ones, finer towards both ends."""
+    inner = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    ends = [inner[0] / 2**k for k in range(1, END_CUTS + 1)]
+    shares = sorted([*inner, *ends, *[1 - e for e in ends]])
+    values = [F.col("values")[at] for at in range(len(FEATURES))]
+    found = rows.agg(
+        *[F.percentile_approx(v, shares, ACCURACY) for v in values],
+        *[F.percentile_approx(F.when(F.col("bad"), v), shares, ACCURACY) for v in values],
+    ).first()
+    return {f: sorted({*(found[at] or []), *(found[len(FEATURES) + at] or [])}) for at, f in enumerate(FEATURES)}
+
+
+def histogram(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict[tuple[int, int], list[int]]:
     """Rows that are not bad and bad by (feature, bin): the numbers of features and thresholds bound its size."""
-    counts = rows.select("bad", F.posexplode("bins").alias("at", "bin")).groupBy("at", "bin").agg(
+
+    def bin_of(at: int, name: str) -> Column:
+        value = F.col("values")[at]
+        return F.size(F.filter(F.lit(thresholds[name]).cast("array<double>"), lambda t: value > t))
+
+    bins = F.array(*[bin_of(at, f) for at, f in enumerate(FEATURES)])
+    counts = rows.select("bad", F.posexplode(bins).alias("at", "bin")).groupBy("at", "bin").agg(
         F.count_if(~F.col("bad")).alias("good"), F.count_if(F.col("bad")).alias("bad")
     )
     return {(r["at"], r["bin"]): [r["good"], r["bad"]] for r in counts.collect()}
@@ -183,12 +199,12 @@ def best_condition(counts: dict[tuple[int, int], list[int]], thresholds: dict[st
     for at, name in enumerate(FEATURES):
         good, bad = ([counts.get((at, b), [0, 0])[k] for b in range(len(thresholds[name]) + 1)] for k in (0, 1))
         all_good, all_bad, under_good, under_bad = sum(good), sum(bad), 0, 0
-        for cut, threshold in enumerate(thresholds[name]):
-            under_good, under_bad = under_good + good[cut], under_bad + bad[cut]
+        for bin_, threshold in enumerate(thresholds[name]):
+            under_good, under_bad = under_good + good[bin_], under_bad + bad[bin_]
             for above, g, b in ((False, under_good, under_bad), (True, all_good - under_good, all_bad - under_bad)):
                 value = gain(b, g, all_bad, all_good)
                 if value > best[0] + 1e-9:
-                    best = value, Condition(name, above, cut, threshold), g
+                    best = value, Condition(name, above, threshold), g
     return best
 
 
@@ -204,7 +220,7 @@ def prune(rule: Rule, rows: DataFrame, min_precision: float, min_rows: int) -> R
     """The beginning of the rule that is worth most on rows it was not grown on; empty if none is good enough."""
     worth = []
     for k in range(1, len(rule) + 1):
-        hit = every([c.on_bins() for c in rule[:k]])
+        hit = covers(rule[:k])
         worth += [F.count_if(hit & F.col("bad")).alias(f"bad{k}"), F.count_if(hit & ~F.col("bad")).alias(f"good{k}")]
     found, best, kept = rows.agg(*worth).first(), -2.0, ()
     for k in range(1, len(rule) + 1):
@@ -215,32 +231,37 @@ def prune(rule: Rule, rows: DataFrame, min_precision: float, min_rows: int) -> R
 
 
 def learn(
-    labelled: DataFrame, cuts: int = 40, max_rules: int = 8, max_conditions: int = 4, min_precision: float = 0.9, min_rows: int = 5
+    labelled: DataFrame, cuts: int = 40, max_rules: int = 8, max_conditions: int = 4, min_precision: float = 0.9, min_rows: int = 5, max_emptied: int = 8
 ) -> list[Rule]:
     """Rules for bad documents from (doc_id, stats, bad), by sequential covering.
 
     Two thirds of the rows grow a rule, condition by condition, each the threshold of most information gain, until it
-    covers no good row; the others prune it back to the beginning that is worth most there. What a rule covers is
+    covers no good row; the others prune it back to the beginning that is worth most there. Every condition chooses from
+    quantiles of the rows that are still covered, so a defect of few rows is cut out by ever finer ones. What a rule covers is
     taken away before the next one. A rule enters only with ``min_precision`` on at least ``min_rows`` of the rows it
-    was not grown on. Every step is one aggregate over all labelled rows. No rows give no rules.
+    was not grown on; one that fails is emptied, the bad rows it grew on are set aside and the next is grown without them,
+    until ``max_emptied`` have failed. Every step is two aggregates over the labelled rows. No rows give no rules.
     """
-    rows, thresholds = binned(labelled, cuts)
+    rows = valued(labelled)
     rules: list[Rule] = []
-    while len(rules) < max_rules:
-        left = rows.where(every([~every([c.on_bins() for c in r]) for r in rules]))
-        rule: Rule = ()
-        while len(rule) < max_conditions:
-            covered = left.where(F.col("growing") & every([c.on_bins() for c in rule]))
-            value, condition, good = best_condition(histogram(covered), thresholds)
+    emptied: list[Rule] = []
+    while len(rules) < max_rules and len(emptied) < max_emptied:
+        left = rows.where(every([~covers(r) for r in rules]))
+        growing = left.where(F.col("growing") & ~(F.col("bad") & ~every([~covers(r) for r in emptied])))
+        grown: Rule = ()
+        while len(grown) < max_conditions:
+            covered = growing.where(covers(grown))
+            thresholds = thresholds_of(covered, cuts)
+            value, condition, good = best_condition(histogram(covered, thresholds), thresholds)
             if condition is None:
                 break
-            rule = (*rule, centred(condition, rows))
+            grown = (*grown, centred(condition, rows))
             if not good:
                 break
-        rule = prune(rule, left.where(~F.col("growing")), min_precision, min_rows) if rule else ()
-        if not rule:
+        if not grown:
             break
-        rules.append(rule)
+        rule = prune(grown, left.where(~F.col("growing")), min_precision, min_rows)
+        (rules if rule else emptied).append(rule or grown)
     return rules
 
 

@@ -85,6 +85,39 @@ def test_rules_are_ordered_expressions(spark, documents, prose):
     assert "CASE WHEN" in str(q.verdict(rules, F.col("stats")))
 
 
+def planted(spark, prose, defects, n=2400):
+    """Documents of 60 words, those of each defect (a set of ids, a change of a word) labelled bad: (stats, labels)."""
+    rows = []
+    for i in range(n):
+        words = prose(i, 60).split()
+        for ids, change in defects:
+            words = [change(w) if i in ids else w for w in words]
+        rows.append((i, " ".join(words)))
+    bad = set().union(*[ids for ids, _ in defects])
+    stats = q.text_statistics(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "stats")
+    return stats, spark.createDataFrame([(i, int(i not in bad), 0) for i in range(n)], LABELS)
+
+
+def rejected(stats, labels):
+    rules = q.learn(q.labelled_rows(stats, labels))
+    return {r["doc_id"] for r in stats.select("doc_id", q.verdict(rules, F.col("stats")).alias("rule")).where("rule > 0").collect()}
+
+
+def test_a_defect_of_one_percent_on_a_continuous_feature(spark, prose):
+    rare = set(range(50, 2400, 100))
+    stats, labels = planted(spark, prose, [(rare, lambda w: w + "ation")])
+    found = rejected(stats, labels)
+    assert found >= rare and len(rare) >= 0.9 * len(found)
+
+
+def test_a_defect_behind_one_that_fails(spark, prose):
+    ids = spark.range(2400).select("id", (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(q.ALL_PARTS)) < q.GROW_PARTS).alias("growing")).collect()
+    unproven = set([r["id"] for r in ids if r["growing"]][:200])  # no row is left that could show that its rule is right
+    other = set(range(2300, 2400))
+    stats, labels = planted(spark, prose, [(unproven, lambda w: w + "!"), (other - unproven, lambda w: w + "$")])
+    assert rejected(stats, labels) == other - unproven
+
+
 @pytest.mark.parametrize("labels", [[], [(1, None, 0)], [(1, 1, 0), (2, 1, 1)], [(99, 0, 0)]])
 def test_without_usable_labels_only_the_base_decides(spark, documents, prose, labels):
     rows = [(1, prose(1, 80)), (2, prose(2, 10)), (3, None)]
