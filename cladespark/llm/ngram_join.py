@@ -338,7 +338,7 @@ def similar_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     return nodes, components(links)
 
 
-def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75, with_component: bool = False) -> DataFrame:
     """(k1, k2, doc_id, n_shingles, component_id) of every row: the least doc_id that links lead to.
 
     Words are what lies between ASCII white space, A-Z in lower case; a set holds the distinct ``size``-word shingles, or
@@ -346,16 +346,20 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     missed. Null, empty and blank texts have no shingles and link with nothing. Equal
     sets always link, so rows that repeat do. Null ids are no least id: where a group has no other, its id is null.
     An empty table gives an empty result; further columns are not read.
+
+    Where ids repeat or are null, groups may share a component_id: ``with_component`` adds the column ``component``, which
+    only the rows of one group share; it is null where there are no shingles.
     """
+    values = ["component_id", "component"] if with_component else ["component_id"]
     nodes, linked = similar_nodes(docs, size, percent)
     groups = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs"))
     groups = groups.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = stored(groups.join(least, "component").select("node", "n_docs", "component_id"), "node-groups")
-    full = attach(nodes.where("n > 0"), groups, ["node"], "n_docs", ["component_id"])
+    groups = stored(groups.join(least, "component").select("node", "n_docs", *values), "node-groups")
+    full = attach(nodes.where("n > 0"), groups, ["node"], "n_docs", values)
     empty = nodes.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    out = full.unionByName(empty)
-    return out.select(*KEY, "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = full.unionByName(empty, allowMissingColumns=True)
+    return out.select(*KEY, "doc_id", F.col("n").alias("n_shingles"), *values)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

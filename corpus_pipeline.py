@@ -31,9 +31,15 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of similar documents the one with the least doc_id."""
-    groups = ngram_join.similar_groups(docs)
-    staying = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*KEY)
+    """Of every group of similar documents the one with the least doc_id, and of several with that id, or with none, the one of the least hashes.
+
+    Texts without shingles are groups of their own.
+    """
+    groups = ngram_join.similar_groups(docs, with_component=True)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = first.where(F.col("component").isNull()).select(*KEY)
+    one = first.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(*KEY)).alias("key"))
+    staying = one.select("key.*").unionByName(alone)
     rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row")).join(staying, list(KEY), "left_semi")
     return rows.dropDuplicates(list(KEY)).select("row.*")
 

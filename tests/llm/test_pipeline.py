@@ -59,6 +59,24 @@ def test_stages(spark):
     assert sum(n < 1024 for n in filled.values()) <= 1 and max(filled.values()) <= 1024
 
 
+def test_one_of_each_group_where_ids_repeat_or_are_null(spark, documents, prose):
+    a, b, c, d = (prose(k, 200) for k in range(4))
+    groups = [
+        [(5, a), (5, a + " more"), (5, a + " and more"), (9, a)],  # one id, several texts
+        [(None, b), (None, b + " more")],
+        [(None, c), (7, c + " more")],
+        [(5, d)],  # the id of another group
+        [(20, "")], [(21, None)], [(None, "")],
+    ]
+    rows = [r for g in groups for r in g] + [(5, a)]
+    docs = documents(rows)
+    out = corpus_pipeline.one_of_each_group(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    staying = pairs(out)
+    assert len(staying) == len(groups) and all(sum(r in g for r in staying) == 1 for g in groups)
+    assert [next(i for i, t in staying if (i, t) in g) for g in groups] == [5, None, 7, 5, 20, 21, None]
+
+
 def test_run_is_all_stages(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns == [c.split()[0] for c in packing.PACKED.split(", ")] and out.count() > 0
