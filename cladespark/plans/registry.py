@@ -221,8 +221,8 @@ def part_marker_profiles(spark, sf_dir):
     markers = bridge.from_tables(spark, sf_dir, bridge.NATION_MARKERS)
     reads = bridge.reads(spark, sf_dir)
     coverage = intervals.marker_fragments(reads, markers, bridge.samples(spark, sf_dir))
-    mutations = variants.to_mutations(variants_decomposed(spark, sf_dir)).where("length(alt) = 1 AND alt < 'C'")
-    mutations = mutations.dropDuplicates(["sample_id", "chrom", "pos"])
+    mutations = variants.to_mutations(variants_decomposed(spark, sf_dir)).where("alt = 'A'")
+    mutations = mutations.select("sample_id", "chrom", "pos", "alt", "is_mutated").distinct()
     states = genotype.marker_states(coverage, mutations, markers)
     return cohort.report(cohort.marker_profiles(states, bridge.NATION_SITES), "sample_id")
 

@@ -9,16 +9,18 @@ import __spark_entry__ as entry_points
 from cladespark.plans import oracle, registry
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = [p.stem for p in sorted(Path(SF_DIR).glob("*.parquet"))]
+SIZES = ("sf0.001", "sf0.01")
 QUERIES, SQL = registry.QUERIES, oracle.SQL
 
 
-@pytest.fixture(scope="module")
-def other():
+@pytest.fixture(scope="module", params=SIZES)
+def tables(request):
+    """A folder of tables and the same tables in the other engine."""
     connection = duckdb.connect()
-    for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
-    return connection
+    folder = f"/root/testdata/{request.param}"
+    for path in sorted(Path(folder).glob("*.parquet")):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return folder, connection
 
 
 def plain(rows):
@@ -34,8 +36,9 @@ def test_every_query_has_its_sql():
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_query(spark, other, name):
-    found = QUERIES[name](spark, SF_DIR)
+def test_query(spark, tables, name):
+    folder, other = tables
+    found = QUERIES[name](spark, folder)
     expected = other.execute(SQL[name])
     columns = [c[0] for c in expected.description]
     assert sorted(found.columns) == sorted(columns)
