@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladespark.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, recurrent_lm, repeats, toxicity, warc
+from cladespark.llm import (
+    exact_dedup,
+    fill_middle,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    recurrent_lm,
+    repeats,
+    resampling,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,10 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
 }
 
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op11_importance_resampling": resampling.SQL,
+    "op12_fill_middle": fill_middle.SQL,
 }

@@ -24,7 +24,7 @@ def plain(rows):
     return sorted((tuple(float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v for v in r) for r in rows), key=repr)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = [n for n in entry_points.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry_points.queries()
     assert set(registry.SQL) <= set(registry.QUERIES)
