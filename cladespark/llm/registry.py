@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cladespark.llm import (
+    embedding_dedup,
     exact_dedup,
     fill_middle,
     line_dedup,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -42,4 +44,5 @@ SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
     "op11_importance_resampling": resampling.SQL,
     "op12_fill_middle": fill_middle.SQL,
+    "op13_embedding_dedup": embedding_dedup.SQL,
 }

@@ -26,7 +26,7 @@ def plain(rows):
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = [n for n in entry_points.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry_points.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry_points.queries()
     assert set(registry.SQL) <= set(registry.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram join", "mixing", "packing"]
 

@@ -1,0 +1,136 @@
+"""Near-duplicate vectors against all cosines."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cladespark.llm import embedding_dedup
+from tests.conftest import rows_of
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def expected(rows, threshold=0.93):
+    n = len(rows)
+    units = []
+    for _, v, _ in rows:
+        ok = v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+        v = np.array(v, np.float32).astype(float) / max(abs(float(x)) for x in v) if ok else None
+        units.append(v / np.linalg.norm(v) if ok else None)
+    linked = np.zeros((n, n), bool)
+    kinds = {}
+    for i, (_, _, label) in enumerate(rows):
+        if units[i] is not None and label is not None:
+            kinds.setdefault((label, len(units[i])), []).append(i)
+    for members in kinds.values():
+        m = np.stack([units[i] for i in members])
+        linked[np.ix_(members, members)] = m @ m.T >= threshold
+    np.fill_diagonal(linked, False)
+    part = list(range(n))
+    for first in range(n):
+        if part[first] == first:
+            todo = [first]
+            while todo:
+                for j in np.flatnonzero(linked[todo.pop()]):
+                    if part[j] > first:
+                        part[j] = first
+                        todo.append(j)
+    least = {}
+    for i, (vec_id, _, _) in enumerate(rows):
+        if vec_id is not None:
+            least[part[i]] = min(least.get(part[i], vec_id), vec_id)
+    out = [(r[0], int(linked[i].sum()), least.get(part[i]), r[0] == least.get(part[i])) for i, r in enumerate(rows)]
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, **options):
+    vectors = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("cid", "vector", "dims", "least_id", "e0", "k1", "n", "part")})
+    return rows_of(embedding_dedup.near_vectors(vectors, **options), "vec_id", "n_links", "component_id", "kept")
+
+
+def at_cosine(rng, v, cosine):
+    """A vector at a given cosine from another."""
+    other = rng.standard_normal(len(v))
+    other -= v * (other @ v) / (v @ v)
+    return v / np.linalg.norm(v) * cosine + other / np.linalg.norm(other) * math.sqrt(1 - cosine**2)
+
+
+def plain(v):
+    return [float(x) for x in np.asarray(v, np.float32)]
+
+
+def test_awkward_vectors(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [
+        (1, plain(a), 0), (2, plain(a), 0), (2, plain(a), 0), (3, plain(3 * a), 0), (4, plain(a), 1), (5, plain(a), None), (6, plain(-a), 0),
+        (7, None, 0), (8, [], 0), (9, [0.0] * 16, 0), (10, [0.0] * 16, 0), (11, [None] + [1.0] * 15, 0), (12, [float("nan")] + [1.0] * 15, 0),
+        (13, [float("inf")] + [1.0] * 15, 0), (14, [float("inf")] + [1.0] * 15, 0), (15, plain(a[:8]), 0), (16, plain(a[:8]), 0), (None, plain(b), 0),
+        (None, plain(b), 0), (None, plain(a), 0), (20, plain(a * 1e30), 0), (21, plain(a * 1e-30), 0), (-5, plain(at_cosine(rng, a, 0.99)), 0), (22, [1.0], 2),
+        (23, [2.0], 2), (24, [-1.0], 2),
+    ]
+    assert found(spark, rows) == expected(rows)
+
+
+def test_chains_and_copies(spark):
+    """Chains of vectors whose ends do not link, and a vector that a third of all rows hold."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for label in range(3):
+        for chain in range(12):
+            v = rng.standard_normal(32)
+            for step in range(6):
+                rows.append((1000 * label + 10 * chain + step, plain(v), label))
+                v = at_cosine(rng, v, 0.96)
+        rows += [(5000 + i, plain(rng.standard_normal(32)), label) for i in range(100)]
+    rows += [(9000 + i, rows[0][1], 0) for i in range(250)]
+    got = found(spark, rows)
+    assert got == expected(rows)
+    assert max(r[1] for r in got) >= 250
+
+
+@pytest.mark.parametrize(("crowded", "block"), [(20, 4096), (4096, 40), (10, 16)])
+def test_groups_beyond_a_bucket_or_a_block(spark, monkeypatch, crowded, block):
+    """A third of all vectors near one another, each a little different."""
+    monkeypatch.setattr(embedding_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal(24)
+    rows = [(i, plain(at_cosine(rng, v, 0.972)), 1) for i in range(150)] + [(500 + i, plain(rng.standard_normal(24)), 1) for i in range(300)]
+    got = found(spark, rows)
+    assert got == expected(rows) and 100 < max(r[1] for r in got) < 150
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold, each alone: found as planned, and none below."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1500):
+        v = rng.standard_normal(48)
+        cosine = rng.choice([0.9305, 0.935, 0.95, 0.929, 0.9])
+        rows += [(2 * i, plain(v), i % 2), (2 * i + 1, plain(at_cosine(rng, v, cosine)), i % 2)]
+    got, want = found(spark, rows), expected(rows)
+    links = sum(r[1] for r in want)
+    assert sum(r[1] for r in got) >= 0.98 * links
+    assert all(g[1] <= w[1] for g, w in zip(sorted(got), sorted(want), strict=True))
+
+
+def test_tables_follow_the_size():
+    for rows in (1, 100, 10**4, 10**6, 10**9):
+        bits, tables = embedding_dedup.table_plan(rows)
+        agree = (1 - math.acos(0.93) / math.pi) ** bits
+        assert 1 - (1 - agree) ** tables >= embedding_dedup.RECALL and embedding_dedup.MIN_BITS <= bits <= embedding_dedup.MAX_BITS
+    assert embedding_dedup.table_plan(10**6)[0] > embedding_dedup.table_plan(10**4)[0]
+
+
+def test_other_thresholds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, plain(v), 0) for i, v in enumerate(rng.standard_normal((60, 3)))]
+    assert found(spark, rows, threshold=0.99) == expected(rows, 0.99)
+
+
+def test_empty_table(spark):
+    assert found(spark, []) == []
+    assert found(spark, [(1, None, None)]) == [(1, 0, 1, True)]
