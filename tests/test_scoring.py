@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladespark import refdata
 from cladespark.functions.expressions import mismatch_cost
-from cladespark.operators import cohort, genotype, pileup, scoring, variants
+from cladespark.operators import cohort, genotype, packed_scoring, pileup, scoring, variants
 from tests.conftest import rows_of
 
 STATES = "sample_id string, chrom string, pos long, n_covering_frags long, ref string, alt string, is_mutated string"
@@ -198,6 +198,67 @@ def test_scores_against_brute_force(table, max_rows):
     assert rows_of(out) == brute_scores(states, profiles)
 
 
+SMALL = {"SITES_PER_PART": 7, "CLADES_PER_BLOCK": 4, "BLOCKS_PER_GROUP": 2, "BLOCKS_PER_DEAL": 1, "NAMED_BLOCKS": 0}
+
+
+@pytest.mark.parametrize("names", [(), ("SITES_PER_PART",), ("CLADES_PER_BLOCK", "BLOCKS_PER_GROUP", "BLOCKS_PER_DEAL"), tuple(SMALL)])
+def test_packed_scores_in_blocks_parts_and_deals(table, monkeypatch, names):
+    """Sparse profiles, samples that lack sites, states off the profiles, repeated and unknown alleles."""
+    for name in names:
+        monkeypatch.setattr(packed_scoring, name, SMALL[name])
+    rng = random.Random(11)
+    sites = [(f"k{p % 3}", p) for p in range(40)]
+    profiles = [(k, f"s{c % 3}", f"c{c}", p, rng.choice(["A", "C", "G", "TT", "?"])) for c in range(30) for k, p in sites if c < 20 or p % c == 1]
+    states = [("none", "k9", 5, "A")]
+    for sample in range(12):
+        for k, p in sites + [("k0", 77)]:
+            for _ in range(rng.choice([1, 1, 1, 2, 3]) if sample % 3 else 1):
+                if sample != 5 or p > 20:
+                    states.append((f"m{sample}", k, p, rng.choice(["A", "C", "G", "TT", "?", "-"]) if sample != 7 or p != 9 else None))
+    out = scoring.score_profiles(
+        table("sample_id string, chrom string, pos long, alt string", states), table(PROFILES, profiles), max_rows=0
+    )
+    assert rows_of(out) == brute_scores(states, profiles)
+
+
+def test_packed_scores_without_a_profile_allele(table):
+    profiles = [("k", "s", "known", 1, "A"), ("k", "s", "null", 1, None), ("k", "s", "other", 2, "C")]
+    states = [("x", "k", 1, "A"), ("x", "k", 2, "C"), ("y", "k", 1, "?"), ("y", "k", 2, "C")]
+    for max_rows in (500_000, 0):
+        out = scoring.score_profiles(
+            table("sample_id string, chrom string, pos long, alt string", states), table(PROFILES, profiles), max_rows=max_rows
+        )
+        assert rows_of(out) == [
+            ("x", "s", "known", 0.0), ("x", "s", "null", None), ("x", "s", "other", 0.0), ("y", "s", "known", 0.5), ("y", "s", "null", 0.5),
+            ("y", "s", "other", 0.0),
+        ]
+
+
+def test_packed_scores_move_no_row_per_site_and_clade(spark, table):
+    """What is exchanged for 40 samples and 200 profiles of 17 sites: rows of samples and blocks, and the reference tables."""
+    rng = random.Random(12)
+    profiles = table(PROFILES, [(refdata.CONTIG, "s", f"c{c}", p, rng.choice("ACGT")) for c in range(200) for p in refdata.POSITIONS])
+    states = table("sample_id string, chrom string, pos long, alt string",
+                   [(f"m{i}", refdata.CONTIG, p, rng.choice("ACGT")) for i in range(40) for p in refdata.POSITIONS])
+    out = scoring.score_profiles(states, profiles, max_rows=0)
+    assert len(out.collect()) == 8000
+    moved = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind == "ShuffleQueryStageExec":
+            moved.append(node.getRuntimeStatistics().rowCount().get())
+        if kind.endswith("QueryStageExec"):
+            walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(out._jdf.queryExecution().executedPlan())
+    assert moved and max(moved) <= 200 * 17
+
+
 def test_contigs_are_told_apart(table):
     states = table("sample_id string, chrom string, pos long, alt string", [("s", "c1", 10, "C"), ("s", "c2", 10, "T")])
     profiles = table(PROFILES, [("c1", "x", "A", 10, "C"), ("c1", "x", "B", 10, "T")])
