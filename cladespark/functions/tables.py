@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladespark.session import shared_folder
+
 BROADCAST_ROWS = 500_000
 PANEL_ROWS = 100_000
+PART_ENTRIES = 512
 
 
 def _literal(value: object) -> str:
@@ -39,6 +42,13 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.offset(max_rows).isEmpty()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the cluster's shared folder and read back."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a reference table once its size is checked, else leave the join to the planner."""
     return F.broadcast(df) if fits(df, max_rows) else df
@@ -70,6 +80,54 @@ def with_panel(rows: DataFrame, panel: DataFrame, max_rows: int = PANEL_ROWS) ->
     return shares.join(pieces, ["_part", "_salt"]).drop("_part", "_salt")
 
 
+def numbered(panel: DataFrame, columns: Sequence[str], per_part: int) -> DataFrame:
+    """Distinct panel entries with a ``part`` of about ``per_part`` of them and their ``number`` in it, from 0."""
+    parts = panel.count() // per_part + 1
+    dealt = panel.withColumn("part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
+    return dealt.withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy(*columns)).cast("long") - 1)
+
+
+def dense(entries: Column, size: Column, absent: Column) -> Column:
+    """Sorted (number, value) structs as an array of ``size`` values, ``absent`` where a number is not there.
+
+    Gaps are filled in one go, so the work grows with the array and not with its square.
+    """
+    def filled(i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1).cast("long")).otherwise(F.get(entries, i - 1)["number"])
+        here = F.get(entries, i)
+        return F.concat(F.array_repeat(absent, (here["number"] - before - 1).cast("int")), F.array(here["value"]))
+
+    last = F.coalesce(F.get(entries, F.size(entries) - 1)["number"], F.lit(-1).cast("long"))
+    tail = F.array(F.array_repeat(absent, (size - 1 - last).cast("int")))
+    inner = F.transform(F.sequence(F.lit(0), F.size(entries) - 1), filled)
+    return F.flatten(F.when(F.size(entries) > 0, F.concat(inner, tail)).otherwise(tail))
+
+
+def with_zeros(counts: DataFrame, rows: DataFrame, panel: DataFrame, values: Sequence[str], per_part: int = PART_ENTRIES) -> DataFrame:
+    """One row per (row, panel entry) with the summed ``values`` of ``counts``, zero where it has none.
+
+    A key that only ``counts`` has keeps its entries that are not zero. ``rows`` are distinct keys, ``panel`` distinct entries, ``counts`` has the columns of both. What a key has in a part of the
+    panel is folded to one sorted array; zeros are filled in as the array is unrolled next to the entries, so none is ever moved.
+    """
+    key, entry = rows.columns, panel.columns
+    listed = numbered(panel, entry, per_part)
+    placed = counts.join(broadcast_if_small(listed), list(entry))
+    summed = placed.groupBy(*key, "part", "number").agg(*[F.sum(v).alias(v) for v in values])
+    value = F.struct(*values).alias("value")
+    folded = summed.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct("number", value))).alias("found"))
+    entries = F.sort_array(F.collect_list(F.struct("number", *entry)))
+    parts = listed.groupBy("part").agg(entries.alias("entries"))
+    every = with_panel(rows, listed.select("part").distinct()).withColumn("every", F.lit(True)).join(folded, [*key, "part"], "full")
+    met = every.join(broadcast_if_small(parts, PANEL_ROWS // per_part), "part")
+    zeros = F.struct(*[F.lit(0).cast("long").alias(v) for v in values])
+    kind = counts.select(value).schema["value"].dataType.simpleString()
+    found = F.coalesce("found", F.expr(f"CAST(array() AS array<struct<number: bigint, value: {kind}>>)"))
+    all_values = dense(found, F.size("entries").cast("long"), zeros)
+    unrolled = met.select(*key, "every", F.explode(F.arrays_zip("entries", all_values.alias("v"))).alias("c"))
+    unrolled = unrolled.where(F.col("every") | F.greatest(F.lit(0), *[F.abs(f"c.v.{v}") for v in values]).cast("boolean"))
+    return unrolled.select(*key, *[F.col(f"c.entries.{c}").alias(c) for c in entry], *[F.col(f"c.v.{v}").alias(v) for v in values])
+
+
 def spread(
     df: DataFrame, keys: Sequence[str], column: str, value: str, labels: dict, reject_duplicates: bool = True
 ) -> DataFrame:

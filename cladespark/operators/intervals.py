@@ -2,11 +2,10 @@
 
 Intervals are 0-based and half-open. Reads are (sample_id, chrom, start, end, ...).
 
-The overlap join cuts both sides into fixed-width bins and joins on (chrom, bin), so it
-is an equi-join at any panel size. The binned targets are counted first: up to a limit they are broadcast, and no
-read is moved before it is folded by a partial aggregate. Beyond it equal reads are folded, and both sides are
-shuffled by (chrom, bin) and a salt, so a crowded bin is many tasks. All later groups
-are bounded by a bin or a tile, never by the number of reads of a sample.
+The overlap join is an equi-join on bins at any panel size. Targets cut into bins of one width are counted first: up
+to a limit they are broadcast, and no read is moved before it is folded by a partial aggregate. Beyond it equal reads are
+folded, and both sides are shuffled by bins of several widths (``interval_levels``), where an interval of any length is in
+a few bins and a crowded bin is many tasks. All later groups are bounded by a bin or a tile, never by the number of reads of a sample.
 """
 
 from __future__ import annotations
@@ -14,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladespark.functions.tables import BROADCAST_ROWS, broadcast_if_small, fits, with_panel
+from cladespark.functions.tables import BROADCAST_ROWS, broadcast_if_small, fits, with_panel, with_zeros
+from cladespark.operators.interval_levels import overlapping
 
 BIN_WIDTH = 4096
 TILE_WIDTH = 65536
-SALTS = 16
 TARGET = ("chrom", "start", "end")
 
 
@@ -57,33 +56,33 @@ def overlaps(reads: DataFrame, targets: DataFrame, bin_width: int = BIN_WIDTH, m
     return _overlaps(reads, targets, bin_width, binned_rows(targets, bin_width) <= max_rows)
 
 
-def _overlaps(reads: DataFrame, targets: DataFrame, bin_width: int, small: bool) -> DataFrame:
-    left = _with_bins(reads, bin_width)
-    right = _with_bins(targets, bin_width).withColumnsRenamed({"start": "t_start", "end": "t_end"})
+def _overlaps(reads: DataFrame, targets: DataFrame, bin_width: int, small: bool, cut: bool = True) -> DataFrame:
+    """As ``overlaps``; without ``cut`` a pair may be one row, of its first bin, and has no lo and hi."""
     start, end = F.greatest("start", "t_start"), F.least("end", "t_end")
-    bin_start = F.col("bin") * bin_width
     if small:
-        joined = left.join(F.broadcast(right), ["chrom", "bin"])
+        right = _with_bins(targets, bin_width).withColumnsRenamed({"start": "t_start", "end": "t_end"})
+        joined = _with_bins(reads, bin_width).join(F.broadcast(right), ["chrom", "bin"])
+        joined = joined.where((F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")))
     else:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(*reads.columns), F.lit(SALTS)))
-        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-        right = right.withColumn("_salt", F.explode(salts)).hint("merge")
-        joined = left.join(right, ["chrom", "bin", "_salt"]).drop("_salt")
+        joined = overlapping(reads, targets, bin_width)
+        if not cut:
+            return joined.withColumn("is_first", F.lit(True))
+        bins = F.sequence(_div(start, bin_width), _div(end - 1, bin_width))
+        joined = joined.withColumn("bin", F.explode(bins))
+    bin_start = F.col("bin") * bin_width
     return (
-        joined.where((F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")))
-        .withColumn("lo", F.greatest(start, bin_start))
+        joined.withColumn("lo", F.greatest(start, bin_start))
         .withColumn("hi", F.least(end, bin_start + bin_width))
         .where(F.col("lo") < F.col("hi"))
         .withColumn("is_first", _div(start, bin_width) == F.col("bin"))
     )
 
 
-def _counted_overlaps(reads: DataFrame, targets: DataFrame, bin_width: int, max_rows: int) -> DataFrame:
+def _counted_overlaps(reads: DataFrame, targets: DataFrame, bin_width: int, small: bool, cut: bool = True) -> DataFrame:
     """Overlaps of reads with their number in ``n``; equal reads are folded first where reads have to be moved."""
     reads = reads.select("sample_id", *TARGET)
-    small = binned_rows(targets, bin_width) <= max_rows
     counted = reads.withColumn("n", F.lit(1).cast("long")) if small else reads.groupBy("sample_id", *TARGET).agg(F.count("*").alias("n"))
-    return _overlaps(counted, targets, bin_width, small)
+    return _overlaps(counted, targets, bin_width, small, cut)
 
 
 def sample_ids(reads: DataFrame) -> DataFrame:
@@ -95,10 +94,11 @@ def target_fragments(
 ) -> DataFrame:
     """Reads per (sample, target), with a zero row where a sample has none."""
     targets = targets.select(*TARGET).distinct()
-    hits = _counted_overlaps(reads, targets, bin_width, max_rows).where("is_first").select(
+    small = binned_rows(targets, bin_width) <= max_rows
+    hits = _counted_overlaps(reads, targets, bin_width, small, cut=False).where("is_first").select(
         "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"), "n"
     )
-    return _count_with_zeros(hits, targets, samples)
+    return _count_with_zeros(hits, targets, samples, small)
 
 
 def marker_fragments(
@@ -110,13 +110,17 @@ def marker_fragments(
     that joining mutations to it moves nothing again.
     """
     markers = markers.select("chrom", "pos").distinct()
-    hits = _counted_overlaps(reads, markers_to_targets(markers), bin_width, max_rows).select(
-        "sample_id", "chrom", F.col("t_end").alias("pos"), "n"
-    )
-    return _count_with_zeros(hits, markers, samples)
+    targets = markers_to_targets(markers)
+    small = binned_rows(targets, bin_width) <= max_rows
+    hits = _counted_overlaps(reads, targets, bin_width, small, cut=False).select("sample_id", "chrom", F.col("t_end").alias("pos"), "n")
+    return _count_with_zeros(hits, markers, samples, small)
 
 
-def _count_with_zeros(hits: DataFrame, panel: DataFrame, samples: DataFrame) -> DataFrame:
+def _count_with_zeros(hits: DataFrame, panel: DataFrame, samples: DataFrame, small: bool) -> DataFrame:
+    """Summed hits of every (sample, panel entry): a small panel's zeros are added to the hits, a large one's filled in after the sums."""
+    if not small:
+        hits = hits.withColumnRenamed("n", "n_covering_frags")
+        return with_zeros(hits, samples.select("sample_id").distinct(), panel, ["n_covering_frags"])
     zeros = with_panel(samples.select("sample_id"), panel).withColumn("n", F.lit(0).cast("long"))
     key = [c for c in hits.columns if c != "n"]
     return hits.unionByName(zeros).groupBy(*key).agg(F.sum("n").alias("n_covering_frags"))
@@ -136,27 +140,28 @@ def target_coverage(
     """
     lines, targets = targets, targets.select(*TARGET).distinct()
     piece = ["sample_id", "chrom", "t_start", "t_end", "bin"]
+    small = binned_rows(targets, bin_width) <= max_rows
     folded = (
-        _counted_overlaps(reads, targets, bin_width, max_rows)
+        _counted_overlaps(reads, targets, bin_width, small)
         .groupBy(*piece, "lo")
         .agg(F.max("hi").alias("hi"), F.sum(F.when(F.col("is_first"), F.col("n")).otherwise(0)).alias("n"))
     )
     before = Window.partitionBy(*piece).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     covered_to = F.coalesce(F.max("hi").over(before), F.col("lo"))
     measured = folded.withColumn("covered", F.greatest(F.col("hi") - F.greatest("lo", covered_to), F.lit(0)))
-    zeros = with_panel(samples.select("sample_id"), targets).select(
-        "sample_id", *TARGET, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("covered")
+    measured = measured.select(
+        "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"), F.col("n").alias("n_covering_frags"),
+        F.col("covered").alias("n_covered_bases"),
     )
+    sums = ["n_covering_frags", "n_covered_bases"]
+    if small:
+        zeros = with_panel(samples.select("sample_id"), targets).withColumns({c: F.lit(0).cast("long") for c in sums})
+        measured = measured.unionByName(zeros).groupBy("sample_id", *TARGET).agg(*[F.sum(c).alias(c) for c in sums])
+    else:
+        measured = with_zeros(measured, samples.select("sample_id").distinct(), targets, sums)
     size = F.greatest(F.col("end") - F.col("start"), F.lit(0))
-    measured = (
-        measured.select(
-            "sample_id", "chrom", F.col("t_start").alias("start"), F.col("t_end").alias("end"), "n", "covered"
-        )
-        .unionByName(zeros)
-        .groupBy("sample_id", *TARGET)
-        .agg(F.sum("n").alias("n_covering_frags"), F.sum("covered").alias("n_covered_bases"))
-        .withColumn("size", size)
-        .withColumn("frac_covered", F.try_divide(F.col("n_covered_bases").cast("double"), F.col("size")))
+    measured = measured.withColumn("size", size).withColumn(
+        "frac_covered", F.try_divide(F.col("n_covered_bases").cast("double"), F.col("size"))
     )
     if set(lines.columns) == set(TARGET):
         return measured

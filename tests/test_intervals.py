@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladespark.functions import tables
-from cladespark.operators import intervals
+from cladespark.operators import interval_levels, intervals
 from tests.conftest import rows_of
 
 READS = "sample_id string, chrom string, start long, end long"
@@ -104,16 +105,74 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_giant_targets_are_not_broadcast(spark, table):
-    """A thousand targets of a chromosome each are few rows, but very many bins."""
-    reads = table(READS, [("s", "c", 0, 5)])
+def test_giant_targets_are_one_row_each(spark, table):
+    """A thousand targets of a chromosome each are very many bins of one width, and a thousand rows at their own level."""
     targets = spark.range(1000).selectExpr("'c' AS chrom", "id AS start", "200000000 + id AS end")
     assert intervals.binned_rows(targets, intervals.BIN_WIDTH) > 48_000_000
-    plan = executed(intervals.overlaps(reads, targets))
-    assert "BroadcastExchange" not in plan and "_salt" in plan
+    counts = interval_levels.placed_counts(targets, intervals.BIN_WIDTH)
+    assert sum(r["n"] for r in counts.collect()) == 1000
+    reads = table(READS, [("s", "c", 0, 5), ("s", "c", 500, 502), ("t", "c", 199_999_990, 300_000_000)])
+    samples = table("sample_id string", [("s",), ("t",)])
+    out = intervals.target_fragments(reads, targets, samples)
+    assert [r[0] for r in out.groupBy("n_covering_frags").count().orderBy("n_covering_frags").select("count").collect()] == [498, 1497, 5]
     assert "BroadcastExchange" in executed(intervals.overlaps(reads, targets.limit(2)))
 
 
+LENGTHS = (0, 1, 2, 5, 9, 60, 300, 4000, 200_000)
+
+
+@pytest.mark.parametrize("width", [1, 4, 4096])
+@pytest.mark.parametrize("share_rows", [3, 100_000])
+def test_levels_give_every_pair_once(table, width, share_rows):
+    """Intervals of all lengths on both sides, a crowded place, and shares so small that most bins are split."""
+    rng = random.Random(width)
+
+    def some(n, tag):
+        starts = [rng.choice([rng.randrange(300), rng.randrange(300_000), 77]) for _ in range(n)]
+        return [(f"{tag}{i}", rng.choice(("c1", "c1", "c2")), s, s + rng.choice(LENGTHS)) for i, s in enumerate(starts)]
+
+    one, other = some(150, "r"), some(120, "t")
+    out = interval_levels.overlapping(
+        table("name string, chrom string, start long, end long", one), table("target string, chrom string, start long, end long", other), width, share_rows
+    )
+    found = rows_of(out, "name", "target", "start", "t_end")
+    assert found == sorted(
+        ((a[0], b[0], a[2], b[3]) for a in one for b in other if a[1] == b[1] and max(a[2], b[2]) < min(a[3], b[3])), key=repr
+    )
+
+
+def test_a_crowded_bin_is_many_shares_on_both_sides(spark):
+    one = spark.range(5000).selectExpr("'c' AS chrom", "id % 100 AS start", "id % 100 + 1000 AS end", "id")
+    other = spark.range(900).selectExpr("'c' AS chrom", "id % 90 AS start", "id % 90 + 800 AS end", "id AS target")
+    counts = [interval_levels.placed_counts(x, 4096) for x in (one, other)]
+    keys = [c.select("*", F.lit(0).alias("kind")).withColumnRenamed("n", n) for c, n in zip(counts, ("n_one", "n_other"), strict=True)]
+    crowded = interval_levels.crowded_keys(*keys, 500).collect()
+    assert [(r["one_shares"], r["other_shares"]) for r in crowded] == [(10, 2)]
+    assert interval_levels.overlapping(one, other, 4096, 500).count() == 5000 * 900
+
+
+def test_levels_of_empty_tables(table):
+    none, some = table(READS, []), table(TARGETS, [("c", 1, 5)])
+    assert rows_of(interval_levels.overlapping(none, some, 8)) == []
+    assert rows_of(interval_levels.overlapping(some, none.withColumnRenamed("sample_id", "name"), 8)) == []
+
+
+@pytest.mark.parametrize("per_part", [1, 3, 512])
+def test_zeros_are_filled_in_as_arrays_are_unrolled(table, per_part):
+    rng = random.Random(per_part)
+    panel = [("c", i) for i in range(40)]
+    counts = [(f"s{rng.randrange(6)}", *rng.choice(panel), rng.randrange(1, 9)) for _ in range(90)]
+    rows = [("s0",), ("s1",), ("s2",), ("none",)]
+    out = tables.with_zeros(
+        table("k string, chrom string, pos long, n long", counts), table("k string", rows), table("chrom string, pos long", panel), ["n"], per_part
+    )
+    sums = Counter()
+    for k, chrom, pos, n in counts:
+        sums[k, chrom, pos] += n
+    every = {(k, *p): 0 for k, in rows for p in panel} | dict(sums)
+    assert rows_of(out, "k", "chrom", "pos", "n") == sorted(((*k, n) for k, n in every.items()), key=repr)
+
+
 def test_contigs_do_not_decide_where_reads_go(spark):
     """Contigs whose size the planner does not know are counted and broadcast: nothing is shuffled by contig alone."""
     reads = spark.range(100).selectExpr("'s' AS sample_id", "concat('c', id % 2) AS chrom", "id AS start", "id + 5 AS end")
