@@ -117,7 +117,10 @@ def with_zeros(counts: DataFrame, rows: DataFrame, panel: DataFrame, values: Seq
     folded = summed.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct("number", value))).alias("found"))
     entries = F.sort_array(F.collect_list(F.struct("number", *entry)))
     parts = listed.groupBy("part").agg(entries.alias("entries"))
-    every = with_panel(rows, listed.select("part").distinct()).withColumn("every", F.lit(True)).join(folded, [*key, "part"], "full")
+    every = with_panel(rows, listed.select("part").distinct()).withColumn("every", F.lit(True))
+    # A number of partitions is given, since few bytes come in and a row for every entry goes out.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = every.repartition(tasks, *key, "part").join(folded.repartition(tasks, *key, "part"), [*key, "part"], "full")
     met = every.join(broadcast_if_small(parts, PANEL_ROWS // per_part), "part")
     zeros = F.struct(*[F.lit(0).cast("long").alias(v) for v in values])
     kind = counts.select(value).schema["value"].dataType.simpleString()

@@ -8,7 +8,7 @@ by a measured histogram, and each share meets all shares of the other side in a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +23,17 @@ BIN = ("chrom", "level", "bin")
 KEY = (*BIN, "kind")
 
 
+#: By level: where an interval of that level is put, as (level, kind).
+Places = dict[int, list[tuple[int, int]]]
+
+
 def width_of(level: int, width: int) -> int:
-    return width * STEP**level
+    """The width of a level's bins; the last level has one bin for the whole contig."""
+    return width * STEP**level if level < LEVELS else (1 << 63) - 1
 
 
 def level_of(width: int) -> Column:
-    """The level of an interval; one too long for all of them has the level of the whole contig."""
+    """The level of an interval; one too long for all others has the last."""
     size = F.col("end") - F.col("start")
     level = F.lit(LEVELS)
     for i in reversed(range(LEVELS)):
@@ -36,53 +41,45 @@ def level_of(width: int) -> Column:
     return level
 
 
-def _bin_at(position: Column, level: int, width: int) -> Column:
-    return F.lit(0).cast("long") if level >= LEVELS else F.call_function("div", position, F.lit(width_of(level, width)))
+def _div(value: Column, by: Column) -> Column:
+    return F.call_function("div", value, by)
 
 
-def _touched(level: int, kind: int, width: int) -> Column:
-    """The bins of a level that an interval no longer than they are wide touches, one or two."""
-    first, last = _bin_at(F.col("start"), level, width), _bin_at(F.col("end") - 1, level, width)
+def _places(places: Places, size: Callable[[int, int], int]) -> Column:
+    """The places by level as one constant: arrays of (level, kind, size), the size of (from level, to level)."""
+    empty = "CAST(array() AS array<struct<level: int, kind: int, size: bigint>>)"
 
-    def at(bin_number: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), bin_number.alias("bin"), F.lit(kind).alias("kind"))
+    def listed(level: int) -> str:
+        entries = [f"named_struct('level', {at}, 'kind', {kind}, 'size', {size(level, at)}L)" for at, kind in places.get(level, [])]
+        return f"array({', '.join(entries)})" if entries else empty
 
-    return F.when(first == last, F.array(at(first))).otherwise(F.array(at(first), at(last)))
+    return F.expr(f"array({', '.join(listed(i) for i in range(LEVELS + 1))})")
 
 
-def _spread(intervals: DataFrame, own: dict[int, list[int]], above: Sequence[int], kind: int, width: int) -> DataFrame:
-    """Intervals in the bins where they are placed, under the kinds listed for their level, and in those they look up at coarser levels."""
-    nothing = F.expr("CAST(array() AS array<struct<level: int, bin: bigint, kind: int>>)")
-    level = level_of(width)
-    placed = [F.when(level == at, _touched(at, k, width)).otherwise(nothing) for at, kinds in own.items() for k in kinds]
-    looked_up = [F.when(level < at, _touched(at, kind, width)).otherwise(nothing) for at in above]
-    return intervals.select("*", F.inline(F.flatten(F.array(nothing, *placed, *looked_up))))
+def _spread(intervals: DataFrame, places: Places, width: int) -> DataFrame:
+    """Intervals with the bins of every place they are put in, one or two each; those without a base are nowhere."""
+    columns = intervals.columns
+    full = intervals.where(F.col("start") < F.col("end")).withColumn("_level", level_of(width))
+    put = full.select(*columns, F.explode(F.get(_places(places, lambda _, at: width_of(at, width)), F.col("_level"))).alias("_at"))
+    bins = F.sequence(_div(F.col("start"), F.col("_at.size")), _div(F.col("end") - 1, F.col("_at.size")))
+    return put.select(*columns, "_at.level", "_at.kind", F.explode(bins).alias("bin"))
 
 
 def placed_counts(intervals: DataFrame, width: int) -> DataFrame:
     """(chrom, level, bin, n): how many intervals are placed in each bin; those without a base are nowhere."""
-    full = intervals.where(F.col("start") < F.col("end"))
-    kinds = {level: [0] for level in range(LEVELS + 1)}
-    return _spread(full, kinds, (), 0, width).groupBy(*BIN).agg(F.count("*").alias("n"))
+    return _spread(intervals, {i: [(i, 0)] for i in range(LEVELS + 1)}, width).groupBy(*BIN).agg(F.count("*").alias("n"))
 
 
 def _levels(counts: DataFrame) -> list[int]:
     return sorted(r["level"] for r in counts.select("level").distinct().collect())
 
 
-def _key_counts(counts: DataFrame, own: dict[int, list[int]], above: Sequence[int], kind: int, name: str) -> DataFrame:
+def _key_counts(counts: DataFrame, places: Places, name: str) -> DataFrame:
     """Rows per key as the intervals will be spread, from the counts of placed ones: a bin's intervals look up the bins above it."""
-    def at(level: Column, bin_number: Column, of_kind: int) -> Column:
-        return F.struct(level.cast("int").alias("level"), bin_number.cast("long").alias("bin"), F.lit(of_kind).alias("kind"))
-
-    nothing = F.expr("CAST(array() AS array<struct<level: int, bin: bigint, kind: int>>)")
-    level, number = F.col("level"), F.col("bin")
-    rows = [F.when(level == i, F.array(at(level, number, k))).otherwise(nothing) for i, kinds in own.items() for k in kinds]
-    for i in above:
-        parent = F.lit(0) if i >= LEVELS else F.call_function("div", number, F.pow(F.lit(STEP), F.lit(i) - level).cast("long"))
-        rows.append(F.when(level < i, F.array(at(F.lit(i), parent, kind))).otherwise(nothing))
-    spread = counts.select("chrom", "n", F.inline(F.flatten(F.array(nothing, *rows))))
-    return spread.groupBy(*KEY).agg(F.sum("n").alias(name))
+    parts = _places(places, lambda level, at: STEP ** (at - level) if at < LEVELS or level == at else (1 << 63) - 1)
+    put = counts.select("chrom", "bin", "n", F.explode(F.get(parts, F.col("level"))).alias("_at"))
+    key = put.select("chrom", "_at.level", _div(F.col("bin"), F.col("_at.size")).alias("bin"), "_at.kind", "n")
+    return key.groupBy(*KEY).agg(F.sum("n").alias(name))
 
 
 def crowded_keys(one: DataFrame, other: DataFrame, share_rows: int) -> DataFrame:
@@ -118,23 +115,18 @@ def overlapping(one: DataFrame, other: DataFrame, width: int, share_rows: int =
     sides = {name: stored(placed_counts(df.select("chrom", "start", "end"), width), f"placed-{name}") for name, df in (("one", one), ("other", other))}
     at_one, at_other = _levels(sides["one"]), _levels(sides["other"])
     # Kind 0 meets where ``one`` is placed, at a level as coarse as that of ``other`` or coarser; kind 1 where only ``other`` is.
-    own_one, above_one = {i: [0] for i in at_one}, at_other
-    own_other = {i: [0] * (i in at_one) + [1] * any(j < i for j in at_one) for i in at_other}
-    above_other = at_one
-    crowded = stored(
-        crowded_keys(
-            _key_counts(sides["one"], own_one, above_one, 1, "n_one"), _key_counts(sides["other"], own_other, above_other, 0, "n_other"), share_rows
-        ),
-        "crowded",
-    )
-    left = _spread(one.where("start < end"), own_one, above_one, 1, width)
-    right = _spread(other.where("start < end"), own_other, above_other, 0, width)
+    put_one = {i: [(i, 0), *((j, 1) for j in at_other if j > i)] for i in at_one}
+    put_other = {
+        i: [*[(i, 0)] * (i in at_one), *[(i, 1)] * any(j < i for j in at_one), *((j, 0) for j in at_one if j > i)] for i in at_other
+    }
+    counts = _key_counts(sides["one"], put_one, "n_one"), _key_counts(sides["other"], put_other, "n_other")
+    crowded = stored(crowded_keys(*counts, share_rows), "crowded")
+    left = _spread(one, put_one, width)
+    right = _spread(other, put_other, width)
     left = _dealt(left, crowded, "one", "other", one.columns)
     right = _dealt(right, crowded, "other", "one", other.columns).withColumnsRenamed({"start": "t_start", "end": "t_end"})
     met = left.join(right.hint("merge"), [*KEY, "one", "other"])
-    from_start = F.greatest("start", "t_start")
-    first = F.lit(0).cast("long")
-    for level in reversed(range(LEVELS)):
-        first = F.when(F.col("level") == level, _bin_at(from_start, level, width)).otherwise(first)
+    widths = F.array(*[F.lit(width_of(i, width)).cast("long") for i in range(LEVELS + 1)])
+    first = _div(F.greatest("start", "t_start"), F.get(widths, F.col("level")))
     met = met.where((F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")) & (first == F.col("bin")))
     return met.drop("level", "bin", "kind", "one", "other")
