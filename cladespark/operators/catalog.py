@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladespark.functions.expressions import fan_out_path, safe_file_name
-from cladespark.functions.tables import with_panel
+from cladespark.functions.tables import BROADCAST_ROWS, join_reference, with_panel
+from cladespark.operators.transitions import Transitions, applied_events, decided_by_the_last
 
 # Run states, and the states from which a run can be removed.
 RETRACTABLE, STOPPABLE = "initiated", "running"
 REMOVABLE = ("retracted", "initiation-failed", "succeeded", "failed", "stopped")
 
 # Changes that take effect only from one exact state.
-GUARDED = {"running": "initiated", "retracted": "initiated"}
+GUARDED = {"running": ("initiated",), "retracted": ("initiated",)}
 
 SLICE = "HOUR"
 NO_TIME = -(1 << 63)
@@ -156,9 +157,9 @@ def _latest(column: str) -> Column:
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct("ts", "event_id")))
 
 
-def committed(log: DataFrame, unit: str = SLICE) -> DataFrame:
+def committed(log: DataFrame, unit: str = SLICE, transitions: Transitions = GUARDED) -> DataFrame:
     """The events that took effect: a rejected change writes nothing. The operators below take such a log."""
-    return run_transitions(log, unit).where("applied").drop("previous", "applied")
+    return run_transitions(log, unit, transitions).where("applied").drop("previous", "applied")
 
 
 def run_status(log: DataFrame) -> DataFrame:
@@ -182,6 +183,37 @@ def run_actions(runs: DataFrame) -> DataFrame:
     return runs.withColumn("action", action)
 
 
+def with_commit_time(facts: DataFrame, transactions: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Facts (entity, attribute, value, tx) with the ``instant`` their transaction (tx, instant) was committed.
+
+    A fact whose transaction is not listed, has no instant or is NULL has no instant itself. A transaction listed more than once was
+    committed at its first instant. A transaction may hold any share of the facts, and there may be any number of transactions.
+    """
+    committed_at = transactions.groupBy("tx").agg(F.min("instant").alias("instant"))
+    return join_reference(facts.select("entity", "attribute", "value", "tx"), committed_at, "tx", max_rows)
+
+
+def current_values(facts: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """One row per entity with the last value of each attribute, and the instant of the entity's first fact (``created``).
+
+    Facts are those of ``with_commit_time``. Later instants win, and later transactions of one instant, then the greater value; facts without
+    an instant come before all others. One partial aggregate, whatever the history of an entity.
+    """
+    order = F.struct("instant", "tx", "value")
+
+    def last(attribute: str) -> Column:
+        return F.max_by("value", F.when((F.col("attribute") == attribute) & F.col("value").isNotNull(), order)).alias(attribute)
+
+    return facts.groupBy("entity").agg(*[last(a) for a in attributes], F.min("instant").alias("created"))
+
+
+def pending_entities(facts: DataFrame, attribute: str = "status", n: int | None = None) -> DataFrame:
+    """Entities whose last status waits to be taken, by the instant of their first fact; those without any come last."""
+    waiting = current_values(facts, [attribute]).where(F.col(attribute) == RETRACTABLE).select("entity", "created")
+    ordered = waiting.orderBy(F.col("created").asc_nulls_last(), "entity")
+    return ordered if n is None else ordered.limit(n)
+
+
 def pending_runs(log: DataFrame, n: int | None = None) -> DataFrame:
     """Runs of a committed log that wait to be taken, by the instant that created them; the first ``n`` if given."""
     pending = (
@@ -229,19 +261,21 @@ def with_previous(log: DataFrame, unit: str = SLICE) -> DataFrame:
     return joined.select("s.run_id", "event_id", "ts", "status", "message", F.coalesce("found", "carried").alias("previous"))
 
 
-def run_transitions(log: DataFrame, unit: str = SLICE) -> DataFrame:
+def run_transitions(log: DataFrame, unit: str = SLICE, transitions: Transitions = GUARDED) -> DataFrame:
     """Every event of every run, marked as applied or rejected.
 
-    Unguarded changes always apply. A guarded one applies only from ``initiated``, and no
-    guarded change leads back to it. So the event before a guarded one decides: after an
-    ``initiated`` event the run is in that state, and after any other event it is not,
-    because whatever follows ``initiated`` either overwrites it or is let through. Events without a status change none.
+    ``transitions`` lists the states from which a change takes effect; changes it does not list always apply, and events without a
+    status change none. Under the default table a guarded change applies only from ``initiated``, and none leads back to it, so the
+    event before it decides. Other tables are folded by composing the changes (``applied_events``).
     """
-    expected = F.lit(None).cast("string")
-    for target, source in GUARDED.items():
-        expected = F.when(F.col("status") == target, F.lit(source)).otherwise(expected)
-    applied = F.coalesce(expected.isNull() | (F.col("previous") == expected), F.lit(False))
-    return with_previous(log, unit).withColumn("applied", applied)
+    seen = with_previous(log, unit)
+    if not decided_by_the_last(transitions):
+        return applied_events(with_time_slices(seen, unit), transitions).drop("slice")
+    expected = F.lit(False)
+    for target, sources in transitions.items():
+        expected = F.when(F.col("status") == target, F.coalesce(F.col("previous").isin(*sources), F.lit(False))).otherwise(expected)
+    guarded = F.coalesce(F.col("status").isin(*transitions), F.lit(False))
+    return seen.withColumn("applied", ~guarded | expected)
 
 
 def overwritten_stops(log: DataFrame, unit: str = SLICE) -> DataFrame:

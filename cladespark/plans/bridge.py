@@ -175,6 +175,25 @@ SELECT {RUN_ID} AS run_id, ts, event_id,
 FROM events
 """
 
+# Facts of runs in transactions: bulk loads put every third event in one, some transactions are not listed or have no instant.
+TX = "cast(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 + (event_id - event_id % 7) / 7 END as bigint)"
+FACTS = f"""
+SELECT run_id AS entity, 'status' AS attribute, status AS value, {TX} AS tx FROM ({RUN_LOG}) s
+UNION ALL
+SELECT run_id AS entity, 'message' AS attribute, message AS value, {TX} AS tx FROM ({RUN_LOG}) m
+WHERE message IS NOT NULL
+"""
+TRANSACTIONS = f"""
+SELECT {TX} AS tx, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS instant FROM events
+WHERE event_id % 49 >= 7
+"""
+
+# Another table of transitions: by status, the states it takes effect from.
+OTHER_TRANSITIONS = {
+    "initiated": ("initiating", "retracted", "failed"), "running": ("initiated", "stopped"), "stopped": ("running",),
+    "succeeded": ("running",), "failed": ("running", "initiated"), "retracted": ("initiated", "failed"),
+}
+
 RUN_FILES = f"""
 SELECT DISTINCT run_id, file_id FROM (
   SELECT concat('R', cast(l_suppkey as string), '-', cast(l_linenumber % 3 as string)) AS run_id, {FILE_ID} AS file_id

@@ -29,6 +29,12 @@ LAST = """SELECT run_id, status, last_message AS message, created FROM (
         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_message
     FROM {log}) t WHERE k = 1"""
 
+def _allowed(status: str, state: str) -> str:
+    """Whether a change to ``status`` takes effect from ``state`` under the other table of transitions."""
+    cases = " ".join(f"WHEN '{t}' THEN coalesce({state} IN ({', '.join(map(repr, s))}), false)" for t, s in bridge.OTHER_TRANSITIONS.items())
+    return f"CASE {status} {cases} ELSE true END"
+
+
 CTES = {
     "markers": f"SELECT chrom, pos::BIGINT AS pos, ref FROM (VALUES {MARKERS}) t(chrom, pos, ref)",
     "profiles": f"""SELECT pidx::BIGINT AS pidx, id, clade, pos::BIGINT AS pos, alt
@@ -84,6 +90,19 @@ CTES = {
         CASE WHEN n.status NOT IN ('running', 'retracted') OR coalesce(f.state = 'initiated', false)
              THEN n.status ELSE f.state END AS state
     FROM numbered n JOIN folded f ON n.run_id = f.run_id AND n.k = f.k + 1""",
+    "folded_any": f"""SELECT run_id, event_id, ts, status, k, CAST(NULL AS VARCHAR) AS previous,
+        {_allowed("status", "CAST(NULL AS VARCHAR)")} AS applied, CASE WHEN {_allowed("status", "CAST(NULL AS VARCHAR)")} THEN status END AS state
+    FROM numbered WHERE k = 1
+    UNION ALL
+    SELECT n.run_id, n.event_id, n.ts, n.status, n.k, f.status AS previous, {_allowed("n.status", "f.state")} AS applied,
+        CASE WHEN {_allowed("n.status", "f.state")} THEN n.status ELSE f.state END AS state
+    FROM numbered n JOIN folded_any f ON n.run_id = f.run_id AND n.k = f.k + 1""",
+    "facts": f"""SELECT f.*, t.instant FROM ({bridge.FACTS}) f
+        LEFT JOIN (SELECT tx, min(instant) AS instant FROM ({bridge.TRANSACTIONS}) x GROUP BY tx) t USING (tx)""",
+    "current": """SELECT entity, min(instant) AS created,
+        arg_max(value, (coalesce(instant, TIMESTAMP '0001-01-01'), tx, value)) FILTER (WHERE attribute = 'status') AS status,
+        arg_max(value, (coalesce(instant, TIMESTAMP '0001-01-01'), tx, value)) FILTER (WHERE attribute = 'message') AS message
+        FROM facts GROUP BY entity""",
     "committed": "SELECT run_id, ts, event_id, status, message FROM folded WHERE applied",
     "last": LAST.format(log="committed"),
     "files": bridge.FILES,
@@ -112,6 +131,8 @@ NEEDS = {
     "panel_text": ["panel_counts"],
     "numbered": ["log"],
     "folded": ["numbered"],
+    "folded_any": ["numbered"],
+    "current": ["facts"],
     "committed": ["folded"],
     "last": ["committed"],
 }
@@ -158,7 +179,7 @@ def _with(steps: list[str], body: str) -> str:
 
     for step in steps:
         add(step)
-    return f"WITH {'RECURSIVE ' if 'folded' in ordered else ''}" + ",\n".join(
+    return f"WITH {'RECURSIVE ' if {'folded', 'folded_any'} & set(ordered) else ''}" + ",\n".join(
         f"{s} AS ({CTES[s]})" for s in ordered
     ) + f"\n{body}"
 
@@ -405,9 +426,16 @@ SQL = {
     "pending_runs": _with(["last"], PENDING),
     "next_run": _with(["last"], PENDING + " LIMIT 1"),
     "run_transitions": _with(["folded"], TRANSITIONS),
+    "run_transitions_any": _with(["folded_any"], "SELECT run_id, event_id, ts, status, previous, applied FROM folded_any"),
+    "facts_with_commit_time": _with(["facts"], "SELECT * FROM facts"),
+    "current_facts": _with(["current"], "SELECT * FROM current"),
+    "pending_by_commit_time": _with(["current"], """SELECT entity, created FROM current WHERE status = 'initiated'
+        ORDER BY created NULLS LAST, entity"""),
     "overwritten_stops": _with(["folded"], STOPS),
     "stream_scores": _with(["scores"], "SELECT * FROM scores"),
     "stream_run_status": _with(["last"], LAST_STATUS),
+    "stream_gathered_scores": _with(["scores"], "SELECT * FROM scores"),
+    "stream_judged_status": _with(["last"], LAST_STATUS),
     "parsed_variants": f"""SELECT chrom, pos, '.' AS id, ref, alt, qual, 'PASS' AS filter, 'DP=1' AS info, 'GT' AS format,
         '1' AS genotype, sample_id || CASE WHEN pos % 2 = 0 THEN '+b' ELSE '' END AS sample_id
         FROM ({bridge.VARIANTS}) v WHERE pos % 17 <> 0""",

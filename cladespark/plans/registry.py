@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark import refdata
+from cladespark.functions.tables import stored
 from cladespark.operators import catalog, cohort, genotype, intervals, panel, pileup, scoring, variants
 from cladespark.plans import bridge
 from cladespark.session import shared_folder
@@ -420,6 +421,29 @@ def run_transitions(spark, sf_dir):
     return catalog.run_transitions(bridge.run_log(spark, sf_dir)).drop("message")
 
 
+@query
+def run_transitions_any(spark, sf_dir):
+    """Another table of transitions, under which the event before does not decide."""
+    return catalog.run_transitions(bridge.run_log(spark, sf_dir), transitions=bridge.OTHER_TRANSITIONS).drop("message")
+
+
+@query
+def facts_with_commit_time(spark, sf_dir):
+    """Facts joined with their transactions, more than the limit given here allows to broadcast."""
+    facts, transactions = (bridge.from_tables(spark, sf_dir, t) for t in (bridge.FACTS, bridge.TRANSACTIONS))
+    return catalog.with_commit_time(facts, transactions, max_rows=0)
+
+
+@query
+def current_facts(spark, sf_dir):
+    return catalog.current_values(facts_with_commit_time(spark, sf_dir), ["status", "message"])
+
+
+@query
+def pending_by_commit_time(spark, sf_dir):
+    return catalog.pending_entities(facts_with_commit_time(spark, sf_dir))
+
+
 @query
 def overwritten_stops(spark, sf_dir):
     return catalog.overwritten_stops(bridge.run_log(spark, sf_dir))
@@ -450,6 +474,37 @@ def stream_run_status(spark, sf_dir):
     return jobs.newest(spark, f"{folder}/out", "run_id")
 
 
+def _in_parts(rows, name, n):
+    """A folder that files are added to one after the other, and the stream of it: a part of the rows (``part``) in each."""
+    folder = shared_folder(rows.sparkSession, name)
+    dealt = stored(rows, f"{name}-parts")
+    for part in range(n):
+        dealt.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = rows.sparkSession.readStream.schema(dealt.drop("part").schema).option("maxFilesPerTrigger", 1)
+    return folder, stream.parquet(f"{folder}/in")
+
+
+@query
+def stream_gathered_scores(spark, sf_dir):
+    """The states of a sample dealt over three files that arrive an hour apart."""
+    part = F.pmod(F.xxhash64("sample_id", "pos"), F.lit(3)).cast("int")
+    arrived = F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=F.col("part"))
+    folder, states = _in_parts(marker_states(spark, sf_dir).withColumn("part", part).withColumn("arrived", arrived), "gathered-scores", 3)
+    jobs.stream_gathered_scores(states, refdata.profiles(spark), f"{folder}/out", f"{folder}/log").awaitTermination()
+    return jobs.newest(spark, f"{folder}/out", "sample_id")
+
+
+@query
+def stream_judged_status(spark, sf_dir):
+    """The raw log in parts of ten days: every ninth event comes a part late, and every tenth a second time."""
+    log = bridge.run_log(spark, sf_dir).withColumn("part", F.floor((F.dayofmonth("ts") - 1) / 10).cast("int"))
+    late = log.withColumn("part", F.when(F.col("event_id") % 9 == 0, F.col("part") + 1).otherwise(F.col("part")))
+    again = log.where("event_id % 10 = 0").withColumn("part", F.col("part") + 1)
+    folder, events = _in_parts(late.unionByName(again), "judged-status", 5)
+    jobs.stream_judged_status(events, f"{folder}/out", f"{folder}/log", lateness="30 days").awaitTermination()
+    return jobs.newest(spark, f"{folder}/out", "run_id").where("status IS NOT NULL OR message IS NOT NULL")
+
+
 # Files at the edges, as lines derived from the tables
 
 

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cladespark.operators.catalog import run_status
+from cladespark.operators.catalog import GUARDED, run_status
 from cladespark.operators.scoring import score_profiles
+from cladespark.operators.transitions import Transitions
+from cladespark.streaming.stateful import gathered_states, judged_status
 
 
 def _write_batches(output: str, transform: Callable[[DataFrame], DataFrame]):
@@ -32,11 +34,42 @@ def _start(writer, checkpoint: str, once: bool, interval: str) -> StreamingQuery
 def stream_scores(
     states: DataFrame, profiles: DataFrame, output: str, checkpoint: str, once: bool = True, interval: str = "1 minute"
 ) -> StreamingQuery:
-    """Score samples as their marker states arrive; all states of a sample come in one file."""
+    """Score samples as their marker states arrive; all states of a sample come in one file (else ``stream_gathered_scores``)."""
     writer = states.writeStream.foreachBatch(_write_batches(output, lambda batch: score_profiles(batch, profiles)))
     return _start(writer, checkpoint, once, interval)
 
 
+def stream_gathered_scores(
+    states: DataFrame, profiles: DataFrame, output: str, checkpoint: str, arrived: str = "arrived", patience_hours: int = 24,
+    once: bool = True, interval: str = "1 minute",
+) -> StreamingQuery:
+    """Score a sample once states at all sites of the profiles have come, in any number of files, and again when more come.
+
+    ``states`` has a time in ``arrived``. Samples that stay incomplete until the watermark, ``patience_hours`` behind the latest file, is as many hours past their last are listed in
+    the folder ``<output>-incomplete`` (sample_id, n_sites) and are not scored.
+    """
+    gathered = gathered_states(states, profiles, arrived, f"{patience_hours} hours", patience_hours * 3_600_000)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        complete = batch.where("is_complete").select("sample_id", "chrom", "pos", "alt")
+        score_profiles(complete, profiles).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        rest = batch.where("NOT is_complete").select("sample_id", "n_sites").distinct()
+        rest.write.mode("overwrite").parquet(f"{output.rstrip('/')}-incomplete/batch={batch_id}")
+        batch.unpersist()
+
+    return _start(gathered.writeStream.outputMode("append").foreachBatch(write), checkpoint, once, interval)
+
+
+def stream_judged_status(
+    log: DataFrame, output: str, checkpoint: str, transitions: Transitions = GUARDED, lateness: str = "1 day", once: bool = True,
+    interval: str = "1 minute",
+) -> StreamingQuery:
+    """Keep the status and message of every run of a raw log, guarded changes judged as they arrive (``judged_status``)."""
+    writer = judged_status(log, transitions, lateness).writeStream.outputMode("update").foreachBatch(_write_batches(output, lambda batch: batch))
+    return _start(writer, checkpoint, once, interval)
+
+
 def stream_run_status(
     log: DataFrame, output: str, checkpoint: str, once: bool = True, interval: str = "1 minute"
 ) -> StreamingQuery:

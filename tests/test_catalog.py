@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cladespark.functions import tables
 from cladespark.functions.expressions import fan_out_path, safe_file_name
 from cladespark.operators import catalog
+from cladespark.operators import transitions as operators_transitions
 from tests.conftest import rows_of
 
 LOG = "run_id string, ts timestamp_ntz, event_id long, status string, message string"
@@ -48,6 +50,48 @@ def test_transitions_against_a_fold(table, unit):
     assert stops == {e for e, x in expected.items() if x[2] == "stopped" and status[e] in ("succeeded", "failed")}
 
 
+def fold_any(rows, transitions):
+    out, state = {}, {}
+    first = dt.datetime.min
+    for run, ts, event, status, _ in sorted(rows, key=lambda r: (r[0] or "", r[0] is None, r[1] or first, r[2])):
+        out[event] = status is None or status not in transitions or state.get(run) in transitions[status]
+        if out[event] and status is not None:
+            state[run] = status
+    return out
+
+
+TABLES = [
+    {"running": ("initiated", "stopped"), "stopped": ("running",), "succeeded": ("running",), "retracted": ("initiated", "failed")},
+    {"initiating": (None,), "initiated": ("initiating",), "running": ("initiated",), "failed": ("running", "initiated"), "succeeded": ("running",)},
+    {s: () for s in STATUSES[:3]},
+    {s: STATUSES for s in STATUSES},
+    {},
+]
+
+
+@pytest.mark.parametrize("transitions", [*TABLES, *range(6)])
+@pytest.mark.parametrize("unit", ["SECOND", "HOUR"])
+def test_any_table_against_a_fold(table, monkeypatch, transitions, unit):
+    """Fixed and random tables; events without a time, a status or a run; chunks and stretches so small that all levels are used."""
+    rng = random.Random(str(transitions) + unit)
+    if isinstance(transitions, int):
+        transitions = {s: rng.sample([*STATUSES, None], rng.randrange(4)) for s in rng.sample(STATUSES, rng.randint(1, 8))}
+        monkeypatch.setattr(operators_transitions, "CHUNK", 3)
+        monkeypatch.setattr(operators_transitions, "STRETCH_BITS", 2)
+    rows = log_rows(rng, 400)
+    rows += [("hot", None, 1000 + i, rng.choice(STATUSES), None) for i in range(3)]
+    rows += [("a", T0 + dt.timedelta(seconds=i), 2000 + i, None, "note") for i in range(20)]
+    rows += [(None, T0 + dt.timedelta(seconds=i), 3000 + i, rng.choice(STATUSES), None) for i in range(40)]
+    found = {r.event_id: r.applied for r in catalog.run_transitions(table(LOG, rows), unit, transitions).collect()}
+    assert found == fold_any(rows, transitions)
+
+
+def test_which_tables_the_last_event_decides():
+    decided = operators_transitions.decided_by_the_last
+    assert decided(catalog.GUARDED) and decided({}) and decided({"x": ("a", "b"), "y": ("b", "a")})
+    assert not any(map(decided, [{"x": ("a",), "y": ("b",)}, {"x": ("x",)}, {"x": ("y",), "y": ("y",)}, {"x": (None,)}]))
+
+
 def test_hot_run_is_spread_over_the_slices(table):
     rows = [("hot", T0 + dt.timedelta(minutes=6 * i), i, "initiated", "") for i in range(2000)]
     sizes = catalog.with_time_slices(table(LOG, rows)).groupBy("run_id", "slice").count().collect()
@@ -182,3 +226,41 @@ def test_earliest_projects_keep_ties(table):
     rows = [(f"p{i}", T0 + dt.timedelta(days=i // 2)) for i in range(20)]
     projects = table("project_id string, created timestamp_ntz", rows)
     assert rows_of(catalog.earliest_projects(projects), "project_id") == [(f"p{i}",) for i in range(10)]
+
+
+FACTS = "entity string, attribute string, value string, tx long"
+
+
+@pytest.mark.parametrize("max_rows", [0, 500_000])
+def test_facts_and_their_transactions(table, max_rows):
+    """A transaction with a third of all facts, one with very many that is not listed, some without an instant, a NULL, one listed twice."""
+    rng = random.Random(9)
+    txs = [(i, None if i % 7 == 0 else T0 + dt.timedelta(minutes=i)) for i in range(60)] + [(5, T0)]
+    facts = [(f"e{rng.randrange(40)}", rng.choice(["status", "note"]), rng.choice([*STATUSES, None]), rng.choice([1, 999, None, rng.randrange(70)]))
+             for _ in range(900)]
+    instants = dict(reversed(txs))
+    instants[5] = T0
+    timed = catalog.with_commit_time(table(FACTS, facts).withColumn("instant_", F.lit(1)), table("tx long, instant timestamp_ntz", txs), max_rows)
+    assert rows_of(timed) == sorted(((*f, instants.get(f[3])) for f in facts), key=repr)
+    last, created = {}, {}
+    first = dt.datetime.min
+    for entity, attribute, value, tx in sorted(facts, key=lambda f: (instants.get(f[3]) or first, -1 if f[3] is None else f[3], f[2] or "")):
+        at = instants.get(tx)
+        created[entity] = min(created.get(entity) or at or dt.datetime.max, at or dt.datetime.max)
+        if value is not None:
+            last[entity, attribute] = value
+    expected = sorted(((e, last.get((e, "status")), last.get((e, "note")), None if c == dt.datetime.max else c) for e, c in created.items()), key=repr)
+    assert rows_of(catalog.current_values(timed, ["status", "note"])) == expected
+    waiting = [e[0] for e in sorted(expected, key=lambda e: (e[3] is None, e[3] or first, e[0])) if e[1] == "initiated"]
+    assert [r["entity"] for r in catalog.pending_entities(timed).collect()] == waiting
+    assert [r["entity"] for r in catalog.pending_entities(timed, n=1).collect()] == waiting[:1]
+
+
+def test_rows_of_a_hot_key_are_spread(spark):
+    """Whatever the reference has of them, the rows of a hot key do not meet in one partition."""
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS k", "id")
+    for reference in (spark.range(5000).selectExpr("id AS k", "id * 2 AS v"), spark.range(10, 5000).selectExpr("id AS k", "id * 2 AS v")):
+        out = tables.join_reference(rows, reference, "k", max_rows=0)
+        sizes = [r["count"] for r in out.where("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 10_000 and out.count() == 20_000
+        assert out.where("v IS NOT NULL AND v <> 2 * k").count() == 0

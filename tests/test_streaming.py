@@ -8,7 +8,7 @@ from cladespark.operators import catalog, scoring
 from cladespark.sources import readers
 from cladespark.streaming import jobs
 from tests.conftest import rows_of
-from test_catalog import LOG, log_rows
+from test_catalog import LOG, TABLES, log_rows
 from test_scoring import M1, M2, STATES, state_rows
 
 
@@ -60,3 +60,72 @@ def test_scores_of_arriving_sample_files(spark, tmp_path):
     calls = scoring.clade_calls(jobs.newest(spark, str(out), "sample_id"))
     assert {(r.sample_id, r.id): r.call for r in calls.collect()}["y", "gisaid"] == "GH_1"
     assert calls.count() == 6
+
+
+def shuffled_states(rng, changes):
+    """States of several samples, one of them incomplete and one with two mutations at a site."""
+    rows = [r for sample, c in changes.items() for r in state_rows(sample, c)]
+    rows += [(*r[:5], "N", "yes") for r in state_rows("two", {}) if r[2] in (241, 28144)] + state_rows("two", M2)
+    rows += state_rows("short", M1, skip=(28144,)) + [("x", "other contig", 5, 9, "A", "A", None)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_samples_whose_states_come_in_several_files(spark, table, tmp_path):
+    arrived, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    profiles = refdata.profiles(spark)
+    rows = shuffled_states(random.Random(4), {"x": M1, "y": M2, "z": {}})
+    schema = f"{STATES}, arrived timestamp"
+
+    def arrive(part, hour):
+        at = dt.datetime(2024, 1, 1, hour)
+        table(schema, [(*r, at) for r in part]).coalesce(1).write.mode("append").parquet(arrived)
+        states = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+        jobs.stream_gathered_scores(states, profiles, out, log, patience_hours=2).awaitTermination()
+
+    for hour, part in enumerate((rows[0::3], rows[1::3], rows[2::3])):
+        arrive(part, hour)
+    whole = table(STATES, [r for r in rows if r[0] != "short"])
+    expected = rows_of(scoring.score_profiles(whole, profiles))
+    assert rows_of(jobs.newest(spark, out, "sample_id")) == expected
+    assert spark.read.parquet(f"{out}-incomplete").count() == 0
+    # Much later the incomplete sample is given up and listed; a complete one keeps its scores.
+    arrive(state_rows("late", M1), 12)
+    arrive(state_rows("later", M1), 20)
+    found = rows_of(jobs.newest(spark, out, "sample_id"))
+    assert [r for r in found if r[0] in ("x", "y", "z", "two")] == expected and {r[0] for r in found} == {"x", "y", "z", "two", "late", "later"}
+    assert rows_of(spark.read.parquet(f"{out}-incomplete"), "sample_id", "n_sites") == [("short", 16)]
+
+
+def test_status_of_a_raw_log(spark, table, tmp_path):
+    """Events out of order, late, repeated, without a time or a status: the stream ends where the batch does."""
+    for name, transitions in (("fixed", catalog.GUARDED), ("any", TABLES[0])):
+        arrived, out, log = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "log"))
+        rng = random.Random(len(name))
+        rows = log_rows(rng, 300) + [("a", None, 900, "initiated", "first"), ("b", dt.datetime(2024, 1, 1, 0, 1), 901, None, "note")]
+        rows += rng.sample(rows, 60)
+        rng.shuffle(rows)
+        for part in (rows[:120], rows[120:200], rows[200:300], rows[300:]):
+            table(LOG, part).coalesce(1).write.mode("append").parquet(arrived)
+            stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(arrived)
+            jobs.stream_judged_status(stream, out, log, transitions, "1 day").awaitTermination()
+        expected = catalog.run_status(catalog.committed(table(LOG, rows).distinct(), transitions=transitions))
+        found = [r for r in rows_of(jobs.newest(spark, out, "run_id"), "run_id", "status", "message") if r[1:] != (None, None)]
+        assert found == rows_of(expected, "run_id", "status", "message")
+
+
+def test_events_later_than_the_watermark_are_dropped(spark, table, tmp_path):
+    arrived, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    day = dt.timedelta(days=1)
+    start = dt.datetime(2024, 1, 1)
+    parts = [
+        [("a", start, 1, "initiated", None)], [("a", start + 9 * day, 3, "running", None), ("b", start + 9 * day, 4, "running", "no")],
+        [("c", start + 10 * day, 5, "initiated", None)], [("b", start + 2 * day, 2, "initiated", "too late")],
+        [("b", start + 9 * day - day / 2, 6, "initiated", "in time")],
+    ]
+    for part in parts:
+        table(LOG, part).coalesce(1).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(arrived)
+        jobs.stream_judged_status(stream, out, log, lateness="2 days").awaitTermination()
+    found = {r[0]: r[1:] for r in rows_of(jobs.newest(spark, out, "run_id"), "run_id", "status", "message")}
+    assert found == {"a": ("running", None), "b": ("running", "no"), "c": ("initiated", None)}
