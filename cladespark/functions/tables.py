@@ -61,20 +61,21 @@ def join_reference(rows: DataFrame, reference: DataFrame, key: str, max_rows: in
     A reference beyond ``max_rows`` is shuffled. Keys with more than one in ``HOT_SHARE`` of all rows, which are fewer than
     ``HOT_SHARE``, are broadcast then, and their rows stay spread over all tasks by a salt.
     """
+    found = [c for c in reference.columns if c != key]
     if fits(reference, max_rows):
-        return rows.join(F.broadcast(reference), key, "left")
+        return rows.join(F.broadcast(reference), key, "left").select(*rows.columns, *found)
     counts = stored(rows.groupBy(key).agg(F.count("*").alias("n")), "key-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = counts.where((F.col("n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key)
     values = F.struct(*reference.columns)
-    found = reference.join(F.broadcast(hot), key, "left_semi").select(key, values.alias("_hot"))
+    listed = reference.join(F.broadcast(hot), key, "left_semi").select(key, values.alias("_hot"))
     salted = hot.withColumn("_is_hot", F.lit(True))
-    spread_out = rows.join(F.broadcast(found), key, "left").join(F.broadcast(salted), key, "left")
-    # A hot key that the reference lacks is salted too: it finds nothing on either side.
-    salt = F.when(F.col("_is_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1024))).cast("int")
+    spread_out = rows.join(F.broadcast(listed), key, "left").join(F.broadcast(salted), key, "left")
+    # NULL and a hot key that the reference lacks are salted too: they find nothing on either side.
+    salt = F.when(F.col("_is_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1024))).cast("int")
     cold = reference.select(key, F.lit(0).alias("_salt"), values.alias("_cold"))
     joined = spread_out.withColumn("_salt", salt).join(cold, [key, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
-    return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in reference.columns if c != key])
+    return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in found])
 
 
 def with_panel(rows: DataFrame, panel: DataFrame, max_rows: int = PANEL_ROWS) -> DataFrame:
