@@ -13,6 +13,7 @@ BROADCAST_ROWS = 500_000
 PANEL_ROWS = 100_000
 PART_ENTRIES = 512
 HOT_SHARE = 1000
+FEW_COLUMNS = 100
 
 
 def _literal(value: object) -> str:
@@ -161,9 +162,11 @@ def spread(
     """Long to wide, one output column per entry of ``labels`` (cell value -> column name).
 
     The column list is explicit, so there is no extra job to discover it and the order is
-    fixed. Cells are folded by one partial aggregate. Two rows for one cell are an error, and so is
-    a row whose cell is not listed: no value is lost in silence.
+    fixed. Two rows for one cell are an error, and so is a row whose cell is not listed: no value is lost in silence. A few columns
+    are folded by one partial aggregate with a few values for each; beyond ``FEW_COLUMNS`` the cells of a row are folded to one array.
     """
+    if len(labels) > FEW_COLUMNS:
+        return _spread_arrays(df, keys, column, value, labels, reject_duplicates)
     listed = F.coalesce(F.col(column).isin(*labels), F.lit(False)) if labels else F.lit(False)
     stray = F.max(F.when(~listed, F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
 
@@ -177,3 +180,40 @@ def spread(
         return F.when(stray.isNotNull(), F.raise_error(message)).otherwise(folded).alias(name)
 
     return df.groupBy(*keys).agg(*[cell(label, name) for label, name in labels.items()])
+
+
+def _spread_arrays(df: DataFrame, keys: Sequence[str], column: str, value: str, labels: dict, reject_duplicates: bool) -> DataFrame:
+    """As ``spread`` for any number of columns: cells are numbered by their column, moved once to their row, folded to
+    a sorted array there and unrolled. The work for a row grows with its cells and columns, not with their product.
+    """
+    kind = df.schema[column].dataType.simpleString()
+    numbers = values(df.sparkSession, f"_label {kind}, _number long", [(label, i) for i, label in enumerate(labels)])
+    name = F.coalesce(F.col(column).cast("string"), F.lit("NULL"))
+    stray = F.raise_error(F.concat(F.lit(f"no column is listed for {column}="), name)).cast("long")
+    placed = df.select(*keys, F.col(column), F.col(value).alias("_value")).join(F.broadcast(numbers), F.col(column) == F.col("_label"), "left")
+    cells = placed.select(*keys, F.coalesce("_number", stray).alias("number"), "_value", name.alias("_name"))
+    folded = F.max("_value")
+    if reject_duplicates:
+        message = F.concat(F.lit(f"more than one row for {column}="), F.min("_name"))
+        folded = F.when(F.count("*") > 1, F.raise_error(message)).otherwise(folded)
+    one = cells.repartition(*keys).groupBy(*keys, "number").agg(folded.alias("value"))
+    rows = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("number", "value"))).alias("_found"))
+    absent = F.lit(None).cast(df.schema[value].dataType)
+    filled = rows.select(*keys, dense(F.col("_found"), F.lit(len(labels)).cast("long"), absent).alias("_cells"))
+    quoted = [n.replace("`", "``") for n in labels.values()]
+    return filled.selectExpr(*[f"`{k}`" for k in keys], *[f"_cells[{i}] AS `{n}`" for i, n in enumerate(quoted)])
+
+
+def site_columns(sites: Sequence[tuple[str, int]]) -> dict[str, str]:
+    """Matrix column of every (contig, position): the position, with its contig where the panel has several."""
+    ordered = sorted(set(sites))
+    alone = len({chrom for chrom, _ in ordered}) == 1
+    return {f"{chrom}:{pos}": str(pos) if alone else f"{chrom}:{pos}" for chrom, pos in ordered}
+
+
+def spread_sites(
+    df: DataFrame, keys: Sequence[str], value: str, sites: Sequence[tuple[str, int]], prefix: str = ""
+) -> DataFrame:
+    """Long (keys, chrom, pos, value) to wide, a column for each of ``sites``; a second row for one cell or another site is an error."""
+    keyed = df.withColumn("_marker", F.concat_ws(":", "chrom", F.col("pos").cast("string")))
+    return spread(keyed, keys, "_marker", value, {label: f"{prefix}{name}" for label, name in site_columns(sites).items()})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladespark import refdata
 from cladespark.functions.expressions import allele_colour, coverage_colour, low_coverage, score_text
-from cladespark.functions.tables import broadcast_if_small, spread
+from cladespark.functions.tables import broadcast_if_small, spread, spread_sites
 
 
 def combine(*tables: DataFrame) -> DataFrame:
@@ -19,15 +19,7 @@ def combine(*tables: DataFrame) -> DataFrame:
 
 
 def _marker_matrix(states: DataFrame, markers: Sequence[tuple[str, int]], value: str) -> DataFrame:
-    keyed = states.withColumn("_marker", F.concat_ws(":", "chrom", F.col("pos").cast("string")))
-    return spread(keyed, ["sample_id"], "_marker", value, marker_columns(markers))
-
-
-def marker_columns(markers: Sequence[tuple[str, int]]) -> dict[str, str]:
-    """Matrix column of every (contig, position): the position, with its contig where the panel has several."""
-    ordered = sorted(set(markers), key=lambda m: (m[0], m[1]))
-    alone = len({chrom for chrom, _ in ordered}) == 1
-    return {f"{chrom}:{pos}": str(pos) if alone else f"{chrom}:{pos}" for chrom, pos in ordered}
+    return spread_sites(states, ["sample_id"], value, markers)
 
 
 def marker_profiles(states: DataFrame, markers: Sequence[tuple[str, int]]) -> DataFrame:
@@ -82,13 +74,13 @@ def score_cells(scores: DataFrame, colours: DataFrame) -> DataFrame:
 
 
 def profile_cells(states: DataFrame) -> DataFrame:
-    return states.select("sample_id", "pos", "alt", allele_colour(F.col("alt")).alias("color"))
+    return states.select("sample_id", "chrom", "pos", "alt", allele_colour(F.col("alt")).alias("color"))
 
 
 def coverage_cells(states: DataFrame, threshold: int = 10) -> DataFrame:
     n = F.col("n_covering_frags")
     return states.select(
-        "sample_id", "pos", "n_covering_frags",
+        "sample_id", "chrom", "pos", "n_covering_frags",
         low_coverage(n, threshold).alias("is_low"),
         coverage_colour(n, threshold).alias("color"),
     )

@@ -91,6 +91,14 @@ FROM nation
 """
 NATION_SITES = tuple((HOST_CONTIG if n % 3 == 0 else refdata.CONTIG, 500 + n * 1000) for n in range(25))
 
+# A dense panel of up to 400 markers on both contigs, from the numbers of the parts.
+DENSE_MARKERS = f"""
+SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN '{HOST_CONTIG}' ELSE '{refdata.CONTIG}' END AS chrom,
+       cast(40 + p_partkey % 400 * 71 as bigint) AS pos, 'A' AS ref
+FROM part
+"""
+DENSE_SITES = tuple((HOST_CONTIG if n % 5 == 0 else refdata.CONTIG, 40 + n * 71) for n in range(400))
+
 # Listings of what two steps have put out, one row per finished sample.
 STEP_OUTPUTS = f"""
 SELECT DISTINCT {SAMPLE} AS sample_id, 'coverage' AS step FROM lineitem WHERE l_quantity >= 2

@@ -357,6 +357,12 @@ SQL = {
           CASE WHEN n < 8 THEN '?' WHEN c.alt IS NULL THEN ref ELSE c.alt END AS alt
           FROM found LEFT JOIN changed c USING (sample_id, chrom, pos))
         """ + _wide("sample_id", "panel_states", "marker", "alt", {f"{c}:{p}": f"{c}:{p}" for c, p in bridge.NATION_SITES})),
+    "wide_marker_coverages": _with(["reads", "samples"], f""", dense_markers AS ({bridge.DENSE_MARKERS}),
+        dense_coverage AS (SELECT s.sample_id, m.chrom || ':' || m.pos AS site, count(r.start)::BIGINT AS n_covering_frags
+          FROM samples s CROSS JOIN dense_markers m
+          LEFT JOIN reads r ON r.sample_id = s.sample_id AND r.chrom = m.chrom AND r.start < m.pos AND r."end" >= m.pos
+          GROUP BY ALL)
+        """ + _wide("sample_id", "dense_coverage", "site", "n_covering_frags", {f"{c}:{p}": f"{c}:{p}" for c, p in bridge.DENSE_SITES})),
     "score_cells": _with(["score_labels", "colours"], f"""SELECT sample_id, id, clade,
         CASE WHEN is_best IS NOT NULL THEN score END AS score, is_best,
         color AS clade_color, CASE WHEN is_best THEN '{refdata.BEST_SCORE_COLOUR}' END AS cell_color
@@ -370,8 +376,8 @@ SQL = {
         g AS (SELECT *, sum(opens) OVER (PARTITION BY sample_id ORDER BY k) AS run FROM m)
         SELECT sample_id, run::BIGINT AS run, naming_system, count(*)::BIGINT AS length, max(k)::BIGINT AS "end"
         FROM g GROUP BY sample_id, run, naming_system"""),
-    "profile_cells": _with(["states"], f"SELECT sample_id, pos, alt, {COLOUR_OF_BASE} AS color FROM states"),
-    "coverage_cells": _with(["states"], f"""SELECT sample_id, pos, n_covering_frags, n_covering_frags < 10 AS is_low,
+    "profile_cells": _with(["states"], f"SELECT sample_id, chrom, pos, alt, {COLOUR_OF_BASE} AS color FROM states"),
+    "coverage_cells": _with(["states"], f"""SELECT sample_id, chrom, pos, n_covering_frags, n_covering_frags < 10 AS is_low,
         CASE WHEN n_covering_frags < 10 THEN '{refdata.LOW_COVERAGE_COLOUR}' ELSE '{refdata.PLAIN_COLOUR}' END AS color
         FROM states"""),
     "isolate_alleles": _with(["markers"], """SELECT doc_id AS seqname, chrom, pos, ref,

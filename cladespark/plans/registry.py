@@ -228,6 +228,14 @@ def part_marker_profiles(spark, sf_dir):
     return cohort.report(cohort.marker_profiles(states, bridge.NATION_SITES), "sample_id")
 
 
+@query
+def wide_marker_coverages(spark, sf_dir):
+    """The coverage matrix of a dense panel, some hundred columns on two contigs."""
+    markers = bridge.from_tables(spark, sf_dir, bridge.DENSE_MARKERS)
+    coverage = intervals.marker_fragments(bridge.reads(spark, sf_dir), markers, bridge.samples(spark, sf_dir))
+    return cohort.marker_coverages(coverage, bridge.DENSE_SITES)
+
+
 @query
 def score_cells(spark, sf_dir):
     return cohort.score_cells(clade_scores(spark, sf_dir), refdata.colours(spark))
