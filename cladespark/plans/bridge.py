@@ -260,6 +260,7 @@ FROM part
 
 ACCOUNT_RUNS = f"SELECT DISTINCT concat('A', cast(user_id as string)) AS account_id, {RUN_ID} AS run_id FROM events"
 
+REGION = (10_000, 11_500)
 AS_OF = "2024-01-15 12:00:00"
 BLACKLIST = ("77", "^P1.*5$")
 

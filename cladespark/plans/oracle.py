@@ -291,6 +291,8 @@ SQL = {
     "marker_targets": f'SELECT chrom, pos - 1 AS start, pos AS "end" FROM ({bridge.PART_MARKERS}) m',
     "reads_sorted": _with(["reads"], """SELECT sample_id, chrom, start, "end", mapq, sample_id AS read_group
         FROM reads"""),
+    "reads_in_region": _with(["reads"], f"""SELECT sample_id, chrom, start, "end", mapq, sample_id AS read_group FROM reads
+        WHERE chrom = '{refdata.CONTIG}' AND start < {bridge.REGION[1]} AND "end" > {bridge.REGION[0]}"""),
     "target_coverage": _with(["samples", "reads"], TARGET_COVERAGE),
     "named_target_coverage": _with(["samples", "reads"], NAMED_TARGET_COVERAGE),
     "coverage_by_position": _with(["coverage"], "SELECT * FROM coverage"),

@@ -12,7 +12,7 @@ from cladespark.functions.tables import stored
 from cladespark.operators import catalog, cohort, genotype, intervals, panel, pileup, scoring, variants
 from cladespark.plans import bridge
 from cladespark.session import shared_folder
-from cladespark.sources import readers
+from cladespark.sources import read_store, readers
 from cladespark.sources.writers import write_table
 from cladespark.streaming import jobs
 
@@ -39,6 +39,15 @@ def reads_sorted(spark, sf_dir):
     return intervals.sort_reads(reads)
 
 
+@query
+def reads_in_region(spark, sf_dir):
+    """The reads written in order with their index, and a stretch of the virus read from the files that can hold it."""
+    folder = shared_folder(spark, "read-store")
+    reads = bridge.reads(spark, sf_dir).select("sample_id", "chrom", "start", "end", "mapq")
+    read_store.write_reads(reads, folder, window=1024, rows_per_file=20_000)
+    return read_store.reads_in_region(spark, folder, refdata.CONTIG, *bridge.REGION)
+
+
 @query
 def target_coverage(spark, sf_dir):
     regions = bridge.from_tables(spark, sf_dir, bridge.REGIONS)
