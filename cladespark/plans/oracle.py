@@ -6,6 +6,7 @@ Written for checking: brute force joins and per-position logic instead of bins a
 from __future__ import annotations
 
 from cladespark import refdata
+from cladespark.operators.likelihood import THETA, prior_cost
 from cladespark.plans import bridge
 
 
@@ -55,6 +56,26 @@ CTES = {
     "calls": """SELECT sample_id, chrom, pos, ref, base AS alt, depth::BIGINT AS depth, n AS alt_count
         FROM ranked JOIN markers USING (chrom, pos)
         WHERE k = 1 AND depth >= 10 AND n >= 5 AND base <> ref""",
+    "costs": """SELECT sample_id, chrom, pos, count(*)::BIGINT AS depth, """ + ", ".join(
+        f"sum(CASE WHEN base = '{g}' THEN same ELSE other END)::BIGINT AS cost_{g}" for g in "ACGT") + ", " + ", ".join(
+        f"count(*) FILTER (WHERE base = '{g}')::BIGINT AS n_{g}" for g in "ACGT") + """
+        FROM (SELECT *, round(-10000 * log10(1 - pow(10.0::DOUBLE, -bq / 10.0::DOUBLE)))::BIGINT AS same,
+                     round(-10000 * log10(pow(10.0::DOUBLE, -bq / 10.0::DOUBLE) / 3))::BIGINT AS other
+              FROM bases WHERE mapq >= 10 AND bq >= 15 AND base IN ('A', 'C', 'G', 'T')) b GROUP BY ALL""",
+    # One row per (site, genotype); the least cost wins, the first base among equals.
+    "likely": f"""SELECT sample_id, chrom, pos, ref, base AS alt, n AS alt_count, depth,
+        round(10 * (behind_ref + log10(total)), 3) AS qual,
+        round(CASE WHEN (total - 1) / total > 0 THEN least(-10 * log10((total - 1) / total), 999.0::DOUBLE) ELSE 999.0::DOUBLE END, 3)
+          AS genotype_quality
+        FROM (SELECT *, row_number() OVER (s ORDER BY cost, base) AS k, sum(pow(10.0::DOUBLE, -behind)) OVER (s ORDER BY base
+                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total, max(CASE WHEN base = ref THEN behind END) OVER s AS behind_ref
+              FROM (SELECT *, (cost - min(cost) OVER (PARTITION BY sample_id, chrom, pos))::DOUBLE / 10000 AS behind
+                    FROM (SELECT sample_id, chrom, pos, depth, ref, base, n, cost + CASE WHEN base = ref THEN {prior_cost(1 - THETA)}
+                            ELSE {prior_cost(THETA / 3)} END AS cost
+                          FROM ({" UNION ALL ".join(f"SELECT sample_id, chrom, pos, depth, '{g}' AS base, cost_{g} AS cost, n_{g} AS n FROM costs" for g in "ACGT")}) g
+                          JOIN markers USING (chrom, pos)) c) d
+              WINDOW s AS (PARTITION BY sample_id, chrom, pos)) e
+        WHERE k = 1 AND base <> ref AND depth >= 10 AND n >= 5""",
     "coverage": """SELECT s.sample_id, m.chrom, m.pos, count(r.start)::BIGINT AS n_covering_frags
         FROM samples s CROSS JOIN markers m LEFT JOIN reads r
           ON r.sample_id = s.sample_id AND r.chrom = m.chrom AND r.start < m.pos AND r."end" >= m.pos
@@ -119,6 +140,8 @@ CTES = {
 NEEDS = {
     "bases": ["reads", "profiles"],
     "pileup": ["bases"],
+    "costs": ["bases"],
+    "likely": ["costs", "markers"],
     "ranked": ["pileup"],
     "calls": ["ranked", "markers"],
     "coverage": ["samples", "reads", "markers"],
@@ -318,6 +341,13 @@ SQL = {
           FROM (SELECT sample_id, chrom, pos, base, count(*) AS n FROM bases GROUP BY ALL) c
           WINDOW s AS (PARTITION BY sample_id, chrom, pos)) t
         JOIN markers USING (chrom, pos) WHERE k = 1 AND base <> ref"""),
+    "genotype_costs": _with(["costs"], "SELECT * FROM costs"),
+    "haploid_likelihoods": _with(["likely"], "SELECT * FROM likely"),
+    "likely_marker_states": _with(["coverage", "likely"], """SELECT sample_id, chrom, pos, n_covering_frags, m.ref,
+        CASE WHEN n_covering_frags < 8 THEN '?' WHEN c.alt IS NULL THEN m.ref ELSE c.alt END AS alt,
+        CASE WHEN c.alt IS NOT NULL THEN 'yes' END AS is_mutated, m.ref AS original_ref
+        FROM coverage LEFT JOIN (SELECT sample_id, chrom, pos, alt FROM likely WHERE qual > 10) c USING (sample_id, chrom, pos)
+        LEFT JOIN markers m USING (chrom, pos)"""),
     "marker_states": _with(["states"], "SELECT * FROM states"),
     "complete_samples": f"""WITH outputs AS ({bridge.STEP_OUTPUTS}) SELECT sample_id FROM outputs WHERE step = 'coverage'
         AND sample_id IN (SELECT sample_id FROM outputs WHERE step = 'mutations')""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladespark import refdata
 from cladespark.functions.tables import stored
-from cladespark.operators import catalog, cohort, genotype, intervals, panel, pileup, scoring, variants
+from cladespark.operators import catalog, cohort, genotype, intervals, likelihood, panel, pileup, scoring, variants
 from cladespark.plans import bridge
 from cladespark.session import shared_folder
 from cladespark.sources import read_store, readers
@@ -131,6 +131,24 @@ def haploid_calls_legacy(spark, sf_dir):
     return pileup.legacy_call_haploid(bridge.bases(spark, sf_dir), refdata.markers(spark))
 
 
+@query
+def genotype_costs(spark, sf_dir):
+    return likelihood.genotype_costs(bridge.bases(spark, sf_dir), contig=refdata.CONTIG)
+
+
+@query
+def haploid_likelihoods(spark, sf_dir):
+    return likelihood.call_by_likelihood(genotype_costs(spark, sf_dir), refdata.markers(spark))
+
+
+@query
+def likely_marker_states(spark, sf_dir):
+    """Marker states from calls by likelihood that pass the quality filter."""
+    called = variants.normalise_variants(haploid_likelihoods(spark, sf_dir))
+    mutations = variants.to_mutations(variants.decompose_substitutions(called))
+    return genotype.marker_states(marker_coverage(spark, sf_dir), mutations, refdata.markers(spark))
+
+
 @query
 def marker_states(spark, sf_dir):
     mutations = pileup.to_mutations(haploid_calls(spark, sf_dir))
