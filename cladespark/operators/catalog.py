@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladespark.functions.expressions import fan_out_path, safe_file_name
-from cladespark.functions.tables import BROADCAST_ROWS, join_reference, with_panel
+from cladespark.functions.tables import BROADCAST_ROWS, join_reference
+from cladespark.operators.patterns import matching_names
 from cladespark.operators.transitions import Transitions, applied_events, decided_by_the_last
 
 # Run states, and the states from which a run can be removed.
@@ -53,12 +54,10 @@ def pair_files(files: DataFrame, mates: tuple[str, str] = ("_R1.fastq.gz", "_R2.
 def drop_blacklisted(samples: DataFrame, patterns: Sequence[str] | DataFrame) -> DataFrame:
     """Samples whose id contains a match of none of the patterns, a list or a table (pattern).
 
-    A table is a reference table: up to its limit it travels as one array next to the samples, beyond that it is joined in shares.
+    A table may list any number of patterns: a sample is tested only against those whose required text it holds (``patterns``).
     """
     if isinstance(patterns, DataFrame):
-        listed = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
-        matched = with_panel(samples.select("sample_id"), listed).where(F.regexp_like("sample_id", "pattern"))
-        return samples.join(matched.select("sample_id"), "sample_id", "left_anti")
+        return samples.join(matching_names(samples, patterns, "sample_id"), "sample_id", "left_anti")
     for pattern in patterns:
         samples = samples.where(~F.col("sample_id").rlike(pattern))
     return samples

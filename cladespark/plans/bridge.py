@@ -113,6 +113,13 @@ UNION ALL
 SELECT concat(cast(r_regionkey as string), '7$') AS pattern FROM region
 """
 
+# A pattern per part: one order number exactly, all that begin or end with some digits, some that hold them anywhere.
+MANY_PATTERNS = """
+SELECT CASE p_partkey % 4 WHEN 0 THEN concat('^P', cast(p_partkey as string), '$') WHEN 1 THEN concat('^P', cast(p_partkey as string), '[0-3]$')
+         WHEN 2 THEN concat('P', cast(p_partkey as string), '(5|7)') ELSE concat('9', cast(p_partkey as string), '[0-9]?8$') END AS pattern
+FROM part
+"""
+
 # Allele of isolate c_custkey at marker (pos, ref); NULL and N stand for unreadable bases.
 ALLELE = """CASE WHEN c_mktsegment = 'MACHINERY' AND pos = 28883 AND c_custkey % 3 = 0 THEN NULL
   WHEN (c_custkey * 11 + pos) % 89 = 0 THEN 'N'

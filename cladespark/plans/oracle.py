@@ -431,6 +431,8 @@ SQL = {
         f"NOT regexp_matches(sample_id, '{p}')" for p in bridge.BLACKLIST)),
     "read_pairs_not_listed": _with(["read_files"], f"""SELECT * FROM ({READ_PAIRS}) p WHERE NOT EXISTS (
         SELECT 1 FROM ({bridge.PATTERNS}) b WHERE regexp_matches(p.sample_id, b.pattern))"""),
+    "read_pairs_off_long_list": _with(["read_files"], f"""SELECT * FROM ({READ_PAIRS}) p WHERE NOT EXISTS (
+        SELECT 1 FROM ({bridge.MANY_PATTERNS}) b WHERE regexp_matches(p.sample_id, b.pattern))"""),
     "file_manifest": _with(["files"], r"""SELECT file_id, regexp_replace(name, '[^a-zA-Z0-9_.\-]', '_', 'g') AS name,
         substr(file_id, 1, 2) || '/' || substr(file_id, 3) AS path FROM files"""),
     "file_sizes": _with(["files", "listing"], """SELECT f.file_id, f.name, l.size FROM files f

@@ -347,6 +347,13 @@ def read_pairs_not_listed(spark, sf_dir):
     return catalog.drop_blacklisted(read_pairs(spark, sf_dir), patterns)
 
 
+@query
+def read_pairs_off_long_list(spark, sf_dir):
+    """A blacklist with a pattern for every part."""
+    patterns = bridge.from_tables(spark, sf_dir, bridge.MANY_PATTERNS)
+    return catalog.drop_blacklisted(read_pairs(spark, sf_dir), patterns)
+
+
 @query
 def file_manifest(spark, sf_dir):
     return catalog.file_manifest(bridge.from_tables(spark, sf_dir, bridge.FILES))
