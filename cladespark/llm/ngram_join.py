@@ -27,6 +27,7 @@ ORDERS = 2
 EXTRA = 10
 BLOCK_SETS = 64
 BLOCK_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 FREQUENT_TOKENS = 1 << 16
 FREQUENT_IN_UNIT = 4
 UNIT_TOKENS = 1 << 20
@@ -111,7 +112,7 @@ def _nodes(size: int):
             arrays = [pa.array(np.ones(len(tokens), np.int32)), none, none, none, pa.array(tokens), pa.array(counts)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=TEXT_BYTES):
             nodes, sizes = [], []
             for tokens in shingle_sets(batch.column("text"), size):
                 nodes.append(node_of(tokens))
@@ -157,7 +158,7 @@ def _prefixes(size: int, percent: int, buckets: int, frequent: np.ndarray):
             columns = list(zip(*out, strict=True)) or [(), ()]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["bucket", "blob"])
 
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=TEXT_BYTES):
             for tokens in shingle_sets(batch.column("text"), size):
                 if not len(tokens) or (node := node_of(tokens)) in seen:
                     continue
@@ -221,7 +222,7 @@ def _shared(percent: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=TEXT_BYTES):
             sets = [tokens.tobytes() for tokens in shingle_sets(batch.column("text"), size)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, pa.array(sets, pa.binary())], ["node", "bytes", "tokens"])
