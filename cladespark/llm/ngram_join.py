@@ -6,7 +6,7 @@ passages that unlike documents share do not reach. Each of the ``ORDERS`` puts f
 the others by another hash; a pair is verified only if it passes under every order. Links between many alike nodes
 are found without listing pairs within a group: nodes are first compared with the leaders of the tokens they share, which also
 gathers them in clusters; then, in blocks of sets, with the rest of their cluster, unless they lie in its largest component
-already; and last with other clusters that they share enough tokens with.
+already; and last with other clusters that they share enough tokens with, of which those in the fewest clusters are looked up.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladespark.llm.common import KEY, attach, blocks, keyed, mixed, most_frequent, runs, stored, table, words
@@ -25,6 +25,7 @@ from cladespark.llm.components import components
 
 ORDERS = 2
 EXTRA = 10
+SOME = 4
 BLOCK_SETS = 64
 BLOCK_BYTES = 4 << 20
 TEXT_BYTES = 2 << 20
@@ -259,20 +260,42 @@ def _verify(percent: int):
     return run
 
 
-def in_blocks(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(c, sets) with the sets of ``members`` (c, node), about ``BLOCK_SETS`` and at most some ``BLOCK_BYTES`` to a row."""
+def block_counts(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(c, ``name``): over how many blocks the sets of ``members`` (c, node) are dealt, about ``BLOCK_SETS`` and at most some ``BLOCK_BYTES`` to a block."""
     parts = F.greatest(F.expr(f"count(*) div {BLOCK_SETS}"), F.expr(f"sum(bytes) div {BLOCK_BYTES}")) + 1
-    sizes = members.join(sets.select("node", "bytes"), "node").groupBy("c").agg(parts.alias("parts"))
-    numbered = members.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")))
-    return numbered.join(sets, "node").groupBy("c", "block").agg(F.collect_list(F.struct("node", "tokens")).alias(name)).drop("block")
+    return members.join(sets.select("node", "bytes"), "node").groupBy("c").agg(parts.alias(name))
+
+
+def in_blocks(members: DataFrame, sets: DataFrame, counts: DataFrame, own: str, other: str) -> DataFrame:
+    """(c, ``own``, ``other``, sets): the blocks of ``members``, each once for every block of the other side."""
+    numbered = members.join(counts, "c").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col(f"n_{own}")))
+    folded = numbered.join(sets, "node").groupBy("c", F.col("block").alias(own), f"n_{other}").agg(
+        F.collect_list(F.struct("node", "tokens")).alias(f"{own}s")
+    )
+    return folded.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1))).drop(f"n_{other}")
 
 
 def verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between a node of ``pairs`` (c, node) and a member (c, node) of the same c."""
-    joined = in_blocks(pairs, sets, "xs").join(in_blocks(members, sets, "ys"), "c").select("xs", "ys")
+    """Links (a, b) between a node of ``pairs`` (c, node) and a member (c, node) of the same c; every two blocks of a cluster are a key of their own."""
+    counts = stored(block_counts(pairs, sets, "n_x").join(block_counts(members, sets, "n_y"), "c"), "block-counts")
+    xs, ys = in_blocks(pairs, sets, counts, "x", "y"), in_blocks(members, sets, counts, "y", "x")
+    joined = xs.join(ys, ["c", "x", "y"]).select("xs", "ys")
     return stored(joined.mapInArrow(_verify(percent), "a long, b long").where("a != b"), "verified")
 
 
+def fewest(tokens: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Of every node's ``tokens`` in a pass those in the fewest ``clusters``, as many as must hold ``some`` of the tokens it shares with a similar set.
+
+    A node that shares l of its h tokens shares some of any h - l + some of them, so the tokens that most clusters have are
+    left out; a node with fewer than l in a pass has no similar set there.
+    """
+    in_pass = Window.partitionBy("node", "pass")
+    held = tokens.join(clusters, ["bucket", "token"]).withColumn("held", F.count("*").over(in_pass)).withColumn("least", least_shared(percent))
+    ranked = held.where("held >= least").withColumn("rank", F.row_number().over(in_pass.orderBy("clusters", "bucket", "token")))
+    ranked = ranked.withColumn("some", F.ceil(F.col("least") / SOME))
+    return ranked.where("rank <= held - least + some").drop("clusters", "held", "least", "rank")
+
+
 def similar_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents as (doc_id, k1, k2, node, n), and (node, component) of the nodes that have links."""
     rows = keyed(docs)
@@ -330,7 +353,9 @@ def similar_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     others = open_.groupBy(*key, F.col("cluster").alias("c")).agg(F.first("size").alias("c_size"), F.min("n").alias("low"), F.max("n").alias("high"))
     larger = (F.col("c_size") > F.col("size")) | ((F.col("c_size") == F.col("size")) & (F.col("c") > F.col("cluster")))
     fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    crossing = under_every_order(open_.join(others, key).where(larger & fits), "c", "node")
+    met = fewest(open_, others.groupBy(*key).agg(F.count("*").alias("clusters")), percent).join(others, key).where(larger & fits)
+    crossing = met.groupBy("c", "node", "pass", "some").agg(F.count("*").alias("found")).where("found >= some")
+    crossing = crossing.groupBy("c", "node").agg(F.count("*").alias("passes")).where(F.col("passes") == ORDERS)
     crossing = stored(crossing.select("c", "node"), "crossing-pairs")
     wanted = crossing.select("c").distinct()
     members = clusters.select("c", "node").join(wanted, "c", "left_semi")
@@ -355,8 +380,10 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75, with_compo
     nodes, linked = similar_nodes(docs, size, percent)
     groups = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs"))
     groups = groups.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = stored(groups.join(least, "component").select("node", "n_docs", *values), "node-groups")
+    groups = stored(groups, "groups")
+    least = stored(groups.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n_nodes")), "least-ids")
+    groups = attach(groups, least, ["component"], "n_nodes", ["component_id"])
+    groups = stored(groups.select("node", "n_docs", *values), "node-groups")
     full = attach(nodes.where("n > 0"), groups, ["node"], "n_docs", values)
     empty = nodes.where("n = 0").withColumn("component_id", F.col("doc_id"))
     out = full.unionByName(empty, allowMissingColumns=True)
