@@ -11,6 +11,10 @@ from cladespark.llm.common import attach, stored, table, text_or_empty
 from cladespark.session import shared_folder
 
 
+LEAST_ID = -(1 << 63)
+BUCKETS, ROWS_PER_BUCKET = 32, 4_000_000
+
+
 def text_digest() -> Column:
     """SHA-256 of the text in UTF-8 as lower-case hex; a null text is an empty one."""
     return F.sha2(text_or_empty().cast("binary"), 256)
@@ -26,7 +30,7 @@ class DigestIndex:
     location again, in any session, continues with what is there.
     """
 
-    def __init__(self, spark: SparkSession, location: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, location: str, buckets: int = BUCKETS):
         self.spark, self.location, self.buckets = spark, location, buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
@@ -55,6 +59,10 @@ class DigestIndex:
         fresh.repartition(self.buckets, "digest").select("digest", "keep_id").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def forget(self) -> None:
+        """Take the index out of the session's catalog; what is written at its location stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def compact(self, location: str) -> DigestIndex:
         """The same index at a new location with one sorted file per bucket."""
         other = DigestIndex(self.spark, location, self.buckets)
@@ -76,7 +84,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFr
     step = 0 if low is None else -(-(high - low + 1) // batches)
     for i in range(batches if low is not None else 0):
         first = high - (i + 1) * step
-        part = (F.col("doc_id") > first) & (F.col("doc_id") <= first + step)
+        if first + step < low:
+            break  # fewer ids than ranges
+        part = F.col("doc_id") <= first + step
+        if first >= LEAST_ID:  # the last range may begin below all longs
+            part &= F.col("doc_id") > first
         index.add_digests(digests.where(part))
     index.add_digests(digests.where(F.col("doc_id").isNull()))
 
@@ -93,8 +105,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFr
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, shared_folder(spark, "digest-index"))
-    return exact_dedup(table(spark, sf_dir, "documents"), index)
+    docs = table(spark, sf_dir, "documents")
+    index = DigestIndex(spark, shared_folder(spark, "digest-index"), max(BUCKETS, docs.count() // ROWS_PER_BUCKET))
+    out = exact_dedup(docs, index)
+    index.forget()
+    return out
 
 
 SQL = """

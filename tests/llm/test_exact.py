@@ -75,6 +75,23 @@ def test_awkward_texts(spark, documents, awkward):
         assert r["keep_id"] == max(known, default=None) and r["kept"] == (r["doc_id"] == r["keep_id"])
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3, 7])
+def test_ids_at_the_ends_of_a_long(spark, documents, batches):
+    low, high = -(1 << 63), (1 << 63) - 1
+    for ids in ([low, low + 1, 0, high], [low, low + 2], [high, high - 1], [low]):
+        rows = [(i, text) for i in ids for text in ("a", f"own {i}")]
+        found = dedup(spark, documents(rows), batches=batches)
+        assert rows_of(found, "doc_id", "keep_id", "kept") == sorted(
+            ((i, max(ids) if text == "a" else i, i == max(ids) or text != "a") for i, text in rows), key=repr
+        )
+
+
+def test_the_query_leaves_no_table_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.op2_exact_dedup(spark, "/root/testdata/sf0.001").count() == 200
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_a_third_of_all_rows_in_one_group(spark, documents):
     rows = [(i, "hot" if i % 3 == 0 else f"text {i}") for i in range(9000)]
     found = dedup(spark, documents(rows))
