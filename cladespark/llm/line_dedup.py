@@ -112,7 +112,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
     A line's key is the line without ASCII white space at both ends, A-Z in lower case. Keys of at
     least ``min_chars`` code points held by at least ``min_docs`` documents lose their lines
-    everywhere but in the largest doc_id that holds them, where all stay. Hashes of keys are
+    everywhere but in the largest doc_id that holds them, where all stay. Every row is a document, also one that repeats another's id or text. Hashes of keys are
     range-partitioned and sorted with their documents, the largest first, and each partition
     is streamed once. A range cannot split a key, so keys held by more than one in ``HEAVY_SHARE`` of all
     holders (no more than ``HEAVY_SHARE`` keys, found in a sample of rows) are decided over all
@@ -176,18 +176,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH lines AS (
-  SELECT doc_id, i, line, lower_ascii AS key FROM (
-    SELECT doc_id, i, line,
-           translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
-                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
-    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents))),
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS split FROM documents),
+lines AS (
+  SELECT r, doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, unnest(split) AS line, generate_subscripts(split, 1) AS i FROM rows)),
 keys AS (SELECT key, max(doc_id) AS keep_id FROM lines WHERE length(key) >= 20
-         GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT l.doc_id, l.i, l.line, k.key IS NOT NULL AND l.doc_id <> k.keep_id AS dropped
+         GROUP BY key HAVING count(DISTINCT r) >= 3),
+marked AS (SELECT l.r, l.doc_id, l.i, l.line, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.keep_id AS dropped
            FROM lines l LEFT JOIN keys k USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

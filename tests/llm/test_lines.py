@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -45,6 +46,18 @@ def test_awkward_texts(documents, awkward):
     assert found(documents(rows)) == expected(rows)
 
 
+def test_rows_that_repeat_an_id_are_documents_of_their_own(documents):
+    """One id with several texts, a whole row three times, rows without an id: the operator, brute force and the SQL agree."""
+    line = "a line that is long enough to be looked at"
+    rows = [(1, f"{line}\none"), (1, f"{line}\ntwo"), (1, f"{line}\nthree"), (2, line)] + [(5, "another line of more than twenty\nx")] * 3
+    rows += [(None, "the line that only rows without an id have")] * 4 + [(9, f"own\n{line}\n{line}")]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    by_sql = sorted(connection.execute(line_dedup.SQL).fetchall(), key=repr)
+    assert found(documents(rows)) == expected(rows) == by_sql
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_documents(documents, seed):
     rng = random.Random(seed)
