@@ -171,6 +171,14 @@ def run_status_asof(log: DataFrame, instant: str) -> DataFrame:
     return run_status(log.where(F.col("ts") <= F.lit(instant)))
 
 
+def known_runs(log: DataFrame) -> DataFrame:
+    """Runs of a raw log in which some change took effect.
+
+    A guarded change takes effect only after an unguarded one, so any unguarded event tells; no run is folded.
+    """
+    return log.where(~F.coalesce(F.col("status").isin(*GUARDED), F.lit(False))).select("run_id").distinct()
+
+
 def run_actions(runs: DataFrame) -> DataFrame:
     """What can be done with a run in its current state."""
     status = F.col("status")

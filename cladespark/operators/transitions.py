@@ -61,6 +61,10 @@ class _States:
         """The state after an event, by the state before it."""
         return self.by_status(lambda to, allowed: [to if s in allowed else s for s in self.every], list(self.every))
 
+    def taken(self) -> Column:
+        """The state that an event gives, whatever the state before it."""
+        return self.by_status(lambda to, _: [to for _ in self.every], list(self.every))
+
     def applies(self) -> Column:
         """Whether an event applies, by the state before it."""
         return self.by_status(lambda _, allowed: [s in allowed for s in self.every], [True for _ in self.every])
@@ -83,10 +87,11 @@ def _walk(steps: Column, first: Column, value, kind: str) -> Column:
     )
 
 
-def applied_events(events: DataFrame, transitions: Transitions) -> DataFrame:
+def applied_events(events: DataFrame, transitions: Transitions, always: str | None = None) -> DataFrame:
     """Rows (run_id, slice, ts, event_id, status, any more columns) with ``applied``: whether each event took effect in its run.
 
-    Events are in the order of slice, time and id; one without a status changes nothing and counts as applied. Of a run, no row
+    Events are in the order of slice, time and id; one without a status changes nothing and counts as applied. Where the column
+    ``always`` is true, a change applies whatever the state. Of a run, no row
     holds more than ``CHUNK`` events, or the maps of more than one stretch of slices.
     """
     states = _States(transitions)
@@ -95,7 +100,11 @@ def applied_events(events: DataFrame, transitions: Transitions) -> DataFrame:
     run = [F.coalesce(F.col("run_id").cast("string"), F.lit("")).alias("_run"), F.col("run_id").isNull().alias("_without")]
     order = Window.partitionBy(*RUN, "slice").orderBy("ts", "event_id")
     numbered = events.select("*", *run).withColumn("_place", F.row_number().over(order))
-    event = F.struct("_place", F.struct(*columns).alias("row"), states.after().alias("after"), states.applies().alias("applies"))
+    after, applies = states.after(), states.applies()
+    if always is not None:
+        after = F.when(F.col(always), states.taken()).otherwise(after)
+        applies = F.when(F.col(always), F.array(*[F.lit(True) for _ in states.every])).otherwise(applies)
+    event = F.struct("_place", F.struct(*columns).alias("row"), after.alias("after"), applies.alias("applies"))
     chunk = ((F.col("_place") - 1) / CHUNK).cast("long")
     chunks = stored(
         numbered.groupBy(*RUN, "slice", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(event)).alias("events")), "event-chunks"

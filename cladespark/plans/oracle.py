@@ -464,6 +464,7 @@ SQL = {
         SELECT run_id, status, message FROM ({LAST.format(log="before")}) l"""),
     "run_actions": _with(["last"], ACTIONS),
     "pending_runs": _with(["last"], PENDING),
+    "pending_from_store": _with(["last"], PENDING),
     "next_run": _with(["last"], PENDING + " LIMIT 1"),
     "run_transitions": _with(["folded"], TRANSITIONS),
     "run_transitions_any": _with(["folded_any"], "SELECT run_id, event_id, ts, status, previous, applied FROM folded_any"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladespark import refdata
 from cladespark.functions.tables import stored
-from cladespark.operators import catalog, cohort, genotype, intervals, likelihood, panel, pileup, scoring, variants
+from cladespark.operators import catalog, cohort, genotype, intervals, likelihood, panel, pileup, run_store, scoring, variants
 from cladespark.plans import bridge
 from cladespark.session import shared_folder
 from cladespark.sources import read_store, readers
@@ -214,8 +214,7 @@ def cohort_states(spark, sf_dir):
 
 @query
 def cohort_scores(spark, sf_dir):
-    scores = cohort.combine(clade_scores(spark, sf_dir), isolate_scores(spark, sf_dir))
-    return scoring.sort_scores(scores)
+    return scoring.sort_scores(scoring.score_profiles(cohort_states(spark, sf_dir), refdata.profiles(spark)))
 
 
 @query
@@ -377,7 +376,7 @@ def project_files(spark, sf_dir):
 @query
 def run_files(spark, sf_dir):
     return catalog.run_files(
-        run_status(spark, sf_dir),
+        catalog.known_runs(bridge.run_log(spark, sf_dir)),
         bridge.from_tables(spark, sf_dir, bridge.RUN_FILES),
         bridge.from_tables(spark, sf_dir, bridge.FILES),
     )
@@ -458,6 +457,18 @@ def next_run(spark, sf_dir):
     return catalog.pending_runs(_committed(spark, sf_dir), n=1)
 
 
+@query
+def pending_from_store(spark, sf_dir):
+    """The log judged in three parts as it grows, and a look at the stored states."""
+    folder = shared_folder(spark, "run-store")
+    run_store.create(spark, folder)
+    log = bridge.run_log(spark, sf_dir)
+    borders = ["2024-01-01", "2024-01-12", "2024-01-21", "2024-03-01"]
+    for batch, (first, end) in enumerate(zip(borders, borders[1:], strict=False)):
+        run_store.extend(log.where((F.col("ts") >= F.lit(first)) & (F.col("ts") < F.lit(end))), folder, batch)
+    return run_store.pending_runs(spark, folder)
+
+
 @query
 def run_transitions(spark, sf_dir):
     return catalog.run_transitions(bridge.run_log(spark, sf_dir)).drop("message")
