@@ -1,0 +1,85 @@
+"""The registered queries as they stand, over whole tables, against the brute force that the operators' own tests use."""
+
+import hashlib
+
+import pytest
+
+from cladespark.llm import registry
+from tests.conftest import rows_of
+from tests.llm import test_embedding_dedup, test_fill_middle, test_mixing, test_ngram_join, test_packing, test_quality_rules, test_recurrent_lm, test_repeats
+from tests.llm import test_resampling, test_toxicity
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "source").collect()]
+
+
+def run(spark, name):
+    return registry.QUERIES[name](spark, SF_DIR)
+
+
+def texts(rows):
+    return [r[:2] for r in rows]
+
+
+def test_op3_recurrent_lm(spark, rows):
+    out = run(spark, "op3_recurrent_lm")
+    assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    test_recurrent_lm.compare(texts(rows), out.collect())
+
+
+def test_op4_repeats(spark, rows):
+    out = run(spark, "op4_repeats")
+    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == test_repeats.expected(texts(rows))
+
+
+def test_op6_ngram_join(spark, rows):
+    assert rows_of(run(spark, "op6_ngram_join"), "doc_id", "n_shingles", "component_id") == test_ngram_join.expected(texts(rows))
+
+
+def test_op7_toxicity(spark, rows):
+    out = run(spark, "op7_toxicity")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect() if r["toxic"] is not None}
+    found = rows_of(out, "doc_id", "held_out", "score", "predicted")
+    assert sorted(r[0] for r in found) == sorted(r[0] for r in rows)
+    assert all(h == test_toxicity.held(i) and 0 <= s <= 1 and p == int(s >= 0.5) for i, h, s, p in found)
+    test = [(p, labels[i]) for i, h, _, p in found if h and i in labels]
+    assert not test or sum(p == t for p, t in test) >= 0.8 * len(test)
+
+
+def test_op8_packing(spark, rows):
+    test_packing.check(texts(rows), run(spark, "op8_packing").collect())
+
+
+def test_op9_mixing(spark, rows):
+    test_mixing.check(rows, run(spark, "op9_mixing").collect())
+
+
+def test_op10_quality_rules(spark, rows):
+    out = run(spark, "op10_quality_rules")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert rows_of(out, *columns) == sorted(((i, *test_quality_rules.expected(t)) for i, t in texts(rows)), key=repr)
+    assert out.where("base_failed AND kept").count() == 0 and out.where("kept").count() > 0
+
+
+def test_op11_importance_resampling(spark, rows):
+    target = [r[0] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("text").collect()]
+    out = run(spark, "op11_importance_resampling")
+    assert rows_of(out, "doc_id", "n_features", "weight", "score", "rank") == test_resampling.expected(texts(rows), target)
+
+
+def test_op12_fill_middle(spark, rows):
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    want = [(*r[:5], digest(r[5]), digest(r[6])) for r in (test_fill_middle.expected(*r) for r in texts(rows))]
+    out = run(spark, "op12_fill_middle")
+    assert rows_of(out, "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256") == sorted(want, key=repr)
+
+
+def test_op13_embedding_dedup(spark):
+    vectors = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()]
+    assert rows_of(run(spark, "op13_embedding_dedup"), "vec_id", "n_links", "component_id", "kept") == test_embedding_dedup.expected(vectors)
