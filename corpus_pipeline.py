@@ -18,12 +18,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and the rules learned from ``labels`` keep."""
+    """Documents that the base and the rules learned from ``labels`` keep, whole rows with all their columns.
+
+    A null or empty text has no words, fails the base and goes. Rows are judged one by one: rows that repeat, or share an id, stay or go
+    each by its own text. Labels of ids that are not there, or without a quality, teach nothing; without usable ones the base alone decides. An
+    empty table gives an empty one.
+    """
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that stay in another one; it may be left empty."""
+    """Every document without the lines that stay in another one; it may be left empty.
+
+    No row goes: a null text becomes an empty one, and a row without an id loses its shared lines to any with one. Rows that repeat
+    hold a line as often as they are there, and all rows with the largest id keep it. ``n_chars`` is counted anew, and all other columns,
+    whatever their names, stay as they are. An empty table gives an empty one.
+    """
     cleaned = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs))
     n_chars = F.length("text").cast("long").alias("n_chars")
     named = {"text": F.col("text"), "n_chars": n_chars}
@@ -45,12 +55,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time a document is taken, wholly or in part."""
+    """The mix: a row for each time a document is taken, wholly or in part.
+
+    A document whose words are taken twice is two rows; one without words, or with a null or empty text, is in no mix. Rows that repeat are
+    taken each on their own, null ids too, and a null source is a source, the last. Other columns go with each row. Documents without any words, or an empty
+    table, give an empty one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document of the mix lies in the training sequences."""
+    """Where every piece of every document of the mix lies in the training sequences.
+
+    Every row is a document of its own, also where ids repeat or are null; a null or empty text is its end token alone. Columns other
+    than the id and the text are not read. An empty table gives no pieces.
+    """
     return packing.pack(docs, packing.public_tokenizer())
 
 
