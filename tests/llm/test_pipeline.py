@@ -77,6 +77,23 @@ def test_one_of_each_group_where_ids_repeat_or_are_null(spark, documents, prose)
     assert [next(i for i, t in staying if (i, t) in g) for g in groups] == [5, None, 7, 5, 20, 21, None]
 
 
+def test_stages_on_awkward_tables(spark, documents, awkward):
+    """Null ids and texts, very long texts, repeated rows, columns with clashing names; and a table without rows."""
+    for rows in (awkward, []):
+        given = documents(rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stored(stage(spark, given, SF_DIR), "awkward-stage")
+            assert out.columns == given.columns, name
+            assert all(r["digest"] == "x" and r["first"] == "x" for r in out.collect())
+            if name == "line dedup":
+                assert out.count() == len(rows)
+            elif name != "mixing":
+                assert out.count() <= len(rows)
+            # Each stage is given all rows, not what little the one before it leaves here.
+        packed = corpus_pipeline.STAGES[-1][1](spark, given, SF_DIR)
+        assert sum(r["start"] == 0 for r in packed.collect()) == len(rows)
+
+
 def test_run_is_all_stages(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns == [c.split()[0] for c in packing.PACKED.split(", ")] and out.count() > 0

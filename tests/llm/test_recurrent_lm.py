@@ -51,6 +51,26 @@ def test_words_beyond_the_lookup_meet_their_counts(documents, prose):
     assert all(r["score"] == pytest.approx(scores[r["doc_id"]], rel=1e-6) for r in few)
 
 
+@pytest.mark.parametrize("lookup", [1, 50, 500, 5000])
+def test_the_end_is_known_whatever_its_count(documents, lookup):
+    """All words as frequent as one another and more than the end: the lookup takes some of them, and the end in any case."""
+    text = " ".join(f"w{i}" for i in range(1000))
+    rows = [(0, f"{text} {text}"), (1, "w1 w1 w2")]
+    docs = documents(rows)
+    compare(rows, lm.score_documents(docs, head=64, lookup=lookup, rounds=0).collect())
+    counts = lm.count_words(docs.where("doc_id = 0"))
+    found = lm.vocabulary_of(counts, 64, lookup)
+    assert found.counts[lm.END] == 1 and lm.END in found.head and lookup * 0.7 - 5 <= min(1001, len(found.counts)) <= lookup + 1 or lookup == 5000
+
+
+def test_learns_over_many_tasks(documents):
+    """Every task sees few documents; the average of their weights knows more than the counts."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 40, 400))) for i in range(900)]
+    new = [r for r in lm.score_documents(documents(rows).repartition(24)).collect() if r["held_out"]]
+    assert new and sum(r["score"] for r in new) > 0.95 * sum(r["base_score"] for r in new)
+
+
 def two_languages(n):
     """Documents in one of two sets of words: the first words tell which the others come from."""
     rng = np.random.default_rng(1)
