@@ -216,6 +216,7 @@ SELECT DISTINCT run_id, file_id FROM (
 """
 
 SOME_ACCOUNT = "A42"
+PROFILE_SYSTEMS = ("first", "second", "third")
 
 # Lines as they stand in the files at the edges, next to the path of their file; ~ stands for a tab.
 VARIANT_LINES = f"""

@@ -353,6 +353,8 @@ SQL = {
         AND sample_id IN (SELECT sample_id FROM outputs WHERE step = 'mutations')""",
     "profiles_long": _with(["isolate_long"], """SELECT 'isolates' AS id, seqname AS clade, pos, allele AS alt
         FROM isolate_long"""),
+    "profiles_by_system": _with(["isolate_long"], """SELECT CASE CAST(right(seqname, 3) AS INT) % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second'
+          ELSE 'third' END AS id, seqname AS clade, chrom, pos, allele AS alt FROM isolate_long"""),
     "clade_scores": _with(["scores"], "SELECT * FROM scores"),
     "customer_scores": _with(["states", "isolate_long"], """SELECT s.sample_id, 'customers' AS id, p.seqname AS clade,
         CASE WHEN count(x.alt) = count(*) THEN sum(CASE WHEN x.alt = '?' THEN 0.5e0 WHEN x.alt <> p.alt THEN 1e0

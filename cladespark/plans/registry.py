@@ -172,6 +172,17 @@ def profiles_long(spark, sf_dir):
     return scoring.long_profiles(wide.withColumnsRenamed({**renamed, "seqname": "clade"}), "isolates")
 
 
+@query
+def profiles_by_system(spark, sf_dir):
+    """The isolates written as a wide file of profiles for each of three systems, and all of them read by their prefix."""
+    folder = shared_folder(spark, "profiles")
+    wide = bridge.isolates(spark, sf_dir).withColumnRenamed("seqname", "clade")
+    wide = wide.withColumnsRenamed({c: c.removeprefix("pos_") for c in wide.columns})
+    for number, system in enumerate(bridge.PROFILE_SYSTEMS):
+        write_table(wide.where(F.right("clade", F.lit(3)).cast("int") % 3 == number), f"{folder}/strains_{system}.csv", "csv")
+    return readers.read_profiles(spark, f"{folder}/strains", bridge.PROFILE_SYSTEMS, refdata.POSITIONS, refdata.CONTIG)
+
+
 @query
 def clade_scores(spark, sf_dir):
     return scoring.score_profiles(marker_states(spark, sf_dir), refdata.profiles(spark))
