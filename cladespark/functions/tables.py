@@ -105,11 +105,11 @@ def with_panel(rows: DataFrame, panel: DataFrame, max_rows: int = PANEL_ROWS) ->
     return shares.join(pieces, ["_part", "_salt"]).drop("_part", "_salt")
 
 
-def numbered(panel: DataFrame, columns: Sequence[str], per_part: int) -> DataFrame:
-    """Distinct panel entries with a ``part`` of about ``per_part`` of them and their ``number`` in it, from 0."""
+def numbered(panel: DataFrame, columns: Sequence[str], per_part: int) -> tuple[DataFrame, int]:
+    """Distinct panel entries with a ``part`` of about ``per_part`` of them and their ``number`` in it, from 0; and the number of parts."""
     parts = panel.count() // per_part + 1
     dealt = panel.withColumn("part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
-    return dealt.withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy(*columns)).cast("long") - 1)
+    return dealt.withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy(*columns)).cast("long") - 1), parts
 
 
 def dense(entries: Column, size: Column, absent: Column) -> Column:
@@ -135,7 +135,7 @@ def with_zeros(counts: DataFrame, rows: DataFrame, panel: DataFrame, values: Seq
     panel is folded to one sorted array; zeros are filled in as the array is unrolled next to the entries, so none is ever moved.
     """
     key, entry = rows.columns, panel.columns
-    listed = numbered(panel, entry, per_part)
+    listed, _ = numbered(panel, entry, per_part)
     placed = counts.join(broadcast_if_small(listed), list(entry))
     summed = placed.groupBy(*key, "part", "number").agg(*[F.sum(v).alias(v) for v in values])
     value = F.struct(*values).alias("value")
