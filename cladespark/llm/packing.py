@@ -23,7 +23,8 @@ END_ID = 0
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, rank long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NEW, ODD = -1, -2
-CACHE_UNITS, CACHE_IDS, LEARN_UNITS = 500_000, 8 << 20, 2048
+CACHE_UNITS, CACHE_IDS, LEARN_UNITS, JOINED_UNITS = 250_000, 8 << 20, 2048, 64
+SPACE_MARKS = "\u0120\u010a"  # how byte-level vocabularies write a space and a new line
 BLOCK_BYTES = 6 << 20
 
 
@@ -38,6 +39,9 @@ class Units:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with the mark of a space or a new line
+        self.opens[[i for token, i in vocabulary.items() if token[0] in SPACE_MARKS]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -54,6 +58,27 @@ class Units:
                 self.ends.append(len(self.ids))
         return range(base, len(self.ends))
 
+    def _learn_following(self, units: list[str]) -> range:
+        """As ``_learn`` for visible units with the space or new line before them, many in one text.
+
+        Only the first id of such a unit begins with a space or a new line, which tells the units apart. Where a
+        special token may lie in one, or the count does not fit, units are tokenized one by one.
+        """
+        base = len(self.ends)
+        for a in range(0, len(units), LEARN_UNITS):
+            some = units[a : a + LEARN_UNITS]
+            texts = ["".join(some[i : i + JOINED_UNITS]) for i in range(0, len(some), JOINED_UNITS)]
+            ids = [] if any("<|" in t for t in texts) else self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in ids]) if ids else np.zeros(0, np.int32)
+            firsts = np.flatnonzero(self.opens[ids])
+            if len(firsts) != len(some) or firsts[0]:
+                self._learn(some)
+                continue
+            ends = np.r_[firsts[1:], len(ids)] + len(self.ids)
+            self.ids.frombytes(ids.tobytes())
+            self.ends.frombytes(ends.astype(np.int64).tobytes())
+        return range(base, len(self.ends))
+
     def _following(self, units: list[str]) -> np.ndarray:
         found = np.fromiter(map(self.inner.get, units, repeat(NEW)), np.int64, len(units))
         new = [units[i] for i in np.flatnonzero(found == NEW)]
@@ -61,7 +86,7 @@ class Units:
         odd = [not u or u == "\n" or u[-1].isspace() or u[u[0] == "\n"].isspace() for u in new]
         self.inner.update((u, ODD) for u, is_odd in zip(new, odd, strict=True) if is_odd)
         plain = [u for u, is_odd in zip(new, odd, strict=True) if not is_odd]
-        self.inner.update(zip(plain, self._learn([u if u[0] == "\n" else " " + u for u in plain]), strict=True))
+        self.inner.update(zip(plain, self._learn_following([u if u[0] == "\n" else " " + u for u in plain]), strict=True))
         found[found == NEW] = [self.inner[u] for u in new]
         return found
 
@@ -100,8 +125,8 @@ def _pieces(path: str, capacity: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        units, narrow = Units(tokenizer), "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        units = Units(Tokenizer.from_file(path))
+        narrow = "<u2" if len(units.opens) <= 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in blocks(batches, limit=BLOCK_BYTES):
