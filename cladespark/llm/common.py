@@ -16,6 +16,7 @@ KEY = ("k1", "k2")
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 HEAVY_SHARE = 1000
+PARTS = 1024
 BLOCK_BYTES = 16 << 20
 
 
@@ -66,18 +67,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: Sequence[str], size: str, va
 
 
 def most_frequent(rows: DataFrame, count: str, limit: int) -> DataFrame:
-    """The rows with the largest counts: all above some count, the least for which they are no more than ``limit``.
+    """About the ``limit`` rows with the largest counts, and no more: all above some count, and of those just below it some by hash.
 
-    That count comes from a histogram in eighths of powers of two, so no task sends more than it has of these rows.
+    The count comes from a histogram in eighths of powers of two and the hash from one of that level, so no task sends more than
+    it has of these rows.
     """
     level = F.floor(8 * F.log2(count)).cast("int")
-    least, size = None, 0
+    part = F.pmod(F.xxhash64(F.lit(3), *rows.columns), F.lit(PARTS))
+    left = limit
     for r in sorted(rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["level"]):
-        size += r["rows"]
-        if size > limit:
-            break
-        least = r["level"]
-    return rows.where(F.lit(False) if least is None else level >= least)
+        if r["rows"] > left:
+            parts = {p["part"]: p["rows"] for p in rows.where(level == r["level"]).groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect()}
+            sizes = np.cumsum([parts.get(i, 0) for i in range(PARTS)])
+            return rows.where((level > r["level"]) | ((level == r["level"]) & (part < int(np.searchsorted(sizes, left, "right")))))
+        left -= r["rows"]
+    return rows
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

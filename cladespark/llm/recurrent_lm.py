@@ -312,15 +312,16 @@ def count_words(docs: DataFrame) -> DataFrame:
 def vocabulary_of(counts: DataFrame, head: int = HEAD, lookup: int = LOOKUP) -> Vocabulary:
     """The bounded vocabulary: ``head`` and ``lookup`` bound what leaves the counts, which cover all tokens.
 
-    The lookup holds all words of at least some count; the head is the most frequent of them.
+    The lookup holds the words of at least some count, and some of those just below it; the head is the most frequent of them. The
+    end is in both, whatever its count.
     """
+    ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = most_frequent(counts, "n", lookup).select("word", "n").toArrow()
     order = sorted(zip(found["n"].to_pylist(), found["word"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-    first = {word: n for n, word in order}
+    first = {word: n for n, word in order} | {END: ends}
     top = [word for _, word in order[:head]]
     if END not in top:
         top = [*top[: head - 1], END]
-        first.setdefault(END, 0)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     mass = np.ones(TAILS)
     for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
