@@ -108,6 +108,17 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return offsets, codes.astype(np.int64), known
 
 
+def crc_steps() -> np.ndarray:
+    """What a byte does to the register of CRC-32, bits taken from the low end."""
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, (steps >> np.uint32(1)) ^ np.uint32(0xEDB88320), steps >> np.uint32(1))
+    return steps
+
+
+CRC_STEPS = crc_steps()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import blocks, most_frequent, stored, table, text_or_empty, words
+from cladespark.llm.common import CRC_STEPS, blocks, most_frequent, stored, table, text_or_empty, words
 
 HEAD = 1024
 PER_CLASS = 32
@@ -38,6 +39,18 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
+def tails_of(words: list[bytes]) -> np.ndarray:
+    """``tail_of`` of each word."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    starts, data = np.r_[0, ends[:-1]], np.frombuffer(b"".join(words), np.uint8)
+    register = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        rows = np.flatnonzero(ends - back >= starts)
+        now = register[rows]
+        register[rows] = CRC_STEPS[(now ^ data[ends[rows] - back]) & np.uint32(255)] ^ (now >> np.uint32(8))
+    return (~register % np.uint32(TAILS)).astype(np.int32)
+
+
 def hash_of(word: bytes) -> int:
     h = xxhash.xxh64_intdigest(word, 42)
     return h - (1 << 64) if h >> 63 else h
@@ -62,6 +75,11 @@ class Vocabulary:
         place = self.at.get(word)
         return len(self.head) + tail_of(word) if place is None else place
 
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """``code`` of each word."""
+        place = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
+        return np.where(place < 0, len(self.head) + tails_of(words), place).astype(np.int32)
+
 
 def initial(vocabulary: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
     """Small random weights; the biases start at the counts, so the untrained model is the unigram one."""
@@ -90,8 +108,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def softmax_of(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """The softmax of each row."""
+    return column_softmax(np.array(x.T)).T
+
+
+def column_softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of each column, in place: sums over rows run along the memory."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
 def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,19 +149,21 @@ class Scorer:
         for a in range(0, len(codes), CHUNK):
             h, code = states[a : a + CHUNK], codes[a : a + CHUNK]
             kind = class_of(code, self.head, self.classes)
-            logits = h @ self.p["class_w"] + self.p["class_b"]
-            logits -= logits.max(1, keepdims=True)
-            part = logits[np.arange(len(code)), kind].astype(float) - np.log(np.exp(logits).sum(1))
+            logits = self.p["class_w"].T @ h.T + self.p["class_b"][:, None]
+            logits -= logits.max(0)
+            part = logits[kind, np.arange(len(code))].astype(float)
+            part -= np.log(np.exp(logits, out=logits).sum(0))
             tail = code >= self.head
             part[tail] -= self.tail_log[code[tail] - self.head]
-            order = np.argsort(kind, kind="stable")
+            order = np.argsort(kind.astype(np.int16), kind="stable")
             cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
             for c in range(self.classes):
                 rows = order[cuts[c] : cuts[c + 1]]
                 if len(rows):
-                    inner = h[rows] @ self.p["inner_w"][c] + self.p["inner_b"][c]
-                    inner -= inner.max(1, keepdims=True)
-                    part[rows] += inner[np.arange(len(rows)), code[rows] % PER_CLASS] - np.log(np.exp(inner).sum(1))
+                    inner = self.p["inner_w"][c].T @ h[rows].T + self.p["inner_b"][c][:, None]
+                    inner -= inner.max(0)
+                    own = inner[code[rows] % PER_CLASS, np.arange(len(rows))]
+                    part[rows] += own - np.log(np.exp(inner, out=inner).sum(0))
             out[a : a + CHUNK] = part
         return out
 
@@ -193,32 +221,33 @@ class Trainer:
 
         flat = states.reshape(-1, k)
         kind = class_of(code, self.head, self.classes)
-        error = softmax_of(flat @ p["class_w"] + p["class_b"])
-        error[np.arange(n), kind] -= 1
+        error = column_softmax(p["class_w"].T @ flat.T + p["class_b"][:, None])
+        error[kind, np.arange(n)] -= 1
         if live is not None:
-            error[~live.reshape(-1)] = 0
+            error[:, ~live.reshape(-1)] = 0
             kind = np.where(live.reshape(-1), kind, len(p["class_b"]))
-        grads["class_w"], grads["class_b"] = flat.T @ error, error.sum(0)
-        to_state = error @ p["class_w"].T
+        grads["class_w"], grads["class_b"] = (error @ flat).T, error.sum(1)
+        to_state = (p["class_w"] @ error).T.copy()
 
         # The members of a class lie side by side, so that all classes share one softmax.
-        rows = np.argsort(kind, kind="stable")
+        rows = np.argsort(kind.astype(np.int16), kind="stable")
         cuts = np.searchsorted(kind[rows], np.arange(self.classes + 1))
         rows = rows[: cuts[-1]]
         inside, used = flat[rows], np.flatnonzero(cuts[1:] > cuts[:-1])
-        inner = p["inner_b"][kind[rows]]
+        inner = np.empty((PER_CLASS, len(rows)), h.dtype)
         for c in used:
-            inner[cuts[c] : cuts[c + 1]] += inside[cuts[c] : cuts[c + 1]] @ p["inner_w"][c]
-        inner = softmax_of(inner)
-        inner[np.arange(len(rows)), code[rows] % PER_CLASS] -= 1
+            part = slice(cuts[c], cuts[c + 1])
+            np.add(p["inner_w"][c].T @ inside[part].T, p["inner_b"][c][:, None], out=inner[:, part])
+        inner = column_softmax(inner)
+        inner[code[rows] % PER_CLASS, np.arange(len(rows))] -= 1
         back = np.empty_like(inside)
         grads["inner_w"], grads["inner_b"] = np.zeros_like(p["inner_w"]), np.zeros_like(p["inner_b"])
         for c in used:
             part = slice(cuts[c], cuts[c + 1])
-            grads["inner_w"][c] = inside[part].T @ inner[part]
-            back[part] = inner[part] @ p["inner_w"][c].T
+            grads["inner_w"][c] = (inner[:, part] @ inside[part]).T
+            back[part] = (p["inner_w"][c] @ inner[:, part]).T
         if len(used):
-            grads["inner_b"][used] = np.add.reduceat(inner, cuts[used])
+            grads["inner_b"][used] = np.add.reduceat(inner, cuts[used], axis=1).T
         to_state[rows] += back
         to_state = to_state.reshape(states.shape)
 
@@ -283,23 +312,13 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) over a task's texts; the end counts once a document."""
-    counts: dict[bytes, int] = {}
-
-    def out() -> pa.RecordBatch:
-        names = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
+    """(word, n) over each block of a task's texts; the end counts once a document."""
     for batch in blocks(batches):
         _, codes, known = words(batch.column("text"))
-        for word, n in zip(known, np.bincount(codes, minlength=len(known)).tolist(), strict=True):
-            if n:
-                counts[word] = counts.get(word, 0) + n
-        counts[END] = counts.get(END, 0) + batch.num_rows
-        if len(counts) > 300_000:
-            yield out()
-            counts = {}
-    yield out()
+        counts = np.bincount(codes, minlength=len(known))
+        held = np.flatnonzero(counts)
+        names = pa.concat_arrays([pa.array(known, pa.binary()).take(pa.array(held)), pa.array([END], pa.binary())])
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.r_[counts[held], batch.num_rows].astype(np.int64))], ["word", "n"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -373,7 +392,7 @@ def encoded(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     """Input codes with an end after each text, starts and lengths, and the word of each code's place (the end's is the last)."""
     offsets, numbers, known = words(texts)
     known = [*known, END]
-    code = np.fromiter(map(vocabulary.code, known), np.int32, len(known))
+    code = vocabulary.codes(known)
     numbers = np.insert(numbers.astype(np.int32), offsets[1:], len(known) - 1)
     starts = offsets[:-1] + np.arange(len(texts))
     lengths = np.diff(offsets) + 1
@@ -393,7 +412,7 @@ def _score(params: dict[str, np.ndarray], shared_vocabulary):
                 continue
             codes, starts, lengths, numbers, known = encoded(batch.column("text"), vocabulary)
             model = scorer.documents(codes, starts, lengths)
-            count = np.fromiter((vocabulary.counts.get(w, -1) for w in known), np.int64, len(known))
+            count = np.fromiter(map(vocabulary.counts.get, known, repeat(-1)), np.int64, len(known))
             count[-1] = vocabulary.counts[END]
             doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             c = count[numbers]

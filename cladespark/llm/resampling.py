@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import KEY, blocks, row_key, stored, table, text_or_empty
+from cladespark.llm.common import CRC_STEPS, KEY, blocks, row_key, stored, table, text_or_empty
 
 BUCKETS = 10_000
 SHARE, MIN_WORDS, SEED = 25, 20, 7
@@ -30,17 +30,6 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[ord("0") : ord("9") + 1] = IS_WORD[ord("a") : ord("z") + 1] = IS_WORD[128:] = True
 
 
-def _crc_steps() -> np.ndarray:
-    """What a byte does to the register of CRC-32, bits taken from the low end."""
-    steps = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        steps = np.where(steps & 1, (steps >> np.uint32(1)) ^ np.uint32(0xEDB88320), steps >> np.uint32(1))
-    return steps
-
-
-STEPS = _crc_steps()
-
-
 def _fold(register: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The CRC registers after one word each: all words a byte at a time, those of many bytes by themselves."""
     out = register.copy()
@@ -54,7 +43,7 @@ def _fold(register: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: n
         if not live:
             break
         part = now[:live]
-        now[:live] = STEPS[(part ^ data[at[:live] + j]) & np.uint32(255)] ^ (part >> np.uint32(8))
+        now[:live] = CRC_STEPS[(part ^ data[at[:live] + j]) & np.uint32(255)] ^ (part >> np.uint32(8))
     short = sizes <= LONG_WORD
     out[order[short]] = now[short]
     return out
@@ -75,7 +64,7 @@ def features(data: np.ndarray, bounds: np.ndarray, carried: bool = False) -> tup
     text = np.searchsorted(bounds, starts, "right") - 1
     register = _fold(np.full(len(starts), 0xFFFFFFFF, np.uint32), data, starts, lengths)
     pair = np.flatnonzero(text[1:] == text[:-1])
-    spaced = STEPS[(register[pair] ^ np.uint32(0x20)) & np.uint32(255)] ^ (register[pair] >> np.uint32(8))
+    spaced = CRC_STEPS[(register[pair] ^ np.uint32(0x20)) & np.uint32(255)] ^ (register[pair] >> np.uint32(8))
     pairs = _fold(spaced, data, starts[pair + 1], lengths[pair + 1])
     own = slice(int(carried), None)
     buckets = ~np.r_[register[own], pairs] % np.uint32(BUCKETS)
