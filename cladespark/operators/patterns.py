@@ -10,17 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.functions.tables import broadcast_if_small, with_panel
+from cladespark.functions.tables import broadcast_if_small, fits, with_panel
 
 GRAM = 3
+FEW_PATTERNS = 200
 START, END = "\x02", "\x03"
 GAP = "\x00"
 
 # Syntax under which plain characters may not be required, and, in this order, what ends or takes from a run of them.
-UNCLEAR = r"[|()\x00\x02\x03]|(^|[^\\])(\\\\)*\\$|\\[^dDwWsSbB\p{Punct}]|\\Q|&&"
+UNCLEAR = r"\(\?[^:]|[\x00\x02\x03]|(^|[^\\])(\\\\)*\\$|\\[^dDwWsSbB\p{Punct}]|\\Q|&&"
 GAPS = (
     (r"\\.", GAP),  # an escape: a class, a border or a plain character, which is not used
     (r"\[\^?\]?[^\[\]]*\]", GAP),  # a class
+    *[(r"\((\?:)?[^()]*\)([*?+]|\{[^}]*\})?[+?]?", GAP)] * 3,  # groups, three deep, whatever they hold
     (r"^\^", START),
     (r"\$$", END),
     (r"\+[+?]?", GAP),  # the character before is required, but others may follow it
@@ -33,14 +35,14 @@ GAPS = (
 def required_text(pattern: Column) -> Column:
     """The longest text that every match of a pattern holds, with marks for the start and the end of a name; NULL if none is known.
 
-    Only plain syntax is looked into: alternatives, groups and anything unusual give NULL.
+    Only plain syntax is looked into: groups are passed over, alternatives outside of them and anything unusual give NULL.
     """
     rest = pattern
     for syntax, gap in GAPS:
         rest = F.regexp_replace(rest, F.lit(syntax), F.lit(gap))
     runs = F.split(rest, GAP)
     by_length = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("length"), run.alias("run"))))
-    unclear = pattern.rlike(UNCLEAR) | rest.rlike(r"[\[\]{}*+?\\]")
+    unclear = pattern.rlike(UNCLEAR) | rest.rlike(r"[\[\]{}*+?\\()|]")
     return F.when(~unclear & (by_length["length"] > 0), by_length["run"])
 
 
@@ -63,12 +65,14 @@ def _name_grams(name: Column, lengths: list[int]) -> Column:
 def matching_names(names: DataFrame, patterns: DataFrame, column: str) -> DataFrame:
     """Names (``column``) that hold a match of any of ``patterns`` (pattern); a name may be there more than once.
 
-    NULL names and patterns match nothing. The keys of the patterns come from two counts of the names, so a pattern's key is in few of them if any
+    NULL names and patterns match nothing. Up to ``FEW_PATTERNS`` are tested on all names. Of more, the keys of the patterns come from two counts of the names, so a pattern's key is in few of them if any
     part of it is; a pattern whose every part is in very many names is tested on those.
     """
-    listed = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct().withColumn("required", required_text(F.col("pattern")))
+    listed = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
+    few = fits(listed, FEW_PATTERNS)
+    listed = listed.withColumn("required", F.lit(None).cast("string") if few else required_text(F.col("pattern")))
     keyed = listed.where("required IS NOT NULL").select("pattern", F.explode(_grams(F.col("required"))).alias("gram"))
-    lengths = [r[0] for r in keyed.select(F.length("gram")).distinct().collect()]
+    lengths = [] if few else [r[0] for r in keyed.select(F.length("gram")).distinct().collect()]
     cut = names.select(column).where(F.col(column).isNotNull())
     found = with_panel(cut, listed.where("required IS NULL").select("pattern")).where(F.regexp_like(column, "pattern")).select(column)
     if not lengths:

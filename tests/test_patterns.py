@@ -11,7 +11,7 @@ from tests.conftest import rows_of
 
 REQUIRED = {
     "abc": "abc", "^abc$": "\x02abc\x03", "ab+c": "ab", "abc?d": "ab", "abc*": "ab", "a.bcd": "bcd", "[a-z]xyz": "xyz", "xy[^0]": "xy", r"ab\.cde": "cde",
-    r"\d\dab": "ab", "ab{2}cd": "cd", "a|b": None, "(ab)c": None, "(?i)abc": None, "": None, ".*": None, "[a-c&&[b]]x": None, r"\Qa.b\E": None, r"\x41bc": None,
+    r"\d\dab": "ab", "ab{2}cd": "cd", "a|b": None, "(ab)c": "c", "P12(5|7)x": "P12", "ab(?:c|d)*xyz": "xyz", "a(b(c|d)e)fgh|x": None, "(a|b": None, "q(w(e)r)?tyu": "tyu", "ab(?=c)": None, r"ab\(c|d": None, "(?i)abc": None, "": None, ".*": None, "[a-c&&[b]]x": None, r"\Qa.b\E": None, r"\x41bc": None,
     "[]ab]cd": "cd", "a^b": "b", "a$b": "b", "^": "\x02", "$": "\x03", "ab+?cde": "cde", "x{1,3}?yz": "yz", "a[[b]]c": None, r"ab\$": "ab", "é日x": "é日x", "ab\\": None,
     r"\p{L}abc": None, "abcd++e": "abcd",
 }
@@ -26,11 +26,13 @@ def matching(names, listed):
     return sorted({n for n in names for p in listed if p is not None and n is not None and re.search(p, n)})
 
 
+@pytest.mark.parametrize("few", [0, 200])
 @pytest.mark.parametrize("seed", range(4))
-def test_random_patterns(table, seed):
+def test_random_patterns(table, monkeypatch, seed, few):
+    monkeypatch.setattr(patterns, "FEW_PATTERNS", few)
     rng = random.Random(seed)
     names = ["".join(rng.choices("abP1.-", k=rng.randint(0, 9))) for _ in range(300)] + [None, "", "a\n", "ab1\n", "P1"]
-    pieces = ["a", "b", "P", "1", "ab", "P1", r"\.", ".", "[ab]", "[^1]", r"\d", "a?", "b+", "1*", "(a|b)", "-{1,2}", "a{0}"]
+    pieces = ["a", "b", "P", "1", "ab", "P1", r"\.", ".", "[ab]", "[^1]", r"\d", "a?", "b+", "1*", "(a|b)", "(?:P|b1)?", "((a)|1)+", "-{1,2}", "a{0}"]
     listed = ["".join(rng.choices(["", "^"]) + rng.choices(pieces, k=rng.randint(1, 5)) + rng.choices(["", "$"])) for _ in range(60)] + [None]
     out = patterns.matching_names(table("id string", [(n,) for n in names]), table("pattern string", [(p,) for p in listed]), "id")
     # Python's $ stands before a line feed at the end, as here.
