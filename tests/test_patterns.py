@@ -69,3 +69,18 @@ def test_ten_thousand_patterns_are_not_tested_on_every_name(spark):
 
     walk(out._jdf.queryExecution().executedPlan())
     assert rows and max(rows) < 20_000 * 10_000 / 50
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_patterns_that_share_three_characters_have_keys_of_their_own(spark, monkeypatch, most):
+    """A thousand texts of three digits are not enough to tell 20,000 patterns apart."""
+    monkeypatch.setattr(patterns, "BROADCAST_ROWS", most)
+    names = spark.range(20_000).selectExpr("concat('P', lpad(id * 7919 % 1000000, 6, '0')) AS id")
+    listed = spark.range(20_000).selectExpr("concat('^P', lpad(id * 104729 % 1000000, 6, '0'), '$') AS pattern")
+    marked = listed.selectExpr("pattern", "translate(pattern, '^$', '\x02\x03') AS required")
+    keys = marked.select("pattern", F.explode(patterns._grams(F.col("required"))).alias("gram"))
+    assert [r[0] for r in keys.select(F.length("gram")).distinct().collect()] == [8]
+    grams = patterns._name_grams(names, "id", [8])
+    assert grams.join(keys, "gram").count() < 20 * 20_000
+    held = {r[0] for r in names.collect()}
+    assert {r[0] for r in patterns.matching_names(names, listed, "id").collect()} == {r[0][1:-1] for r in listed.collect()} & held
