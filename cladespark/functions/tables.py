@@ -14,6 +14,7 @@ PANEL_ROWS = 100_000
 PART_ENTRIES = 512
 HOT_SHARE = 1000
 FEW_COLUMNS = 100
+TASK_ROWS = 500_000
 
 
 def _literal(value: object) -> str:
@@ -79,6 +80,16 @@ def join_reference(rows: DataFrame, reference: DataFrame, key: str, max_rows: in
     return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in found])
 
 
+def dealt(rows: DataFrame, entries: int, *keys: str) -> DataFrame:
+    """The rows of a narrow table, each to be unrolled to ``entries``, in as many tasks as keep one near ``TASK_ROWS`` unrolled rows.
+
+    A table that is small on disk is read by a task or two, which would hold all it is unrolled to. Few rows stay where they are.
+    ``keys`` tell rows apart, so that no task gets more than its share.
+    """
+    tasks = rows.count() * entries // TASK_ROWS + 1
+    return rows if tasks == 1 else rows.repartition(tasks, *keys)
+
+
 def with_panel(rows: DataFrame, panel: DataFrame, max_rows: int = PANEL_ROWS) -> DataFrame:
     """Give every row of ``rows`` one output row per panel entry.
 

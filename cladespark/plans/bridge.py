@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark import refdata
-from cladespark.functions.tables import broadcast_if_small, values, with_panel
+from cladespark.functions.tables import broadcast_if_small, dealt, values, with_panel
 from cladespark.operators.intervals import markers_to_targets, overlaps
 
 HOST_CONTIG, HOST_LENGTH = "chr21", 46_709_983
@@ -322,6 +322,7 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def isolate_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name", "c_custkey", "c_mktsegment")
+    customers = dealt(customers, len(refdata.MARKERS), "c_name", "c_custkey")
     return with_panel(customers, refdata.markers(spark)).select(
         F.col("c_name").alias("seqname"), "c_custkey", "chrom", "pos", "ref", F.expr(ALLELE).alias("allele")
     )
