@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladespark.functions.tables import BROADCAST_ROWS, broadcast_if_small, fits, with_panel, with_zeros
+from cladespark.functions.tables import BROADCAST_ROWS, broadcast_if_small, dealt, fits, with_panel, with_zeros
 from cladespark.operators.interval_levels import overlapping
 
 BIN_WIDTH = 4096
@@ -116,12 +116,17 @@ def marker_fragments(
     return _count_with_zeros(hits, markers, samples, small)
 
 
+def _for_every_sample(samples: DataFrame, panel: DataFrame) -> DataFrame:
+    """A row for every (sample, panel entry) of a panel that is small; no task holds more than its share of them."""
+    return with_panel(dealt(samples.select("sample_id"), panel.count(), "sample_id"), panel)
+
+
 def _count_with_zeros(hits: DataFrame, panel: DataFrame, samples: DataFrame, small: bool) -> DataFrame:
     """Summed hits of every (sample, panel entry): a small panel's zeros are added to the hits, a large one's filled in after the sums."""
     if not small:
         hits = hits.withColumnRenamed("n", "n_covering_frags")
         return with_zeros(hits, samples.select("sample_id").distinct(), panel, ["n_covering_frags"])
-    zeros = with_panel(samples.select("sample_id"), panel).withColumn("n", F.lit(0).cast("long"))
+    zeros = _for_every_sample(samples, panel).withColumn("n", F.lit(0).cast("long"))
     key = [c for c in hits.columns if c != "n"]
     return hits.unionByName(zeros).groupBy(*key).agg(F.sum("n").alias("n_covering_frags"))
 
@@ -155,7 +160,7 @@ def target_coverage(
     )
     sums = ["n_covering_frags", "n_covered_bases"]
     if small:
-        zeros = with_panel(samples.select("sample_id"), targets).withColumns({c: F.lit(0).cast("long") for c in sums})
+        zeros = _for_every_sample(samples, targets).withColumns({c: F.lit(0).cast("long") for c in sums})
         measured = measured.unionByName(zeros).groupBy("sample_id", *TARGET).agg(*[F.sum(c).alias(c) for c in sums])
     else:
         measured = with_zeros(measured, samples.select("sample_id").distinct(), targets, sums)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cladespark.functions import tables
 from cladespark.operators import interval_levels, intervals
+from cladespark.plans import bridge
 from tests.conftest import rows_of
 
 READS = "sample_id string, chrom string, start long, end long"
@@ -227,3 +228,21 @@ def test_sorted_layout(table):
     keys = [(r[1], r[2], r[3], r[0]) for r in out]
     assert keys == sorted(keys) and all(r[0] == r[4] for r in out)
     assert Counter(r[:4] for r in out) == Counter(reads)
+
+
+def test_samples_and_isolates_are_dealt_before_they_are_unrolled(spark, monkeypatch):
+    """A table of one small file is read by one task, which held all the rows its samples are unrolled to."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 1000)
+    samples = spark.range(0, 200, 1, 1).selectExpr("concat('S', id) AS sample_id")
+    panel = spark.range(100).selectExpr("'c' AS chrom", "id + 1 AS pos")
+    every = intervals._for_every_sample(samples, panel)
+    held = [r[0] for r in every.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(held) == 200 * 100 and len(held) > 10 and max(held) < 5 * 1000
+    assert rows_of(every) == rows_of(samples.crossJoin(panel))
+    few = tables.dealt(samples, 4, "sample_id")
+    assert few.rdd.getNumPartitions() == 1 and rows_of(few) == rows_of(samples)
+    alleles = bridge.isolate_alleles(spark, "/root/testdata/sf0.001")
+    dealt_to = alleles.groupBy(F.spark_partition_id()).count().collect()
+    monkeypatch.undo()
+    whole = bridge.isolate_alleles(spark, "/root/testdata/sf0.001")
+    assert len(dealt_to) > 1 and rows_of(alleles) == rows_of(whole)
