@@ -76,7 +76,12 @@ def join_reference(rows: DataFrame, reference: DataFrame, key: str, max_rows: in
     # NULL and a hot key that the reference lacks are salted too: they find nothing on either side.
     salt = F.when(F.col("_is_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1024))).cast("int")
     cold = reference.select(key, F.lit(0).alias("_salt"), values.alias("_cold"))
-    joined = spread_out.withColumn("_salt", salt).join(cold, [key, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    placed, tasks = spread_out.withColumn("_salt", salt), total // TASK_ROWS + 1
+    if tasks > 1:
+        # What a task sorts, here and in a fold of the joined rows, stays the same as the rows grow.
+        tasks = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        placed, cold = placed.repartition(tasks, key, "_salt"), cold.repartition(tasks, key, "_salt")
+    joined = placed.join(cold, [key, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in found])
 
 

@@ -266,3 +266,15 @@ def test_rows_of_a_hot_key_are_spread(spark):
             assert max(sizes) < sum(sizes) / 2
         assert out.count() == 20_000
         assert out.where("v IS NOT NULL AND v <> 2 * k").count() == 0
+
+
+def test_rows_joined_with_a_large_reference_are_dealt_by_their_number(spark, monkeypatch):
+    """Partitions planned by bytes, or by the files read, hold more rows the more there are."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    rows = spark.range(0, 20_000, 1, 1).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 11 > 0 THEN id END AS k", "id")
+    reference = spark.range(15_000).selectExpr("id AS k", "id * 2 AS v")
+    out = tables.join_reference(rows, reference, "k", max_rows=0)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 4 * 500
+    expected = [(r["k"], r["id"], None if r["k"] is None or r["k"] >= 15_000 else 2 * r["k"]) for r in rows.collect()]
+    assert rows_of(out) == sorted(expected, key=repr)
