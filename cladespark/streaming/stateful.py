@@ -69,6 +69,11 @@ def gathered_states(states: DataFrame, sites: DataFrame, arrived: str, patience:
     )
 
 
+def _plain(column: pd.Series) -> list:
+    """The values of a column, None where one is missing. A group is a few rows, so a frame of objects would cost more than they do."""
+    return [None if v is None or v != v else v for v in column.tolist()]
+
+
 def _status(transitions: Transitions) -> Callable:
     """Apply a run's changes in the order of time and id: those before the watermark for good, newer ones on top, again with every arrival."""
 
@@ -88,8 +93,7 @@ def _status(transitions: Transitions) -> Callable:
         known, state, status, message, folded_to, *lists = held.get if held.exists else (False, None, None, None, NO_TIME, [], [], [], [])
         events = {(t, i): (t, i, s, m) for t, i, s, m in zip(*lists, strict=True)}
         for batch in batches:
-            rows = batch.astype(object).where(batch.notna(), None)
-            for t, i, s, m in zip(rows["at"], rows["event_id"], rows["status"], rows["message"], strict=True):
+            for t, i, s, m in zip(*[_plain(batch[c]) for c in ("at", "event_id", "status", "message")], strict=True):
                 t = NO_TIME if t is None else int(t)
                 if t > folded_to or not known:
                     events[t, int(i)] = (t, int(i), s, m)

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import pandas as pd
+
 from cladespark import refdata
 from cladespark.operators import catalog, scoring
 from cladespark.sources import readers
-from cladespark.streaming import jobs
+from cladespark.streaming import jobs, stateful
 from tests.conftest import rows_of
 from test_catalog import LOG, TABLES, log_rows
 from test_scoring import M1, M2, STATES, state_rows
@@ -129,3 +131,24 @@ def test_events_later_than_the_watermark_are_dropped(spark, table, tmp_path):
         jobs.stream_judged_status(stream, out, log, lateness="2 days").awaitTermination()
     found = {r[0]: r[1:] for r in rows_of(jobs.newest(spark, out, "run_id"), "run_id", "status", "message")}
     assert found == {"a": ("running", None), "b": ("running", "no"), "c": ("initiated", None)}
+
+
+def test_a_group_of_events_is_read_without_further_frames(monkeypatch):
+    """A run's batch is a few rows, and there are very many: a frame built on the way cost forty times the rest of the reading."""
+    class Held:
+        exists = False
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return 0
+
+        def update(self, value):
+            self.value = value
+
+    batch = pd.DataFrame(
+        {"at": [30.0, None, 10.0], "event_id": [3, 1, 2], "status": ["running", "initiated", None], "message": [None, "first", float("nan")]}
+    )
+    monkeypatch.setattr(pd.DataFrame, "astype", None)
+    held = Held()
+    (out,) = stateful._status(catalog.GUARDED)(("a",), iter([batch, batch.iloc[:0]]), held)
+    assert out.to_dict("list") == {"run_id": ["a"], "status": ["running"], "message": ["first"]}
+    assert held.value[5:] == ([stateful.NO_TIME, 10, 30], [1, 2, 3], ["initiated", None, "running"], ["first", None, None])
