@@ -71,6 +71,23 @@ def least_shared(percent: int) -> Column:
     return 1 + F.expr(f"({percent} * n + 99) div 100 div {EXTRA}")
 
 
+def least_between(percent: int) -> Column:
+    """The same for similar sets of ``low`` to ``high`` tokens, which is far more where their sizes are near ``n``.
+
+    Two similar sets share at least ``percent`` / (100 + ``percent``) of their sizes together, and of these all but what the rest of
+    either set, beyond its prefix, can hold. That is concave in the other's size, so the least is at an end of the range. One in
+    a thousand is given away for tokens of a set that are equal once they are cut.
+    """
+    n = F.col("n").cast("double")
+
+    def with_size(size: Column) -> Column:
+        rest = F.greatest(n, size) * (percent / 100 - 1 / EXTRA) + 1
+        return (n + size) * percent / (100 + percent) - F.greatest(rest, F.lit(0.0)) - n / 1000
+
+    low, high = F.greatest(F.col("low").cast("double"), n * percent / 100), F.least(F.col("high").cast("double"), n * 100 / percent)
+    return F.greatest(least_shared(percent), F.floor(F.least(with_size(low), with_size(high))))
+
+
 class Frequent:
     """The frequent tokens with their ranks, the most frequent last. Which they are changes the work, not the results."""
 
@@ -283,17 +300,38 @@ def verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     return stored(joined.mapInArrow(_verify(percent), "a long, b long").where("a != b"), "verified")
 
 
+def _looked_up(least: Column) -> Column:
+    """Whether a token is among the first of its node's that hold ``SOME``-th part of the ``least`` shared ones."""
+    return F.col("rank") <= F.col("held") - least + F.ceil(least / SOME)
+
+
 def fewest(tokens: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Of every node's ``tokens`` in a pass those in the fewest ``clusters``, as many as must hold ``some`` of the tokens it shares with a similar set.
+    """Of every node's ``tokens`` in a pass those in the fewest ``clusters``, as many as must hold some of the tokens it shares with any similar
+    set: with their ``rank`` among all that it has ``held``.
 
     A node that shares l of its h tokens shares some of any h - l + some of them, so the tokens that most clusters have are
     left out; a node with fewer than l in a pass has no similar set there.
     """
     in_pass = Window.partitionBy("node", "pass")
-    held = tokens.join(clusters, ["bucket", "token"]).withColumn("held", F.count("*").over(in_pass)).withColumn("least", least_shared(percent))
-    ranked = held.where("held >= least").withColumn("rank", F.row_number().over(in_pass.orderBy("clusters", "bucket", "token")))
-    ranked = ranked.withColumn("some", F.ceil(F.col("least") / SOME))
-    return ranked.where("rank <= held - least + some").drop("clusters", "held", "least", "rank")
+    held = tokens.join(clusters, ["bucket", "token"]).withColumn("held", F.count("*").over(in_pass)).where(F.col("held") >= least_shared(percent))
+    ranked = held.withColumn("rank", F.row_number().over(in_pass.orderBy("clusters", "bucket", "token")))
+    return ranked.where(_looked_up(least_shared(percent))).drop("clusters")
+
+
+def met_clusters(tokens: DataFrame, percent: int) -> DataFrame:
+    """(c, node, pass, some): the larger clusters that nodes meet at their ``tokens`` (bucket, token, pass, node, n, cluster, size).
+
+    A token is looked up only as far as the sizes found there leave room for a similar set, so alike texts that are not similar
+    enough, however many share a passage, meet at few tokens or none. A similar set is met at ``some`` tokens in each pass.
+    """
+    key = ["bucket", "token"]
+    others = tokens.groupBy(*key, F.col("cluster").alias("c")).agg(F.first("size").alias("c_size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    larger = (F.col("c_size") > F.col("size")) | ((F.col("c_size") == F.col("size")) & (F.col("c") > F.col("cluster")))
+    fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
+    least = least_between(percent)
+    met = fewest(tokens, others.groupBy(*key).agg(F.count("*").alias("clusters")), percent).join(others, key)
+    met = met.where(larger & fits & (F.col("held") >= least) & _looked_up(least))
+    return met.select("c", "node", "pass", F.ceil(least / SOME).alias("some"))
 
 
 def similar_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -350,11 +388,7 @@ def similar_nodes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     placed = placed.select(*key, "pass", "node", "n", F.coalesce("c", "node").alias("cluster"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed_keys = placed.groupBy(*key).agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low != high").select(*key)
     open_ = stored(placed.join(mixed_keys, key), "open-tokens")
-    others = open_.groupBy(*key, F.col("cluster").alias("c")).agg(F.first("size").alias("c_size"), F.min("n").alias("low"), F.max("n").alias("high"))
-    larger = (F.col("c_size") > F.col("size")) | ((F.col("c_size") == F.col("size")) & (F.col("c") > F.col("cluster")))
-    fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    met = fewest(open_, others.groupBy(*key).agg(F.count("*").alias("clusters")), percent).join(others, key).where(larger & fits)
-    crossing = met.groupBy("c", "node", "pass", "some").agg(F.count("*").alias("found")).where("found >= some")
+    crossing = met_clusters(open_, percent).groupBy("c", "node", "pass").agg(F.count("*").alias("found"), F.min("some").alias("some")).where("found >= some")
     crossing = crossing.groupBy("c", "node").agg(F.count("*").alias("passes")).where(F.col("passes") == ORDERS)
     crossing = stored(crossing.select("c", "node"), "crossing-pairs")
     wanted = crossing.select("c").distinct()

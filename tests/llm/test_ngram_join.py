@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -97,6 +98,44 @@ def test_prefixes_of_similar_sets_meet_under_every_order(prose):
         assert len(set(x.tolist()) & set(y.tolist())) >= least and len(x) == len(a) - -(-75 * len(a) // 100) + 1 + len(a) // 10
 
 
+@pytest.mark.parametrize("n", (3, 20, 100, 146, 1000))
+def test_similar_sets_share_as_many_tokens_as_their_sizes_ask_for(spark, n):
+    rng = random.Random(n)
+    rows, shared = [], []
+    for other in sorted({-(-3 * n // 4), n - n // 7, n, n + n // 5, 4 * n // 3}):
+        common = -(-75 * (n + other) // 175)  # as few as similar sets can share
+        tokens = np.array([rng.getrandbits(64) for _ in range(n + other - common)], np.uint64)
+        a, b = tokens[:n], tokens[n - common :]
+        frequent = ngram_join.Frequent(np.array(rng.sample(tokens.tolist(), len(tokens) // 2), np.uint64))
+        for order in range(ngram_join.ORDERS):
+            x, y = (frequent.prefix(s, order, ngram_join.prefix_size(len(s), 75)) for s in (a, b))
+            rows += [(n, other, other), (other, n, n)]
+            shared += 2 * [len(set(x.tolist()) & set(y.tolist()))]
+    least = spark.createDataFrame(rows, "n long, low long, high long").select(ngram_join.least_between(75).alias("l")).collect()
+    assert all(1 <= r["l"] <= s for r, s in zip(least, shared, strict=True))
+    assert n < 100 or least[2 * [low for _, low, _ in rows[::2]].index(n)]["l"] >= 0.18 * n
+
+
+def test_alike_nodes_that_cannot_be_similar_do_not_meet(table):
+    schema = "bucket int, token long, pass long, node long, n long, cluster long, size long"
+    alike = [(p, t, p, node, 146, node, 1) for p in range(2) for t in range(22) for node in range(60)]
+    similar = [(p, t, p, node, 146, node, 1) for p in range(2) for t in range(100, 132) for node in (100, 101)]
+    met = rows_of(ngram_join.met_clusters(table(schema, alike + similar), 75).select("c", "node", "pass").distinct())
+    assert met == [(101, 100, 0), (101, 100, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_of_other_lengths_around_the_threshold(documents, prose, seed):
+    rng = random.Random(50 + seed)
+    rows = []
+    for g in range(10):
+        words = prose(300 * seed + g, rng.randint(60, 300)).replace("\n", " ").split(" ")
+        for _ in range(rng.randint(2, 20)):
+            start, end = rng.randint(0, len(words) // 6), len(words) - rng.randint(0, len(words) // 6)
+            rows.append((len(rows), edited(" ".join(words[start:end]), rng, rng.randint(0, len(words) // 50))))
+    assert found(documents(rows)) == expected(rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_components(spark, seed):
     rng = random.Random(seed)
