@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladespark import refdata
 from cladespark.functions.expressions import mismatch_cost
-from cladespark.operators import cohort, genotype, packed_scoring, pileup, scoring, variants
+from cladespark.operators import bit_scoring, cohort, genotype, packed_scoring, pileup, scoring, variants
 from tests.conftest import rows_of
 
 STATES = "sample_id string, chrom string, pos long, n_covering_frags long, ref string, alt string, is_mutated string"
@@ -363,3 +363,35 @@ def test_pileup_and_calls(table):
         ("s", "c", 5, "G", "T", 11, 6), ("tie", "c", 5, "G", "A", 10, 5)]
     assert {r.sample_id for r in pileup.legacy_call_haploid(bases, reference).collect()} == {"s", "tie", "shallow"}
     assert pileup.pileup(bases, contig="other").count() == 0
+
+
+def test_pairs_of_samples_and_very_many_profiles_are_not_kept(spark, table):
+    """Scores are made within a row of the join: no sort, sum or move over samples times profiles comes after it."""
+    profiles = table(PROFILES, [("k", "s", f"c{c}", p, "ACGT"[(c + p) % 4]) for c in range(50) for p in range(70)])
+    states = table("sample_id string, chrom string, pos long, alt string", [("x", "k", p, "A") for p in range(70)])
+    plan = scoring.score_profiles(states, profiles, max_rows=0)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Join")]
+    assert not [kind for kind in ("Aggregate", "Sort", "Exchange", "Window", "Generate") if kind in after]
+
+
+@pytest.mark.parametrize("most_words", [0, 32])
+def test_scores_by_bits_and_in_blocks(table, monkeypatch, most_words):
+    """Sites of several words, alleles that are NULL on either side, a state found a hundred times; a panel too wide for words."""
+    monkeypatch.setattr(bit_scoring, "MOST_WORDS", most_words)
+    rng = random.Random(5)
+    sites = [("k", p) for p in range(70)]
+    profiles = [(k, "s", f"c{c}", p, rng.choice(["A", "C", "?"])) for c in range(9) for k, p in sites if (c + p) % 3 or c > 5]
+    profiles = [row if row[2:4] != ("c8", 3) else (*row[:4], None) for row in profiles]
+    states = [(f"m{i}", k, p, rng.choice("AC?G")) for i in range(5) for k, p in sites] + [("m1", "k", 69, "A")] * 100
+    states += [("m2", "k", 7, None), ("off", "z", 1, "A")]
+    out = scoring.score_profiles(table("sample_id string, chrom string, pos long, alt string", states), table(PROFILES, profiles), max_rows=0)
+    expected = {row[:3]: row[3] for row in brute_scores(states, profiles)}
+    # A profile without an allele costs a known state nothing that is known, and an unknown one a half.
+    alleles = {}
+    for sample, k, p, alt in states:
+        if (k, p) == ("k", 3):
+            alleles[sample] = alt
+    for sample, alt in alleles.items():
+        if alt != "?":
+            expected[sample, "s", "c8"] = None
+    assert rows_of(out) == sorted(((*key, total) for key, total in expected.items()), key=repr)
