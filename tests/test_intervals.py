@@ -246,3 +246,41 @@ def test_samples_and_isolates_are_dealt_before_they_are_unrolled(spark, monkeypa
     monkeypatch.undo()
     whole = bridge.isolate_alleles(spark, "/root/testdata/sf0.001")
     assert len(dealt_to) > 1 and rows_of(alleles) == rows_of(whole)
+
+
+def test_no_overlap_of_a_large_panel_is_moved(table):
+    """100 samples whose read lies on all of 200 targets are 20,000 overlaps; reads and targets are moved, and neither overlaps nor zeros."""
+    reads = table(READS, [(f"s{i}", "c", 50, 500) for i in range(100)])
+    targets = table(TARGETS, [("c", i, i + 300) for i in range(200)] + [("c", 900, 910), ("d", 0, 600)])
+    out = intervals.target_fragments(reads, targets, table("sample_id string", [(f"s{i}",) for i in range(99)] + [("none",)]), max_rows=0)
+    assert Counter(r["n_covering_frags"] for r in out.collect()) == {1: 20_000, 0: 99 * 2 + 202}
+    moved = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind == "ShuffleQueryStageExec":
+            moved.append(node.getRuntimeStatistics().rowCount().get())
+        if kind.endswith("QueryStageExec"):
+            walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(out._jdf.queryExecution().executedPlan())
+    assert moved and max(moved) < 20_000
+
+
+def test_large_panel_of_short_and_long_targets_against_brute_force(table):
+    """Both contigs, lengths of several levels in parts of a few, samples that are not listed, reads and targets without a base."""
+    rng = random.Random(8)
+    spans = lambda n: [(rng.choice(("c", "d")), s, s + rng.choice(LENGTHS)) for s in (rng.randrange(20_000) for _ in range(n))]
+    reads = [(rng.choice(("a", "b", "stray")), *span) for span in spans(120)] * 2
+    targets = spans(60)
+    out = intervals.target_fragments(table(READS, reads), table(TARGETS, targets * 2), table("sample_id string", [("a",), ("b",), ("none",)]), 16, 0)
+    expected = {(s, *t): 0 for s in ("a", "b", "none") for t in targets}
+    for sample, chrom, start, end in reads:
+        for t in set(targets):
+            if t[0] == chrom and max(start, t[1]) < min(end, t[2]):
+                expected[sample, *t] = expected.get((sample, *t), 0) + 1
+    assert rows_of(out, "sample_id", *("chrom", "start", "end"), "n_covering_frags") == sorted(((*k, n) for k, n in expected.items()), key=repr)
