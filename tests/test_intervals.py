@@ -102,6 +102,27 @@ def test_targets_without_a_base_and_named_targets(table):
     assert rows_of(out.where("sample_id = 't'"), "name", "size") == [("back", 0), ("none", 0), ("x", 6), ("y", 6)]
 
 
+@pytest.mark.parametrize("limit, unrolled, at_least", [(10_000, 1000, 40), (0, 1000, 20), (10_000, 10**9, 8)])
+def test_named_lines_are_dealt_by_the_rows_that_go_out(table, monkeypatch, limit, unrolled, at_least):
+    """Few bytes of measured targets become 45,600 rows: neither their size nor a target with nearly all lines decides how many tasks make them."""
+    monkeypatch.setattr(tables, "TASK_UNROLLED", unrolled)
+    monkeypatch.setattr(intervals, "LIST_LINES", 7, raising=False)
+    rng = random.Random(4)
+    lines = [("c1", 10, 60, f"name {i}") for i in range(110)] + [("c1", 10, 60, "name 3"), ("c1", 10, 60, None), ("c1", 5, 5, "none"), ("c2", 0, 9, "z")]
+    reads = [(f"s{rng.randrange(400)}", *r[1:]) for r in random_reads(rng, 600, 90, 50)]
+    samples = table("sample_id string", [(f"s{i}",) for i in range(400)])
+    args = (table(READS, reads), table(f"{TARGETS}, name string", lines), samples)
+    out = intervals.target_coverage(*args, max_rows=limit).withColumn("task", F.spark_partition_id()).collect()
+    bare = intervals.target_coverage(args[0], args[1].drop("name"), samples, max_rows=limit).collect()
+    by_target = {(r.sample_id, r.chrom, r.start, r.end): tuple(r[4:]) for r in bare}
+    expected = Counter((f"s{i}", *line, *by_target[f"s{i}", *line[:3]]) for i in range(400) for line in lines)
+    columns = ("sample_id", *TARGETS.replace(" string", "").replace(" long", "").split(", "), "name")
+    values = ("n_covering_frags", "n_covered_bases", "size", "frac_covered")
+    assert Counter(tuple(r[c] for c in (*columns, *values)) for r in out) == expected
+    tasks = Counter(r.task for r in out)
+    assert len(tasks) >= at_least and max(tasks.values()) < len(out) * 2 / at_least
+
+
 def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
