@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,3 +396,17 @@ def test_scores_by_bits_and_in_blocks(table, monkeypatch, most_words):
         if alt != "?":
             expected[sample, "s", "c8"] = None
     assert rows_of(out) == sorted(((*key, total) for key, total in expected.items()), key=repr)
+
+
+def test_scores_are_written_in_blocks(spark, table, tmp_path):
+    """20,000 samples against 320 profiles: a run of one clade over few samples, whose ids a file keeps once and not in every row."""
+    states = spark.range(20_000).selectExpr("concat('m', id) AS sample_id", "'k' AS chrom", "5L AS pos", "substr('ACG?', cast(1 + id % 4 AS int), 1) AS alt")
+    profiles = table(PROFILES, [("k", "s", f"c{c}", 5, "ACGT"[c % 4]) for c in range(320)])
+    scoring.score_profiles(states, profiles, max_rows=0).write.parquet(f"{tmp_path}/out")
+    written = spark.read.parquet(f"{tmp_path}/out")
+    cost = "CASE WHEN n = 3 THEN 0.5D WHEN n = c % 4 THEN 0.0D ELSE 1.0D END"
+    found = written.selectExpr("cast(substr(sample_id, 2) AS int) % 4 AS n", "cast(substr(clade, 2) AS int) AS c", "*").where(f"manhattan = {cost}")
+    assert written.count() == found.select("sample_id", "clade").distinct().count() == 20_000 * 320
+    parts = [pq.ParquetFile(f).metadata for f in tmp_path.glob("out/*.parquet")]
+    bytes_written = sum(m.row_group(g).column(c).total_compressed_size for m in parts for g in range(m.num_row_groups) for c in range(m.num_columns))
+    assert bytes_written < 2 * 20_000 * 320  # an id alone takes 10 as it stands
