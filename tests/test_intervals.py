@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +306,18 @@ def test_large_panel_of_short_and_long_targets_against_brute_force(table):
             if t[0] == chrom and max(start, t[1]) < min(end, t[2]):
                 expected[sample, *t] = expected.get((sample, *t), 0) + 1
     assert rows_of(out, "sample_id", *("chrom", "start", "end"), "n_covering_frags") == sorted(((*k, n) for k, n in expected.items()), key=repr)
+
+
+def test_named_lines_are_written_side_by_side(spark, tmp_path):
+    """200 samples and 40 targets of 1,000 names each, in two lists: a file keeps a name once and not in every row of it."""
+    samples = spark.range(200).selectExpr("concat('s', id) AS sample_id")
+    lines = spark.range(40_000).selectExpr("'c' AS chrom", "id % 40 * 50 AS start", "id % 40 * 50 + id % 5 * 20 AS `end`", "concat('target ', id) AS name")
+    reads = spark.range(4_000).selectExpr("concat('s', id % 200) AS sample_id", "'c' AS chrom", "id * 37 % 2000 AS start", "id * 37 % 2000 + 60 AS `end`")
+    intervals.target_coverage(reads, lines, samples).write.parquet(f"{tmp_path}/out")
+    written = spark.read.parquet(f"{tmp_path}/out")
+    bare = intervals.target_coverage(reads, lines.drop("name").distinct(), samples)
+    names = written.groupBy(*bare.columns).agg(F.count("*"), F.count_distinct("name")).collect()
+    assert {tuple(r[-2:]) for r in names} == {(1000, 1000)} and sorted(map(repr, (r[:-2] for r in names))) == sorted(map(repr, map(tuple, bare.collect())))
+    parts = [pq.ParquetFile(f).metadata for f in tmp_path.glob("out/*.parquet")]
+    groups = [m.row_group(g) for m in parts for g in range(m.num_row_groups)]
+    assert sum(g.column(c).total_compressed_size for g in groups for c in range(g.num_columns)) < 200 * 40_000
